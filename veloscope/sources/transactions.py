@@ -70,6 +70,22 @@ def txn_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def txn_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as transactions keyed by order: transaction_id repeats (B6 duplicates)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_orderkey").alias("transaction_id"),
+        F.col("l_suppkey").alias("user_id"),
+        F.col("l_extendedprice").alias("amount"),
+        F.lit("USD").alias("currency"),
+        F.col("l_partkey").cast("string").alias("merchant_id"),
+        F.col("l_returnflag").alias("merchant_category"),
+        F.col("l_shipdate").cast("timestamp").alias("timestamp"),
+        (F.col("l_returnflag") == "R").cast("int").alias("is_fraud"),
+        F.round(F.col("l_discount") * 10, 2).alias("score"),
+    )
+
+
 TXN_EVENTS_CTE = """txn AS (
   SELECT event_id AS transaction_id, user_id, value AS amount, 'USD' AS currency,
          json_extract_string(props, '$.k') AS merchant_id,
@@ -92,4 +108,12 @@ TXN_ORDERS_CTE = """txn AS (
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey
               LEFT JOIN nation ON c_nationkey = n_nationkey)"""
 
-SOURCES = {"events": (txn_events, TXN_EVENTS_CTE), "orders": (txn_orders, TXN_ORDERS_CTE)}
+TXN_LINEITEM_CTE = """txn AS (
+  SELECT l_orderkey AS transaction_id, l_suppkey AS user_id, l_extendedprice AS amount,
+         'USD' AS currency, CAST(l_partkey AS VARCHAR) AS merchant_id,
+         l_returnflag AS merchant_category, CAST(l_shipdate AS TIMESTAMP) AS "timestamp",
+         CAST(l_returnflag = 'R' AS INTEGER) AS is_fraud, round(l_discount * 10, 2) AS score
+  FROM lineitem)"""
+
+SOURCES = {"events": (txn_events, TXN_EVENTS_CTE), "orders": (txn_orders, TXN_ORDERS_CTE),
+           "lineitem": (txn_lineitem, TXN_LINEITEM_CTE)}
