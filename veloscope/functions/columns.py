@@ -66,7 +66,7 @@ def div0(num, den) -> Column:
 
 
 def rnd(col, places: int = 6) -> Column:
-    return F.round(c(col).cast("double"), places)
+    return round_to(col, places)
 
 
 def mask_id(col, salt: str = "") -> Column:
@@ -86,3 +86,14 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     dlon = F.radians(c(lon2)) - F.radians(c(lon1))
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dlon / 2), 2)
     return F.lit(2 * r) * F.asin(F.sqrt(a))
+
+
+def round_to(col, places: int) -> Column:
+    """Round the binary double half away from zero at ``places`` decimals.
+
+    ``F.round`` rounds the shortest decimal string of the double (0.285 →
+    0.29), SQL engines the binary value (0.28499999… → 0.28); scaling first
+    makes Spark agree with the latter bit for bit.
+    """
+    k = float(10 ** places)
+    return F.round(c(col).cast("double") * k) / k

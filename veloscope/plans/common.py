@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veloscope.functions.columns import round_to
+
 PLACES = 6
 
 
@@ -24,7 +26,7 @@ def project(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
         if kind == "l":
             c = c.cast("bigint")
         elif kind == "d":
-            c = F.round(c.cast("double"), PLACES)
+            c = round_to(c, PLACES)
         elif kind == "s":
             c = c.cast("string")
         elif kind == "t":

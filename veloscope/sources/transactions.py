@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veloscope.functions.columns import round_to
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,7 +39,7 @@ def txn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("merchant_category"),
         F.col("ts").cast("timestamp").alias("timestamp"),
         (F.col("event_type") == "error").cast("int").alias("is_fraud"),
-        F.round(F.col("value") / 500.0, 2).alias("score"),
+        round_to(F.col("value") / 500.0, 2).alias("score"),
     )
 
 
@@ -66,7 +68,7 @@ def txn_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED",
                F.concat(F.lit("dev_"), F.col("o_orderpriority"))).alias("device_fingerprint"),
         F.col("n_name").alias("country"),
-        F.round(F.col("o_totalprice") / 500000.0, 4).alias("score"),
+        round_to(F.col("o_totalprice") / 500000.0, 4).alias("score"),
     )
 
 
@@ -82,7 +84,7 @@ def txn_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("merchant_category"),
         F.col("l_shipdate").cast("timestamp").alias("timestamp"),
         (F.col("l_returnflag") == "R").cast("int").alias("is_fraud"),
-        F.round(F.col("l_discount") * 10, 2).alias("score"),
+        round_to(F.col("l_discount") * 10, 2).alias("score"),
     )
 
 
