@@ -30,7 +30,9 @@ def _div(a, b):
     return f"CASE WHEN ({b}) > 0 THEN ({a}) / ({b}) ELSE 0 END"
 
 
-def eval_sql(source: str, by: list[str], prefix: str = "test") -> str:
+def eval_sql(source: str | None, by: list[str], prefix: str = "test", rel: str | None = None,
+             kinds: dict | None = None, places: int | None = None) -> str:
+    """``rel``: a CTE list ending in a relation named ``txn`` (used instead of a source)."""
     g = ("GROUP BY " + ", ".join(by)) if by else ""
     gsel = (", ".join(by) + ", ") if by else ""
     part = f"PARTITION BY {', '.join(by)}" if by else ""
@@ -40,7 +42,8 @@ def eval_sql(source: str, by: list[str], prefix: str = "test") -> str:
                            f" AS prec_at_{int(round(t * 100))}recall" for t in K.RECALL_TARGETS)
     cr = ",\n       ".join(f"sum(CASE WHEN rn <= greatest(1, floor(n * {p} / 100)) THEN is_fraud ELSE 0 END)"
                            f" / greatest(sum(is_fraud), 1) AS fraud_catch_rate_top{p}pct" for p in K.CATCH_RATE_PCTS)
-    body = f"""WITH {SOURCES[source][1]},
+    head = rel if rel else SOURCES[source][1]
+    body = f"""WITH {head},
 v AS (SELECT * FROM txn WHERE score IS NOT NULL AND is_fraud IS NOT NULL),
 d AS (SELECT {gsel}score AS p, CAST(sum(is_fraud) AS DOUBLE) AS pos, CAST(sum(1 - is_fraud) AS DOUBLE) AS neg
       FROM v GROUP BY {gsel}score),
@@ -76,8 +79,9 @@ f AS (SELECT *, 2 * auc_roc - 1 AS gini, {_f('precision_t50', 'recall_t50')} AS
              {_f('precision_optimal', 'recall_optimal')} AS f1_optimal,
              btp AS cm_true_positives, bfp AS cm_false_positives, tpos - btp AS cm_false_negatives,
              tneg - bfp AS cm_true_negatives FROM o),
-q AS (SELECT {gsel}{', '.join(f'{m} AS {prefix}_{m}' for m in METRICS + CM)} FROM f)
-SELECT {sql_select(_kinds(by, prefix))} FROM q"""
+q AS (SELECT {gsel}{', '.join((f'round({m}, {places})' if places and m in METRICS else m) + f' AS {prefix}_{m}'
+                              for m in METRICS + CM)} FROM f)
+SELECT {sql_select(kinds or _kinds(by, prefix))} FROM q"""
     return body
 
 
