@@ -94,15 +94,18 @@ def spend_percentile(df: DataFrame, user: str = USER, id_col: str = "transaction
     #(earlier-or-own amounts <= amount) / position, in (time, id) order; a
     user with one row (or a null user) gets 0.5, a null amount 0.
     """
-    df = with_micros(df)
+    return with_micros(df).withColumns(spend_percentile_columns(user, id_col))
+
+
+def spend_percentile_columns(user: str = USER, id_col: str = "transaction_id") -> dict[str, Column]:
     wu = Window.partitionBy(user)
     wt = wu.orderBy(F.col(US).asc_nulls_last(), F.col(id_col))
     run = wt.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = F.collect_list("amount").over(run)
     le = F.size(F.filter(hist, lambda x: x <= F.col("amount")))
     pct = le / F.row_number().over(wt)
-    return df.withColumn("spend_percentile", F.when(
-        F.col(user).isNull() | (F.count(F.lit(1)).over(wu) <= 1), F.lit(0.5)).otherwise(pct))
+    return {"spend_percentile": F.when(
+        F.col(user).isNull() | (F.count(F.lit(1)).over(wu) <= 1), F.lit(0.5)).otherwise(pct)}
 
 
 def add_behavioral(df: DataFrame, how: str = OVER) -> DataFrame:

@@ -19,7 +19,8 @@ from veloscope import constants as K
 from veloscope.operators import behavioral as B
 from veloscope.operators import temporal as T
 from veloscope.operators import transaction as X
-from veloscope.operators.profile import JOIN, OVER
+from veloscope.functions import columns as C
+from veloscope.operators.profile import JOIN, OVER, over_columns
 from veloscope.operators.skew import DEFAULT_HOT_ROWS, split_hot
 
 ALL_GROUPS = ("calendar", "velocity", "recency", "behavioral", "transaction", "geo", "device")
@@ -52,27 +53,47 @@ def feature_names(windows: Sequence[int] = K.VELOCITY_WINDOWS_HOURS,
 
 def _derive(df: DataFrame, groups: Sequence[str], how: str, windows: Sequence[int],
             bucket_hours: int | None) -> DataFrame:
-    df = T.add_calendar(df)
-    if "velocity" in groups or "recency" in groups:
-        if how == OVER:
-            df = T.plain_recency(T.plain_velocity(df, windows))
-        else:
+    """Three projections on the normal path: inputs, every window column, derived features.
+
+    (Each DataFrame transformation re-analyses the plan; keeping the window
+    columns in one projection keeps plan building cheap.)
+    """
+    df = df.withColumns({T.US: C.micros("timestamp"), **T.calendar_columns()})
+    needs_user = bool({"behavioral", "transaction", "device"} & set(groups))
+    if how == OVER:
+        cols = {}
+        if "velocity" in groups or "recency" in groups:
+            cols.update(T.velocity_columns(T._range_frame(["user_id"]), windows, "user_id"))
+            cols.update(T.recency_columns())
+        if needs_user:
+            cols.update(over_columns(["user_id"], B.user_aggs(df)))
+        if "behavioral" in groups:
+            if "merchant_category" in df.columns:
+                cols.update(over_columns(["user_id", "merchant_category"], {"_uc_count": F.count(F.lit(1))}))
+            cols.update(B.spend_percentile_columns())
+        if "transaction" in groups:
+            cols.update(over_columns(["user_id", "merchant_id"], {"_um_count": F.count(F.lit(1))}))
+        df = df.withColumns(cols)
+    else:
+        if "velocity" in groups or "recency" in groups:
             df = T.bucketed_velocity_recency(df, windows, bucket_hours=bucket_hours)
-    needs_user = {"behavioral", "transaction", "device"} & set(groups)
-    if needs_user:
-        df = B.add_user_stats(df, how)
+        if needs_user:
+            df = B.add_user_stats(df, how)
+        if "behavioral" in groups:
+            df = B.add_category_counts(df, how)
+            df = B.spend_percentile(df)
+        if "transaction" in groups:
+            df = X.add_merchant_counts(df, how)
+    derived = {}
     if "behavioral" in groups:
-        df = B.add_category_counts(df, how)
-        df = df.withColumns(B.behavioral_columns(df))
-        df = B.spend_percentile(df)
+        derived.update(B.behavioral_columns(df))
     if "transaction" in groups:
-        df = X.add_merchant_counts(df, how)
-        df = df.withColumns(X.transaction_columns(df))
+        derived.update(X.transaction_columns(df))
     if "geo" in groups:
-        df = df.withColumns(X.geo_columns(df))
+        derived.update(X.geo_columns(df))
     if "device" in groups:
-        df = df.withColumns(X.device_columns(df))
-    return df
+        derived.update(X.device_columns(df))
+    return df.withColumns(derived) if derived else df
 
 
 def compute_features(df: DataFrame, groups: Sequence[str] = ALL_GROUPS,
@@ -98,6 +119,6 @@ def compute_features(df: DataFrame, groups: Sequence[str] = ALL_GROUPS,
 def feature_matrix(df: DataFrame, **kw) -> DataFrame:
     """F0 + F6: the 48-column matrix with ids/label kept, numeric nulls filled with 0."""
     out = compute_features(df, **kw)
-    num = [f.name for f in out.schema.fields
-           if f.name not in ID_COLUMNS and f.dataType.typeName() in ("integer", "long", "double")]
-    return out.fillna(0, subset=num)
+    num = {f.name for f in out.schema.fields
+           if f.name not in ID_COLUMNS and f.dataType.typeName() in ("integer", "long", "double")}
+    return out.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) if c in num else F.col(c) for c in out.columns])

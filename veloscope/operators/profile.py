@@ -26,16 +26,30 @@ def set_size(agg: Column):
     return (agg, F.size)
 
 
-def attach(df: DataFrame, keys: list[str], aggs: dict, how: str = OVER) -> DataFrame:
-    """``aggs``: name → aggregate Column, or (aggregate, post-function) pairs."""
+def _norm(aggs: dict) -> dict:
+    return {n: (e if isinstance(e, tuple) else (e, None)) for n, e in aggs.items()}
+
+
+def _keys_ok(keys: list[str]) -> Column:
     ok = F.lit(True)
     for k in keys:
         ok = ok & F.col(k).isNotNull()
-    norm = {n: (e if isinstance(e, tuple) else (e, None)) for n, e in aggs.items()}
+    return ok
+
+
+def over_columns(keys: list[str], aggs: dict) -> dict[str, Column]:
+    """The ``OVER`` shape as a column dict (so many windows go into one projection)."""
+    ok = _keys_ok(keys)
+    w = Window.partitionBy(*keys)
+    return {n: F.when(ok, post(e.over(w)) if post else e.over(w)) for n, (e, post) in _norm(aggs).items()}
+
+
+def attach(df: DataFrame, keys: list[str], aggs: dict, how: str = OVER) -> DataFrame:
+    """``aggs``: name → aggregate Column, or (aggregate, post-function) pairs."""
+    ok = _keys_ok(keys)
+    norm = _norm(aggs)
     if how == OVER:
-        w = Window.partitionBy(*keys)
-        return df.withColumns({n: F.when(ok, post(e.over(w)) if post else e.over(w))
-                               for n, (e, post) in norm.items()})
+        return df.withColumns(over_columns(keys, aggs))
     prof = df.where(ok).groupBy(*keys).agg(*[(post(e) if post else e).alias(n)
                                              for n, (e, post) in norm.items()])
     return df.join(prof, keys, "left")

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 DEFAULT_HOT_ROWS = 200_000
 DEFAULT_MAX_BROADCAST_KEYS = 100_000
+# no key can hold more than the whole input: below one file split of input
+# there is nothing a hot key could overload, so detection is skipped
+DEFAULT_MIN_INPUT_BYTES = 128 * 1024 * 1024
 
 
 @dataclass
@@ -38,16 +41,30 @@ def hot_keys(df: DataFrame, keys: list[str], threshold: int) -> DataFrame:
             .where(F.col("_n") > threshold).select(*keys))
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Optimizer size estimate of a plan (None when unavailable)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate only
+        return None
+
+
 def split_hot(df: DataFrame, keys: list[str], threshold: int | None = DEFAULT_HOT_ROWS,
-              max_broadcast_keys: int = DEFAULT_MAX_BROADCAST_KEYS) -> HotSplit:
+              max_broadcast_keys: int = DEFAULT_MAX_BROADCAST_KEYS,
+              min_input_bytes: int = DEFAULT_MIN_INPUT_BYTES) -> HotSplit:
     """Split ``df`` into rows of normal keys and rows of hot keys.
 
-    ``threshold=None`` disables detection (everything is normal). When no key
-    is hot the input is returned unchanged, so the common case costs one small
-    aggregate job and adds no join to the plan.
+    ``threshold=None`` disables detection (everything is normal); ``0`` routes
+    every key to the hot shape. When no key is hot the input is returned
+    unchanged, so the common case costs one small aggregate job and adds no
+    join to the plan; inputs smaller than ``min_input_bytes`` skip even that.
     """
     if threshold is None:
         return HotSplit(df, None, 0)
+    if threshold > 0:
+        size = estimated_bytes(df)
+        if size is not None and size < min_input_bytes:
+            return HotSplit(df, None, 0)
     hk = hot_keys(df, keys, threshold)
     n = hk.count()
     if n == 0:

@@ -36,13 +36,17 @@ def add_calendar(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     A null timestamp gives 0 everywhere (the comparisons are false, the
     parts are filled with 0 in the feature matrix).
     """
-    return df.withColumns({
+    return df.withColumns(calendar_columns(ts))
+
+
+def calendar_columns(ts: str = "timestamp") -> dict[str, Column]:
+    return {
         "hour_of_day": F.coalesce(C.hour_of_day(ts), F.lit(0)),
         "day_of_week": F.coalesce(C.day_of_week(ts), F.lit(0)),
         "is_night": F.coalesce(C.is_night(ts), F.lit(0)),
         "is_weekend": F.coalesce(C.is_weekend(ts), F.lit(0)),
         "day_of_month": F.coalesce(C.day_of_month(ts), F.lit(0)),
-    })
+    }
 
 
 def with_micros(df: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -86,15 +90,18 @@ def plain_velocity(df: DataFrame, windows: Sequence[int] = K.VELOCITY_WINDOWS_HO
 
 def plain_recency(df: DataFrame, user: str = "user_id", id_col: str = "transaction_id") -> DataFrame:
     """C10 days_since_first_txn, C11 seconds_since_last_txn (first row / null → -1)."""
-    df = with_micros(df)
+    return with_micros(df).withColumns(recency_columns(user, id_col))
+
+
+def recency_columns(user: str = "user_id", id_col: str = "transaction_id") -> dict[str, Column]:
     wu = Window.partitionBy(user)
     wt = wu.orderBy(F.col(US).asc_nulls_last(), F.col(id_col))
     ok = _valid(user)
-    return df.withColumns({
+    return {
         "days_since_first_txn": F.when(ok, (F.col(US) - F.min(US).over(wu)) / float(DAY_US)).otherwise(0.0),
         "seconds_since_last_txn": F.when(
             ok, F.coalesce((F.col(US) - F.lag(US).over(wt)) / 1e6, F.lit(-1.0))).otherwise(-1.0),
-    })
+    }
 
 
 # ---------------------------------------------------------------------------

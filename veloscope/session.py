@@ -13,6 +13,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.ui.showConsoleProgress": "false",
+    # window-heavy stages are CPU-bound per byte: keep AQE from merging small
+    # shuffle partitions below 256 KB (no effect once partitions are large)
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
     # map_concat in store upserts: later maps win on equal keys
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
