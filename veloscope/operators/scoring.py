@@ -23,11 +23,12 @@ def probability_of_positive(col: str = "probability") -> Column:
 
 
 def score_batch(df: DataFrame, prob_col: str = "fraud_probability", model_version: str = "unversioned",
-                threshold: float = K.FRAUD_LABEL_THRESHOLD, id_col: str = "transaction_id") -> DataFrame:
-    """H1-H3: probability → label, tier, decision, version (the response row)."""
+                threshold: float = K.FRAUD_LABEL_THRESHOLD, id_col: str = "transaction_id",
+                keep: Sequence[str] = ()) -> DataFrame:
+    """H1-H3: probability → label, tier, decision, version (the response row) + ``keep`` columns."""
     p = F.col(prob_col).cast("double")
     return df.select(
-        F.col(id_col),
+        F.col(id_col), *[F.col(k) for k in keep if k in df.columns and k != id_col],
         p.alias("fraud_probability"),
         (p >= threshold).cast("int").alias("fraud_label"),
         C.risk_tier(p).alias("risk_tier"),
