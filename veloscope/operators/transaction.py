@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veloscope import constants as K
 from veloscope.functions import columns as C
-from veloscope.operators.profile import OVER, attach
+from veloscope.operators.profile import JOIN, OVER, attach
 from veloscope.operators.temporal import US, with_micros
 
 USER = "user_id"
@@ -137,14 +137,78 @@ def distance_from_home(df: DataFrame, id_col: str = "transaction_id") -> DataFra
     return df.withColumn("distance_from_home", F.coalesce(d, F.lit(0.0)))
 
 
-def device_age(df: DataFrame) -> DataFrame:
-    """M7: days since the first use of (user, device); new_device = first use."""
+def device_age(df: DataFrame, how: str = JOIN) -> DataFrame:
+    """M7: days since the first use of (user, device); new_device = first use.
+    (First use per key is a partial aggregate joined back: skew-safe.)"""
     if "device_fingerprint" not in df.columns:
         return df.withColumns({"device_age_days": F.lit(0.0), "new_device": F.lit(0)})
     df = with_micros(df)
-    first = attach(df, [USER, "device_fingerprint"], {"_dev_first": F.min(US)}, OVER)
+    first = attach(df, [USER, "device_fingerprint"], {"_dev_first": F.min(US)}, how)
     age = (F.col(US) - F.col("_dev_first")) / 86_400_000_000.0
     return first.withColumns({
         "device_age_days": F.coalesce(age, F.lit(0.0)),
         "new_device": F.coalesce((F.col(US) == F.col("_dev_first")).cast("int"), F.lit(0)),
     }).drop("_dev_first")
+
+
+def first_use_flags(df: DataFrame, id_col: str = "transaction_id", how: str = JOIN) -> DataFrame:
+    """D7b / E4b point-in-time variants: 1 on the user's first transaction in a category /
+    with a merchant (only earlier rows matter, so no future information leaks).
+
+    The first (time, id) pair per key is a partial aggregate joined back, so a
+    hot (user, category) key is never sorted in one task.
+    """
+    df = with_micros(df)
+    out = df
+    for key, name in (("merchant_category", "is_first_category_pit"), ("merchant_id", "is_first_merchant_pit")):
+        first = F.min(F.struct(F.col(US), F.col(id_col)))
+        out = attach(out, [USER, key], {f"_first_{key}": first}, how)
+        me = F.struct(F.col(US), F.col(id_col))
+        out = out.withColumn(name, F.coalesce((me == F.col(f"_first_{key}")).cast("int"), F.lit(0))) \
+                 .drop(f"_first_{key}")
+    return out
+
+
+def force_positive_count(df: DataFrame, target: int, label: str = "is_fraud", id_col: str = "transaction_id",
+                         seed: int = K.SPLIT_SEED) -> DataFrame:
+    """Exactly ``target`` positives: the surplus positives (or the missing count of
+    negatives) with the smallest seeded hash flip. Positions come from binned running
+    counts, so neither class sits in one task."""
+    from veloscope.operators.splits import class_positions
+    cnt = df.agg(F.sum(F.col(label)).alias("_npos"))
+    p = class_positions(df, label, id_col, seed).crossJoin(F.broadcast(cnt))
+    surplus = F.col("_npos") - F.lit(target)
+    flip = (((F.col(label) == 1) & (surplus > 0) & (F.col("_pos") <= surplus))
+            | ((F.col(label) == 0) & (surplus < 0) & (F.col("_pos") <= -surplus)))
+    return p.withColumn(label, F.when(flip, 1 - F.col(label)).otherwise(F.col(label))) \
+            .drop("_pos", "_n_class", "_npos")
+
+
+def oversample_minority(df: DataFrame, ratio: float = K.OVERSAMPLE_RATIO, label: str = "is_fraud") -> DataFrame:
+    """Replicate minority rows until positives / all >= ratio (whole copies, each row
+    the same number of times; neighbour synthesis is not done). Adds ``copy`` (0 = original)."""
+    c = df.agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_q"))
+    # p*k / (p*k + q) >= r  →  k = ceil(r*q / ((1-r)*p))
+    k = F.greatest(F.lit(1), F.ceil(F.lit(ratio) * F.col("_q") / ((1 - ratio) * F.col("_p")))).cast("int")
+    j = df.crossJoin(F.broadcast(c.withColumn("_k", F.when(F.col("_p") > 0, k).otherwise(1))))
+    reps = F.when(F.col(label) == 1, F.sequence(F.lit(0), F.col("_k") - 1)).otherwise(F.array(F.lit(0)))
+    return j.withColumn("copy", F.explode(reps)).drop("_p", "_q", "_k")
+
+
+def ip_risk(df: DataFrame, risk_table: DataFrame, ip_col: str = "ip_address",
+            max_broadcast_rows: int = 5_000_000) -> DataFrame:
+    """ip_risk_score / vpn_detected from a user-given (ip_address, ip_risk_score,
+    vpn_detected) table; broadcast only when its counted size is under the bound."""
+    n = risk_table.count()
+    side = F.broadcast(risk_table) if n <= max_broadcast_rows else risk_table
+    out = df.join(side, ip_col, "left")
+    return out.withColumns({"ip_risk_score": F.coalesce("ip_risk_score", F.lit(0.0)),
+                            "vpn_detected": F.coalesce(F.col("vpn_detected").cast("int"), F.lit(0))})
+
+
+def mask_pii(df: DataFrame, salt: str = "") -> DataFrame:
+    """M8: user_id → salted SHA-256, ip_address → first two octets."""
+    out = {"user_id": C.mask_id("user_id", salt)}
+    if "ip_address" in df.columns:
+        out["ip_address"] = C.mask_ip("ip_address")
+    return df.withColumns(out)

@@ -41,7 +41,8 @@ def _format(path: str) -> str:
 def ingest(spark: SparkSession, path: str, schema: T.StructType | None = TRANSACTION_SCHEMA) -> DataFrame:
     """A1/A3: read a table by suffix; missing path or unknown suffix is an error."""
     fmt = _format(path)
-    if "://" not in path and not os.path.exists(path):
+    local = path[len("file:"):] if path.startswith("file:") and "://" not in path else path
+    if ":" not in local.split("/")[0] and not os.path.exists(local):
         raise FileNotFoundError(path)
     if fmt == "parquet":
         df = spark.read.parquet(path)
