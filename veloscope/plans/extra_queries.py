@@ -65,7 +65,7 @@ SELECT {sql_select(OVS)} FROM q"""
 
 PII = {"transaction_id": "l", "user_id": "s"}
 PII_SQL = f"""WITH {SOURCES['events'][1]}
-SELECT transaction_id, sha256('fg-salt' || CAST(user_id AS VARCHAR)) AS user_id FROM txn"""
+SELECT transaction_id, sha256('pii-salt' || CAST(user_id AS VARCHAR)) AS user_id FROM txn"""
 
 GAUGE = {"metric": "s", "value": "d", "ts": "t"}
 PERF = {"day": "t", "alert_type": "s", "title": "s", "message": "s", "severity": "s", "source": "s", "details": "s"}
@@ -131,7 +131,7 @@ def build():
                                    .groupBy("is_fraud", "copy").agg(F.count(F.lit(1)).alias("n")), OVS),
               OVS_SQL, "M10 minority replication to a 50 % share (counts per copy)"),
         Query("pii_mask_events",
-              lambda s, d: project(X.mask_pii(SOURCES["events"][0](s, d), salt="fg-salt"), PII), PII_SQL,
+              lambda s, d: project(X.mask_pii(SOURCES["events"][0](s, d), salt="pii-salt"), PII), PII_SQL,
               "M8 salted SHA-256 of user_id"),
         Query("latest_gauges_daily", _gauge_run, GAUGE_SQL, "K5 latest AUC-PR / AUC-ROC gauges from a daily log"),
         Query("performance_alerts_daily", _perf_run, PERF_SQL, "K10 day-over-day AUC-PR drop alerts"),
