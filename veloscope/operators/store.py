@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veloscope import constants as K
-from veloscope.operators.temporal import US, with_micros
+from veloscope.operators.prefix import running_sums
+from veloscope.operators.skew import DEFAULT_HOT_ROWS, split_hot
+from veloscope.operators.temporal import US, previous_values, with_micros
 
 USER = "user_id"
 FIELDS = ("last_txn_amount", "last_txn_timestamp", "last_txn_country")
@@ -89,21 +91,54 @@ def session_counter(df: DataFrame, window_minutes: int, user: str = USER, id_col
     return d.withColumn(name, F.row_number().over(ws)).drop("_new", "_sess")
 
 
+def session_counters_distributed(df: DataFrame, windows: Sequence[int], user: str = USER,
+                                 id_col: str = "transaction_id", bins: int = 4096) -> DataFrame:
+    """G6 for hot users, same values as ``session_counter`` without a per-user task.
+
+    previous timestamp → new-session flags → (binned running sums) position and
+    session number → session start position (groupBy + join) → counter.
+    """
+    d = previous_values(with_micros(df), [US], [user], id_col, prefix="_p")
+    flags = {f"_new{m}": F.when(F.col(f"_p{US}").isNull() | (F.col(US) - F.col(f"_p{US}") >= m * 60_000_000), 1)
+             .otherwise(0) for m in windows}
+    d = d.withColumns({"_one": F.lit(1), **flags})
+    r = running_sums(d, [user], US, ["_one", *flags], bins=bins, tiebreak=[id_col])
+    for m in windows:
+        starts = r.groupBy(user, f"run__new{m}").agg(F.min("run__one").alias(f"_start{m}"))
+        r = r.join(starts, [user, f"run__new{m}"], "left").withColumn(
+            f"counter_{m}m", (F.col("run__one") - F.col(f"_start{m}") + 1).cast("int"))
+    drop = [c for c in r.columns if c.startswith(("run__", "tot__", "_start", "_new", "_one", f"_p{US}"))]
+    return r.drop(*drop)
+
+
+def session_counters(df: DataFrame, windows: Sequence[int] = K.VELOCITY_COUNTER_MINUTES, user: str = USER,
+                     id_col: str = "transaction_id", hot_threshold: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+    """G6 for all windows; hot users take the distributed shape."""
+    split = split_hot(with_micros(df), [user], hot_threshold)
+    plain = split.normal
+    for m in windows:
+        plain = session_counter(plain, m, user, id_col)
+    if split.hot is None:
+        return plain
+    return plain.unionByName(session_counters_distributed(split.hot, windows, user, id_col))
+
+
 def velocity_lookup(df: DataFrame, windows: Sequence[int] = K.VELOCITY_COUNTER_MINUTES, user: str = USER,
-                    id_col: str = "transaction_id") -> DataFrame:
+                    id_col: str = "transaction_id", hot_threshold: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
     """Counter read *before* each event's own increment: events since the last idle
     gap >= window, 0.0 when the key has expired; columns velocity_{m}m (double)."""
-    out = with_micros(df)
-    for m in windows:
-        out = session_counter(out, m, user, id_col, name=f"_c{m}")
-        out = out.withColumn(f"velocity_{m}m", (F.col(f"_c{m}") - 1).cast("double")).drop(f"_c{m}")
-    return out
+    out = session_counters(df, windows, user, id_col, hot_threshold)
+    return out.withColumns({f"velocity_{m}m": (F.col(f"counter_{m}m") - 1).cast("double") for m in windows}) \
+              .drop(*[f"counter_{m}m" for m in windows])
 
 
 def asof_profile(df: DataFrame, cols: Sequence[str] = ("amount", "timestamp"), user: str = USER,
-                 id_col: str = "transaction_id") -> DataFrame:
+                 id_col: str = "transaction_id", hot_threshold: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
     """What the store held for the user just before this event: the previous
-    event's fields (null for the first event)."""
-    df = with_micros(df)
+    event's fields (last non-null; null for the first event)."""
+    split = split_hot(with_micros(df), [user], hot_threshold)
     w = Window.partitionBy(user).orderBy(F.col(US), F.col(id_col)).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumns({f"prev_{c}": F.last(c, ignorenulls=True).over(w) for c in cols})
+    plain = split.normal.withColumns({f"prev_{c}": F.last(c, ignorenulls=True).over(w) for c in cols})
+    if split.hot is None:
+        return plain
+    return plain.unionByName(previous_values(split.hot, list(cols), [user], id_col))

@@ -162,3 +162,30 @@ def bucketed_velocity_recency(df: DataFrame, windows: Sequence[int] = K.VELOCITY
     null_cols["days_since_first_txn"] = F.lit(0.0)
     null_cols["seconds_since_last_txn"] = F.lit(-1.0)
     return out.unionByName(nulls.withColumns(null_cols))
+
+
+# ---------------------------------------------------------------------------
+# skew-safe "previous row" (lag / last non-null) for hot keys
+# ---------------------------------------------------------------------------
+
+def previous_values(df: DataFrame, cols, keys=("user_id",), id_col: str = "transaction_id",
+                    bucket_us: int = 24 * HOUR_US, prefix: str = "prev_") -> DataFrame:
+    """Last non-null value of each column over the earlier rows of the key, in (time, id) order.
+
+    Rows are windowed per (key, time bucket); the value carried in from earlier
+    buckets comes from a per-(key, bucket) aggregate (partial aggregation) and a
+    window over that small table, so a hot key never sits in one task.
+    """
+    keys = list(keys)
+    d = with_micros(df).withColumn(BK, F.floor(F.col(US) / F.lit(bucket_us)))
+    order = [F.col(US).asc_nulls_last(), F.col(id_col)]
+    w_in = Window.partitionBy(*keys, BK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({f"_in_{c}": F.last(c, ignorenulls=True).over(w_in) for c in cols})
+    per = d.groupBy(*keys, BK).agg(*[
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.col(US), F.col(id_col)))).alias(f"_b_{c}")
+        for c in cols])
+    wb = Window.partitionBy(*keys).orderBy(BK).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, BK, *[F.last(f"_b_{c}", ignorenulls=True).over(wb).alias(f"_c_{c}") for c in cols])
+    out = d.join(per, [*keys, BK], "left")
+    return out.withColumns({f"{prefix}{c}": F.coalesce(F.col(f"_in_{c}"), F.col(f"_c_{c}")) for c in cols}) \
+              .drop(BK, *[f"_in_{c}" for c in cols], *[f"_c_{c}" for c in cols])

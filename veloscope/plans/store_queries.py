@@ -70,9 +70,12 @@ VEL = {"transaction_id": "l", "user_id": "l", "counter_60m": "l",
        **{f"velocity_{m}m": "d" for m in K.VELOCITY_COUNTER_MINUTES}}
 
 
-def _vel_run(spark, sf_dir):
+def _vel_run(spark, sf_dir, hot_threshold=None):
     txn = SOURCES["events"][0](spark, sf_dir)
-    out = ST.velocity_lookup(ST.session_counter(txn, 60))
+    kw = {} if hot_threshold is None else {"hot_threshold": hot_threshold}
+    out = ST.session_counters(txn, K.VELOCITY_COUNTER_MINUTES, **kw)
+    out = out.withColumns({f"velocity_{m}m": (F.col(f"counter_{m}m") - 1).cast("double")
+                           for m in K.VELOCITY_COUNTER_MINUTES})
     return project(out, VEL)
 
 
@@ -109,7 +112,12 @@ def build():
         Query("store_live_ttl_events", _live_run, LIVE_SQL, "G5 entries alive under the 24 h TTL"),
         Query("velocity_counters_events", _vel_run, _vel_sql(),
               "G6 session counter (TTL refreshed per event) and G7 lookups for 60/360/1440/10080 min"),
+        Query("velocity_counters_hot_path_events", lambda s, d: _vel_run(s, d, hot_threshold=0), _vel_sql(),
+              "G6/G7 with every user on the distributed (hot-user) shape"),
         Query("asof_profile_orders",
               lambda s, d: project(ST.asof_profile(SOURCES["orders"][0](s, d)), ASOF), ASOF_SQL,
               "G8 profile as of each transaction (previous event's fields)"),
+        Query("asof_profile_hot_path_orders",
+              lambda s, d: project(ST.asof_profile(SOURCES["orders"][0](s, d), hot_threshold=0), ASOF), ASOF_SQL,
+              "G8 with every user on the distributed (hot-user) shape"),
     )
