@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veloscope.functions import columns as C
+from veloscope.operators.prefix import running_sums
 from veloscope.operators.profile import OVER, attach, set_size
 from veloscope.operators.temporal import US, with_micros
 
@@ -19,13 +20,14 @@ USER = "user_id"
 
 def user_aggs(df: DataFrame) -> dict[str, Column]:
     """D1 + D9 + E11 aggregates of one user (usable over a window or in groupBy)."""
+    night = F.col("is_night") if "is_night" in df.columns else F.coalesce(C.is_night("timestamp"), F.lit(0))
     aggs = {
         "_u_mean": F.avg("amount"),
         "_u_std": F.stddev_samp("amount"),
         "_u_median": F.median("amount"),
         "_u_count": F.count("transaction_id"),
         "_u_rows": F.count(F.lit(1)),
-        "_u_night": F.avg("is_night"),
+        "_u_night": F.avg(night),
         "_u_spend": F.sum("amount"),
         # Mean of daily sums over active days = spend on dated rows / active days
         "_u_dated_spend": F.sum(F.when(F.col("timestamp").isNotNull(), F.col("amount"))),
@@ -140,3 +142,47 @@ def preferred_payment_match(df: DataFrame) -> DataFrame:
     return out.withColumn("preferred_payment_match",
                           F.coalesce((F.col("payment_method") == F.col("_pref")).cast("int"), F.lit(0))
                           ).drop("_pref")
+
+
+def spend_percentile_distributed(df: DataFrame, user: str = USER, id_col: str = "transaction_id",
+                                 block: int = 2048, bins: int = 4096) -> DataFrame:
+    """D8 for hot users: the same expanding rank without any per-user task.
+
+    #(earlier-or-own amounts <= a) is a two-dimensional dominance count. Rows
+    get their position p in (time, id) order from binned running counts and a
+    block number b = (p - 1) // block:
+
+    * inside the own block the bounded window does the counting (<= block rows);
+    * earlier blocks [0, b) are covered by the Fenwick decomposition of b: for
+      every set bit l of b one node ((b >> l) - 1) at level l. Each row is a data
+      point of its node at every level and a query at the levels of its set
+      bits; per (user, level, node) a binned running count of data points in
+      amount order, read at each query, gives the rows with amount <= a there.
+
+    Work grows as rows x log2(blocks); no group larger than a bin or a block
+    is ever ordered in one task.
+    """
+    d = with_micros(df).withColumn("_one", F.lit(1))
+    r = running_sums(d, [user], US, ["_one"], bins=bins, tiebreak=[id_col]) \
+        .withColumnRenamed("run__one", "_pos").withColumnRenamed("tot__one", "_n")
+    r = r.withColumn("_blk", F.floor((F.col("_pos") - 1) / block).cast("long"))
+    wb = (Window.partitionBy(user, "_blk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    r = r.withColumn("_within", F.size(F.filter(F.collect_list("amount").over(wb), lambda x: x <= F.col("amount"))))
+    nb_max = F.floor((F.col("_n") - 1) / block).cast("long")
+    levels = F.when(nb_max > 0, F.length(F.bin(nb_max))).otherwise(0)
+    base = r.where(F.col("amount").isNotNull() & (levels > 0)).select(
+        user, id_col, "amount", "_blk", F.explode(F.sequence(F.lit(0), levels - 1)).alias("_lvl"))
+    scale = F.pow(F.lit(2.0), F.col("_lvl"))
+    data = base.select(user, F.col("_lvl"), F.floor(F.col("_blk") / scale).cast("long").alias("_node"),
+                       "amount", F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_qid"), F.lit(1).alias("_d"))
+    bit = (F.floor(F.col("_blk") / scale) % 2) == 1
+    query = base.where(bit).select(user, F.col("_lvl"), (F.floor(F.col("_blk") / scale) - 1).cast("long").alias("_node"),
+                                   "amount", F.lit(1).alias("_kind"), F.col(id_col).alias("_qid"), F.lit(0).alias("_d"))
+    cnt = running_sums(data.unionByName(query), [user, "_lvl", "_node"], "amount", ["_d"], bins=bins,
+                       tiebreak=["_kind"])
+    earlier = cnt.where(F.col("_kind") == 1).groupBy(F.col("_qid").alias(id_col)).agg(
+        F.sum("run__d").alias("_earlier"))
+    out = r.join(earlier, id_col, "left")
+    pct = (F.col("_within") + F.coalesce(F.col("_earlier"), F.lit(0))) / F.col("_pos")
+    return out.withColumn("spend_percentile", F.when(F.col(user).isNull() | (F.col("_n") <= 1), F.lit(0.5))
+                          .otherwise(pct)).drop("_one", "_pos", "_n", "_blk", "_within", "_earlier")

@@ -20,8 +20,11 @@ from veloscope.operators import behavioral as B
 from veloscope.operators import temporal as T
 from veloscope.operators import transaction as X
 from veloscope.functions import columns as C
-from veloscope.operators.profile import JOIN, OVER, over_columns
+from veloscope.operators.profile import JOIN, OVER, attach, over_columns
 from veloscope.operators.skew import DEFAULT_HOT_ROWS, split_hot
+from veloscope.session import cut_lineage
+
+RID = "_rid"
 
 ALL_GROUPS = ("calendar", "velocity", "recency", "behavioral", "transaction", "geo", "device")
 
@@ -75,15 +78,25 @@ def _derive(df: DataFrame, groups: Sequence[str], how: str, windows: Sequence[in
             cols.update(over_columns(["user_id", "merchant_id"], {"_um_count": F.count(F.lit(1))}))
         df = df.withColumns(cols)
     else:
+        # hot users: every group is computed from one materialised base (checkpoint in
+        # the shared folder) and joined back, so the plan grows linearly with the steps
+        base = cut_lineage(df.withColumn(RID, F.monotonically_increasing_id()))
+        df = base
         if "velocity" in groups or "recency" in groups:
-            df = T.bucketed_velocity_recency(df, windows, bucket_hours=bucket_hours)
+            vel = T.bucketed_velocity_recency(base, windows, bucket_hours=bucket_hours)
+            names = velocity_names(windows) + RECENCY
+            df = df.join(vel.select(RID, *names), RID, "left")
         if needs_user:
-            df = B.add_user_stats(df, how)
+            df = attach(df, ["user_id"], B.user_aggs(base), JOIN, source=base)
         if "behavioral" in groups:
-            df = B.add_category_counts(df, how)
-            df = B.spend_percentile(df)
+            if "merchant_category" in df.columns:
+                df = attach(df, ["user_id", "merchant_category"], {"_uc_count": F.count(F.lit(1))}, JOIN,
+                            source=base)
+            narrow = base.select(RID, "user_id", "transaction_id", T.US, "amount")
+            pct = B.spend_percentile_distributed(narrow).select(RID, "spend_percentile")
+            df = df.join(pct, RID, "left")
         if "transaction" in groups:
-            df = X.add_merchant_counts(df, how)
+            df = attach(df, ["user_id", "merchant_id"], {"_um_count": F.count(F.lit(1))}, JOIN, source=base)
     derived = {}
     if "behavioral" in groups:
         derived.update(B.behavioral_columns(df))

@@ -44,12 +44,18 @@ def over_columns(keys: list[str], aggs: dict) -> dict[str, Column]:
     return {n: F.when(ok, post(e.over(w)) if post else e.over(w)) for n, (e, post) in _norm(aggs).items()}
 
 
-def attach(df: DataFrame, keys: list[str], aggs: dict, how: str = OVER) -> DataFrame:
-    """``aggs``: name → aggregate Column, or (aggregate, post-function) pairs."""
+def attach(df: DataFrame, keys: list[str], aggs: dict, how: str = OVER,
+           source: DataFrame | None = None) -> DataFrame:
+    """``aggs``: name → aggregate Column, or (aggregate, post-function) pairs.
+
+    ``source`` (JOIN shape): aggregate this table instead of ``df`` -- pass the
+    narrow base rows so a long chain of feature steps does not re-plan itself.
+    """
     ok = _keys_ok(keys)
     norm = _norm(aggs)
     if how == OVER:
         return df.withColumns(over_columns(keys, aggs))
-    prof = df.where(ok).groupBy(*keys).agg(*[(post(e) if post else e).alias(n)
-                                             for n, (e, post) in norm.items()])
+    src = df if source is None else source
+    prof = src.where(ok).groupBy(*keys).agg(*[(post(e) if post else e).alias(n)
+                                              for n, (e, post) in norm.items()])
     return df.join(prof, keys, "left")

@@ -178,6 +178,13 @@ def build() -> dict[str, Query]:
                                   f"C6-C9 for the {h} h window"))
     qs.append(_features_query("velocity_24h_ties", "orders", ("velocity",), kinds(*IDS, *VEL(24)),
                               "C6-C9 24 h with day-grain ties"))
+    for src in ("events", "orders"):
+        def run_d8(spark, sf_dir, src=src):
+            out = B.spend_percentile_distributed(SOURCES[src][0](spark, sf_dir), block=8, bins=16)
+            return project(out, kinds(*IDS, "spend_percentile"))
+        qs.append(Query(f"spend_percentile_distributed_{src}", run_d8,
+                        features_sql(src, kinds(*IDS, "spend_percentile")),
+                        "D8 on the hot-user shape with 8-row blocks (several Fenwick levels per user)"))
     qs += [
         _m_query("intl_txn_ratio", "orders", lambda d: B.intl_txn_ratio(d), ["intl_txn_ratio"],
                  "SELECT *, avg(CAST(country IS DISTINCT FROM 'US' AS INTEGER)) OVER (PARTITION BY user_id)"
