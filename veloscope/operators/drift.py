@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from veloscope import constants as K
 from veloscope.functions.columns import round_to
-from veloscope.operators.prefix import running_sums
+from veloscope.operators.prefix import exact_quantiles, running_sums
 
 EPS = 1e-8
 
@@ -34,9 +34,13 @@ def reference_profile(ref_long: DataFrame, n_bins: int = K.DRIFT_BINS) -> DataFr
     constant column gets edges over [min - 0.5, max + 0.5].
     """
     pct = list(K.DRIFT_PERCENTILES)
-    prof = ref_long.groupBy("feature").agg(
+    moments = ref_long.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n_ref"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.max("x").alias("max"), F.percentile("x", pct).alias("percentiles"))
+        F.min("x").alias("min"), F.max("x").alias("max"))
+    # exact percentiles from a value histogram (one feature = one huge group)
+    qv = exact_quantiles(ref_long, ["feature"], "x", pct)
+    prof = moments.join(qv.select("feature", F.array(*[f"q{i}" for i in range(len(pct))]).alias("percentiles")),
+                        "feature", "inner")
     const = F.col("min") == F.col("max")
     lo = F.when(const, F.col("min") - 0.5).otherwise(F.col("min"))
     hi = F.when(const, F.col("max") + 0.5).otherwise(F.col("max"))

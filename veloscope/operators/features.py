@@ -20,6 +20,7 @@ from veloscope.operators import behavioral as B
 from veloscope.operators import temporal as T
 from veloscope.operators import transaction as X
 from veloscope.functions import columns as C
+from veloscope.operators.prefix import exact_quantiles
 from veloscope.operators.profile import JOIN, OVER, attach, over_columns
 from veloscope.operators.skew import DEFAULT_HOT_ROWS, split_hot
 from veloscope.session import cut_lineage
@@ -87,7 +88,11 @@ def _derive(df: DataFrame, groups: Sequence[str], how: str, windows: Sequence[in
             names = velocity_names(windows) + RECENCY
             df = df.join(vel.select(RID, *names), RID, "left")
         if needs_user:
-            df = attach(df, ["user_id"], B.user_aggs(base), JOIN, source=base)
+            aggs = B.user_aggs(base)
+            aggs.pop("_u_median")
+            df = attach(df, ["user_id"], aggs, JOIN, source=base)
+            med = exact_quantiles(base, ["user_id"], "amount", [0.5], prefix="_u_median")
+            df = df.join(med.select("user_id", F.col("_u_median0").alias("_u_median")), "user_id", "left")
         if "behavioral" in groups:
             if "merchant_category" in df.columns:
                 df = attach(df, ["user_id", "merchant_category"], {"_uc_count": F.count(F.lit(1))}, JOIN,
