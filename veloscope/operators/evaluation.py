@@ -129,35 +129,44 @@ def calibration_metrics(df: DataFrame, label: str = "is_fraud", score: str = "sc
     return base.groupBy(*by).agg(*aggs) if by else base.agg(*aggs)
 
 
-def ranked(df: DataFrame, score: str = "score", id_col: str = "transaction_id", by: Sequence[str] = (),
-           bins: int = DEFAULT_BINS, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
-    """Global rank by (score desc, id asc) per group, via bin offsets (no single-task sort)."""
-    by = _grp(by)
-    width = (hi - lo) / bins
-    d = df.withColumn("_bin", F.least(F.greatest(F.floor((F.col(score) - lo) / width), F.lit(0)),
-                                      F.lit(bins - 1)).cast("int"))
-    tot = d.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"))
-    wg = Window.partitionBy(*by) if by else Window.partitionBy()
-    tot = tot.select(*by, "_bin", F.coalesce(F.sum("_c").over(
-        wg.orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_c").over(wg).alias("_n"))
-    w = Window.partitionBy(*by, "_bin").orderBy(F.col(score).desc(), F.col(id_col))
-    return d.join(tot, [*by, "_bin"], "inner").withColumn("rank", F.col("_off") + F.row_number().over(w)) \
-            .drop("_bin", "_off")
-
-
 def catch_rates(df: DataFrame, label: str = "is_fraud", score: str = "score", id_col: str = "transaction_id",
                 by: Sequence[str] = (), pcts: Sequence[int] = K.CATCH_RATE_PCTS) -> DataFrame:
-    """Share of all fraud inside the top k% by score, k = max(1, floor(n*pct/100)); ties by id."""
+    """Share of all fraud inside the top k% by score, k = max(1, floor(n*pct/100)); ties by id.
+
+    Everything strictly above the boundary score comes from the score curve;
+    only the boundary tie group is ordered, by id, with binned running counts,
+    so even a tie group holding most rows is spread over many tasks.
+    """
+    from veloscope.operators.prefix import running_sums
     by = _grp(by)
-    r = ranked(df.where(F.col(score).isNotNull() & F.col(label).isNotNull()), score, id_col, by)
-    aggs = [F.sum(F.col(label)).alias("_tot")]
-    for pct in pcts:
-        k = F.greatest(F.lit(1), F.floor(F.col("_n") * pct / 100))
-        aggs.append(F.sum(F.when(F.col("rank") <= k, F.col(label)).otherwise(0)).alias(f"_c{pct}"))
-    g = r.groupBy(*by).agg(*aggs) if by else r.agg(*aggs)
-    return g.select(*by, *[(F.col(f"_c{p}") / F.greatest(F.col("_tot"), F.lit(1))).alias(f"fraud_catch_rate_top{p}pct")
-                           for p in pcts])
+    base = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    cur = score_curve(base, label, score, by)
+    n = F.col("tot_pos") + F.col("tot_neg")
+    here = F.col("pos") + F.col("neg")
+    above = F.col("tp") + F.col("fp") - here
+    pk = cur.select(*by, "p", "tot_pos", "tp", "pos", here.alias("_here"), above.alias("_above"),
+                    F.explode(F.array(*[F.struct(F.lit(p).alias("pct"),
+                                                 F.greatest(F.lit(1), F.floor(n * p / 100)).alias("k"))
+                                        for p in pcts])).alias("_t"))
+    # one boundary row per (group, pct): at most groups x len(pcts) rows
+    bnd = pk.where((F.col("_above") < F.col("_t.k")) & (F.col("_t.k") <= F.col("_above") + F.col("_here"))) \
+            .select(*by, F.col("p").alias("_p"), F.col("_t.pct").alias("pct"),
+                    (F.col("_t.k") - F.col("_above")).alias("_m"), (F.col("tp") - F.col("pos")).alias("_tp_above"),
+                    "tot_pos")
+    bj = bnd.select(*[F.col(b).alias(f"_g_{b}") for b in by], "_p", "pct", "_m")
+    cond = [F.col(b) == F.col(f"_g_{b}") for b in by] + [F.col(score) == F.col("_p")]
+    ties = base.select(*by, score, id_col, label).join(F.broadcast(bj), cond, "inner") \
+               .select(*by, "pct", "_m", F.col(id_col).alias("_id"), F.col(label).cast("long").alias("_y"),
+                       F.lit(1).alias("_one"))
+    r = running_sums(ties, [*by, "pct"], "_id", ["_one"])
+    in_ties = r.groupBy(*by, "pct").agg(F.sum(F.when(F.col("run__one") <= F.col("_m"), F.col("_y")).otherwise(0))
+                                        .alias("_tie_pos"))
+    rates = bnd.join(in_ties, [*by, "pct"], "left").select(
+        *by, "pct", ((F.col("_tp_above") + F.coalesce("_tie_pos", F.lit(0)))
+                     / F.greatest(F.col("tot_pos"), F.lit(1))).alias("rate"))
+    g = rates.groupBy(*by) if by else rates.groupBy()
+    return g.agg(*[F.coalesce(F.max(F.when(F.col("pct") == p, F.col("rate"))), F.lit(0.0))
+                   .alias(f"fraud_catch_rate_top{p}pct") for p in pcts])
 
 
 def evaluate(df: DataFrame, label: str = "is_fraud", score: str = "score", id_col: str = "transaction_id",
