@@ -95,3 +95,15 @@ def test_counts_monotone_in_window(spark):
     assert fm.count() == txn_events(spark, SF_SMALL).count()
     assert len([c for c in fm.columns if c not in ("transaction_id", "user_id", "merchant_id", "timestamp",
                                                     "is_fraud")]) == 48
+
+
+def test_distance_from_home_shapes_agree(spark):
+    from veloscope.operators.transaction import distance_from_home
+    from veloscope.sources.transactions import txn_orders
+    from tests.conftest import SF_SMALL
+    t = txn_orders(spark, SF_SMALL).withColumns({
+        "latitude": (F.col("amount") % 90).cast("double"), "longitude": (F.col("transaction_id") % 180).cast("double")})
+    a = {r["transaction_id"]: r["distance_from_home"] for r in distance_from_home(t, hot_threshold=10**9).collect()}
+    b = {r["transaction_id"]: r["distance_from_home"] for r in distance_from_home(t, hot_threshold=0).collect()}
+    assert a.keys() == b.keys()
+    assert all(a[k] == pytest.approx(b[k], rel=1e-9, abs=1e-9) for k in a)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veloscope.functions import columns as C
 from veloscope.operators.prefix import running_sums
-from veloscope.operators.profile import OVER, attach, set_size
+from veloscope.operators.profile import JOIN, OVER, attach, set_size
 from veloscope.operators.temporal import US, with_micros
 
 USER = "user_id"
@@ -116,7 +116,7 @@ def add_behavioral(df: DataFrame, how: str = OVER) -> DataFrame:
     return spend_percentile(df)
 
 
-def intl_txn_ratio(df: DataFrame, how: str = OVER, home: str = "US") -> DataFrame:
+def intl_txn_ratio(df: DataFrame, how: str = JOIN, home: str = "US") -> DataFrame:
     """M2: share of the user's transactions outside the home country (null country counts)."""
     if "country" not in df.columns:
         return df.withColumn("intl_txn_ratio", F.lit(0.0))

@@ -30,24 +30,24 @@ def running_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[st
                  tiebreak: Sequence[str] = ()) -> DataFrame:
     """Adds ``run_<s>`` (inclusive running sum of each ``s``) and ``tot_<s>`` (group total)."""
     by = list(by)
-    rng = df.groupBy(*by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    rng = df.groupBy(*by).agg(F.min(order).alias("__rs_lo"), F.max(order).alias("__rs_hi"))
     # one row per group: small, AQE broadcasts it at run time
     d = df.join(rng, by, "inner") if by else df.crossJoin(F.broadcast(rng))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    b = F.when(width > 0, F.floor((F.col(order) - F.col("_lo")) / width)).otherwise(F.lit(0))
-    d = d.withColumn("_bin", F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).cast("int")).drop("_lo", "_hi")
-    tot = d.groupBy(*by, "_bin").agg(*[F.sum(s).alias(f"_b_{s}") for s in sums])
+    width = (F.col("__rs_hi") - F.col("__rs_lo")) / bins
+    b = F.when(width > 0, F.floor((F.col(order) - F.col("__rs_lo")) / width)).otherwise(F.lit(0))
+    d = d.withColumn("__rs_bin", F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).cast("int")).drop("__rs_lo", "__rs_hi")
+    tot = d.groupBy(*by, "__rs_bin").agg(*[F.sum(s).alias(f"_b_{s}") for s in sums])
     wg = Window.partitionBy(*by) if by else Window.partitionBy()
-    bo = F.col("_bin").desc() if descending else F.col("_bin").asc()
+    bo = F.col("__rs_bin").desc() if descending else F.col("__rs_bin").asc()
     before = wg.orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*by, "_bin",
+    tot = tot.select(*by, "__rs_bin",
                      *[F.coalesce(F.sum(f"_b_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
                      *[F.sum(f"_b_{s}").over(wg).alias(f"tot_{s}") for s in sums])
     oc = F.col(order).desc() if descending else F.col(order).asc()
-    inside = (Window.partitionBy(*by, "_bin").orderBy(oc, *[F.col(t) for t in tiebreak])
+    inside = (Window.partitionBy(*by, "__rs_bin").orderBy(oc, *[F.col(t) for t in tiebreak])
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = d.join(tot, [*by, "_bin"], "inner")
-    return out.select(*[c for c in d.columns if c != "_bin"],
+    out = d.join(tot, [*by, "__rs_bin"], "inner")
+    return out.select(*[c for c in d.columns if c != "__rs_bin"],
                       *[(F.col(f"_o_{s}") + F.sum(s).over(inside)).alias(f"run_{s}") for s in sums],
                       *[F.col(f"tot_{s}") for s in sums])
 

@@ -111,30 +111,75 @@ def shared_device_count(df: DataFrame) -> DataFrame:
               .withColumn("shared_device_count", F.coalesce("shared_device_count", F.lit(0))))
 
 
-def merchant_fraud_rate_30d(df: DataFrame, days: int = 30) -> DataFrame:
+def merchant_fraud_rate_30d(df: DataFrame, days: int = 30, hot_threshold: int | None = None) -> DataFrame:
     """M5: fraud rate of the merchant over [t - 30 d, t), own row and ties excluded.
 
-    Running sums over (time) of the merchant's rows: the frame ends one
-    microsecond before t, so equal timestamps are not seen (no label leak).
+    The frame ends one microsecond before t, so equal timestamps are not seen
+    (no label leak). Merchants above ``hot_threshold`` rows (default: the
+    package threshold) are windowed per (merchant, 30-day bucket) with the
+    previous bucket copied in as context, so a merchant holding a third of all
+    transactions is spread over one task per bucket.
     """
+    from veloscope.operators.skew import DEFAULT_HOT_ROWS, split_hot
+    from veloscope.operators.temporal import BK, TGT, with_halo
+    span = days * 86400 * 1_000_000
     df = with_micros(df)
-    w = (Window.partitionBy("merchant_id").orderBy(F.col(US))
-         .rangeBetween(-days * 86400 * 1_000_000, -1))
-    n = F.count("is_fraud").over(w)
-    return df.withColumn("merchant_fraud_rate_30d", F.when(
-        F.col("merchant_id").isNotNull() & F.col(US).isNotNull() & (n > 0),
-        F.sum("is_fraud").over(w) / n).otherwise(F.lit(0.0)))
 
-
-def distance_from_home(df: DataFrame, id_col: str = "transaction_id") -> DataFrame:
-    """M6: km from the user's mean location over earlier rows (first row / no location → 0)."""
+    def rate(part):
+        w = Window.partitionBy(*part).orderBy(F.col(US)).rangeBetween(-span, -1)
+        n = F.count("is_fraud").over(w)
+        return F.when(F.col("merchant_id").isNotNull() & F.col(US).isNotNull() & (n > 0),
+                      F.sum("is_fraud").over(w) / n).otherwise(F.lit(0.0))
+
+    split = split_hot(df, ["merchant_id"], DEFAULT_HOT_ROWS if hot_threshold is None else hot_threshold)
+    plain = split.normal.withColumn("merchant_fraud_rate_30d", rate(["merchant_id"]))
+    if split.hot is None:
+        return plain
+    hot = split.hot
+    nulls = hot.where(F.col(US).isNull()).withColumn("merchant_fraud_rate_30d", F.lit(0.0))
+    # the frame [t - span, t) reaches at most one bucket back when buckets are span + 1 wide
+    rows = with_halo(hot.where(F.col(US).isNotNull()), span + 1, span + 1)
+    b = rows.withColumn("merchant_fraud_rate_30d", rate(["merchant_id", BK])).where(F.col(TGT) == 1) \
+            .drop(BK, TGT)
+    return plain.unionByName(b).unionByName(nulls)
+
+
+def distance_from_home(df: DataFrame, id_col: str = "transaction_id", hot_threshold: int | None = None
+                       ) -> DataFrame:
+    """M6: km from the user's mean location over earlier rows (first row / no location → 0).
+
+    Hot users get the mean of earlier rows from binned running sums (sum and
+    count up to the row, minus the row itself) instead of a per-user window.
+    """
     if "latitude" not in df.columns or "longitude" not in df.columns:
         return df.withColumn("distance_from_home", F.lit(0.0))
+    from veloscope.operators.prefix import running_sums
+    from veloscope.operators.skew import DEFAULT_HOT_ROWS, split_hot
     df = with_micros(df)
+    split = split_hot(df, [USER], DEFAULT_HOT_ROWS if hot_threshold is None else hot_threshold)
     w = (Window.partitionBy(USER).orderBy(F.col(US).asc_nulls_last(), F.col(id_col))
          .rowsBetween(Window.unboundedPreceding, -1))
     d = C.haversine_km(F.avg("latitude").over(w), F.avg("longitude").over(w), "latitude", "longitude")
-    return df.withColumn("distance_from_home", F.coalesce(d, F.lit(0.0)))
+    plain = split.normal.withColumn("distance_from_home", F.coalesce(d, F.lit(0.0)))
+    if split.hot is None:
+        return plain
+    parts = {"_la": F.coalesce(F.col("latitude"), F.lit(0.0)), "_lac": F.col("latitude").isNotNull().cast("long"),
+             "_lo": F.coalesce(F.col("longitude"), F.lit(0.0)), "_loc": F.col("longitude").isNotNull().cast("long")}
+    h = split.hot.where(F.col(US).isNotNull()).withColumns(parts)
+    r = running_sums(h, [USER], US, list(parts), tiebreak=[id_col])
+    prev = {k: F.col(f"run_{k}") - F.col(k) for k in parts}
+    mlat = F.when(prev["_lac"] > 0, prev["_la"] / prev["_lac"])
+    mlon = F.when(prev["_loc"] > 0, prev["_lo"] / prev["_loc"])
+    hot = r.withColumn("distance_from_home",
+                       F.coalesce(C.haversine_km(mlat, mlon, "latitude", "longitude"), F.lit(0.0))) \
+           .drop(*parts, *[f"run_{k}" for k in parts], *[f"tot_{k}" for k in parts])
+    # rows without a timestamp sort last in the plain shape: their mean covers all dated rows
+    undated = split.hot.where(F.col(US).isNull())
+    if undated.isEmpty():
+        return plain.unionByName(hot)
+    return plain.unionByName(hot).unionByName(
+        distance_from_home(undated.unionByName(split.hot.where(F.col(US).isNotNull())), id_col, None)
+        .where(F.col(US).isNull()))
 
 
 def device_age(df: DataFrame, how: str = JOIN) -> DataFrame:

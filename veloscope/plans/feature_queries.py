@@ -203,6 +203,11 @@ def build() -> dict[str, Query]:
                  "SELECT *, coalesce(sum(is_fraud) OVER w / nullif(count(is_fraud) OVER w, 0), 0) "
                  "AS merchant_fraud_rate_30d FROM b WINDOW w AS (PARTITION BY merchant_id ORDER BY us "
                  f"RANGE BETWEEN {30 * 24 * HOUR_US} PRECEDING AND 1 PRECEDING)", "M5"),
+        _m_query("merchant_fraud_rate_30d_hot_path", "events", lambda d: X.merchant_fraud_rate_30d(d, hot_threshold=0),
+                 ["merchant_fraud_rate_30d"],
+                 "SELECT *, coalesce(sum(is_fraud) OVER w / nullif(count(is_fraud) OVER w, 0), 0) "
+                 "AS merchant_fraud_rate_30d FROM b WINDOW w AS (PARTITION BY merchant_id ORDER BY us "
+                 f"RANGE BETWEEN {30 * 24 * HOUR_US} PRECEDING AND 1 PRECEDING)", "M5 with every merchant hot"),
         _m_query("device_age", "orders", X.device_age, ["device_age_days", "new_device"],
                  "SELECT *, coalesce(CASE WHEN device_fingerprint IS NOT NULL THEN "
                  "(us - min(us) OVER w) / 86400000000.0 END, 0) AS device_age_days, "
