@@ -6,10 +6,8 @@ cumulative tp/fp at threshold ``score >= p``. The curve is built without a
 global sort:
 
 1. collapse rows to distinct scores (partial aggregation);
-2. cut the score range into ``bins`` equal bins and total each bin (a table of
-   at most groups x bins rows);
-3. running totals over that small table give each bin's offset, and a window
-   inside each (group, bin) gives the running count within the bin.
+2. binned running totals (``prefix.running_sums``, descending): bin totals give
+   each bin's offset, a window inside each (group, bin) adds the rest.
 
 AUC, average precision, KS, Youden's J, precision at recall targets and the
 confusion numbers are then plain aggregates over the curve.
@@ -23,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veloscope import constants as K
+from veloscope.session import keep_if_large
 
 DEFAULT_BINS = 1024
 
@@ -32,30 +31,19 @@ def _grp(by: Sequence[str]) -> list[str]:
 
 
 def score_curve(df: DataFrame, label: str = "is_fraud", score: str = "score", by: Sequence[str] = (),
-                bins: int = DEFAULT_BINS, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+                bins: int = DEFAULT_BINS) -> DataFrame:
     """Columns: by..., p, pos, neg, tp, fp, tot_pos, tot_neg (tp/fp count rows with score >= p)."""
+    from veloscope.operators.prefix import running_sums
     by = _grp(by)
     y = F.col(label).cast("long")
     pts = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
              .groupBy(*by, F.col(score).cast("double").alias("p"))
              .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")))
-    width = (hi - lo) / bins
-    pts = pts.withColumn("_bin", F.least(F.greatest(F.floor((F.col("p") - lo) / width), F.lit(0)),
-                                         F.lit(bins - 1)).cast("int"))
-    tot = pts.groupBy(*by, "_bin").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    wg = Window.partitionBy(*by) if by else Window.partitionBy()
-    before = wg.orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*by, "_bin",
-                     F.coalesce(F.sum("_bp").over(before), F.lit(0)).alias("_op"),
-                     F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_on"),
-                     F.sum("_bp").over(wg).alias("tot_pos"), F.sum("_bn").over(wg).alias("tot_neg"))
-    inside = (Window.partitionBy(*by, "_bin").orderBy(F.col("p").desc())
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cur = pts.join(tot, [*by, "_bin"], "inner")
-    return cur.select(*by, "p", "pos", "neg",
-                      (F.col("_op") + F.sum("pos").over(inside)).alias("tp"),
-                      (F.col("_on") + F.sum("neg").over(inside)).alias("fp"),
-                      "tot_pos", "tot_neg")
+    # the distinct-score table is read by every pass below: keep it (bounded by distinct scores)
+    pts = keep_if_large(pts)
+    r = running_sums(pts, by, "p", ["pos", "neg"], bins=bins, descending=True)
+    return r.select(*by, "p", "pos", "neg", F.col("run_pos").alias("tp"), F.col("run_neg").alias("fp"),
+                    "tot_pos", "tot_neg")
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -129,8 +117,24 @@ def calibration_metrics(df: DataFrame, label: str = "is_fraud", score: str = "sc
     return base.groupBy(*by).agg(*aggs) if by else base.agg(*aggs)
 
 
+def calibration_from_curve(curve: DataFrame, by: Sequence[str] = (), eps: float = K.PROB_CLIP) -> DataFrame:
+    """I9-I10 from the distinct-score table: each score carries its positive and negative counts."""
+    by = _grp(by)
+    p = F.col("p")
+    pc = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    aggs = [F.sum(pos * F.pow(p - 1, 2) + neg * F.pow(p, 2)).alias("_bs"),
+            F.sum(pos * F.log(pc) + neg * F.log(1 - pc)).alias("_ll"),
+            F.sum(pos).alias("n_fraud"), F.sum(pos + neg).alias("n_samples")]
+    g = curve.groupBy(*by).agg(*aggs) if by else curve.agg(*aggs)
+    return g.select(*by, (F.col("_bs") / F.col("n_samples")).alias("brier_score"),
+                    (-F.col("_ll") / F.col("n_samples")).alias("log_loss"),
+                    (F.col("n_fraud") / F.col("n_samples")).alias("fraud_rate"), "n_samples", "n_fraud")
+
+
 def catch_rates(df: DataFrame, label: str = "is_fraud", score: str = "score", id_col: str = "transaction_id",
-                by: Sequence[str] = (), pcts: Sequence[int] = K.CATCH_RATE_PCTS) -> DataFrame:
+                by: Sequence[str] = (), pcts: Sequence[int] = K.CATCH_RATE_PCTS,
+                curve: DataFrame | None = None) -> DataFrame:
     """Share of all fraud inside the top k% by score, k = max(1, floor(n*pct/100)); ties by id.
 
     Everything strictly above the boundary score comes from the score curve;
@@ -140,7 +144,7 @@ def catch_rates(df: DataFrame, label: str = "is_fraud", score: str = "score", id
     from veloscope.operators.prefix import running_sums
     by = _grp(by)
     base = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    cur = score_curve(base, label, score, by)
+    cur = curve if curve is not None else score_curve(base, label, score, by)
     n = F.col("tot_pos") + F.col("tot_neg")
     here = F.col("pos") + F.col("neg")
     above = F.col("tp") + F.col("fp") - here
@@ -173,9 +177,10 @@ def evaluate(df: DataFrame, label: str = "is_fraud", score: str = "score", id_co
              by: Sequence[str] = (), prefix: str | None = None) -> DataFrame:
     """The full metric row (per group), optionally with ``prefix_`` names."""
     by = _grp(by)
-    m = curve_metrics(score_curve(df, label, score, by), by)
-    c = calibration_metrics(df, label, score, by)
-    k = catch_rates(df, label, score, id_col, by)
+    curve = score_curve(df, label, score, by)
+    m = curve_metrics(curve, by)
+    c = calibration_from_curve(curve, by)
+    k = catch_rates(df, label, score, id_col, by, curve=curve)
     out = m.join(c, by, "inner").join(k, by, "inner") if by else m.crossJoin(c).crossJoin(k)
     if prefix:
         out = out.select(*by, *[F.col(x).alias(f"{prefix}_{x}") for x in out.columns if x not in by])

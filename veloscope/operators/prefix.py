@@ -23,19 +23,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BINS = 1024
+# a bin is only worth a partition of its own once a group is this large
+ROWS_PER_BIN = 50_000
 
 
 def running_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str],
                  bins: int = DEFAULT_BINS, descending: bool = False,
-                 tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Adds ``run_<s>`` (inclusive running sum of each ``s``) and ``tot_<s>`` (group total)."""
+                 tiebreak: Sequence[str] = (), rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
+    """Adds ``run_<s>`` (inclusive running sum of each ``s``) and ``tot_<s>`` (group total).
+
+    Each group gets ceil(rows / rows_per_bin) bins, at most ``bins``: a small
+    group is one bin (a plain window), a group with billions of rows is spread
+    over ``bins`` tasks.
+    """
     by = list(by)
-    rng = df.groupBy(*by).agg(F.min(order).alias("__rs_lo"), F.max(order).alias("__rs_hi"))
+    rng = df.groupBy(*by).agg(F.min(order).alias("__rs_lo"), F.max(order).alias("__rs_hi"),
+                              F.least(F.lit(bins), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows_per_bin)))
+                              .alias("__rs_nb"))
     # one row per group: small, AQE broadcasts it at run time
     d = df.join(rng, by, "inner") if by else df.crossJoin(F.broadcast(rng))
-    width = (F.col("__rs_hi") - F.col("__rs_lo")) / bins
+    width = (F.col("__rs_hi") - F.col("__rs_lo")) / F.col("__rs_nb")
     b = F.when(width > 0, F.floor((F.col(order) - F.col("__rs_lo")) / width)).otherwise(F.lit(0))
-    d = d.withColumn("__rs_bin", F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).cast("int")).drop("__rs_lo", "__rs_hi")
+    d = d.withColumn("__rs_bin", F.least(F.greatest(b, F.lit(0)), F.col("__rs_nb") - 1).cast("int")) \
+         .drop("__rs_lo", "__rs_hi", "__rs_nb")
     tot = d.groupBy(*by, "__rs_bin").agg(*[F.sum(s).alias(f"_b_{s}") for s in sums])
     wg = Window.partitionBy(*by) if by else Window.partitionBy()
     bo = F.col("__rs_bin").desc() if descending else F.col("__rs_bin").asc()
@@ -65,6 +75,9 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[f
     by = list(by)
     base = df.where(F.col(value).isNotNull())
     hist = base.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    # read by several passes: keep it (bounded by distinct values per group)
+    from veloscope.session import keep_if_large
+    hist = keep_if_large(hist)
     r = running_sums(hist, by, "_v", ["_c"], bins=bins)
     # rows with 0-based ranks [run - c, run - 1] hold value _v
     lo_rank = F.col("run__c") - F.col("_c")

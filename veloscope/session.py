@@ -72,3 +72,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+# caching pays off only when recomputing the plan means re-reading a lot of data
+REUSE_MIN_BYTES = 1 << 30
+
+
+def keep_if_large(df: DataFrame, min_bytes: int = REUSE_MIN_BYTES) -> DataFrame:
+    """Persist (memory and disk) a table that several later passes read, when the plan
+    behind it is large; small plans are cheaper to recompute than to cache.
+    Cached blocks are recomputed from lineage if an executor is lost."""
+    from pyspark import StorageLevel
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate only
+        size = None
+    if size is not None and size >= min_bytes:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
