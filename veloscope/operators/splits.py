@@ -127,3 +127,51 @@ def backtest_summary(per_window: DataFrame, stable_std: float = K.BACKTEST_STABL
         aggs += [F.avg(m).alias(f"{short}_mean"), F.stddev_pop(m).alias(f"{short}_std"),
                  F.min(m).alias(f"{short}_min"), F.max(m).alias(f"{short}_max")]
     return ok.agg(*aggs).withColumn("stable", (F.col("auc_pr_std") <= stable_std).cast("int"))
+
+
+def aligned(train_days: int = K.BACKTEST_TRAIN_DAYS, test_days: int = K.BACKTEST_TEST_DAYS,
+            step_days: int = K.BACKTEST_STEP_DAYS) -> bool:
+    """Windows tile the timeline in step buckets: test = step, train a multiple of step."""
+    return test_days == step_days and train_days % step_days == 0
+
+
+def _step_bucket(windows: DataFrame, ts: str, step_days: int):
+    first = windows.agg(F.min("train_end").alias("_c0"))
+    step_us = step_days * 86_400_000_000
+    b = F.floor((F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_c0"))) / F.lit(step_us))
+    return first, b
+
+
+def test_rows(df: DataFrame, windows: DataFrame, ts: str = "timestamp", step_days: int = K.BACKTEST_STEP_DAYS
+              ) -> DataFrame:
+    """Each row's test window by arithmetic (aligned windows): no range join, no row copies."""
+    first, b = _step_bucket(windows, ts, step_days)
+    d = df.crossJoin(F.broadcast(first)).withColumn("window_id", (b + 1).cast("long")).drop("_c0")
+    return d.join(F.broadcast(windows.select("window_id")), "window_id", "left_semi").withColumn("role", F.lit("test"))
+
+
+def window_stats_aligned(df: DataFrame, windows: DataFrame, label: str = "is_fraud", ts: str = "timestamp",
+                         train_days: int = K.BACKTEST_TRAIN_DAYS, step_days: int = K.BACKTEST_STEP_DAYS,
+                         min_train_fraud: int = K.BACKTEST_MIN_TRAIN_FRAUD,
+                         min_test_fraud: int = K.BACKTEST_MIN_TEST_FRAUD,
+                         min_train_rows: int = K.BACKTEST_MIN_TRAIN_ROWS) -> DataFrame:
+    """L4 from per-step-bucket counts: window k tests bucket k-1 and trains on the
+    train_days/step buckets before it (sums over a table of one row per bucket)."""
+    first, b = _step_bucket(windows, ts, step_days)
+    per = (df.crossJoin(F.broadcast(first)).groupBy(b.alias("_b"))
+             .agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(label) == 1).alias("_f")))
+    k = train_days // step_days
+    w = windows.withColumn("_tb", F.col("window_id") - 1)
+    j = w.join(F.broadcast(per), (per["_b"] >= F.col("_tb") - k) & (per["_b"] <= F.col("_tb")), "left")
+    tr, te = F.col("_b") < F.col("_tb"), F.col("_b") == F.col("_tb")
+    st = j.groupBy(*windows.columns).agg(
+        F.coalesce(F.sum(F.when(tr, F.col("_n"))), F.lit(0)).alias("n_train"),
+        F.coalesce(F.sum(F.when(te, F.col("_n"))), F.lit(0)).alias("n_test"),
+        F.coalesce(F.sum(F.when(tr, F.col("_f"))), F.lit(0)).alias("n_train_fraud"),
+        F.coalesce(F.sum(F.when(te, F.col("_f"))), F.lit(0)).alias("n_test_fraud"))
+    status = (F.when((F.col("n_train_fraud") < min_train_fraud) | (F.col("n_test_fraud") < min_test_fraud),
+                     "skipped: insufficient fraud")
+              .when(F.col("n_train") < min_train_rows, "skipped: insufficient training data")
+              .otherwise("ok"))
+    return st.withColumns({"train_fraud_rate": F.col("n_train_fraud") / F.greatest(F.col("n_train"), F.lit(1)),
+                           "status": status})

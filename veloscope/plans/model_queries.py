@@ -54,6 +54,13 @@ def _backtest_rows(spark, sf_dir):
 
 
 def _windows_run(spark, sf_dir):
+    txn = SOURCES["orders"][0](spark, sf_dir)
+    w = SP.walk_forward_windows(txn)
+    st = SP.window_stats_aligned(txn, w) if SP.aligned() else SP.window_stats(SP.assign_windows(txn, w), w)
+    return project(st, WIN)
+
+
+def _windows_range_join_run(spark, sf_dir):
     txn, w, rows = _backtest_rows(spark, sf_dir)
     return project(SP.window_stats(rows, w), WIN)
 
@@ -86,9 +93,15 @@ BT_METRICS = {"window_id": "l", **{f"backtest_{m}": "d" for m in METRICS}}
 
 
 def _bt_eval(spark, sf_dir):
-    txn, w, rows = _backtest_rows(spark, sf_dir)
-    ok = SP.window_stats(rows, w).where(F.col("status") == "ok").select("window_id")
-    test = rows.where(F.col("role") == "test").join(ok, "window_id", "left_semi")
+    txn = SOURCES["orders"][0](spark, sf_dir)
+    w = SP.walk_forward_windows(txn)
+    if SP.aligned():
+        ok = SP.window_stats_aligned(txn, w).where(F.col("status") == "ok").select("window_id")
+        test = SP.test_rows(txn, w).join(F.broadcast(ok), "window_id", "left_semi")
+    else:
+        rows = SP.assign_windows(txn, w)
+        ok = SP.window_stats(rows, w).where(F.col("status") == "ok").select("window_id")
+        test = rows.where(F.col("role") == "test").join(ok, "window_id", "left_semi")
     m = EV.evaluate(test, by=["window_id"], prefix="backtest")
     # window metrics are reported to 5 places
     return m.select("window_id", *[round_to(f"backtest_{x}", 5).alias(f"backtest_{x}") for x in METRICS])
@@ -106,8 +119,8 @@ SUMMARY = {"windows_completed": "l", **{f"{m}_{s}": "d" for m in ("auc_roc", "au
 
 
 def _bt_summary_run(spark, sf_dir):
-    txn, w, rows = _backtest_rows(spark, sf_dir)
-    st = SP.window_stats(rows, w)
+    txn = SOURCES["orders"][0](spark, sf_dir)
+    st = SP.window_stats_aligned(txn, SP.walk_forward_windows(txn))
     m = _bt_eval(spark, sf_dir)
     per = st.join(m, "window_id", "left")
     return project(SP.backtest_summary(per), SUMMARY)
@@ -210,6 +223,9 @@ def build():
               lambda s, d: project(SP.class_weight(SOURCES["events"][0](s, d)), WEIGHT), WEIGHT_SQL, "L7"),
         Query("backtest_windows_orders", _windows_run,
               f"WITH {WINDOWS_CTE}\nSELECT {sql_select(WIN)} FROM ws", "L3-L4 walk-forward windows and skip rules"),
+        Query("backtest_windows_range_join_orders", _windows_range_join_run,
+              f"WITH {WINDOWS_CTE}\nSELECT {sql_select(WIN)} FROM ws",
+              "L3-L4 through the general broadcast range join (any train/test/step lengths)"),
         Query("backtest_metrics_orders", lambda s, d: project(_bt_eval(s, d), BT_METRICS), _bt_eval_sql(),
               "L5 per-window evaluation of the given scores"),
         Query("backtest_summary_orders", _bt_summary_run, _bt_summary_sql(), "L6 summary and stability"),
