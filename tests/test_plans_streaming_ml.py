@@ -60,3 +60,35 @@ def test_gbt_learns_separable_data(spark):
     df = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
     pred = L.gbt(max_iter=5, max_depth=2).fit(df).transform(df).withColumn("score", L.p1())
     assert EV.evaluate(pred).first()["auc_roc"] > 0.9
+
+
+def _toy_features(spark, n=300):
+    from pyspark.ml.feature import VectorAssembler
+    df = spark.range(n).select(
+        F.col("id").alias("transaction_id"), (F.col("id") % 4 == 0).cast("int").alias("is_fraud"),
+        F.lit(1.0).alias("weight"), (F.col("id") % 3).cast("double").alias("cat_idx"),
+        (F.col("id") % 3).cast("int").alias("fold"))
+    df = df.withColumn("x", F.col("is_fraud") * 1.5 + F.rand(3))
+    return VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+
+
+def test_random_search_and_mlp(spark):
+    from veloscope.operators import learn as L
+    df = _toy_features(spark)
+    cv = L.random_search(df, n_trials=2, k=3, parallelism=2)
+    assert len(cv.avgMetrics) == 2 and max(cv.avgMetrics) > 0.5
+    mlp = L.mlp_on_categories(df, ["cat_idx"], ["x"], hidden=4, max_iter=20)
+    out = mlp.transform(df).withColumn("score", L.p1())
+    assert out.count() == df.count()
+
+
+def test_stacking_and_calibration(spark):
+    from veloscope.operators import evaluation as EV
+    from veloscope.operators import learn as L
+    df = _toy_features(spark)
+    bases, meta, oof = L.stacking(df, L.base_learners(max_iter=5), k=3)
+    assert oof.count() == df.count()
+    pred = L.ensemble_predict(df, bases, meta).withColumn("p_raw", F.col("fraud_probability"))
+    iso = L.calibrate(pred)
+    assert iso.transform(pred.select("p_raw", "is_fraud")).count() == df.count()
+    assert EV.evaluate(pred.withColumn("score", F.col("fraud_probability"))).first()["auc_roc"] > 0.8
