@@ -53,8 +53,9 @@ def concat_frames(frames: list[DataFrame]) -> DataFrame:
 def sample_exact(df: DataFrame, n: int, seed: int = K.SPLIT_SEED, id_col: str = "transaction_id") -> DataFrame:
     """Exactly min(n, rows) rows, chosen by a seeded hash order (deterministic).
 
-    A global top-n: each task keeps its n smallest hashes (TakeOrderedAndProject),
+    The order key is the first 60 bits of md5('<id>|<seed>') (reproducible in SQL).
+    A global top-n: each task keeps its n smallest keys (TakeOrderedAndProject),
     so only n rows per task reach the final merge, whatever the table size.
     """
-    return (df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
-              .orderBy("_h", id_col).limit(n).drop("_h"))
+    from veloscope.operators.splits import hash_key
+    return df.withColumn("_h", hash_key(id_col, seed)).orderBy("_h", id_col).limit(n).drop("_h")
