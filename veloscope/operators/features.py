@@ -114,15 +114,21 @@ def _derive(df: DataFrame, groups: Sequence[str], how: str, windows: Sequence[in
     return df.withColumns(derived) if derived else df
 
 
+STRING_FEATURES = {"currency", "merchant_category", "country"}
+
+
 def compute_features(df: DataFrame, groups: Sequence[str] = ALL_GROUPS,
                      windows: Sequence[int] = K.VELOCITY_WINDOWS_HOURS,
                      hot_threshold: int | None = DEFAULT_HOT_ROWS,
                      bucket_hours: int | None = None,
-                     keep: Sequence[str] = ()) -> DataFrame:
+                     keep: Sequence[str] = (), fill_zero: bool = False, finish=None) -> DataFrame:
     """Raw (un-encoded) feature rows: ids + label + the selected feature groups.
 
     ``hot_threshold``: users with more rows take the bucketed shape
     (``0`` routes every user there, ``None`` disables detection).
+    ``fill_zero`` fills numeric feature nulls with 0 and ``finish(name, column)``
+    may wrap each output column (casts, rounding) -- both inside the one final
+    projection, so no extra DataFrame step is planned on top of the windows.
     """
     present_ids = [c for c in ID_COLUMNS if c in df.columns]
     names = [n for n in feature_names(windows, groups) if n in BASE and n in df.columns or n not in BASE]
@@ -131,12 +137,15 @@ def compute_features(df: DataFrame, groups: Sequence[str] = ALL_GROUPS,
     if split.hot is not None:
         parts.append(_derive(split.hot, groups, JOIN, windows, bucket_hours))
     cols = present_ids + [n for n in names if n not in present_ids] + [k for k in keep if k not in names]
-    return reduce(DataFrame.unionByName, [p.select(*cols) for p in parts])
+
+    def out(c):
+        e = F.col(c)
+        if fill_zero and c in names and c not in STRING_FEATURES and c not in ID_COLUMNS:
+            e = F.coalesce(e, F.lit(0))
+        return (finish(c, e) if finish else e).alias(c)
+    return reduce(DataFrame.unionByName, [p.select(*[out(c) for c in cols]) for p in parts])
 
 
 def feature_matrix(df: DataFrame, **kw) -> DataFrame:
     """F0 + F6: the 48-column matrix with ids/label kept, numeric nulls filled with 0."""
-    out = compute_features(df, **kw)
-    num = {f.name for f in out.schema.fields
-           if f.name not in ID_COLUMNS and f.dataType.typeName() in ("integer", "long", "double")}
-    return out.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) if c in num else F.col(c) for c in out.columns])
+    return compute_features(df, fill_zero=True, **kw)

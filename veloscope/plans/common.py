@@ -19,6 +19,20 @@ from veloscope.functions.columns import round_to
 PLACES = 6
 
 
+def typed(name: str, kind: str, c=None):
+    """The typed output column of ``project`` (usable inside another projection)."""
+    c = F.col(name) if c is None else c
+    if kind == "l":
+        return c.cast("bigint")
+    if kind == "d":
+        return round_to(c, PLACES)
+    if kind == "s":
+        return c.cast("string")
+    if kind == "t":
+        return F.unix_micros(c.cast("timestamp"))
+    raise ValueError(kind)
+
+
 def project(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     cols = []
     for name, kind in kinds.items():

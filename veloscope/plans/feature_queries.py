@@ -7,7 +7,7 @@ from veloscope.operators import behavioral as B
 from veloscope.operators import features as FE
 from veloscope.operators import temporal as T
 from veloscope.operators import transaction as X
-from veloscope.plans.common import Query, project, registry, sql_select
+from veloscope.plans.common import Query, project, registry, sql_select, typed
 from veloscope.sources.transactions import SOURCES
 
 HOUR_US = 3600 * 1_000_000
@@ -131,7 +131,10 @@ def _features_query(name: str, source: str, groups, cols: dict[str, str], doc: s
     def run(spark, sf_dir):
         txn = SOURCES[source][0](spark, sf_dir)
         kw = {} if hot_threshold is None else {"hot_threshold": hot_threshold}
-        return project(FE.feature_matrix(txn, groups=groups, **kw), cols)
+        # typed output fused into the final projection of the feature plan
+        out = FE.feature_matrix(txn, groups=groups, finish=lambda n, c: typed(n, cols[n], c) if n in cols else c,
+                                **kw)
+        return out.select(*cols)
     return Query(name, run, features_sql(source, cols), doc)
 
 
