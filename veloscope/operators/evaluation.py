@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veloscope import constants as K
-from veloscope.session import keep_if_large
+from veloscope.session import cut_lineage, keep_if_large
 
 DEFAULT_BINS = 1024
 
@@ -177,7 +177,9 @@ def evaluate(df: DataFrame, label: str = "is_fraud", score: str = "score", id_co
              by: Sequence[str] = (), prefix: str | None = None) -> DataFrame:
     """The full metric row (per group), optionally with ``prefix_`` names."""
     by = _grp(by)
-    curve = score_curve(df, label, score, by)
+    # the curve (one row per distinct score and group) feeds three aggregates:
+    # materialise it once in the shared checkpoint folder (also cuts the plan)
+    curve = cut_lineage(score_curve(df, label, score, by))
     m = curve_metrics(curve, by)
     c = calibration_from_curve(curve, by)
     k = catch_rates(df, label, score, id_col, by, curve=curve)

@@ -11,6 +11,7 @@ from veloscope.operators import registry as RG
 from veloscope.operators import splits as SP
 from veloscope.plans.common import Query, project, registry, sql_select
 from veloscope.plans.eval_queries import METRICS, eval_sql
+from veloscope.session import cut_lineage
 from veloscope.sources.transactions import SOURCES
 
 HASH_SQL = "CAST('0x' || substr(md5(CAST(transaction_id AS VARCHAR) || '|{seed}'), 1, 15) AS BIGINT)"
@@ -97,7 +98,8 @@ def _bt_eval(spark, sf_dir):
     w = SP.walk_forward_windows(txn)
     if SP.aligned():
         ok = SP.window_stats_aligned(txn, w).where(F.col("status") == "ok").select("window_id")
-        test = SP.test_rows(txn, w).join(F.broadcast(ok), "window_id", "left_semi")
+        # one copy of the table (each row tests one window), read by the curve and the tie step
+        test = cut_lineage(SP.test_rows(txn, w).join(F.broadcast(ok), "window_id", "left_semi"))
     else:
         rows = SP.assign_windows(txn, w)
         ok = SP.window_stats(rows, w).where(F.col("status") == "ok").select("window_id")
