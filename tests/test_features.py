@@ -107,3 +107,24 @@ def test_distance_from_home_shapes_agree(spark):
     b = {r["transaction_id"]: r["distance_from_home"] for r in distance_from_home(t, hot_threshold=0).collect()}
     assert a.keys() == b.keys()
     assert all(a[k] == pytest.approx(b[k], rel=1e-9, abs=1e-9) for k in a)
+
+
+def test_one_user_with_a_third_of_all_rows(spark):
+    """Skew: a third of the orders move to one user; only that user is routed to the hot shape
+    and the mixed result equals the plain computation."""
+    from veloscope.operators.skew import split_hot
+    from veloscope.sources.transactions import txn_orders
+    from tests.conftest import SF_SMALL
+    t = txn_orders(spark, SF_SMALL).withColumn(
+        "user_id", F.when(F.col("transaction_id") % 3 == 0, F.lit(10**9)).otherwise(F.col("user_id")))
+    n = t.count()
+    split = split_hot(t, ["user_id"], threshold=n // 10, min_input_bytes=0)
+    assert split.n_hot_keys == 1
+    assert split.hot.select("user_id").distinct().collect()[0][0] == 10**9
+    a = {r["transaction_id"]: r.asDict() for r in feature_matrix(t, hot_threshold=None).collect()}
+    b = {r["transaction_id"]: r.asDict()
+         for r in feature_matrix(t, hot_threshold=n // 10, hot_min_input_bytes=0).collect()}
+    assert a.keys() == b.keys() and len(a) == n
+    for k, row in a.items():
+        for c, x in row.items():
+            assert x == pytest.approx(b[k][c], rel=1e-9, abs=1e-12) if isinstance(x, float) else x == b[k][c], (k, c)

@@ -121,7 +121,8 @@ def compute_features(df: DataFrame, groups: Sequence[str] = ALL_GROUPS,
                      windows: Sequence[int] = K.VELOCITY_WINDOWS_HOURS,
                      hot_threshold: int | None = DEFAULT_HOT_ROWS,
                      bucket_hours: int | None = None,
-                     keep: Sequence[str] = (), fill_zero: bool = False, finish=None) -> DataFrame:
+                     keep: Sequence[str] = (), fill_zero: bool = False, finish=None,
+                     hot_min_input_bytes: int | None = None) -> DataFrame:
     """Raw (un-encoded) feature rows: ids + label + the selected feature groups.
 
     ``hot_threshold``: users with more rows take the bucketed shape
@@ -132,7 +133,8 @@ def compute_features(df: DataFrame, groups: Sequence[str] = ALL_GROUPS,
     """
     present_ids = [c for c in ID_COLUMNS if c in df.columns]
     names = [n for n in feature_names(windows, groups) if n in BASE and n in df.columns or n not in BASE]
-    split = split_hot(df, ["user_id"], hot_threshold)
+    split = split_hot(df, ["user_id"], hot_threshold,
+                      **({} if hot_min_input_bytes is None else {"min_input_bytes": hot_min_input_bytes}))
     parts = [_derive(split.normal, groups, OVER, windows, bucket_hours)]
     if split.hot is not None:
         parts.append(_derive(split.hot, groups, JOIN, windows, bucket_hours))
