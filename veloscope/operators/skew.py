@@ -18,7 +18,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_HOT_ROWS = 200_000
+# Per-user work on the plain shape is up to quadratic in the user's rows (the
+# expanding spend percentile, sliding frames that recompute over the frame), so
+# users above 20 000 rows take the bucketed / binned shapes. The hot-key table
+# then has at most rows / 20 000 entries; past ``max_broadcast_keys`` it is
+# joined by shuffle instead of broadcast.
+DEFAULT_HOT_ROWS = 20_000
 DEFAULT_MAX_BROADCAST_KEYS = 100_000
 # no key can hold more than the whole input: below one file split of input
 # there is nothing a hot key could overload, so detection is skipped
