@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 # joined by shuffle instead of broadcast.
 DEFAULT_HOT_ROWS = 20_000
 DEFAULT_MAX_BROADCAST_KEYS = 100_000
-# no key can hold more than the whole input: below one file split of input
-# there is nothing a hot key could overload, so detection is skipped
-DEFAULT_MIN_INPUT_BYTES = 128 * 1024 * 1024
+# Optional gate: skip detection for inputs whose size estimate is below this many
+# bytes. Off by default -- compressed inputs give no safe bound on rows per key
+# (a dictionary-encoded key column can hold millions of rows in a few KB), and
+# detection is one aggregate over the key column only.
+DEFAULT_MIN_INPUT_BYTES = 0
 
 
 @dataclass
