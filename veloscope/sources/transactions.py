@@ -20,6 +20,10 @@ from veloscope.functions.columns import round_to
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # the tables hold wall-clock (NTZ) timestamps that the data model reads as UTC
+    # instants; every time window and epoch value assumes a UTC session
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
