@@ -67,8 +67,14 @@ def main(argv):
     names = argv[1:]
     sys.path.insert(0, ".")
     import __spark_entry__ as E
-    from veloscope.session import get_session
-    spark = get_session("local[8]", 8)
+    import os
+    if os.environ.get("PLAIN_SESSION"):
+        # a stock session, as an external driver would create it
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    else:
+        from veloscope.session import get_session
+        spark = get_session("local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
