@@ -69,3 +69,21 @@ def test_split_is_exact_per_class(spark):
     assert s[(1, "test")] == 15 and s[(0, "test")] == 135
     folds = SP.stratified_folds(df).groupBy("fold").count().collect()
     assert sorted(r["count"] for r in folds) == [200] * 5
+
+
+def test_ip_risk_mask_and_input_check(spark):
+    from veloscope.operators import transaction as X
+    ev = spark.createDataFrame([("t1", "7", "10.1.2.3"), ("t2", "8", None)],
+                               "transaction_id string, user_id string, ip_address string")
+    risk = spark.createDataFrame([("10.1.2.3", 0.9, True)], "ip_address string, ip_risk_score double, vpn_detected boolean")
+    r = {x["transaction_id"]: x for x in X.ip_risk(ev, risk).collect()}
+    assert r["t1"]["ip_risk_score"] == 0.9 and r["t1"]["vpn_detected"] == 1
+    assert r["t2"]["ip_risk_score"] == 0.0 and r["t2"]["vpn_detected"] == 0
+    m = {x["transaction_id"]: x for x in X.mask_pii(ev, salt="s").collect()}
+    assert m["t1"]["ip_address"] == "10.1.x.x" and len(m["t1"]["user_id"]) == 64
+    with pytest.raises(ValueError, match="Missing required columns"):
+        Q.check_input(ev)
+    rows = [(1, 1, 5.0, "m", "a", "2024-01-01T00:00:00", 0)]
+    with pytest.raises(ValueError, match="empty"):
+        Q.check_input(txn_rows(spark, rows).limit(0))
+    Q.check_input(txn_rows(spark, rows))
