@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
     # map_concat in store upserts: later maps win on equal keys
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # reliable checkpoints of intermediates are removed once nothing references them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
