@@ -10,6 +10,7 @@ MODULES = {
     "op5_quality": "quality",
     "op8_simhash": "simhash",
     "op9_chat": "chat",
+    "op10_order_minhash": "minhash_order",
 }
 
 
