@@ -7,6 +7,7 @@ from importlib import import_module
 #: query -> module (each has a function of the query's name, and ``SQL`` if DuckDB can express it)
 MODULES = {
     "op2_pii": "pii",
+    "op3_decontamination": "decontaminate",
     "op5_quality": "quality",
     "op8_simhash": "simhash",
     "op9_chat": "chat",
