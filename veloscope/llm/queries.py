@@ -9,6 +9,7 @@ MODULES = {
     "op2_pii": "pii",
     "op3_decontamination": "decontaminate",
     "op5_quality": "quality",
+    "op6_mixing": "mixing",
     "op8_simhash": "simhash",
     "op9_chat": "chat",
     "op10_order_minhash": "minhash_order",
