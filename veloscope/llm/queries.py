@@ -10,6 +10,7 @@ MODULES = {
     "op3_decontamination": "decontaminate",
     "op5_quality": "quality",
     "op6_mixing": "mixing",
+    "op7_training_order": "materialise",
     "op8_simhash": "simhash",
     "op9_chat": "chat",
     "op10_order_minhash": "minhash_order",
