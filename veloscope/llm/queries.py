@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op2_pii": "pii",
     "op3_decontamination": "decontaminate",
+    "op4_suffix_dedup": "suffix_dedup",
     "op5_quality": "quality",
     "op6_mixing": "mixing",
     "op7_training_order": "materialise",
