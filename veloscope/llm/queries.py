@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> module (each has a function of the query's name, and ``SQL`` if DuckDB can express it)
 MODULES = {
+    "op1_ngram_lm": "ngram_lm",
     "op2_pii": "pii",
     "op3_decontamination": "decontaminate",
     "op4_suffix_dedup": "suffix_dedup",
