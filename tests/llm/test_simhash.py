@@ -110,3 +110,52 @@ def test_components_on_a_long_path(spark):
     e = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = S.components(e).collect()
     assert {r["root"] for r in got} == {0} and len(got) == 200
+
+
+def jaccard(a, b, k=5):
+    sets = []
+    for t in (a, b):
+        w = brute.words(t)
+        sets.append({tuple(w[i:i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()))
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_keep_one_of_each_group(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, group = [], {}
+    for g in range(30):
+        base = [word() for _ in range(rng.randint(80, 300))]
+        for v in range(rng.randint(1, 5)):
+            w = list(base)
+            if v:
+                w[rng.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w).upper() if v == 2 else " ".join(w)))
+            group[rows[-1][0]] = g
+    for a, t in rows:
+        for b, x in rows:
+            assert (jaccard(t, x) >= 0.8) == (group[a] == group[b]) or 0.6 < jaccard(t, x) < 0.8
+    rows += [(900, None), (901, ""), (902, " "), (5, rows[5][1]), (None, rows[5][1]), (903, "one two"), (904, "one two"), (905, "two one")]
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, f string, g int, _n int")
+    kept = S.keep_one(df)
+    assert kept.columns == df.columns
+    first = {}
+    for i, g in group.items():
+        first.setdefault(g, i)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted([*first.values(), 900, 903, 905])
+    assert S.keep_one(df.limit(0)).count() == 0
+    a, b = ({tuple(sorted((r["node"], r["root"]))) for r in S.near_duplicates(df, **m)[1].collect()} for m in ({}, {"crowded": 2}))
+    assert a == b
+
+
+def test_near_links_within_cells():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, (20, 16), dtype=np.uint64)
+    fp = np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, (20, 16), dtype=np.uint64)), base[:5]])
+    want = by_root(union(list(range(len(fp))), lambda a, b: int(np.bitwise_count(fp[a] ^ fp[b]).sum()) <= 40))
+    for small in (64, 1):
+        i, r = S.near_links(np.zeros(len(fp), int), fp, 40, small)
+        root = {x: x for x in range(len(fp))} | dict(zip(i.tolist(), r.tolist()))
+        assert by_root(root) == want
+    for leaders in (1, 7, 100):
+        assert by_root(dict(enumerate(S.dense_links(fp, 40, leaders, 300).tolist()))) == want

@@ -237,6 +237,172 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return fps.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
+# --- near copies of documents, by similarity of their shingle sets ---------------------------------------------------------
+
+WIDE = 1024             # bits of the fingerprint that decides
+N_KEYS = 10             # minimal shingles that name a document's cells
+_G = np.uint64(0x9E3779B97F4A7C15)
+
+
+def spread(h: np.ndarray, seed: int) -> np.ndarray:
+    """An independent 64-bit hash of each hash."""
+    x = (h ^ np.uint64(xxhash.xxh64_intdigest(f"spread {seed}", SEED))) * _G
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def sketch(text: str | None, k: int, n_words: int = WIDE // 64) -> tuple[np.ndarray, np.ndarray]:
+    """(``N_KEYS`` minimal shingle hashes, the wide fingerprint as 64-bit words) of the set of k-word shingles."""
+    h = np.unique(shingle_hashes(words_of(text), k))
+    if not len(h):
+        return np.zeros(N_KEYS, np.uint64), np.zeros(n_words, np.uint64)
+    keys = np.array([spread(h, j).min() for j in range(N_KEYS)], np.uint64)
+    return keys, np.array([majority(spread(h, 1000 + j)) for j in range(n_words)], np.uint64)
+
+
+def radius_of(similarity: float, bits: int = WIDE, slack: float = 3.0) -> int:
+    """Largest Hamming distance that sets of this Jaccard similarity have, ``slack`` standard deviations included."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + slack * np.sqrt(bits * p * (1 - p)))
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of a, row of b) with distance <= radius, all of a against all of b."""
+    return np.nonzero(np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2, dtype=np.int32) <= radius)
+
+
+def dense_links(fp: np.ndarray, radius: int, leaders: int = 512, block: int = 1 << 21) -> np.ndarray:
+    """Root of each member of one cell under all links of the cell.
+
+    Some leaders are compared with all; after that only members outside the largest component are compared (with all):
+    pairs inside it are connected already. A large group of near copies costs little more than its size.
+    """
+    n, step = len(fp), lambda m: max(1, block // max(m, 1))
+
+    def against_all(some, root):
+        left, right = [np.arange(n)], [root]
+        for i in range(0, len(some), step(n)):
+            part = some[i:i + step(n)]
+            x, y = close_pairs(fp[part], fp, radius)
+            fresh = root[part[x]] != root[y]
+            left.append(part[x][fresh])
+            right.append(y[fresh])
+        return forest(n, np.concatenate(left), np.concatenate(right))
+
+    root = against_all(np.arange(min(n, leaders)), np.arange(n))
+    size = np.bincount(root, minlength=n)
+    outside = np.flatnonzero(root != size.argmax())
+    return against_all(outside[outside >= leaders], root)
+
+
+def near_links(cell: np.ndarray, fp: np.ndarray, radius: int, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (member, root) inside equal runs of ``cell`` (sorted); ``fp`` is (n, words)."""
+    n = len(fp)
+    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    size = np.diff(np.append(first, n))
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    at, s = np.flatnonzero(np.repeat(size, size) <= small), 1
+    at = at[at + 1 < n]
+    while len(at):                                        # small cells: all of them at once, by distance in the order
+        at = at[cell[at] == cell[at + s]]
+        a = at[np.bitwise_count(fp[at] ^ fp[at + s]).sum(1, dtype=np.int64) <= radius]
+        left.append(a)
+        right.append(a + s)
+        s += 1
+        at = at[at + s < n]
+    for i in np.flatnonzero(size > small).tolist():
+        a, z = int(first[i]), int(first[i] + size[i])
+        left.append(np.arange(a, z))
+        right.append(a + dense_links(fp[a:z], radius))
+    root = forest(n, np.concatenate(left), np.concatenate(right))
+    i = np.flatnonzero(root != np.arange(n))
+    return i, root[i]
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
+                    similarity: float = 0.8, crowded: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): rows (id, tk, f) per input row, groups (node = f, root) of documents alike.
+
+    Documents whose shingle sets have this Jaccard similarity share each of ``N_KEYS`` minimal shingles with that
+    probability (0.8: one pair in 10^7 shares none); documents of a cell are verified on a ``WIDE`` bit
+    fingerprint, whose distance estimates the similarity with a standard deviation of 0.03. ``radius_of`` sets the
+    bound so that pairs at the threshold are found; some pairs down to about 0.7 are linked as well. Cells of more than
+    ``crowded`` documents (a passage in very many texts) are split by each second minimal shingle; two documents alike
+    share fewer than two with probability 5 in 10^6.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    d = df.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("tk"), text.alias("text"))
+
+    def sketches(batches):
+        for b in batches:
+            got = [sketch(t, k) for t in b.column("text").to_pylist()]
+            raw = [x.astype("<u8").tobytes() for _, x in got]
+            yield pa.RecordBatch.from_arrays([
+                b.column("id"), b.column("tk"), pa.array([signed(xxhash.xxh64_intdigest(x)) for x in raw], pa.int64()),
+                pa.array([x.view(np.int64).tolist() for x, _ in got], pa.list_(pa.int64())), pa.array(raw, pa.binary())],
+                ["id", "tk", "f", "keys", "fp"])
+
+    fps = written(d.mapInArrow(sketches, "id long, tk binary, f long, keys array<long>, fp binary"), "sketches")
+    nodes = fps.groupBy("f").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp"))
+    crowd = written(fps.select("f", "keys").distinct().select(F.posexplode("keys").alias("c", "key")).groupBy("c", "key")
+                    .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("c", "key"), "crowded")
+    cells = nodes.select("f", "fp", "keys", F.posexplode("keys").alias("c", "key"))
+    finer = cells.join(crowd, ["c", "key"]).select("f", "fp", "c", "key", F.posexplode("keys").alias("c2", "key2")) \
+        .where("c <> c2").select("f", "fp", (F.col("c") * N_KEYS + F.col("c2") + N_KEYS).alias("c"), F.xxhash64("key", "key2").alias("key"))
+    cells = cells.join(crowd, ["c", "key"], "left_anti").select("f", "fp", "c", "key").unionByName(finer) \
+        .repartition(n, "c", "key").sortWithinPartitions("c", "key", "f")
+    radius = radius_of(similarity)
+
+    def run(batches):
+        """Whole cells in sorted order; the open cell is carried on."""
+        held: list = []
+
+        def emit(rows):
+            c, key, f, raw = zip(*rows)
+            cell = np.cumsum(np.concatenate(([0], (np.diff(c) != 0) | (np.diff(np.array(key, np.int64)) != 0))))
+            alone = np.bincount(cell)[cell] == 1
+            at = np.flatnonzero(~alone)
+            if not len(at):
+                return None
+            fp = np.frombuffer(b"".join([raw[i] for i in at.tolist()]), "<u8").reshape(len(at), -1)
+            i, r = near_links(cell[at], fp, radius)     # cells stay runs: rows are in order
+            f = np.array(f, np.int64)[at]
+            return pa.RecordBatch.from_arrays([pa.array(f[i]), pa.array(f[r])], ["a", "b"])
+
+        for b in batches:
+            held += zip(*(b.column(x).to_pylist() for x in ("c", "key", "f", "fp")))
+            cut = len(held)
+            while cut and held[cut - 1][:2] == held[-1][:2]:
+                cut -= 1
+            if cut:
+                if (out := emit(held[:cut])) is not None:
+                    yield out
+                held = held[cut:]
+        if held and (out := emit(held)) is not None:
+            yield out
+
+    found = written(cells.select("c", "key", "f", "fp").mapInArrow(run, "a long, b long").distinct(), "near-links")
+    return fps.select("id", "tk", "f"), components(found)
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``df`` (all columns) with one document of each group: the smallest id, null ids last, then by text digest."""
+    rows, groups = near_duplicates(df, id_col, text_col, k, similarity)
+    member = rows.join(groups.withColumnRenamed("node", "f"), "f", "left").withColumn("g", F.coalesce("root", "f"))
+    best = member.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tk")).alias("x"))
+    same = rows.groupBy("id", "tk").agg(F.count(F.lit(1)).alias("_n"))
+    keep = best.select(F.coalesce(F.col("x.id"), F.lit(0)).alias("_k"), F.col("x.last").alias("_null"), F.col("x.tk").alias("_tk")) \
+        .join(same.select(F.coalesce("id", F.lit(0)).alias("_k"), F.col("id").isNull().alias("_null"), F.col("tk").alias("_tk"), "_n"),
+              ["_k", "_null", "_tk"])
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    d = df.select(F.struct(*df.columns).alias("_doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_k"),
+                  F.col(id_col).isNull().alias("_null"), F.unhex(F.md5(text.cast("binary"))).alias("_tk"))
+    d = d.join(keep, ["_k", "_null", "_tk"])
+    once = d.where("_n = 1").select("_doc.*")
+    return once.unionByName(d.where("_n > 1").dropDuplicates(["_k", "_null", "_tk"]).select("_doc.*"))
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     from veloscope.llm.common import documents
     d = simhash_components(documents(spark, sf_dir))
