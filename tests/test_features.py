@@ -118,12 +118,12 @@ def test_one_user_with_a_third_of_all_rows(spark):
     t = txn_orders(spark, SF_SMALL).withColumn(
         "user_id", F.when(F.col("transaction_id") % 3 == 0, F.lit(10**9)).otherwise(F.col("user_id")))
     n = t.count()
-    split = split_hot(t, ["user_id"], threshold=n // 10, min_input_bytes=0)
+    split = split_hot(t, ["user_id"], threshold=n // 10)
     assert split.n_hot_keys == 1
     assert split.hot.select("user_id").distinct().collect()[0][0] == 10**9
     a = {r["transaction_id"]: r.asDict() for r in feature_matrix(t, hot_threshold=None).collect()}
     b = {r["transaction_id"]: r.asDict()
-         for r in feature_matrix(t, hot_threshold=n // 10, hot_min_input_bytes=0).collect()}
+         for r in feature_matrix(t, hot_threshold=n // 10).collect()}
     assert a.keys() == b.keys() and len(a) == n
     for k, row in a.items():
         for c, x in row.items():

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from veloscope.functions import columns as C
 from veloscope.operators.prefix import running_sums
 from veloscope.operators.profile import JOIN, OVER, attach, set_size
-from veloscope.operators.temporal import US, with_micros
+from veloscope.operators.skew import NULL_SALT
+from veloscope.operators.temporal import US, salted, with_micros
 
 USER = "user_id"
 
@@ -96,11 +97,11 @@ def spend_percentile(df: DataFrame, user: str = USER, id_col: str = "transaction
     #(earlier-or-own amounts <= amount) / position, in (time, id) order; a
     user with one row (or a null user) gets 0.5, a null amount 0.
     """
-    return with_micros(df).withColumns(spend_percentile_columns(user, id_col))
+    return salted(with_micros(df), user).withColumns(spend_percentile_columns(user, id_col)).drop(NULL_SALT)
 
 
 def spend_percentile_columns(user: str = USER, id_col: str = "transaction_id") -> dict[str, Column]:
-    wu = Window.partitionBy(user)
+    wu = Window.partitionBy(user, NULL_SALT)
     wt = wu.orderBy(F.col(US).asc_nulls_last(), F.col(id_col))
     run = wt.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = F.collect_list("amount").over(run)
@@ -145,25 +146,25 @@ def preferred_payment_match(df: DataFrame) -> DataFrame:
 
 
 def spend_percentile_distributed(df: DataFrame, user: str = USER, id_col: str = "transaction_id",
-                                 block: int = 2048, bins: int = 4096) -> DataFrame:
+                                 block: int = 2048) -> DataFrame:
     """D8 for hot users: the same expanding rank without any per-user task.
 
     #(earlier-or-own amounts <= a) is a two-dimensional dominance count. Rows
-    get their position p in (time, id) order from binned running counts and a
+    get their position p in (time, id) order from running counts and a
     block number b = (p - 1) // block:
 
     * inside the own block the bounded window does the counting (<= block rows);
     * earlier blocks [0, b) are covered by the Fenwick decomposition of b: for
       every set bit l of b one node ((b >> l) - 1) at level l. Each row is a data
       point of its node at every level and a query at the levels of its set
-      bits; per (user, level, node) a binned running count of data points in
+      bits; per (user, level, node) a running count of data points in
       amount order, read at each query, gives the rows with amount <= a there.
 
-    Work grows as rows x log2(blocks); no group larger than a bin or a block
+    Work grows as rows x log2(blocks); no group larger than a range partition or a block
     is ever ordered in one task.
     """
     d = with_micros(df).withColumn("_one", F.lit(1))
-    r = running_sums(d, [user], US, ["_one"], bins=bins, tiebreak=[id_col]) \
+    r = running_sums(d, [user], US, ["_one"], tiebreak=[id_col]) \
         .withColumnRenamed("run__one", "_pos").withColumnRenamed("tot__one", "_n")
     r = r.withColumn("_blk", F.floor((F.col("_pos") - 1) / block).cast("long"))
     wb = (Window.partitionBy(user, "_blk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -178,8 +179,7 @@ def spend_percentile_distributed(df: DataFrame, user: str = USER, id_col: str =
     bit = (F.floor(F.col("_blk") / scale) % 2) == 1
     query = base.where(bit).select(user, F.col("_lvl"), (F.floor(F.col("_blk") / scale) - 1).cast("long").alias("_node"),
                                    "amount", F.lit(1).alias("_kind"), F.col(id_col).alias("_qid"), F.lit(0).alias("_d"))
-    cnt = running_sums(data.unionByName(query), [user, "_lvl", "_node"], "amount", ["_d"], bins=bins,
-                       tiebreak=["_kind"])
+    cnt = running_sums(data.unionByName(query), [user, "_lvl", "_node"], "amount", ["_d"], tiebreak=["_kind"])
     earlier = cnt.where(F.col("_kind") == 1).groupBy(F.col("_qid").alias(id_col)).agg(
         F.sum("run__d").alias("_earlier"))
     out = r.join(earlier, id_col, "left")

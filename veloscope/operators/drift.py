@@ -3,7 +3,7 @@
 Numeric columns are unpivoted to (feature, x) so that every statistic is one
 grouped aggregate over all features at once. Per-feature profiles are one row
 per feature (size bounded by the number of columns) and broadcast; the
-two-sample KS statistic uses the binned running totals of ``prefix`` so a
+two-sample KS statistic uses the running totals of ``prefix`` so a
 feature holding all rows is still spread over many tasks.
 """
 
@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veloscope import constants as K
-from veloscope.session import keep_if_large
 from veloscope.functions.columns import round_to
 from veloscope.operators.prefix import exact_quantiles, running_sums
 
@@ -68,7 +67,6 @@ def ks_two_sample(ref_long: DataFrame, cur_long: DataFrame) -> DataFrame:
     u = (ref_long.select("feature", "x", F.lit(1).alias("a"), F.lit(0).alias("b"))
          .unionByName(cur_long.select("feature", "x", F.lit(0).alias("a"), F.lit(1).alias("b"))))
     pts = u.groupBy("feature", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    pts = keep_if_large(pts)  # distinct (feature, value) pairs, read by several passes
     r = running_sums(pts, ["feature"], "x", ["a", "b"])
     diff = F.abs(F.try_divide(F.col("run_a"), F.col("tot_a")) - F.try_divide(F.col("run_b"), F.col("tot_b")))
     return r.groupBy("feature").agg(F.max(diff).alias("ks_statistic"), F.first("tot_a").alias("n_ref_ks"),

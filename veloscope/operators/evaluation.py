@@ -6,8 +6,7 @@ cumulative tp/fp at threshold ``score >= p``. The curve is built without a
 global sort:
 
 1. collapse rows to distinct scores (partial aggregation);
-2. binned running totals (``prefix.running_sums``, descending): bin totals give
-   each bin's offset, a window inside each (group, bin) adds the rest.
+2. running totals over balanced range partitions (``prefix.running_sums``, descending).
 
 AUC, average precision, KS, Youden's J, precision at recall targets and the
 confusion numbers are then plain aggregates over the curve.
@@ -21,27 +20,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veloscope import constants as K
-from veloscope.session import cut_lineage, keep_if_large
-
-DEFAULT_BINS = 1024
+from veloscope.operators.prefix import running_sums
+from veloscope.session import cut_lineage
 
 
 def _grp(by: Sequence[str]) -> list[str]:
     return list(by)
 
 
-def score_curve(df: DataFrame, label: str = "is_fraud", score: str = "score", by: Sequence[str] = (),
-                bins: int = DEFAULT_BINS) -> DataFrame:
+def score_curve(df: DataFrame, label: str = "is_fraud", score: str = "score", by: Sequence[str] = ()
+                ) -> DataFrame:
     """Columns: by..., p, pos, neg, tp, fp, tot_pos, tot_neg (tp/fp count rows with score >= p)."""
-    from veloscope.operators.prefix import running_sums
     by = _grp(by)
     y = F.col(label).cast("long")
     pts = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
              .groupBy(*by, F.col(score).cast("double").alias("p"))
              .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")))
-    # the distinct-score table is read by every pass below: keep it (bounded by distinct scores)
-    pts = keep_if_large(pts)
-    r = running_sums(pts, by, "p", ["pos", "neg"], bins=bins, descending=True)
+    r = running_sums(pts, by, "p", ["pos", "neg"], descending=True)
     return r.select(*by, "p", "pos", "neg", F.col("run_pos").alias("tp"), F.col("run_neg").alias("fp"),
                     "tot_pos", "tot_neg")
 
@@ -138,10 +133,9 @@ def catch_rates(df: DataFrame, label: str = "is_fraud", score: str = "score", id
     """Share of all fraud inside the top k% by score, k = max(1, floor(n*pct/100)); ties by id.
 
     Everything strictly above the boundary score comes from the score curve;
-    only the boundary tie group is ordered, by id, with binned running counts,
+    only the boundary tie group is ordered, by id (any orderable type), with running counts,
     so even a tie group holding most rows is spread over many tasks.
     """
-    from veloscope.operators.prefix import running_sums
     by = _grp(by)
     base = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     cur = curve if curve is not None else score_curve(base, label, score, by)
@@ -159,7 +153,7 @@ def catch_rates(df: DataFrame, label: str = "is_fraud", score: str = "score", id
                     "tot_pos")
     bj = bnd.select(*[F.col(b).alias(f"_g_{b}") for b in by], "_p", "pct", "_m")
     cond = [F.col(b) == F.col(f"_g_{b}") for b in by] + [F.col(score) == F.col("_p")]
-    ties = base.select(*by, score, id_col, label).join(F.broadcast(bj), cond, "inner") \
+    ties = base.select(*by, score, id_col, label).join(bj, cond, "inner") \
                .select(*by, "pct", "_m", F.col(id_col).alias("_id"), F.col(label).cast("long").alias("_y"),
                        F.lit(1).alias("_one"))
     r = running_sums(ties, [*by, "pct"], "_id", ["_one"])

@@ -22,7 +22,7 @@ from veloscope.operators import transaction as X
 from veloscope.functions import columns as C
 from veloscope.operators.prefix import exact_quantiles
 from veloscope.operators.profile import JOIN, OVER, attach, over_columns
-from veloscope.operators.skew import DEFAULT_HOT_ROWS, split_hot
+from veloscope.operators.skew import DEFAULT_HOT_ROWS, NULL_SALT, split_hot
 from veloscope.session import cut_lineage
 
 RID = "_rid"
@@ -62,21 +62,21 @@ def _derive(df: DataFrame, groups: Sequence[str], how: str, windows: Sequence[in
     (Each DataFrame transformation re-analyses the plan; keeping the window
     columns in one projection keeps plan building cheap.)
     """
-    df = df.withColumns({T.US: C.micros("timestamp"), **T.calendar_columns()})
+    df = T.salted(df.withColumns({T.US: C.micros("timestamp"), **T.calendar_columns()}), "user_id")
     needs_user = bool({"behavioral", "transaction", "device"} & set(groups))
     if how == OVER:
         cols = {}
         if "velocity" in groups or "recency" in groups:
-            cols.update(T.velocity_columns(T._range_frame(["user_id"]), windows, "user_id"))
+            cols.update(T.velocity_columns(T._range_frame(["user_id", NULL_SALT]), windows, "user_id"))
             cols.update(T.recency_columns())
         if needs_user:
-            cols.update(over_columns(["user_id"], B.user_aggs(df)))
+            cols.update(over_columns(["user_id"], B.user_aggs(df), [NULL_SALT]))
         if "behavioral" in groups:
             if "merchant_category" in df.columns:
-                cols.update(over_columns(["user_id", "merchant_category"], {"_uc_count": F.count(F.lit(1))}))
+                cols.update(over_columns(["user_id", "merchant_category"], {"_uc_count": F.count(F.lit(1))}, [NULL_SALT]))
             cols.update(B.spend_percentile_columns())
         if "transaction" in groups:
-            cols.update(over_columns(["user_id", "merchant_id"], {"_um_count": F.count(F.lit(1))}))
+            cols.update(over_columns(["user_id", "merchant_id"], {"_um_count": F.count(F.lit(1))}, [NULL_SALT]))
         df = df.withColumns(cols)
     else:
         # hot users: every group is computed from one materialised base (checkpoint in
@@ -121,8 +121,7 @@ def compute_features(df: DataFrame, groups: Sequence[str] = ALL_GROUPS,
                      windows: Sequence[int] = K.VELOCITY_WINDOWS_HOURS,
                      hot_threshold: int | None = DEFAULT_HOT_ROWS,
                      bucket_hours: int | None = None,
-                     keep: Sequence[str] = (), fill_zero: bool = False, finish=None,
-                     hot_min_input_bytes: int | None = None) -> DataFrame:
+                     keep: Sequence[str] = (), fill_zero: bool = False, finish=None) -> DataFrame:
     """Raw (un-encoded) feature rows: ids + label + the selected feature groups.
 
     ``hot_threshold``: users with more rows take the bucketed shape
@@ -133,8 +132,7 @@ def compute_features(df: DataFrame, groups: Sequence[str] = ALL_GROUPS,
     """
     present_ids = [c for c in ID_COLUMNS if c in df.columns]
     names = [n for n in feature_names(windows, groups) if n in BASE and n in df.columns or n not in BASE]
-    split = split_hot(df, ["user_id"], hot_threshold,
-                      **({} if hot_min_input_bytes is None else {"min_input_bytes": hot_min_input_bytes}))
+    split = split_hot(df, ["user_id"], hot_threshold)
     parts = [_derive(split.normal, groups, OVER, windows, bucket_hours)]
     if split.hot is not None:
         parts.append(_derive(split.hot, groups, JOIN, windows, bucket_hours))

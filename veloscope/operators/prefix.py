@@ -1,84 +1,100 @@
 """Running totals over a large ordered group without a single-task sort.
 
-``Window.partitionBy(g).orderBy(x)`` with a running frame sends every row of
-``g`` to one task. When a group can hold a large share of the data (one
-feature of a drift check, one model of an evaluation), the running total is
-computed in two passes instead:
-
-1. each row gets a bin of x inside its group's [lo, hi] range (``bins`` equal
-   bins; the range comes from a per-group min/max aggregate);
-2. bin totals (at most groups x bins rows) get their running offsets with a
+``Window.partitionBy(g).orderBy(x)`` with a running frame sends every row of ``g`` to one task. When
+a group can hold a large share of the data (one feature of a drift check, one model of an
+evaluation, one hot user), the running total is computed over balanced range partitions instead:
+
+1. rows are range-partitioned by (group, order, tie-break) -- the sampled bounds balance rows, not
+   value ranges, and work for any orderable type -- and cut once, so that the partition number stays;
+2. totals per (group, partition), at most partitions + groups rows, get their running offsets with a
    window over that small table;
-3. a window over (group, bin) adds the running total inside the bin.
+3. a window inside (group, partition) adds the running total there.
 
-The result equals the plain running window (rows ordered by ``order``, with
-``tiebreak`` columns after it).
+The result equals the plain running window in (order, tie-break) order. Nulls of the order come last in
+either direction; a null group is a group of its own (its rows stay).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BINS = 1024
-# a bin is only worth a partition of its own once a group is this large
-ROWS_PER_BIN = 50_000
+from veloscope.session import cut_lineage
 
+PART = "__part"
 
-def running_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str],
-                 bins: int = DEFAULT_BINS, descending: bool = False,
-                 tiebreak: Sequence[str] = (), rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
-    """Adds ``run_<s>`` (inclusive running sum of each ``s``) and ``tot_<s>`` (group total).
 
-    Each group gets ceil(rows / rows_per_bin) bins, at most ``bins``: a small
-    group is one bin (a plain window), a group with billions of rows is spread
-    over ``bins`` tasks.
-    """
+def ordered(order: str, descending: bool = False) -> Column:
+    return F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
+
+
+def range_parts(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` range-partitioned by (by, order), with the partition number in ``PART``; materialised once."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.repartitionByRange(n, *[F.col(b).asc_nulls_last() for b in by], *order)
+    return cut_lineage(d.withColumn(PART, F.spark_partition_id()))
+
+
+def running_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], descending: bool = False,
+                 tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Adds ``run_<s>`` (inclusive running sum of each ``s``) and ``tot_<s>`` (group total)."""
     by = list(by)
-    rng = df.groupBy(*by).agg(F.min(order).alias("__rs_lo"), F.max(order).alias("__rs_hi"),
-                              F.least(F.lit(bins), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows_per_bin)))
-                              .alias("__rs_nb"))
-    # one row per group: small, AQE broadcasts it at run time
-    d = df.join(rng, by, "inner") if by else df.crossJoin(F.broadcast(rng))
-    width = (F.col("__rs_hi") - F.col("__rs_lo")) / F.col("__rs_nb")
-    b = F.when(width > 0, F.floor((F.col(order) - F.col("__rs_lo")) / width)).otherwise(F.lit(0))
-    d = d.withColumn("__rs_bin", F.least(F.greatest(b, F.lit(0)), F.col("__rs_nb") - 1).cast("int")) \
-         .drop("__rs_lo", "__rs_hi", "__rs_nb")
-    tot = d.groupBy(*by, "__rs_bin").agg(*[F.sum(s).alias(f"_b_{s}") for s in sums])
-    wg = Window.partitionBy(*by) if by else Window.partitionBy()
-    bo = F.col("__rs_bin").desc() if descending else F.col("__rs_bin").asc()
-    before = wg.orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*by, "__rs_bin",
+    keys = [ordered(order, descending), *[ordered(t) for t in tiebreak]]
+    d = range_parts(df, by, keys)
+    tot = d.groupBy(*by, PART).agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(f"_b_{s}") for s in sums])
+    wg = Window.partitionBy(*(by or [F.lit(0)]))
+    before = wg.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*[F.col(b).alias(f"_g_{b}") for b in by], F.col(PART).alias("_gp"),
                      *[F.coalesce(F.sum(f"_b_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
                      *[F.sum(f"_b_{s}").over(wg).alias(f"tot_{s}") for s in sums])
-    oc = F.col(order).desc() if descending else F.col(order).asc()
-    inside = (Window.partitionBy(*by, "__rs_bin").orderBy(oc, *[F.col(t) for t in tiebreak])
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = d.join(tot, [*by, "__rs_bin"], "inner")
-    return out.select(*[c for c in d.columns if c != "__rs_bin"],
-                      *[(F.col(f"_o_{s}") + F.sum(s).over(inside)).alias(f"run_{s}") for s in sums],
+    same = d[PART] == F.col("_gp")
+    for b in by:
+        same = same & d[b].eqNullSafe(F.col(f"_g_{b}"))
+    inside = Window.partitionBy(*by, PART).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = d.join(tot, same, "inner")
+    return out.select(*df.columns,
+                      *[(F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"run_{s}") for s in sums],
                       *[F.col(f"tot_{s}") for s in sums])
 
 
+def preceding_rows(df: DataFrame, order: str, lookback: int, columns: dict, block: int = 4096,
+                   tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Adds ``columns`` (name -> function of a window) over the ``lookback`` rows before each row.
+
+    Rows get their position by running counts and are windowed in blocks of positions; each block also
+    sees the last ``lookback`` rows of the one before it, so no task holds the whole table.
+    """
+    if lookback > block:
+        raise ValueError("a block must cover the look-back")
+    r = running_sums(df.withColumn("_one", F.lit(1)), [], order, ["_one"], tiebreak=tiebreak)
+    at = F.col("run__one") - 1
+    own = F.floor(at / block)
+    r = r.withColumn("_own", own).withColumn("_blk", F.explode(F.array_distinct(F.array(own, F.floor((at + lookback) / block)))))
+    w = Window.partitionBy("_blk").orderBy("run__one").rowsBetween(-lookback, -1)
+    r = r.withColumns({k: f(w) for k, f in columns.items()}).where("_blk = _own")
+    return r.select(*df.columns, *columns)
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float],
-                    bins: int = DEFAULT_BINS, prefix: str = "q") -> DataFrame:
+                    prefix: str = "q") -> DataFrame:
     """Exact linear-interpolation quantiles per group without a single-task merge.
 
     ``percentile``/``median`` aggregates merge every distinct value of a group in
     one task. Here values become a (group, value, count) histogram (partial
-    aggregation, spread by value), binned running counts give each value's rank
+    aggregation, spread by value), running counts give each value's rank
     range, and the two order statistics around h = (n - 1) q are picked by a
     conditional min. One output row per group with columns ``{prefix}{i}``.
     """
     by = list(by)
     base = df.where(F.col(value).isNotNull())
     hist = base.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    # read by several passes: keep it (bounded by distinct values per group)
-    from veloscope.session import keep_if_large
-    hist = keep_if_large(hist)
-    r = running_sums(hist, by, "_v", ["_c"], bins=bins)
+    return quantiles_of(running_sums(hist, by, "_v", ["_c"]), by, qs, prefix)
+
+
+def quantiles_of(r: DataFrame, by: Sequence[str], qs: Sequence[float], prefix: str = "q") -> DataFrame:
+    """The quantiles from a (by, _v, _c) histogram with its running counts."""
     # rows with 0-based ranks [run - c, run - 1] hold value _v
     lo_rank = F.col("run__c") - F.col("_c")
     aggs = [F.first("tot__c").alias("_n")]
@@ -87,6 +103,6 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[f
         for side, k in (("lo", F.floor(h)), ("hi", F.ceil(h))):
             aggs.append(F.min(F.when((lo_rank <= k) & (F.col("run__c") - 1 >= k), F.col("_v"))).alias(f"_{side}{i}"))
         aggs.append(F.first((h - F.floor(h)).alias("_f")).alias(f"_f{i}"))
-    g = r.groupBy(*by).agg(*aggs) if by else r.agg(*aggs)
+    g = r.groupBy(*by).agg(*aggs)
     return g.select(*by, "_n", *[(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
                                  .alias(f"{prefix}{i}") for i in range(len(qs))])

@@ -37,10 +37,13 @@ def _keys_ok(keys: list[str]) -> Column:
     return ok
 
 
-def over_columns(keys: list[str], aggs: dict) -> dict[str, Column]:
-    """The ``OVER`` shape as a column dict (so many windows go into one projection)."""
+def over_columns(keys: list[str], aggs: dict, spread: list[str] = ()) -> dict[str, Column]:
+    """The ``OVER`` shape as a column dict (so many windows go into one projection).
+
+    ``spread``: columns that are constant for a key and cut the rows without a key into small groups.
+    """
     ok = _keys_ok(keys)
-    w = Window.partitionBy(*keys)
+    w = Window.partitionBy(*keys, *spread)
     return {n: F.when(ok, post(e.over(w)) if post else e.over(w)) for n, (e, post) in _norm(aggs).items()}
 
 

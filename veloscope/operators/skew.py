@@ -4,32 +4,27 @@ Per-key window operators put every row of one key into one task. A key that
 holds a large share of the rows (one user with a third of all transactions)
 would make that task the whole job. ``hot_keys`` finds such keys with a
 partially aggregated count (map-side combine, so the count itself is skew-safe)
-and ``split_hot`` routes their rows to a separate, bucketed plan.
+and ``split_hot`` routes their rows to a separate, bucketed plan. Both plans give the same values.
 
-The hot-key table has at most ``rows / threshold`` entries; its size is also
-counted before it is broadcast, and beyond ``max_broadcast_keys`` the routing
-join falls back to a shuffle join.
+The hot-key table has at most ``rows / threshold`` entries; it is written once, and how it is
+joined is left to the optimizer. Null keys are never hot; the windows spread them with
+``null_salt``, as no feature is computed over the rows of a null key.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veloscope.session import written_once
+
 # Per-user work on the plain shape is up to quadratic in the user's rows (the
 # expanding spend percentile, sliding frames that recompute over the frame), so
-# users above 20 000 rows take the bucketed / binned shapes. The hot-key table
-# then has at most rows / 20 000 entries; past ``max_broadcast_keys`` it is
-# joined by shuffle instead of broadcast.
+# users above 20 000 rows take the bucketed shapes.
 DEFAULT_HOT_ROWS = 20_000
-DEFAULT_MAX_BROADCAST_KEYS = 100_000
-# Optional gate: skip detection for inputs whose size estimate is below this many
-# bytes. Off by default -- compressed inputs give no safe bound on rows per key
-# (a dictionary-encoded key column can hold millions of rows in a few KB), and
-# detection is one aggregate over the key column only.
-DEFAULT_MIN_INPUT_BYTES = 0
+NULL_SALT = "_nsalt"
 
 
 @dataclass
@@ -39,6 +34,11 @@ class HotSplit:
     n_hot_keys: int
 
 
+def null_salt(key: str, *spread: str) -> Column:
+    """A window partition column that spreads the rows of a null key and is null elsewhere."""
+    return F.when(F.col(key).isNull(), F.xxhash64(*spread))
+
+
 def hot_keys(df: DataFrame, keys: list[str], threshold: int) -> DataFrame:
     """Keys with more than ``threshold`` rows (null keys are never hot)."""
     cond = F.lit(True)
@@ -48,33 +48,18 @@ def hot_keys(df: DataFrame, keys: list[str], threshold: int) -> DataFrame:
             .where(F.col("_n") > threshold).select(*keys))
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer size estimate of a plan (None when unavailable)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimate only
-        return None
-
-
-def split_hot(df: DataFrame, keys: list[str], threshold: int | None = DEFAULT_HOT_ROWS,
-              max_broadcast_keys: int = DEFAULT_MAX_BROADCAST_KEYS,
-              min_input_bytes: int = DEFAULT_MIN_INPUT_BYTES) -> HotSplit:
+def split_hot(df: DataFrame, keys: list[str], threshold: int | None = DEFAULT_HOT_ROWS) -> HotSplit:
     """Split ``df`` into rows of normal keys and rows of hot keys.
 
     ``threshold=None`` disables detection (everything is normal); ``0`` routes
     every key to the hot shape. When no key is hot the input is returned
     unchanged, so the common case costs one small aggregate job and adds no
-    join to the plan; inputs smaller than ``min_input_bytes`` skip even that.
+    join to the plan.
     """
     if threshold is None:
         return HotSplit(df, None, 0)
-    if threshold > 0:
-        size = estimated_bytes(df)
-        if size is not None and size < min_input_bytes:
-            return HotSplit(df, None, 0)
-    hk = hot_keys(df, keys, threshold)
+    hk = written_once(hot_keys(df, keys, threshold), "hot-keys")
     n = hk.count()
     if n == 0:
         return HotSplit(df, None, 0)
-    side = F.broadcast(hk) if n <= max_broadcast_keys else hk
-    return HotSplit(df.join(side, keys, "left_anti"), df.join(side, keys, "left_semi"), n)
+    return HotSplit(df.join(hk, keys, "left_anti"), df.join(hk, keys, "left_semi"), n)

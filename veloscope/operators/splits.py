@@ -2,7 +2,7 @@
 
 Rows are ordered inside their class by a seeded hash (first 60 bits of
 md5(id|seed)); a row's position in that order decides its split or fold. The
-position comes from ``prefix.running_sums`` (binned running count), so the
+position comes from ``prefix.running_sums`` (running count over range partitions), so the
 two classes -- two huge groups -- never sit in two tasks.
 """
 
@@ -36,22 +36,22 @@ def stratified_split(df: DataFrame, label: str = "is_fraud", id_col: str = "tran
                      seed: int = K.SPLIT_SEED) -> DataFrame:
     """L1: adds ``split`` in {train, val, test}, exact per class.
 
-    test = ceil(test_size * n_c); val = ceil(val_size / (1 - test_size) * (n_c - test)).
+    Unlabelled rows get the split ``unlabelled``. test = ceil(test_size * n_c); val = ceil(val_size / (1 - test_size) * (n_c - test)).
     """
     p = class_positions(df, label, id_col, seed)
     n = F.col("_n_class").cast("double")
     n_test = F.ceil(n * test_size)
     n_val = F.ceil((n - n_test) * (val_size / (1 - test_size)))
-    split = (F.when(F.col("_pos") <= n_test, "test").when(F.col("_pos") <= n_test + n_val, "val")
+    split = (F.when(F.col(label).isNull(), "unlabelled").when(F.col("_pos") <= n_test, "test").when(F.col("_pos") <= n_test + n_val, "val")
              .otherwise("train"))
     return p.withColumn("split", split).drop("_pos", "_n_class")
 
 
 def stratified_folds(df: DataFrame, k: int = K.CV_FOLDS, label: str = "is_fraud",
                      id_col: str = "transaction_id", seed: int = K.SPLIT_SEED) -> DataFrame:
-    """L2: adds ``fold`` in 0..k-1, round-robin over each class's hash order."""
+    """L2: adds ``fold`` in 0..k-1, round-robin over each class's hash order (null: unlabelled)."""
     p = class_positions(df, label, id_col, seed)
-    return p.withColumn("fold", ((F.col("_pos") - 1) % k).cast("int")).drop("_pos", "_n_class")
+    return p.withColumn("fold", F.when(F.col(label).isNotNull(), ((F.col("_pos") - 1) % k).cast("int"))).drop("_pos", "_n_class")
 
 
 def class_weight(df: DataFrame, label: str = "is_fraud") -> DataFrame:

@@ -35,8 +35,9 @@ def user_updates(txn: DataFrame) -> DataFrame:
 def latest_per_key(updates: DataFrame, key: str = USER, fields: Sequence[str] = FIELDS) -> DataFrame:
     """Newest write per key (ties: larger sequence id) -- partial aggregation, no per-key task."""
     order = F.struct(F.col("updated_at"), F.col("_seq"))
+    # a null in a write leaves the field as it was, inside a batch as well as across batches
     return updates.groupBy(key).agg(
-        *[F.max_by(f, order).alias(f) for f in fields], F.max("updated_at").alias("updated_at"))
+        *[F.max_by(f, F.when(F.col(f).isNotNull(), order)).alias(f) for f in fields], F.max("updated_at").alias("updated_at"))
 
 
 def upsert(store: DataFrame, updates: DataFrame, key: str = USER, fields: Sequence[str] = FIELDS) -> DataFrame:
@@ -82,27 +83,27 @@ def session_counter(df: DataFrame, window_minutes: int, user: str = USER, id_col
     name = name or f"counter_{window_minutes}m"
     gap = window_minutes * 60 * 1_000_000
     df = with_micros(df)
-    wt = Window.partitionBy(user).orderBy(F.col(US), F.col(id_col))
+    wt = Window.partitionBy(user).orderBy(F.col(US).asc_nulls_last(), F.col(id_col))
     prev = F.lag(US).over(wt)
     d = df.withColumn("_new", F.when(prev.isNull() | (F.col(US) - prev >= gap), 1).otherwise(0))
     run = wt.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_sess", F.sum("_new").over(run))
-    ws = Window.partitionBy(user, "_sess").orderBy(F.col(US), F.col(id_col))
+    ws = Window.partitionBy(user, "_sess").orderBy(F.col(US).asc_nulls_last(), F.col(id_col))
     return d.withColumn(name, F.row_number().over(ws)).drop("_new", "_sess")
 
 
 def session_counters_distributed(df: DataFrame, windows: Sequence[int], user: str = USER,
-                                 id_col: str = "transaction_id", bins: int = 4096) -> DataFrame:
+                                 id_col: str = "transaction_id") -> DataFrame:
     """G6 for hot users, same values as ``session_counter`` without a per-user task.
 
-    previous timestamp → new-session flags → (binned running sums) position and
+    previous timestamp → new-session flags → (running sums) position and
     session number → session start position (groupBy + join) → counter.
     """
     d = previous_values(with_micros(df), [US], [user], id_col, prefix="_p")
     flags = {f"_new{m}": F.when(F.col(f"_p{US}").isNull() | (F.col(US) - F.col(f"_p{US}") >= m * 60_000_000), 1)
              .otherwise(0) for m in windows}
     d = d.withColumns({"_one": F.lit(1), **flags})
-    r = running_sums(d, [user], US, ["_one", *flags], bins=bins, tiebreak=[id_col])
+    r = running_sums(d, [user], US, ["_one", *flags], tiebreak=[id_col])
     for m in windows:
         starts = r.groupBy(user, f"run__new{m}").agg(F.min("run__one").alias(f"_start{m}"))
         r = r.join(starts, [user, f"run__new{m}"], "left").withColumn(
@@ -137,7 +138,8 @@ def asof_profile(df: DataFrame, cols: Sequence[str] = ("amount", "timestamp"), u
     """What the store held for the user just before this event: the previous
     event's fields (last non-null; null for the first event)."""
     split = split_hot(with_micros(df), [user], hot_threshold)
-    w = Window.partitionBy(user).orderBy(F.col(US), F.col(id_col)).rowsBetween(Window.unboundedPreceding, -1)
+    w = (Window.partitionBy(user).orderBy(F.col(US).asc_nulls_last(), F.col(id_col))
+         .rowsBetween(Window.unboundedPreceding, -1))
     plain = split.normal.withColumns({f"prev_{c}": F.last(c, ignorenulls=True).over(w) for c in cols})
     if split.hot is None:
         return plain

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from veloscope import constants as K
 from veloscope.functions import columns as C
+from veloscope.operators.skew import NULL_SALT, null_salt
 
 HOUR_US = 3600 * 1_000_000
 DAY_US = 24 * HOUR_US
@@ -74,6 +75,13 @@ def velocity_columns(frame: Callable[[int], Window], windows: Sequence[int], use
     return out
 
 
+def salted(df: DataFrame, key: str) -> DataFrame:
+    """Adds ``NULL_SALT``: the windows below spread the rows of a null key, whose values are constants."""
+    if NULL_SALT in df.columns:
+        return df
+    return df.withColumn(NULL_SALT, null_salt(key, US, *[c for c in ("transaction_id", "amount") if c in df.columns]))
+
+
 def _range_frame(partition: list[str]) -> Callable[[int], Window]:
     def frame(h: int):
         return (Window.partitionBy(*partition).orderBy(F.col(US).asc_nulls_last())
@@ -84,17 +92,17 @@ def _range_frame(partition: list[str]) -> Callable[[int], Window]:
 def plain_velocity(df: DataFrame, windows: Sequence[int] = K.VELOCITY_WINDOWS_HOURS,
                    user: str = "user_id", extra_distinct=(("unique_merchants", "merchant_id"),)
                    ) -> DataFrame:
-    df = with_micros(df)
-    return df.withColumns(velocity_columns(_range_frame([user]), windows, user, extra_distinct))
+    df = salted(with_micros(df), user)
+    return df.withColumns(velocity_columns(_range_frame([user, NULL_SALT]), windows, user, extra_distinct)).drop(NULL_SALT)
 
 
 def plain_recency(df: DataFrame, user: str = "user_id", id_col: str = "transaction_id") -> DataFrame:
     """C10 days_since_first_txn, C11 seconds_since_last_txn (first row / null → -1)."""
-    return with_micros(df).withColumns(recency_columns(user, id_col))
+    return salted(with_micros(df), user).withColumns(recency_columns(user, id_col)).drop(NULL_SALT)
 
 
 def recency_columns(user: str = "user_id", id_col: str = "transaction_id") -> dict[str, Column]:
-    wu = Window.partitionBy(user)
+    wu = Window.partitionBy(user, NULL_SALT)
     wt = wu.orderBy(F.col(US).asc_nulls_last(), F.col(id_col))
     ok = _valid(user)
     return {
@@ -177,12 +185,13 @@ def previous_values(df: DataFrame, cols, keys=("user_id",), id_col: str = "trans
     window over that small table, so a hot key never sits in one task.
     """
     keys = list(keys)
-    d = with_micros(df).withColumn(BK, F.floor(F.col(US) / F.lit(bucket_us)))
+    # rows without a time come last: a bucket after all others
+    d = with_micros(df).withColumn(BK, F.coalesce(F.floor(F.col(US) / F.lit(bucket_us)), F.lit(2**62)))
     order = [F.col(US).asc_nulls_last(), F.col(id_col)]
     w_in = Window.partitionBy(*keys, BK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumns({f"_in_{c}": F.last(c, ignorenulls=True).over(w_in) for c in cols})
     per = d.groupBy(*keys, BK).agg(*[
-        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.col(US), F.col(id_col)))).alias(f"_b_{c}")
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.coalesce(F.col(US), F.lit(2**62)), F.col(id_col)))).alias(f"_b_{c}")
         for c in cols])
     wb = Window.partitionBy(*keys).orderBy(BK).rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*keys, BK, *[F.last(f"_b_{c}", ignorenulls=True).over(wb).alias(f"_c_{c}") for c in cols])

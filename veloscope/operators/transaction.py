@@ -123,7 +123,8 @@ def merchant_fraud_rate_30d(df: DataFrame, days: int = 30, hot_threshold: int |
     from veloscope.operators.skew import DEFAULT_HOT_ROWS, split_hot
     from veloscope.operators.temporal import BK, TGT, with_halo
     span = days * 86400 * 1_000_000
-    df = with_micros(df)
+    from veloscope.operators.skew import NULL_SALT, null_salt
+    df = with_micros(df).withColumn(NULL_SALT, null_salt("merchant_id", US, "transaction_id"))
 
     def rate(part):
         w = Window.partitionBy(*part).orderBy(F.col(US)).rangeBetween(-span, -1)
@@ -132,10 +133,10 @@ def merchant_fraud_rate_30d(df: DataFrame, days: int = 30, hot_threshold: int |
                       F.sum("is_fraud").over(w) / n).otherwise(F.lit(0.0))
 
     split = split_hot(df, ["merchant_id"], DEFAULT_HOT_ROWS if hot_threshold is None else hot_threshold)
-    plain = split.normal.withColumn("merchant_fraud_rate_30d", rate(["merchant_id"]))
+    plain = split.normal.withColumn("merchant_fraud_rate_30d", rate(["merchant_id", NULL_SALT])).drop(NULL_SALT)
     if split.hot is None:
         return plain
-    hot = split.hot
+    hot = split.hot.drop(NULL_SALT)
     nulls = hot.where(F.col(US).isNull()).withColumn("merchant_fraud_rate_30d", F.lit(0.0))
     # the frame [t - span, t) reaches at most one bucket back when buckets are span + 1 wide
     rows = with_halo(hot.where(F.col(US).isNotNull()), span + 1, span + 1)
@@ -148,7 +149,7 @@ def distance_from_home(df: DataFrame, id_col: str = "transaction_id", hot_thresh
                        ) -> DataFrame:
     """M6: km from the user's mean location over earlier rows (first row / no location → 0).
 
-    Hot users get the mean of earlier rows from binned running sums (sum and
+    Hot users get the mean of earlier rows from running sums (sum and
     count up to the row, minus the row itself) instead of a per-user window.
     """
     if "latitude" not in df.columns or "longitude" not in df.columns:
@@ -165,7 +166,7 @@ def distance_from_home(df: DataFrame, id_col: str = "transaction_id", hot_thresh
         return plain
     parts = {"_la": F.coalesce(F.col("latitude"), F.lit(0.0)), "_lac": F.col("latitude").isNotNull().cast("long"),
              "_lo": F.coalesce(F.col("longitude"), F.lit(0.0)), "_loc": F.col("longitude").isNotNull().cast("long")}
-    h = split.hot.where(F.col(US).isNotNull()).withColumns(parts)
+    h = split.hot.withColumns(parts)
     r = running_sums(h, [USER], US, list(parts), tiebreak=[id_col])
     prev = {k: F.col(f"run_{k}") - F.col(k) for k in parts}
     mlat = F.when(prev["_lac"] > 0, prev["_la"] / prev["_lac"])
@@ -173,13 +174,7 @@ def distance_from_home(df: DataFrame, id_col: str = "transaction_id", hot_thresh
     hot = r.withColumn("distance_from_home",
                        F.coalesce(C.haversine_km(mlat, mlon, "latitude", "longitude"), F.lit(0.0))) \
            .drop(*parts, *[f"run_{k}" for k in parts], *[f"tot_{k}" for k in parts])
-    # rows without a timestamp sort last in the plain shape: their mean covers all dated rows
-    undated = split.hot.where(F.col(US).isNull())
-    if undated.isEmpty():
-        return plain.unionByName(hot)
-    return plain.unionByName(hot).unionByName(
-        distance_from_home(undated.unionByName(split.hot.where(F.col(US).isNotNull())), id_col, None)
-        .where(F.col(US).isNull()))
+    return plain.unionByName(hot)
 
 
 def device_age(df: DataFrame, how: str = JOIN) -> DataFrame:
@@ -217,7 +212,7 @@ def first_use_flags(df: DataFrame, id_col: str = "transaction_id", how: str = JO
 def force_positive_count(df: DataFrame, target: int, label: str = "is_fraud", id_col: str = "transaction_id",
                          seed: int = K.SPLIT_SEED) -> DataFrame:
     """Exactly ``target`` positives: the surplus positives (or the missing count of
-    negatives) with the smallest seeded hash flip. Positions come from binned running
+    negatives) with the smallest seeded hash flip. Positions come from running
     counts, so neither class sits in one task."""
     from veloscope.operators.splits import class_positions
     cnt = df.agg(F.sum(F.col(label)).alias("_npos"))
@@ -240,13 +235,10 @@ def oversample_minority(df: DataFrame, ratio: float = K.OVERSAMPLE_RATIO, label:
     return j.withColumn("copy", F.explode(reps)).drop("_p", "_q", "_k")
 
 
-def ip_risk(df: DataFrame, risk_table: DataFrame, ip_col: str = "ip_address",
-            max_broadcast_rows: int = 5_000_000) -> DataFrame:
+def ip_risk(df: DataFrame, risk_table: DataFrame, ip_col: str = "ip_address") -> DataFrame:
     """ip_risk_score / vpn_detected from a user-given (ip_address, ip_risk_score,
-    vpn_detected) table; broadcast only when its counted size is under the bound."""
-    n = risk_table.count()
-    side = F.broadcast(risk_table) if n <= max_broadcast_rows else risk_table
-    out = df.join(side, ip_col, "left")
+    vpn_detected) table; the optimizer picks the join."""
+    out = df.join(risk_table, ip_col, "left")
     return out.withColumns({"ip_risk_score": F.coalesce("ip_risk_score", F.lit(0.0)),
                             "vpn_detected": F.coalesce(F.col("vpn_detected").cast("int"), F.lit(0))})
 

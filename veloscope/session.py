@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,21 +49,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
-
-    Only when the setting is absent (tests, local runs) do we create one of our own.
-    """
+    """The shared folder named by the cluster in ``spark.checkpoint.dir`` (tests name their own)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="veloscope-ckpt-")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = tempfile.mkdtemp(prefix="veloscope-")        # one process on one machine: tests and local runs
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
-    return path
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -72,23 +72,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, name)
-
-
-# caching pays off only when recomputing the plan means re-reading a lot of data
-REUSE_MIN_BYTES = 1 << 30
-
-
-def keep_if_large(df: DataFrame, min_bytes: int = REUSE_MIN_BYTES) -> DataFrame:
-    """Persist (memory and disk) a table that several later passes read, when the plan
-    behind it is large; small plans are cheaper to recompute than to cache.
-    Cached blocks are recomputed from lineage if an executor is lost."""
-    from pyspark import StorageLevel
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimate only
-        size = None
-    if size is not None and size >= min_bytes:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, read back: computed once, with known size.
+
+    The folder is removed when the driver process ends.
+    """
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    _written.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _remove_written() -> None:
+    for spark, path in _written:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session may be gone; the folder is scratch
+            return
