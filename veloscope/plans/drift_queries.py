@@ -109,8 +109,8 @@ summ AS (SELECT {len(FEATS)} AS total_features_checked, count(*) FILTER (WHERE d
 def _alert_sql():
     return REPORT_SQL + f""",
 nm AS (SELECT list_sort(list(feature)) AS names FROM per WHERE drifted = 1),
-al AS (SELECT 'drift' AS alert_type, 'Data drift detected' AS title,
-              printf('%d feature(s) drifted. Max PSI=%.3f (threshold=%.2f). Drifted: ', drifted_feature_count, max_psi,
+al AS (SELECT 'drift' AS alert_type, 'Inputs moved away from their reference' AS title,
+              printf('%d moved, largest PSI %.3f (limit %.2f): ', drifted_feature_count, max_psi,
                      {K.PSI_THRESHOLD}) || array_to_string(names[1:5], ', ')
                 || CASE WHEN len(names) > 5 THEN ' ...' ELSE '' END AS message,
               CASE WHEN max_psi > {K.DRIFT_CRITICAL_PSI} THEN 'CRITICAL' ELSE 'WARNING' END AS severity,

@@ -108,8 +108,8 @@ def _perf_run(spark, sf_dir):
 PERF_SQL = f"""WITH {DAILY_CTE},
 l AS (SELECT day, auc_pr AS current, lag(auc_pr) OVER (ORDER BY day) AS baseline FROM m),
 dd AS (SELECT *, CASE WHEN baseline > 0 THEN (baseline - current) / baseline * 100 END AS drop_pct FROM l),
-q AS (SELECT day, 'performance' AS alert_type, 'Model performance degraded' AS title,
-             printf('auc_pr dropped %.1f%% (%.4f -> %.4f). Consider retraining.', drop_pct, baseline, current) AS message,
+q AS (SELECT day, 'performance' AS alert_type, 'Metric fell since the last period' AS title,
+             printf('auc_pr: %.1f%% lower, %.4f to %.4f', drop_pct, baseline, current) AS message,
              CASE WHEN drop_pct > {K.PERF_DROP_CRITICAL_PCT} THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
              'evaluator' AS source,
              '{{"metric":"auc_pr","current":' || round(current, 4) || ',"baseline":' || round(baseline, 4)

@@ -30,20 +30,20 @@ a AS (SELECT count(*) AS n_rows,
       FROM txn),
 b AS (SELECT *, n_rows - n_distinct_ids - CASE WHEN n_null_txn_id > 0 THEN 1 ELSE 0 END AS n_duplicate_ids,
              concat_ws('; ',
-               CASE WHEN n_null_txn_id > 0 THEN printf('%d rows have null transaction_id', n_null_txn_id) END,
-               CASE WHEN n_null_user_id > 0 THEN printf('%d rows have null user_id', n_null_user_id) END,
-               CASE WHEN n_bad_amount > 0 THEN printf('%d rows have amount outside valid range [{lo}, {hi:.1f}]',
+               CASE WHEN n_null_txn_id > 0 THEN printf('transaction_id: %d null', n_null_txn_id) END,
+               CASE WHEN n_null_user_id > 0 THEN printf('user_id: %d null', n_null_user_id) END,
+               CASE WHEN n_bad_amount > 0 THEN printf('amount: %d not within {lo} and {hi:.1f}',
                                                      n_bad_amount) END,
-               CASE WHEN n_null_amount > 0 THEN printf('%d rows have null amount', n_null_amount) END,
-               CASE WHEN n_null_label > 0 THEN printf('%d rows have null is_fraud label', n_null_label) END)
+               CASE WHEN n_null_amount > 0 THEN printf('amount: %d null', n_null_amount) END,
+               CASE WHEN n_null_label > 0 THEN printf('is_fraud: %d null', n_null_label) END)
                AS errors
       FROM a),
 c AS (SELECT *, CAST(errors = '' AS INTEGER) AS passed,
              greatest(0, n_rows - n_null_txn_id - n_bad_amount) AS n_rows_valid,
              concat_ws('; ',
-               CASE WHEN n_duplicate_ids > 0 THEN printf('%d duplicate transaction_id values found', n_duplicate_ids) END,
-               CASE WHEN fraud_rate < {K.MIN_FRAUD_RATE} THEN printf('Very low fraud rate: %.4f%%', fraud_rate * 100) END,
-               CASE WHEN fraud_rate > {K.MAX_FRAUD_RATE} THEN printf('Unusually high fraud rate: %.2f%%', fraud_rate * 100) END)
+               CASE WHEN n_duplicate_ids > 0 THEN printf('transaction_id: %d repeated', n_duplicate_ids) END,
+               CASE WHEN fraud_rate < {K.MIN_FRAUD_RATE} THEN printf('is_fraud: only %.4f%% positive', fraud_rate * 100) END,
+               CASE WHEN fraud_rate > {K.MAX_FRAUD_RATE} THEN printf('is_fraud: as much as %.2f%% positive', fraud_rate * 100) END)
                AS warnings
       FROM b)
 SELECT {sql_select(REPORT)} FROM c"""

@@ -179,8 +179,8 @@ z AS (SELECT window_start, fraud_rate AS current_rate,
       FROM h WINDOW w AS (ORDER BY window_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
 z2 AS (SELECT *, CASE WHEN sd > 0 THEN (current_rate - baseline_rate) / sd END AS z_score FROM z),
 fr AS (SELECT 'fraud_rate' AS alert_type,
-              'Fraud rate ' || CASE WHEN current_rate > baseline_rate THEN 'spike' ELSE 'drop' END || ' detected' AS title,
-              printf('Fraud rate %.3f%% vs baseline %.3f%% (z=%.1f sigma).', current_rate * 100, baseline_rate * 100,
+              CASE WHEN current_rate > baseline_rate THEN 'spike' ELSE 'drop' END || ' of the fraud rate' AS title,
+              printf('%.3f%% flagged, usually %.3f%% (z %.1f)', current_rate * 100, baseline_rate * 100,
                      z_score) AS message,
               CASE WHEN abs(z_score) > {K.FRAUD_RATE_Z_CRITICAL} THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
               'monitor' AS source,
@@ -189,8 +189,8 @@ fr AS (SELECT 'fraud_rate' AS alert_type,
        FROM z2 WHERE abs(z_score) > 2.0),
 srt AS (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) AS rn, count(*) OVER () AS n FROM log),
 p99 AS (SELECT latency_ms AS p99_ms FROM srt WHERE rn = floor(n * 0.99) + 1),
-lat AS (SELECT 'latency' AS alert_type, 'Latency SLA breached' AS title,
-               printf('P99 latency %.0fms exceeds SLA {K.LATENCY_P99_SLA_MS:.0f}ms.', p99_ms) AS message,
+lat AS (SELECT 'latency' AS alert_type, 'Slow responses' AS title,
+               printf('p99 %.0f ms, limit {K.LATENCY_P99_SLA_MS:.0f} ms', p99_ms) AS message,
                'WARNING' AS severity, 'monitor' AS source,
                '{{"p99_ms":' || p99_ms || ',"sla_ms":{K.LATENCY_P99_SLA_MS}}}' AS details
         FROM p99 WHERE p99_ms > {K.LATENCY_P99_SLA_MS}),

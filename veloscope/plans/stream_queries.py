@@ -1,11 +1,10 @@
 """Registered streaming queries: each stages a driver table as JSON event files
-(in time slices written one after another), runs the stream to completion with
-``availableNow`` and returns what the sink received, so the result can be
+(a time slice at a time, one file per partition), runs the stream to completion on each with
+``availableNow`` and returns what the sinks received, so the result can be
 checked against the batch SQL of the same operator."""
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 
 from veloscope import constants as K
 from veloscope.functions import columns as C
-from veloscope.operators import store as ST
 from veloscope.plans.common import Query, project, registry, sql_select
 from veloscope.plans.scoring_queries import TIER_SQL
 from veloscope.plans.store_queries import _vel_sql
@@ -25,46 +23,79 @@ from veloscope.streaming import sources as SS
 SLICES = 4
 
 
+def sliced(txn: DataFrame, slices: int = SLICES) -> DataFrame:
+    """Adds ``_slice`` by quarter of the period; rows without a time travel with the first."""
+    mm = txn.agg(F.unix_micros(F.min("timestamp")).alias("_a"), F.unix_micros(F.max("timestamp")).alias("_b"))
+    at = F.floor((F.unix_micros("timestamp") - F.col("_a")) * slices / F.greatest(F.col("_b") - F.col("_a"), F.lit(1)))
+    return txn.crossJoin(F.broadcast(mm)).withColumn("_slice", F.coalesce(F.least(at, F.lit(slices - 1)), F.lit(0))).drop("_a", "_b")
+
+
+def stage_messages(messages: DataFrame, root: str, i: int) -> None:
+    """One time slice (``_slice``, ``value``) as message files, one per partition."""
+    messages.where(F.col("_slice") == i).select("value").write.text(f"{root}/in/slice_{i:03d}")
+
+
 def stage_events(spark: SparkSession, txn: DataFrame, name: str, slices: int = SLICES) -> str:
     """Write ``txn`` as event JSON into a fresh folder, one time slice per sub-folder."""
     root = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:8]}")
-    mm = txn.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
-    lo, hi = mm["a"], mm["b"]
-    step = (hi - lo) / slices
+    messages = as_messages(txn)
     for i in range(slices):
-        a = lo + step * i
-        cond = F.col("timestamp") >= F.lit(a)
-        if i < slices - 1:
-            cond = cond & (F.col("timestamp") < F.lit(lo + step * (i + 1)))
-        SS.to_event_json(txn.where(cond)).coalesce(1).write.text(os.path.join(root, "in", f"slice_{i:03d}"))
+        stage_messages(messages, root, i)
     return root
 
 
-def run_to_parquet(stream_df: DataFrame, root: str, mode: str = "append") -> DataFrame:
-    out, ck = os.path.join(root, "out"), os.path.join(root, "checkpoint")
-    q = (stream_df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-         .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return stream_df.sparkSession.read.parquet(out)
+def as_messages(txn: DataFrame) -> DataFrame:
+    t = sliced(txn)
+    return SS.to_event_json(t, keep=("_slice",))
+
+
+def run_slices(spark, messages: DataFrame, root: str, start, slices: int = SLICES) -> None:
+    """Stage a slice, run the stream until it is done, and so on: each slice is a micro-batch after a restart."""
+    for i in range(slices):
+        stage_messages(messages, root, i)
+        start(SS.text_stream(spark, f"{root}/in/slice_*")).awaitTermination()
+
+
+def run_to_parquet(spark, messages: DataFrame, root: str, build, slices: int = SLICES) -> DataFrame:
+    def start(raw):
+        d = build(SS.good_events(SS.parse_events(raw)))
+        return (d.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+                .outputMode("append").trigger(availableNow=True).start())
+    run_slices(spark, messages, root, start, slices)
+    return spark.read.parquet(f"{root}/out")
+
+
+def _root(spark, name: str) -> str:
+    return scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:8]}")
 
 
 def _events_feed(spark, sf_dir):
-    """events as an event feed: no merchant category (normalised to 'other')."""
-    return SOURCES["events"][0](spark, sf_dir).drop("merchant_category")
+    """events as an event feed; the event types become categories of the contract ('error' does not keep it)."""
+    t = SOURCES["events"][0](spark, sf_dir)
+    return t.withColumn("merchant_category", category())
+
+
+#: event type -> category of the contract
+CATEGORY = {"click": "electronics", "view": "groceries", "purchase": "travel", "signup": "other"}
+
+
+def category():
+    c = F.col("merchant_category")
+    for k, v in CATEGORY.items():
+        c = F.when(F.col("merchant_category") == k, v).otherwise(c)
+    return c
 
 
 def _parsed(spark, root):
-    raw = SS.text_stream(spark, os.path.join(root, "in", "slice_*"), max_files_per_trigger=1)
-    return SS.good_events(SS.parse_events(raw))
+    return SS.good_events(SS.parse_events(SS.text_stream(spark, f"{root}/in/slice_*", max_files_per_trigger=1)))
 
 
 VEL = {"transaction_id": "l", "user_id": "l", "counter_60m": "l"}
 
 
 def _vel_run(spark, sf_dir):
-    root = stage_events(spark, _events_feed(spark, sf_dir), "velocity")
-    out = run_to_parquet(J.velocity_counter_stream(_parsed(spark, root)), root)
-    return project(out, VEL)
+    messages = as_messages(_events_feed(spark, sf_dir))
+    return project(run_to_parquet(spark, messages, _root(spark, "velocity"), J.velocity_counter_stream), VEL)
 
 
 def _vel_stream_sql():
@@ -75,28 +106,58 @@ def _vel_stream_sql():
 SCORED = {"transaction_id": "l", "fraud_probability": "d", "fraud_label": "l", "risk_tier": "s", "decision": "s"}
 
 
+def _score_sinks(spark, sf_dir) -> str:
+    """Run the scoring stream over a feed of which some messages are cut short or lack a time; returns the sinks' folder."""
+    t = _events_feed(spark, sf_dir)
+    t = t.withColumn("timestamp", F.when(F.col("transaction_id") % 13 != 5, F.col("timestamp")))
+    m = as_messages(t).withColumn("value", F.when(F.col("_id") % 11 == 3, F.expr("left(value, length(value) - 7)")).otherwise(F.col("value")))
+    root = _root(spark, "scoring")
+    run_slices(spark, m, root, lambda raw: J.scoring_stream(raw, f"{root}/sink", f"{root}/checkpoint"))
+    return f"{root}/sink"
+
+
 def _score_run(spark, sf_dir):
-    root = stage_events(spark, _events_feed(spark, sf_dir), "scoring")
-    q = J.scoring_stream(_parsed(spark, root), os.path.join(root, "sink"), os.path.join(root, "checkpoint"))
-    q.awaitTermination()
-    return project(spark.read.parquet(os.path.join(root, "sink", "predictions")), SCORED)
+    return project(spark.read.parquet(f"{_score_sinks(spark, sf_dir)}/predictions"), SCORED)
+
+
+def _alert_run(spark, sf_dir):
+    return project(spark.read.parquet(f"{_score_sinks(spark, sf_dir)}/alerts"), SCORED)
+
 
+LEFT_OUT = {"transaction_id": "l", "why": "s"}
 
-SCORE_SQL = f"""WITH {SOURCES['events'][1]},
-s AS (SELECT transaction_id, round(least(amount / 500.0, 1.0), 2) AS p FROM txn WHERE amount > 0),
+
+def _left_out_run(spark, sf_dir):
+    sinks = _score_sinks(spark, sf_dir)
+    dead = spark.read.parquet(f"{sinks}/dead_letters").select(
+        F.regexp_extract("value", '"transaction_id":"([0-9]+)"', 1).cast("long").alias("transaction_id"), F.col("reason").alias("why"))
+    bad = spark.read.parquet(f"{sinks}/rejects").select("transaction_id", F.col("contract_errors").alias("why"))
+    return project(dead.unionByName(bad.withColumn("transaction_id", F.col("transaction_id").cast("long"))), LEFT_OUT)
+
+
+_READABLE = "transaction_id % 11 <> 3 AND transaction_id % 13 <> 5"
+SCORE_CTE = f"""{SOURCES['events'][1]},
+s AS (SELECT transaction_id, round(least(amount / 500.0, 1.0), 2) AS p FROM txn
+      WHERE amount > 0 AND merchant_category <> 'error' AND {_READABLE}),
 q AS (SELECT transaction_id, p AS fraud_probability, CAST(p >= 0.5 AS INTEGER) AS fraud_label,
              {TIER_SQL.format(p='p')} AS risk_tier,
              CASE WHEN p >= {K.DECISION_BLOCK} THEN 'block' WHEN p >= {K.DECISION_REVIEW} THEN 'review'
-                  ELSE 'allow' END AS decision FROM s)
-SELECT {sql_select(SCORED)} FROM q"""
+                  ELSE 'allow' END AS decision FROM s)"""
+SCORE_SQL = f"WITH {SCORE_CTE} SELECT {sql_select(SCORED)} FROM q"
+ALERT_SQL = f"WITH {SCORE_CTE} SELECT {sql_select(SCORED)} FROM q WHERE risk_tier IN ('HIGH', 'CRITICAL')"
+LEFT_OUT_SQL = f"""WITH {SOURCES['events'][1]},
+q AS (SELECT transaction_id, CASE WHEN transaction_id % 11 = 3 THEN 'unreadable' WHEN transaction_id % 13 = 5 THEN 'no timestamp'
+             ELSE concat_ws('; ', CASE WHEN amount <= 0 THEN 'amount range' END,
+                                  CASE WHEN merchant_category = 'error' THEN 'merchant_category enum' END) END AS why FROM txn)
+SELECT {sql_select(LEFT_OUT)} FROM q WHERE why <> ''"""
 
 ROLL = {"window_start": "t", "window_end": "t", "n_total": "l", "n_flagged": "l", "fraud_rate": "d"}
 
 
 def _roll_run(spark, sf_dir):
-    root = stage_events(spark, _events_feed(spark, sf_dir), "rolling")
-    ev = _parsed(spark, root).withColumn("fraud_probability", C.round_to(F.col("amount") / 500.0, 2))
-    return project(run_to_parquet(J.rolling_fraud_rate_stream(ev), root), ROLL)
+    def build(ev):
+        return J.rolling_fraud_rate_stream(ev.withColumn("fraud_probability", C.round_to(F.col("amount") / 500.0, 2)))
+    return project(run_to_parquet(spark, as_messages(_events_feed(spark, sf_dir)), _root(spark, "rolling"), build), ROLL)
 
 
 ROLL_SQL = f"""WITH {SOURCES['events'][1]},
@@ -113,16 +174,17 @@ STORE = {"user_id": "l", "last_txn_amount": "d", "last_txn_timestamp": "t", "upd
 
 
 def _store_run(spark, sf_dir):
-    root = stage_events(spark, _events_feed(spark, sf_dir), "store")
-    parsed = _parsed(spark, root).select(
-        F.col("transaction_id").cast("long").alias("transaction_id"), F.col("user_id").cast("long").alias("user_id"),
-        "amount", "timestamp")
-    store_dir = os.path.join(root, "store")
-    q = (parsed.writeStream.option("checkpointLocation", os.path.join(root, "checkpoint"))
-         .foreachBatch(J.store_upsert_batch(store_dir)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    last = max(int(d.split("=")[1]) for d in J.list_dirs(spark, store_dir) if d.startswith("v="))
-    return project(spark.read.parquet(os.path.join(store_dir, f"v={last}")), STORE)
+    root = _root(spark, "store")
+
+    def start(raw):
+        parsed = SS.good_events(SS.parse_events(raw)).select(
+            F.col("transaction_id").cast("long").alias("transaction_id"), F.col("user_id").cast("long").alias("user_id"),
+            "amount", "timestamp")
+        return (parsed.writeStream.option("checkpointLocation", f"{root}/checkpoint")
+                .foreachBatch(J.store_upsert_batch(f"{root}/store")).trigger(availableNow=True).start())
+
+    run_slices(spark, as_messages(_events_feed(spark, sf_dir)), root, start)
+    return project(J.read_store(spark, f"{root}/store"), STORE)
 
 
 STORE_SQL = f"""WITH {SOURCES['events'][1]},
@@ -130,13 +192,42 @@ q AS (SELECT user_id, arg_max(amount, ("timestamp", transaction_id)) AS last_txn
              max("timestamp") AS last_txn_timestamp, max("timestamp") AS updated_at FROM txn GROUP BY user_id)
 SELECT {sql_select(STORE)} FROM q"""
 
-DEDUP = {"transaction_id": "l", "user_id": "l", "amount": "d"}
+DEDUP = {"transaction_id": "l"}
 
 
 def _dedupe_run(spark, sf_dir):
-    txn = SOURCES["lineitem"][0](spark, sf_dir).drop("merchant_category")
-    root = stage_events(spark, txn, "dedupe")
-    return project(run_to_parquet(J.dedupe_stream(_parsed(spark, root), delay="30 days"), root), DEDUP)
+    """A delay longer than the whole period: one row per id."""
+    txn = SOURCES["lineitem"][0](spark, sf_dir).withColumn("merchant_category", F.lit("other"))
+    out = run_to_parquet(spark, as_messages(txn), _root(spark, "dedupe"), lambda ev: J.dedupe_stream(ev, delay="5000 days"))
+    return project(out, DEDUP)
+
+
+DEDUP_SQL = f"""WITH {SOURCES['lineitem'][1]}, q AS (SELECT DISTINCT transaction_id FROM txn)
+SELECT {sql_select(DEDUP)} FROM q"""
+
+LATE = {"transaction_id": "l", "counter_60m": "l"}
+
+
+def _late_run(spark, sf_dir):
+    """Every 7th event comes a micro-batch late: it belongs to the session that is open when it arrives."""
+    t = _events_feed(spark, sf_dir)
+    m = as_messages(t).withColumn("_slice", F.when((F.col("_id") % 7 == 0) & (F.col("_slice") < SLICES - 1), F.col("_slice") + 1)
+                                  .otherwise(F.col("_slice")))
+    out = run_to_parquet(spark, m, _root(spark, "late"), lambda ev: J.velocity_counter_stream(ev, watermark="5000 days"))
+    return project(out, LATE)
+
+
+LATE_SQL = f"""WITH {SOURCES['events'][1]},
+mm AS (SELECT epoch_us(min("timestamp")) AS a, epoch_us(max("timestamp")) AS b FROM txn),
+s AS (SELECT t.*, epoch_us("timestamp") AS us, least({SLICES - 1}, CAST(floor((epoch_us("timestamp") - a) * {SLICES} / greatest(b - a, 1)) AS BIGINT)) AS sl
+      FROM txn t, mm),
+r AS (SELECT *, CASE WHEN transaction_id % 7 = 0 AND sl < {SLICES - 1} THEN sl + 1 ELSE sl END AS batch FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY batch, us, CAST(transaction_id AS VARCHAR)) AS pos,
+             max(us) OVER (PARTITION BY user_id ORDER BY batch, us, CAST(transaction_id AS VARCHAR)
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM r),
+n AS (SELECT *, CASE WHEN prev IS NULL OR us - prev >= 3600000000 THEN pos END AS start FROM o),
+q AS (SELECT transaction_id, pos - max(start) OVER (PARTITION BY user_id ORDER BY pos) + 1 AS counter_60m FROM n)
+SELECT {sql_select(LATE)} FROM q"""
 
 
 def build():
@@ -144,10 +235,13 @@ def build():
         Query("stream_velocity_counters_events", _vel_run, _vel_stream_sql(),
               "G6 on a stream: keyed state counters across 4 micro-batches equal the batch session counts"),
         Query("stream_scoring_events", _score_run, SCORE_SQL,
-              "A6-A10, H10: file stream → parse → contract → score → predictions/alerts sinks"),
+              "A6-A10, H10: file stream → parse → contract → score → predictions sink"),
+        Query("stream_alerts_events", _alert_run, ALERT_SQL, "A10: the alert sink, read back"),
+        Query("stream_left_out_events", _left_out_run, LEFT_OUT_SQL,
+              "A8, B12: dead letters (unreadable, no time) and contract rejects, with their reasons"),
+        Query("stream_late_counters_events", _late_run, LATE_SQL, "G6 with events that come a micro-batch late"),
         Query("stream_rolling_fraud_rate_events", _roll_run, ROLL_SQL,
               "K6 on a stream: watermark 10 min, 1 h windows sliding 5 min, closed windows only"),
         Query("stream_store_upsert_events", _store_run, STORE_SQL, "G4 on a stream: foreachBatch upserts"),
-        Query("stream_dedupe_lineitem", _dedupe_run, None,
-              "M9 dropDuplicatesWithinWatermark on repeated order ids (rows-only)"),
+        Query("stream_dedupe_lineitem", _dedupe_run, DEDUP_SQL, "M9 dropDuplicatesWithinWatermark on repeated order ids"),
     )

@@ -12,7 +12,7 @@ from veloscope import constants as K
 LOCATION = "struct<country:string,city:string,latitude:double,longitude:double>"
 
 
-def to_nested(txn: DataFrame) -> DataFrame:
+def to_nested(txn: DataFrame, more: tuple = ()) -> DataFrame:
     """Transaction rows → nested events (location struct, null when no country)."""
     cols = set(txn.columns)
     loc = F.when(F.col("country").isNotNull(), F.struct(
@@ -23,7 +23,7 @@ def to_nested(txn: DataFrame) -> DataFrame:
     keep = [c for c in ("transaction_id", "user_id", "amount", "currency", "merchant_id", "merchant_category",
                         "payment_method", "timestamp", "card_present", "device_fingerprint", "ip_address")
             if c in cols]
-    return txn.select(*keep, loc.alias("location"))
+    return txn.select(*keep, loc.alias("location"), *more)
 
 
 def flatten_event(ev: DataFrame) -> DataFrame:

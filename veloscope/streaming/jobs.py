@@ -1,9 +1,9 @@
 """Structured Streaming jobs.
 
-* ``scoring_stream``: events → contract → score → predictions sink, with the
-  HIGH/CRITICAL rows also written to the alert sink, in one ``foreachBatch``
-  (both writes are keyed by the batch id, so a replayed batch overwrites its
-  own output: at-least-once input, idempotent output).
+* ``scoring_stream``: messages → parse → contract → score → sinks for predictions, alerts
+  (HIGH/CRITICAL), rejects and dead letters, in one ``foreachBatch`` (all writes are keyed
+  by the batch id, so a replayed batch overwrites its own output: at-least-once input,
+  idempotent output).
 * ``velocity_counter_stream``: the TTL-refreshed counter as keyed state
   (``applyInPandasWithState``); state expires with the event-time watermark.
 * ``rolling_fraud_rate_stream``: watermark + sliding event-time window.
@@ -13,7 +13,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -29,35 +28,46 @@ from veloscope.operators import quality as Q
 from veloscope.operators import scoring as S
 from veloscope.operators import store as ST
 from veloscope.sources.events import flatten_event
+from veloscope.streaming.sources import dead_letters, good_events, parse_events
 
 
-def contract_and_score(events: DataFrame, prob_col: str = "fraud_probability",
-                       model_version: str = "rule-v1") -> DataFrame:
-    """H10 core for one micro-batch or a stream: flatten, normalise, keep valid events, score."""
-    flat = Q.normalize_event(flatten_event(events))
-    ok = flat.where(F.size(Q.contract_errors(flat)) == 0)
-    if prob_col not in ok.columns:
-        # rule score when no model is attached: the rescaled amount (stand-in probability)
-        ok = ok.withColumn(prob_col, C.round_to(F.least(F.col("amount") / 500.0, F.lit(1.0)), 2))
-    return S.score_batch(ok, prob_col, model_version, keep=("user_id", "timestamp", "amount"))
-
-
-def write_predictions_and_alerts(batch: DataFrame, epoch: int, out_dir: str) -> None:
-    """A9/A10 sink of one micro-batch (idempotent per epoch)."""
-    batch.persist()
-    try:
-        batch.write.mode("overwrite").parquet(os.path.join(out_dir, "predictions", f"epoch={epoch}"))
-        (batch.where(F.col("risk_tier").isin("HIGH", "CRITICAL"))
-              .write.mode("overwrite").parquet(os.path.join(out_dir, "alerts", f"epoch={epoch}")))
-    finally:
-        batch.unpersist()
-
-
-def scoring_stream(events: DataFrame, out_dir: str, checkpoint: str, trigger_available_now: bool = True):
-    """Start the scoring query; returns the StreamingQuery."""
-    scored = contract_and_score(events)
-    w = (scored.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda b, e: write_predictions_and_alerts(b, e, out_dir)))
+def rule_score(events: DataFrame, epoch: int = 0) -> DataFrame:
+    """The stand-in scorer when no model is attached: the rescaled amount."""
+    return events.withColumn("fraud_probability", C.round_to(F.least(F.col("amount") / 500.0, F.lit(1.0)), 2))
+
+
+def contract_and_score(events: DataFrame, scorer=rule_score, model_version: str = "rule-v1",
+                       epoch: int = 0) -> tuple[DataFrame, DataFrame]:
+    """H10 core: (scored rows of the events that keep the contract, rejected events with their violations).
+
+    ``scorer(events, epoch)`` adds ``fraud_probability``.
+    """
+    ok, bad = Q.contract_split(flatten_event(events))
+    return S.score_batch(scorer(ok, epoch), "fraud_probability", model_version, keep=("user_id", "timestamp", "amount")), bad
+
+
+SINKS = ("predictions", "alerts", "rejects", "dead_letters")
+
+
+def write_sinks(raw: DataFrame, epoch: int, out_dir: str, scorer=rule_score, model_version: str = "rule-v1") -> None:
+    """A8-A10 sinks of one micro-batch of raw messages, each keyed by the epoch (a replay overwrites itself)."""
+    parsed = parse_events(raw)
+    scored, bad = contract_and_score(good_events(parsed), scorer, model_version, epoch)
+    at = lambda sink: f"{out_dir}/{sink}/epoch={epoch}"
+    scored.write.mode("overwrite").parquet(at("predictions"))
+    # the alerts are a part of what was written, read back: the batch is scored once
+    scored.sparkSession.read.schema(scored.schema).parquet(at("predictions")).where(
+        F.col("risk_tier").isin("HIGH", "CRITICAL")).write.mode("overwrite").parquet(at("alerts"))
+    bad.withColumn("contract_errors", F.array_join("contract_errors", "; ")).select(
+        "transaction_id", "user_id", "amount", "timestamp", "contract_errors").write.mode("overwrite").parquet(at("rejects"))
+    dead_letters(parsed).write.mode("overwrite").parquet(at("dead_letters"))
+
+
+def scoring_stream(raw: DataFrame, out_dir: str, checkpoint: str, scorer=rule_score, model_version: str = "rule-v1",
+                   trigger_available_now: bool = True):
+    """Start the scoring query on raw messages (column ``value``); returns the StreamingQuery."""
+    w = (raw.writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda b, e: write_sinks(b, e, out_dir, scorer, model_version)))
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="5 seconds")
     return w.start()
 
@@ -91,7 +101,8 @@ def _counter_fn(windows: Sequence[int]):
         else:
             last, counts = None, [0] * len(gaps)
         out = {"transaction_id": pdf["transaction_id"].to_numpy(), "user_id": pdf["user_id"].to_numpy()}
-        prev = np.concatenate([[last if last is not None else -1], us[:-1]])
+        # the time of a user never runs backwards: a late event belongs to the open session
+        prev = np.concatenate([[last if last is not None else -1], np.maximum(us[:-1], last if last is not None else us[0])])
         has_prev = np.concatenate([[last is not None], np.ones(len(us) - 1, dtype=bool)])
         new_counts = []
         for g, carry in zip(gaps, counts):
@@ -101,8 +112,9 @@ def _counter_fn(windows: Sequence[int]):
             base = np.where(first_idx >= 0, idx - first_idx + 1, idx + 1 + carry)
             out[f"counter_{g // 60_000_000}m"] = base.astype("int64")
             new_counts.append(int(base[-1]))
-        state.update((int(us[-1]), *new_counts))
-        state.setTimeoutTimestamp(int(us[-1] // 1000) + max_gap_ms)
+        newest = int(us[-1]) if last is None else max(int(us[-1]), last)
+        state.update((newest, *new_counts))
+        state.setTimeoutTimestamp(newest // 1000 + max_gap_ms)
         yield pd.DataFrame(out)
 
     return fn
@@ -149,18 +161,52 @@ def list_dirs(spark, path: str) -> list[str]:
     return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
 
 
-def store_upsert_batch(store_dir: str):
-    """G4 on a stream: returns a foreachBatch function that merges each batch into the
-    user-feature table and writes version ``epoch`` (idempotent on replay)."""
+STORE_BUCKETS = 64
+STORE_SCHEMA = ("user_id long, last_txn_amount double, last_txn_timestamp timestamp, last_txn_country string, "
+                "updated_at timestamp")
+
+
+def store_versions(spark, store_dir: str) -> dict[int, list[int]]:
+    """bucket -> versions (ascending) present in the store."""
+    out: dict[int, list[int]] = {}
+    for v in list_dirs(spark, store_dir):
+        for b in list_dirs(spark, f"{store_dir}/{v}"):
+            if b.startswith("bucket="):
+                out.setdefault(int(b[7:]), []).append(int(v[2:]))
+    return {b: sorted(v) for b, v in out.items()}
+
+
+def read_store(spark, store_dir: str, buckets: Sequence[int] | None = None, before: int | None = None) -> DataFrame:
+    """The newest version of each bucket (below version ``before``)."""
+    paths = []
+    for b, vs in store_versions(spark, store_dir).items():
+        vs = [v for v in vs if before is None or v < before]
+        if vs and (buckets is None or b in buckets):
+            paths.append(f"{store_dir}/v={vs[-1]}/bucket={b}")
+    return spark.read.schema(STORE_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], STORE_SCHEMA)
+
+
+def drop_dir(spark, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def store_upsert_batch(store_dir: str, n_buckets: int = STORE_BUCKETS):
+    """G4 on a stream: returns a foreachBatch function that merges each batch into the user table.
+
+    The table is cut into hash buckets of the key; a batch rewrites the buckets it touches as version
+    ``epoch`` (idempotent on replay) and drops their versions older than the one it replaces.
+    """
+    bucket = F.pmod(F.hash("user_id"), F.lit(n_buckets))
+
     def fn(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        versions = sorted(int(d.split("=")[1]) for d in list_dirs(spark, store_dir) if d.startswith("v="))
-        prev = [v for v in versions if v < epoch]
-        if prev:
-            store = spark.read.parquet(os.path.join(store_dir, f"v={prev[-1]}"))
-        else:
-            store = spark.createDataFrame([], "user_id long, last_txn_amount double, last_txn_timestamp timestamp, "
-                                              "last_txn_country string, updated_at timestamp")
-        ST.upsert(store, ST.user_updates(batch)).write.mode("overwrite").parquet(
-            os.path.join(store_dir, f"v={epoch}"))
+        updates = ST.user_updates(batch)
+        touched = [r["b"] for r in updates.select(bucket.alias("b")).distinct().collect()]       # at most n_buckets
+        store = read_store(spark, store_dir, touched, epoch)
+        ST.upsert(store, updates).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket") \
+            .parquet(f"{store_dir}/v={epoch}")
+        for b, vs in store_versions(spark, store_dir).items():
+            for v in [v for v in vs if v < epoch][:-1] if b in touched else []:
+                drop_dir(spark, f"{store_dir}/v={v}/bucket={b}")
     return fn

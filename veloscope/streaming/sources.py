@@ -51,26 +51,34 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str = TOPIC_RAW, star
 
 
 def parse_events(raw: DataFrame, schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
-    """Parse ``value``; rows that fail keep the text in ``_corrupt_record`` (dead letters)."""
+    """Parse ``value`` (kept); rows that fail keep the text in ``_corrupt_record`` (dead letters)."""
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    parsed = raw.select(F.from_json("value", full, {"mode": "PERMISSIVE",
-                                                    "columnNameOfCorruptRecord": CORRUPT,
-                                                    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}).alias("e"))
-    return parsed.select("e.*")
+    parsed = raw.select("value", F.from_json("value", full, {"mode": "PERMISSIVE",
+                                                             "columnNameOfCorruptRecord": CORRUPT,
+                                                             "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}).alias("e"))
+    return parsed.select("value", "e.*")
+
+
+def letter_reason() -> F.Column:
+    """Why a message cannot be an event of a timed stream (null: it can)."""
+    return F.when(F.col(CORRUPT).isNotNull() | F.col("value").isNull(), "unreadable") \
+        .when(F.col("timestamp").isNull(), "no timestamp")
 
 
 def good_events(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return parsed.where(letter_reason().isNull()).drop(CORRUPT, "value")
 
 
 def dead_letters(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    """The messages left out by ``good_events``, whole, with the reason."""
+    return parsed.where(letter_reason().isNotNull()).select("value", letter_reason().alias("reason"))
 
 
-def to_event_json(txn: DataFrame) -> DataFrame:
-    """Transactions → the nested event JSON the stream carries (ids as strings)."""
+def to_event_json(txn: DataFrame, keep: tuple = ()) -> DataFrame:
+    """Transactions → the nested event JSON the stream carries (ids as strings), the id and ``keep`` beside it."""
     from veloscope.sources.events import to_nested
-    nested = to_nested(txn).withColumns({"transaction_id": F.col("transaction_id").cast("string"),
+    nested = to_nested(txn, keep).withColumns({"transaction_id": F.col("transaction_id").cast("string"),
                                          "user_id": F.col("user_id").cast("string")})
-    return nested.select(F.to_json(F.struct(*nested.columns),
-                                   {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}).alias("value"))
+    body = [c for c in nested.columns if c not in keep]
+    return nested.select(*keep, F.col("transaction_id").cast("long").alias("_id"),
+                         F.to_json(F.struct(*body), {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}).alias("value"))
