@@ -30,6 +30,11 @@ def latest_version(reg: DataFrame, stage: str) -> DataFrame:
                .agg(F.max("version").alias("version")))
 
 
+def version_by_id(reg: DataFrame, name: str, version: int) -> DataFrame:
+    """One version of a model (no row if it does not exist)."""
+    return reg.where((F.col("name") == name) & (F.col("version") == version))
+
+
 def metric(col: str = "metrics", key: str = "auc_pr"):
     """A metric from the map; absent → 0."""
     return F.coalesce(F.try_element_at(F.col(col), F.lit(key)), F.lit(0.0))
@@ -59,6 +64,20 @@ def promote(reg: DataFrame, name: str, version: int, stage: str = "Production",
     return reg.withColumn("stage", new_stage.otherwise(F.col("stage")))
 
 
+def archive(reg: DataFrame, name: str, version: int) -> DataFrame:
+    """Retire one version."""
+    it = (F.col("name") == name) & (F.col("version") == version)
+    return reg.withColumn("stage", F.when(it, F.lit("Archived")).otherwise(F.col("stage")))
+
+
+def staging_to_production(reg: DataFrame) -> DataFrame:
+    """Per model, the newest staging version takes production and its former holders are archived."""
+    new = latest_version(reg, "Staging").select("name", F.col("version").alias("_new"))
+    st = (F.when((F.col("stage") == "Staging") & (F.col("version") == F.col("_new")), F.lit("Production"))
+          .when((F.col("stage") == "Production") & F.col("_new").isNotNull(), F.lit("Archived")).otherwise(F.col("stage")))
+    return reg.join(new, "name", "left").withColumn("stage", st).drop("_new")
+
+
 def promote_best(reg: DataFrame, key: str = "auc_pr", stage: str = "Production") -> DataFrame:
     """L22 for every name at once: the best version by ``key`` takes ``stage``, former holders are archived."""
     best = best_version(reg, key).select("name", F.col("version").alias("_best"))

@@ -85,7 +85,8 @@ def session_counter(df: DataFrame, window_minutes: int, user: str = USER, id_col
     df = with_micros(df)
     wt = Window.partitionBy(user).orderBy(F.col(US).asc_nulls_last(), F.col(id_col))
     prev = F.lag(US).over(wt)
-    d = df.withColumn("_new", F.when(prev.isNull() | (F.col(US) - prev >= gap), 1).otherwise(0))
+    # an undated event comes last and starts no session, unless it is the user's first
+    d = df.withColumn("_new", F.when((F.row_number().over(wt) == 1) | (F.col(US) - prev >= gap), 1).otherwise(0))
     run = wt.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_sess", F.sum("_new").over(run))
     ws = Window.partitionBy(user, "_sess").orderBy(F.col(US).asc_nulls_last(), F.col(id_col))
@@ -99,8 +100,8 @@ def session_counters_distributed(df: DataFrame, windows: Sequence[int], user: st
     previous timestamp → new-session flags → (running sums) position and
     session number → session start position (groupBy + join) → counter.
     """
-    d = previous_values(with_micros(df), [US], [user], id_col, prefix="_p")
-    flags = {f"_new{m}": F.when(F.col(f"_p{US}").isNull() | (F.col(US) - F.col(f"_p{US}") >= m * 60_000_000), 1)
+    d = previous_values(with_micros(df).withColumn("_seen", F.lit(1)), [US, "_seen"], [user], id_col, prefix="_p")
+    flags = {f"_new{m}": F.when(F.col("_p_seen").isNull() | (F.col(US) - F.col(f"_p{US}") >= m * 60_000_000), 1)
              .otherwise(0) for m in windows}
     d = d.withColumns({"_one": F.lit(1), **flags})
     r = running_sums(d, [user], US, ["_one", *flags], tiebreak=[id_col])
@@ -108,7 +109,7 @@ def session_counters_distributed(df: DataFrame, windows: Sequence[int], user: st
         starts = r.groupBy(user, f"run__new{m}").agg(F.min("run__one").alias(f"_start{m}"))
         r = r.join(starts, [user, f"run__new{m}"], "left").withColumn(
             f"counter_{m}m", (F.col("run__one") - F.col(f"_start{m}") + 1).cast("int"))
-    drop = [c for c in r.columns if c.startswith(("run__", "tot__", "_start", "_new", "_one", f"_p{US}"))]
+    drop = [c for c in r.columns if c.startswith(("run__", "tot__", "_start", "_new", "_one", f"_p{US}", "_p_seen", "_seen"))]
     return r.drop(*drop)
 
 
