@@ -106,12 +106,13 @@ def token_stream(df: DataFrame, id_col: str, text_col: str, vocabulary: str) ->
     def run(batches):
         enc, eot = tokenizer(vocabulary)
         part, start = TaskContext.get().partitionId(), 0
+        end = np.array([eot], "<u2").tobytes()
         for b in batches:
             rows = []
             for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
-                ids = np.array([*enc.encode_ordinary(text), eot], "<u2")
-                rows.append((part, start, i, len(ids), ids.tobytes()))
-                start += len(ids)
+                ids = enc.encode_to_numpy(text, disallowed_special=())
+                rows.append((part, start, i, len(ids) + 1, ids.astype("<u2").tobytes() + end))
+                start += len(ids) + 1
             if rows:
                 yield batch(rows, TOKENS)
 
@@ -133,14 +134,20 @@ def records(df: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key
 
     def cut(batches):
         for b in batches:
-            rows = []
-            for at, i, n, tokens in zip(*(b.column(c).to_pylist() for c in ("at", "id", "n", "tokens"))):
-                seqs = np.arange(at // length, (at + n - 1) // length + 1)
-                for seq, slot in zip(seqs.tolist(), order.slot(seqs).tolist()):
-                    a, z = max(at, seq * length), min(at + n, (seq + 1) * length)
-                    rows.append((slot // per_shard, slot, seq, a - seq * length, i, tokens[2 * (a - at):2 * (z - at)]))
-            if rows:
-                yield batch(rows, PIECES)
+            if not b.num_rows:
+                continue
+            at, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("at", "n"))
+            first, last = at // length, (at + n - 1) // length
+            row = np.repeat(np.arange(len(at)), last - first + 1)
+            seq = np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[row]
+            slot = order.slot(seq)                          # one walk for the whole batch
+            a, z = np.maximum(at[row], seq * length), np.minimum(at[row] + n[row], (seq + 1) * length)
+            ids, tokens = b.column("id").to_pylist(), b.column("tokens").to_pylist()
+            cut_from, cut_to = (2 * (a - at[row])).tolist(), (2 * (z - at[row])).tolist()
+            yield pa.RecordBatch.from_arrays([
+                pa.array(slot // per_shard), pa.array(slot), pa.array(seq), pa.array((a - seq * length).astype(np.int32)),
+                pa.array([ids[r] for r in row.tolist()], pa.int64()),
+                pa.array([tokens[r][x:y] for r, x, y in zip(row.tolist(), cut_from, cut_to)], pa.binary())], schema=PIECES)
 
     pieces = t.join(F.broadcast(offsets.select("part", "before")), "part") \
         .select((F.col("before") + F.col("start")).alias("at"), "id", "n", "tokens") \
