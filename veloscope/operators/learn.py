@@ -16,7 +16,7 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param.shared import HasInputCols, Param, Params, TypeConverters
 from pyspark.ml.regression import IsotonicRegression
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from veloscope import constants as K
 from veloscope.operators import evaluation as EV
 from veloscope.operators.features import feature_matrix, feature_names
+from veloscope.operators.prefix import running_sums
+from veloscope.session import written_once
 
 CATEGORICAL = ("currency", "merchant_category", "country")
 UNKNOWN = "__UNKNOWN__"
@@ -68,17 +70,21 @@ def feature_pipeline(windows: Sequence[int] = K.VELOCITY_WINDOWS_HOURS, out_col:
 
 def label_codes(train: DataFrame, df: DataFrame, cols: Sequence[str] = CATEGORICAL) -> DataFrame:
     """F3/F4 as plain columns: code = alphabetical position among the training values
-    (null → '__UNKNOWN__'); values unseen in training get the number of labels."""
+    (null → '__UNKNOWN__'); values unseen in training get the number of labels.
+
+    The values of all columns are collected in one unpivoted pass and numbered by running counts, so a
+    column with very many values is no single task's sort; how the codes are joined is left to the optimizer.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN))
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), text(c).alias("v")) for c in cols])).alias("x")).select("x.*")
+    codes = written_once(running_sums(long.distinct().withColumn("one", F.lit(1)), ["c"], "v", ["one"])
+                         .select("c", "v", (F.col("run_one") - 1).cast("double").alias("code")), "codes")
+    n = {r["c"]: float(r["n"]) for r in codes.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}     # a row per column
     out = df
     for c in cols:
-        vals = (train.select(F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)).alias("v")).distinct()
-                # one row per distinct category value: a small, bounded table
-                .withColumn(f"{c}_idx", (F.dense_rank().over(Window.orderBy("v")) - 1).cast("double")))
-        n = vals.agg(F.count(F.lit(1)).cast("double").alias(f"_{c}_n"))
-        key = F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN))
-        out = (out.withColumn("_k", key).join(F.broadcast(vals.withColumnRenamed("v", "_k")), "_k", "left")
-                  .crossJoin(F.broadcast(n))
-                  .withColumn(f"{c}_idx", F.coalesce(F.col(f"{c}_idx"), F.col(f"_{c}_n"))).drop("_k", f"_{c}_n"))
+        mine = codes.where(F.col("c") == c).select(F.col("v").alias("_k"), F.col("code").alias(f"{c}_idx"))
+        out = out.withColumn("_k", text(c)).join(mine, "_k", "left").drop("_k") \
+            .withColumn(f"{c}_idx", F.coalesce(f"{c}_idx", F.lit(n.get(c, 0.0))))
     return out
 
 
@@ -133,12 +139,36 @@ def calibrate(val_scored: DataFrame, label: str = "is_fraud", prob: str = "p_raw
         val_scored.select(F.col(prob).cast("double").alias(prob), F.col(label).cast("double").alias(label)))
 
 
+class WidthPerceptron(Estimator):
+    """A multilayer perceptron whose first layer takes the width of the vectors it is fitted on."""
+
+    def __init__(self, features: str = "features", label: str = "is_fraud", hidden: int = 16, max_iter: int = 50):
+        super().__init__()
+        self.features, self.label, self.hidden, self.max_iter = features, label, hidden, max_iter
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        width = len(df.select(self.features).first()[0])
+        scale = StandardScaler(inputCol=self.features, outputCol="mlp_x", withMean=True)
+        mlp = MultilayerPerceptronClassifier(featuresCol="mlp_x", labelCol=self.label, layers=[width, self.hidden, 2],
+                                             maxIter=self.max_iter, seed=K.SPLIT_SEED)
+        return Pipeline(stages=[scale, mlp]).fit(df)
+
+
 def base_learners(features: str = "features", label: str = "is_fraud", weight: str = "weight",
-                  max_iter: int = 20) -> dict[str, Estimator]:
-    return {
-        "gbt": gbt(features, label, weight, max_iter=max_iter, max_depth=4),
+                  max_iter: int = 20, validation: str | None = None, mlp: bool = True) -> dict[str, Estimator]:
+    """The stack's base learners; ``validation`` names the indicator column that boosting stops on."""
+    out = {
+        "gbt": gbt(features, label, weight, validation, max_iter=max_iter, max_depth=4),
         "lr": LogisticRegression(featuresCol=features, labelCol=label, weightCol=weight, maxIter=50, regParam=0.01),
     }
+    return out | ({"mlp": WidthPerceptron(features, label, max_iter=max_iter)} if mlp else {})
+
+
+def side_by_side(df: DataFrame, models: dict) -> DataFrame:
+    """H7: the probabilities of several fitted models as columns ``p_<name>`` (no joins)."""
+    for n, m in models.items():
+        df = m.transform(df).withColumn(f"p_{n}", p1()).drop("rawPrediction", "probability", "prediction", "mlp_x")
+    return df
 
 
 def out_of_fold(df: DataFrame, learners: dict[str, Estimator], k: int, fold_col: str = "fold",
@@ -147,11 +177,8 @@ def out_of_fold(df: DataFrame, learners: dict[str, Estimator], k: int, fold_col:
     parts = []
     for f in range(k):
         tr, te = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
-        pred = te.select(id_col, "is_fraud", "weight")
-        for name, est in learners.items():
-            m = est.fit(tr)
-            pred = pred.join(m.transform(te).select(id_col, p1().alias(f"p_{name}")), id_col)
-        parts.append(pred)
+        pred = side_by_side(te, {name: est.fit(tr) for name, est in learners.items()})
+        parts.append(pred.select(id_col, "is_fraud", "weight", *[f"p_{n}" for n in learners]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -175,10 +202,7 @@ def stacking(df: DataFrame, learners: dict[str, Estimator] | None = None, k: int
 
 def ensemble_predict(df: DataFrame, bases: dict, meta: PipelineModel, id_col: str = "transaction_id") -> DataFrame:
     """Base probabilities side by side (H7) → meta model → fraud_probability."""
-    out = df
-    for n, m in bases.items():
-        out = m.transform(out).withColumn(f"p_{n}", p1()).drop("rawPrediction", "probability", "prediction")
-    return meta.transform(out).withColumn("fraud_probability", p1("meta_probability"))
+    return meta.transform(side_by_side(df, bases)).withColumn("fraud_probability", p1("meta_probability"))
 
 
 def compare_models(df: DataFrame, k: int = K.CV_FOLDS, fold_col: str = "fold",
