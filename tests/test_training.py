@@ -88,3 +88,31 @@ def test_saved_model_scores_alike(spark, tmp_path):
     m.write().save(str(tmp_path / "m"))
     a, b = (k.transform(x).select("transaction_id", "fraud_probability") for k in (m, PipelineModel.load(str(tmp_path / "m"))))
     assert a.exceptAll(b).count() == 0
+
+
+def test_backtest_fits_each_window(spark, tmp_path):
+    from veloscope.operators.backtest import backtest
+    from veloscope.sources.transactions import txn_orders
+    got = {r["window_id"]: r for r in backtest(txn_orders(spark, SF_SMALL), str(tmp_path / "bt"), 600, 200, 400,
+                                               min_train_rows=100).collect()}
+    con = duckdb.connect()
+    want = con.sql(f"""WITH s AS (SELECT window_id, is_fraud, score FROM read_parquet('{tmp_path}/bt/*/*.parquet', hive_partitioning = true)),
+      p AS (SELECT a.window_id, avg(CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS auc
+            FROM s a JOIN s b USING (window_id) WHERE a.is_fraud = 1 AND b.is_fraud = 0 GROUP BY 1)
+      SELECT window_id, count(*), any_value(auc) FROM s LEFT JOIN p USING (window_id) GROUP BY 1""").fetchall()
+    assert len(got) == len(want) >= 2
+    for w, n, auc in want:
+        assert got[int(w)]["backtest_n_samples"] == n
+        assert auc is None or abs(got[int(w)]["backtest_auc_roc"] - auc) < 1e-9
+
+
+def test_windows_of_any_length_equal_the_range_join(spark):
+    from veloscope.operators import splits as SP
+    from veloscope.sources.transactions import txn_orders
+    t = txn_orders(spark, SF_SMALL)
+    for train, test, step in ((600, 200, 400), (180, 30, 30), (100, 170, 45)):
+        w = SP.walk_forward_windows(t, "timestamp", train, test, step)
+        a = SP.assign_windows(t, w, "timestamp", train, test, step).select("transaction_id", "window_id", "role")
+        b = t.crossJoin(w).where("timestamp >= train_start AND timestamp < test_end").select(
+            "transaction_id", "window_id", F.when(F.col("timestamp") < F.col("train_end"), "train").otherwise("test").alias("role"))
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

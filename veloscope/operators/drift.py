@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from veloscope import constants as K
 from veloscope.functions.columns import round_to
-from veloscope.operators.prefix import exact_quantiles, running_sums
+from veloscope.operators.prefix import quantiles_of, running_sums
+from veloscope.session import written_once
 
 EPS = 1e-8
 
@@ -27,18 +28,41 @@ def long_format(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return (df.select(*cols).unpivot([], list(features), "feature", "x").where(F.col("x").isNotNull()))
 
 
+def long_sides(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, x, side) of rows that carry ``side``; rows without a side are in neither."""
+    cols = [F.col(f).cast("double").alias(f) for f in features]
+    return df.where(F.col("side").isNotNull()).select("side", *cols) \
+             .unpivot(["side"], list(features), "feature", "x").where(F.col("x").isNotNull())
+
+
+def value_table(long: DataFrame) -> DataFrame:
+    """One row per (feature, x) of ``long`` (feature, x, side 0 reference / 1 current): how often each side has the
+    value (a, b), its running and total counts. Written once; every statistic below reads this table only."""
+    pts = long.groupBy("feature", "x").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    return written_once(running_sums(pts, ["feature"], "x", ["a", "b"]), "drift-values")
+
+
 def reference_profile(ref_long: DataFrame, n_bins: int = K.DRIFT_BINS) -> DataFrame:
-    """Mean, sample std, min, max, p10..p90 (linear) and n_bins+1 equal-width edges per feature.
+    """Mean, sample std, min, max, p10..p90 (linear) and n_bins+1 equal-width edges per feature."""
+    return profile_of(value_table(ref_long.withColumn("side", F.lit(0))), n_bins)
+
+
+def profile_of(values: DataFrame, n_bins: int = K.DRIFT_BINS) -> DataFrame:
+    """J1 from the value table's reference side.
 
     Edges follow linspace(min, max): e_i = i * step + min with e_last = max; a
     constant column gets edges over [min - 0.5, max + 0.5].
     """
     pct = list(K.DRIFT_PERCENTILES)
-    moments = ref_long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n_ref"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.max("x").alias("max"))
-    # exact percentiles from a value histogram (one feature = one huge group)
-    qv = exact_quantiles(ref_long, ["feature"], "x", pct)
+    ref = values.where("a > 0")
+    m = ref.groupBy("feature").agg(F.sum("a").alias("n_ref"), (F.sum(F.col("a") * F.col("x")) / F.sum("a")).alias("mean"),
+                                   F.min("x").alias("min"), F.max("x").alias("max"))
+    # a row per feature
+    dev = ref.join(F.broadcast(m.select("feature", "mean")), "feature").groupBy("feature").agg(
+        F.sum(F.col("a") * F.pow(F.col("x") - F.col("mean"), 2)).alias("_ss"))
+    moments = m.join(dev, "feature").withColumn("std", F.when(F.col("n_ref") > 1, F.sqrt(F.col("_ss") / (F.col("n_ref") - 1)))).drop("_ss")
+    qv = quantiles_of(ref.select("feature", F.col("x").alias("_v"), F.col("a").alias("_c"), F.col("run_a").alias("run__c"),
+                                 F.col("tot_a").alias("tot__c")), ["feature"], pct)
     prof = moments.join(qv.select("feature", F.array(*[f"q{i}" for i in range(len(pct))]).alias("percentiles")),
                         "feature", "inner")
     const = F.col("min") == F.col("max")
@@ -56,21 +80,18 @@ def bin_index(x: Column, edges: Column, n_bins: int = K.DRIFT_BINS) -> Column:
     return F.when((x >= F.element_at(edges, 1)) & (x <= F.element_at(edges, n_bins + 1)), idx)
 
 
-def _hist(long: DataFrame, prof: DataFrame, side: str, n_bins: int) -> DataFrame:
-    b = long.join(F.broadcast(prof.select("feature", "edges")), "feature", "inner") \
-            .withColumn("bin", bin_index(F.col("x"), F.col("edges"), n_bins)).where(F.col("bin").isNotNull())
-    return b.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias(f"h_{side}"))
+def histograms(values: DataFrame, prof: DataFrame, n_bins: int) -> DataFrame:
+    """J2 for both sides: (feature, bin, h_ref, h_cur) over the reference edges; a row per bin that has values."""
+    b = values.join(F.broadcast(prof.select("feature", "edges")), "feature", "inner") \
+              .withColumn("bin", bin_index(F.col("x"), F.col("edges"), n_bins)).where(F.col("bin").isNotNull())
+    return b.groupBy("feature", "bin").agg(F.sum("a").alias("h_ref"), F.sum("b").alias("h_cur"))
 
 
-def ks_two_sample(ref_long: DataFrame, cur_long: DataFrame) -> DataFrame:
-    """Max |F_ref(x) - F_cur(x)| over all observed x, per feature."""
-    u = (ref_long.select("feature", "x", F.lit(1).alias("a"), F.lit(0).alias("b"))
-         .unionByName(cur_long.select("feature", "x", F.lit(0).alias("a"), F.lit(1).alias("b"))))
-    pts = u.groupBy("feature", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    r = running_sums(pts, ["feature"], "x", ["a", "b"])
+def ks_two_sample(values: DataFrame) -> DataFrame:
+    """Max |F_ref(x) - F_cur(x)| over all observed x, per feature, from the value table."""
     diff = F.abs(F.try_divide(F.col("run_a"), F.col("tot_a")) - F.try_divide(F.col("run_b"), F.col("tot_b")))
-    return r.groupBy("feature").agg(F.max(diff).alias("ks_statistic"), F.first("tot_a").alias("n_ref_ks"),
-                                    F.first("tot_b").alias("n_cur"))
+    return values.groupBy("feature").agg(F.max(diff).alias("ks_statistic"), F.first("tot_a").alias("n_ref_ks"),
+                                         F.first("tot_b").alias("n_cur"))
 
 
 def ks_pvalue(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -95,12 +116,19 @@ def drift_report(ref: DataFrame, cur: DataFrame, features: Sequence[str], n_bins
     skipped (no row) but counted as checked. Reported values are rounded to 4
     places; the verdict uses the unrounded ones.
     """
-    rl, cl = long_format(ref, features), long_format(cur, features)
-    prof = reference_profile(rl, n_bins)
+    both = long_format(ref, features).withColumn("side", F.lit(0)).unionByName(
+        long_format(cur, features).withColumn("side", F.lit(1)))
+    return drift_of(both, features, n_bins, psi_threshold, p_threshold, min_current)
+
+
+def drift_of(long: DataFrame, features: Sequence[str], n_bins: int = K.DRIFT_BINS,
+             psi_threshold: float = K.PSI_THRESHOLD, p_threshold: float = K.KS_PVALUE_THRESHOLD,
+             min_current: int = K.DRIFT_MIN_CURRENT) -> tuple[DataFrame, DataFrame]:
+    """``drift_report`` of rows that carry their side: (feature, x, side)."""
+    values = value_table(long)
+    prof = profile_of(values, n_bins)
     grid = prof.select("feature", "edges", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
-    g = (grid.join(_hist(rl, prof, "ref", n_bins), ["feature", "bin"], "left")
-             .join(_hist(cl, prof, "cur", n_bins), ["feature", "bin"], "left")
-             .fillna(0, ["h_ref", "h_cur"]))
+    g = grid.join(histograms(values, prof, n_bins), ["feature", "bin"], "left").fillna(0, ["h_ref", "h_cur"])
     width = F.element_at("edges", F.col("bin") + 2) - F.element_at("edges", F.col("bin") + 1)
     per = g.groupBy("feature").agg(
         F.sum("h_ref").alias("_sr"), F.sum("h_cur").alias("_sc"),
@@ -120,7 +148,7 @@ def drift_report(ref: DataFrame, cur: DataFrame, features: Sequence[str], n_bins
         return p * F.log(p / m) + q * F.log(q / m)
     js = F.sqrt(F.aggregate("_bins", F.lit(0.0), lambda acc, b: acc + js_term(b)) / 2)
     per = per.select("feature", psi.alias("_psi"), F.when(F.col("_sc") > 0, js).alias("_js"))
-    ks = ks_two_sample(rl, cl)
+    ks = ks_two_sample(values)
     out = per.join(ks, "feature", "inner").where(F.col("n_cur") >= min_current)
     pval = ks_pvalue(F.col("ks_statistic"), F.col("n_ref_ks").cast("double"), F.col("n_cur").cast("double"))
     out = out.withColumn("_p", pval)
@@ -147,12 +175,23 @@ def drift_report(ref: DataFrame, cur: DataFrame, features: Sequence[str], n_bins
     return per_feature, summary
 
 
-def split_by_time(df: DataFrame, ts: str = "timestamp") -> tuple[DataFrame, DataFrame]:
-    """Reference = first half of the time range, current = second half (one min/max aggregate)."""
+def sides_by_time(df: DataFrame, ts: str = "timestamp") -> DataFrame:
+    """Adds ``side``: 0 for the first half of the time range, 1 for the second (one min/max aggregate)."""
     mm = df.agg(F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
     mid = F.timestamp_micros(((F.unix_micros("_t0") + F.unix_micros("_t1")) / 2).cast("long"))
     j = df.crossJoin(F.broadcast(mm.select(mid.alias("_mid"))))
-    return j.where(F.col(ts) < F.col("_mid")).drop("_mid"), j.where(F.col(ts) >= F.col("_mid")).drop("_mid")
+    return j.withColumn("side", (F.col(ts) >= F.col("_mid")).cast("int")).drop("_mid")
+
+
+def split_by_time(df: DataFrame, ts: str = "timestamp") -> tuple[DataFrame, DataFrame]:
+    """Reference = first half of the time range, current = second half."""
+    j = sides_by_time(df, ts)
+    return j.where("side = 0").drop("side"), j.where("side = 1").drop("side")
+
+
+def drift_by_time(df: DataFrame, features: Sequence[str], ts: str = "timestamp", **more) -> tuple[DataFrame, DataFrame]:
+    """Drift of the second half of the period against the first, in one pass over the rows."""
+    return drift_of(long_sides(sides_by_time(df, ts), features), features, **more)
 
 
 def trailing_reference(df: DataFrame, asof, ts: str = "timestamp", days: int = 30,

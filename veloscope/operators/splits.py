@@ -90,10 +90,21 @@ def walk_forward_windows(df: DataFrame, ts: str = "timestamp", train_days: int =
                     (F.col("train_end") + F.expr(f"INTERVAL {test_days} DAYS")).alias("test_end"))
 
 
-def assign_windows(df: DataFrame, windows: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """Rows × windows by time range (broadcast range join: the window table is small);
-    adds ``role`` train/test. A row lands in about (train + test) / step windows."""
-    j = df.join(F.broadcast(windows), (F.col(ts) >= F.col("train_start")) & (F.col(ts) < F.col("test_end")))
+def assign_windows(df: DataFrame, windows: DataFrame, ts: str = "timestamp", train_days: int = K.BACKTEST_TRAIN_DAYS,
+                   test_days: int = K.BACKTEST_TEST_DAYS, step_days: int = K.BACKTEST_STEP_DAYS) -> DataFrame:
+    """Rows × the windows that hold them; adds ``role`` train/test.
+
+    Windows begin every ``step_days``, so a row's window numbers follow from its time: only those
+    (about (train + test) / step) are made and joined by number, for any lengths.
+    """
+    day = 86_400_000_000
+    first = windows.agg(F.min(F.unix_micros("train_start")).alias("_t0"))
+    at = F.unix_micros(F.col(ts)) - F.col("_t0")
+    last = F.floor(at / F.lit(step_days * day)) + 1
+    lowest = F.greatest(F.floor((at - F.lit((train_days + test_days) * day)) / F.lit(step_days * day)) + 2, F.lit(1))
+    d = df.crossJoin(F.broadcast(first)).withColumn("window_id", F.explode(F.when(lowest <= last, F.sequence(lowest, last)))).drop("_t0")
+    # a row per window: (max - min) / step of them
+    j = d.join(F.broadcast(windows), "window_id")
     return j.withColumn("role", F.when(F.col(ts) < F.col("train_end"), "train").otherwise("test"))
 
 

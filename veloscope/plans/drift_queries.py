@@ -28,19 +28,16 @@ ALERT = {"alert_type": "s", "title": "s", "message": "s", "severity": "s", "sour
 def _halves(spark, sf_dir):
     txn = SOURCES["events"][0](spark, sf_dir).withColumns({
         "hour_of_day": F.hour("timestamp"), "rare": F.when(F.col("amount") > 480, F.col("amount"))})
-    ref, cur = D.split_by_time(txn)
-    return (ref.withColumn("amount_shift", F.col("amount")),
-            cur.withColumn("amount_shift", F.col("amount") * 1.5 + 10))
+    return D.sides_by_time(txn).withColumn(
+        "amount_shift", F.when(F.col("side") == 0, F.col("amount")).otherwise(F.col("amount") * 1.5 + 10))
 
 
 def _report(spark, sf_dir):
-    ref, cur = _halves(spark, sf_dir)
-    return D.drift_report(ref, cur, FEATS)
+    return D.drift_of(D.long_sides(_halves(spark, sf_dir), FEATS), FEATS)
 
 
 def _profile_run(spark, sf_dir):
-    ref, _ = _halves(spark, sf_dir)
-    p = D.reference_profile(D.long_format(ref, FEATS))
+    p = D.reference_profile(D.long_format(_halves(spark, sf_dir).where("side = 0"), FEATS))
     p = p.select("*", *[F.col("percentiles")[i].alias(f"p{int(q * 100)}") for i, q in enumerate(K.DRIFT_PERCENTILES)])
     return project(p, PROFILE)
 

@@ -10,6 +10,7 @@ from veloscope.operators import scoring as S
 from veloscope.operators.features import feature_matrix
 from veloscope.operators.transaction import risk_prior
 from veloscope.plans.common import Query, project, registry, sql_select
+from veloscope.session import written_once
 from veloscope.sources.prediction_log import PREDICTION_LOG_CTE, prediction_log
 from veloscope.sources.transactions import SOURCES
 
@@ -85,6 +86,7 @@ def _explain_run(spark, sf_dir):
     from veloscope.plans.feature_queries import kinds
     # the explainer reads the published feature table (doubles stored to 6 places)
     fm = project(feature_matrix(SOURCES["orders"][0](spark, sf_dir)), kinds("transaction_id", *EXPLAIN_FEATURES))
+    fm = written_once(fm, "features")       # the means and the rows come from one computation of the features
     c = S.linear_contributions(fm, EXPLAIN_FEATURES)
     out = c.withColumns(S.contribution_buckets("contributions")).withColumn(
         "top_features", F.array_join(F.transform(S.top_contributions("contributions", 8),

@@ -54,8 +54,10 @@ def sample_exact(df: DataFrame, n: int, seed: int = K.SPLIT_SEED, id_col: str =
     """Exactly min(n, rows) rows, chosen by a seeded hash order (deterministic).
 
     The order key is the first 60 bits of md5('<id>|<seed>') (reproducible in SQL).
-    A global top-n: each task keeps its n smallest keys (TakeOrderedAndProject),
-    so only n rows per task reach the final merge, whatever the table size.
+    Rows are numbered in that order by running counts over range partitions, so the sample may be as
+    large as the table and is never merged in one task.
     """
+    from veloscope.operators.prefix import running_sums
     from veloscope.operators.splits import hash_key
-    return df.withColumn("_h", hash_key(id_col, seed)).orderBy("_h", id_col).limit(n).drop("_h")
+    d = df.withColumns({"_h": hash_key(id_col, seed), "_one": F.lit(1)})
+    return running_sums(d, [], "_h", ["_one"], tiebreak=[id_col]).where(F.col("run__one") <= n).select(*df.columns)

@@ -7,8 +7,6 @@ PERMISSIVE mode, and timestamps keep microseconds in text form.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +28,12 @@ TRANSACTION_SCHEMA = T.StructType([
 ])
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Does the path exist on the file system that Spark reads it from?"""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _format(path: str) -> str:
     p = path.rstrip("/").lower()
     for suffix, fmt in ((".parquet", "parquet"), (".csv", "csv"), (".tsv", "tsv"), (".json", "json")):
@@ -41,8 +45,7 @@ def _format(path: str) -> str:
 def ingest(spark: SparkSession, path: str, schema: T.StructType | None = TRANSACTION_SCHEMA) -> DataFrame:
     """A1/A3: read a table by suffix; missing path or unknown suffix is an error."""
     fmt = _format(path)
-    local = path[len("file:"):] if path.startswith("file:") and "://" not in path else path
-    if ":" not in local.split("/")[0] and not os.path.exists(local):
+    if not path_exists(spark, path):
         raise FileNotFoundError(path)
     if fmt == "parquet":
         df = spark.read.parquet(path)
