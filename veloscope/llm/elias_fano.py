@@ -2,8 +2,8 @@
 
 n non-decreasing integers below a universe u are kept as low bytes (whole bytes, so that they are plain array
 columns) and high parts in unary: the i-th one bit stands at high_i + i, and the j-th zero ends bucket j.
-``access`` is a select of ones, ``bucket`` two selects of zeros; both go through a directory of counts per 64-bit
-word. All parts are flat buffers, so a sequence can live in a memory-mapped file.
+``access`` is a select of ones through a directory of counts per 64-bit word; a batch of look-ups decodes the bucket ends
+and low parts once. All parts are flat buffers, so a sequence can live in a memory-mapped file.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ def select_in_word(x: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """``n``, ``k`` low bytes, ``low`` (n, k) bytes, ``words`` of the unary part, ``ones`` / ``zeros`` before each word."""
+    """``n``, ``k`` low bytes, ``low`` (n, k) bytes, ``words`` of the unary part, ``ones`` before each word."""
 
     def __init__(self, n: int, k: int, low: np.ndarray, words: np.ndarray):
         self.n, self.k, self.low, self.words = n, k, low, words
         count = np.bitwise_count(words).astype(np.int64)
         self.ones = np.concatenate(([0], np.cumsum(count)))
-        self.zeros = np.arange(len(words) + 1) * 64 - self.ones
+        self._ends = self._lows = None
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -69,24 +69,34 @@ class EliasFano:
         out[:, :self.k] = self.low[i]
         return out.view("<u8").ravel()
 
+    def lows(self) -> np.ndarray:
+        """All low parts, decoded once for many look-ups."""
+        if self._lows is None:
+            wide = np.uint32 if self.k <= 4 else np.uint64
+            out = np.zeros((self.n, wide().nbytes), np.uint8)
+            out[:, :self.k] = self.low
+            self._lows = out.view(wide).ravel()
+        return self._lows
+
     def access(self, i: np.ndarray) -> np.ndarray:
         high = self._select(self.ones, lambda w: self.words[w], i) - i
         return (high.astype(np.uint64) << _U(8 * self.k)) | self.low_of(i)
 
+    def ends(self) -> np.ndarray:
+        """End of each bucket, decoded once for many look-ups: the j-th zero stands at (elements up to j) + j."""
+        if self._ends is None:
+            zeros = np.flatnonzero(np.unpackbits(np.ascontiguousarray(~self.words).view(np.uint8), bitorder="little"))
+            zeros -= np.arange(len(zeros))
+            self._ends = np.minimum(zeros, self.n).astype(np.int32)
+        return self._ends
+
     def bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[first, end) of the elements with this high part."""
-        top = int(self.zeros[-1]) - 1              # the last zero; parts above hold nothing
-        inside = high <= top
-        end = np.full(len(high), self.n, np.int64)
-        h = high[inside]
-        end[inside] = np.minimum(self._select(self.zeros, lambda w: ~self.words[w], h) - h, self.n)
-        first = np.full(len(high), self.n, np.int64)
-        zero = high == 0
-        first[zero] = 0
-        some = (high > 0) & (high <= top + 1)
-        h = high[some] - 1
-        first[some] = np.minimum(self._select(self.zeros, lambda w: ~self.words[w], h) - h, self.n)
-        return first, end
+        ends = self.ends()
+        inside = high < len(ends)                  # parts above hold nothing
+        h = np.where(inside, high, 0)
+        end = np.where(inside, ends[h], 0)
+        return np.where(inside & (high > 0), ends[h - 1], 0), end
 
     def find(self, values: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Index of each value, or -1; ``first``/``end`` bound the search (a context's successors)."""
@@ -97,18 +107,17 @@ class EliasFano:
         lo, hi = self.bucket((values >> _U(8 * self.k)).astype(np.int64))
         if first is not None:
             lo, hi = np.maximum(lo, first), np.minimum(hi, end)
-        want = values & _U((1 << 8 * self.k) - 1)
         at = np.flatnonzero(lo < hi)
-        lo, hi, want, stop = lo[at], hi[at], want[at], hi[at]
-        open_ = np.arange(len(at))
+        low = self.lows()
+        lo, hi, want = lo[at], hi[at], (values[at] & _U((1 << 8 * self.k) - 1)).astype(low.dtype)
+        open_ = np.flatnonzero(hi - lo > 1)
         while len(open_):                          # successor search by halving, on the low bytes
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self.low_of(mid) < want[open_]
-            lo[open_] = np.where(less, mid + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], mid)
-            open_ = open_[lo[open_] < hi[open_]]
-        ok = np.flatnonzero(lo < stop)
-        ok = ok[self.low_of(lo[ok]) == want[ok]]
+            a, z = lo[open_], hi[open_]
+            mid = (a + z) >> 1
+            more = low[mid] <= want[open_]
+            lo[open_], hi[open_] = np.where(more, mid, a), np.where(more, z, mid)
+            open_ = open_[hi[open_] - lo[open_] > 1]
+        ok = low[lo] == want
         out[at[ok]] = lo[ok]
         return out
 

@@ -29,10 +29,10 @@ from __future__ import annotations
 import math
 import mmap
 import tempfile
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,15 +40,17 @@ from pyspark.sql import functions as F
 
 from veloscope.llm.common import LOWER, UPPER, crc_mod, text_or_empty, written
 from veloscope.llm.elias_fano import EliasFano
+from veloscope.llm.suffix_dedup import Roller
 
-ORDER, CHUNK = 3, 12 << 20
+ORDER, CHUNK = 3, 6 << 20
+HASH_BLOCK = 1 << 20
 MARGIN = 17             # bits of an n-gram hash beyond log2(tokens)
 #: (a, b) of the share that a context of count c leaves to the shorter context, by order
 BACKOFF = {2: (0.8, 0.12), 3: (0.5, 0.10), 4: (0.4, 0.10), 5: (0.4, 0.10)}
 HOLD_MOD, HOLD_REST = 7, 2
 STEPS = 4096            # quantisation steps per unit of log10
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_END = xxhash.xxh64_intdigest(b" ")         # no word holds a blank
+_END = np.uint64(0x5EED5EED5EED5EED)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 CHUNKS = "chunk long, ids array<long>, held array<boolean>, sizes array<long>, data binary"
@@ -79,7 +81,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 
         def close():
             return batch([((part << 24) | seq, [r[0] for r in rows], [r[1] for r in rows], [len(p) for p in parts],
-                           zstandard.compress(b"".join(parts), 3))], _CHUNKS)
+                           zstandard.compress(b"\n".join([*parts, b""]), 3))], _CHUNKS)
 
         for b in batches:
             for i, held, text in zip(*(b.column(c).to_pylist() for c in ("id", "held", "text"))):
@@ -96,26 +98,48 @@ def chunks(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return written(d.mapInArrow(run, CHUNKS), "chunks")
 
 
+@lru_cache(maxsize=1)
+def roller(size: int) -> Roller:
+    return Roller(size)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, 64-bit hash) of every word of ``data``: prefix sums of byte codes times powers, block by block."""
+    b = np.frombuffer(data, np.uint8)
+    blank = (b == 0x20) | ((b >= 0x09) & (b <= 0x0D))
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).view(np.int8)))
+    first, end = edge[::2], edge[1::2]
+    out = np.empty(len(first), np.uint64)
+    at = 0
+    while at < len(first):
+        upto = max(int(np.searchsorted(end, first[at] + HASH_BLOCK)), at + 1)       # whole words, one at least
+        lo, hi = int(first[at]), int(end[upto - 1])
+        r = roller(max(HASH_BLOCK, 1 << (hi - lo).bit_length()))
+        c = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(r.code[b[lo:hi]] * r.up[:hi - lo], out=c[1:])
+        f = first[at:upto] - lo
+        out[at:upto] = (c[end[at:upto] - lo] - c[f]) * r.down[f]
+        at = upto
+    out = (out ^ (out >> np.uint64(32))) * _A
+    out = (out ^ (out >> np.uint64(29))) * _B
+    return first, out ^ (out >> np.uint64(32))
+
+
 class Tokens:
-    """The token stream of a chunk: hashes, document numbers, places in the document, training flags."""
+    """The token stream of a chunk: hashes, document numbers, places in the document, training flags.
+
+    Texts lie in ``data`` one after another, each followed by a blank.
+    """
 
     def __init__(self, held: list, sizes: list, data: bytes):
-        class Hashes(dict):
-            def __missing__(self, w):
-                h = self[w] = xxhash.xxh64_intdigest(w)
-                return h
-
-        text, at, memo, parts, counts = zstandard.decompress(data), 0, Hashes(), [], []
-        for n in sizes:
-            words = text[at:at + n].split()
-            at += n
-            parts.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
-            parts.append(np.array([_END], np.uint64))
-            counts.append(len(words) + 1)
-        self.h = np.concatenate(parts)
-        self.doc = np.repeat(np.arange(len(sizes)), counts)
-        first = np.cumsum(counts) - counts
-        self.place = np.arange(len(self.h)) - np.repeat(first, counts)
+        first, words = word_hashes(zstandard.decompress(data))
+        doc = np.searchsorted(np.cumsum(np.array(sizes) + 1), first, "right")
+        counts = np.bincount(doc, minlength=len(sizes)) + 1
+        ends = np.cumsum(counts)
+        self.h = np.full(int(ends[-1]), _END, np.uint64)
+        self.h[np.arange(len(words)) + doc] = words
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), counts)
+        self.place = np.arange(len(self.h), dtype=np.int32) - np.repeat((ends - counts).astype(np.int32), counts)
         self.train = ~np.repeat(np.array(held, bool), counts)
 
     def keys(self, order: int, bits: int):
@@ -136,13 +160,29 @@ def bits_of(k: int, bits: int) -> int:
     return 64 if k == 1 else bits
 
 
-def distinct(key: np.ndarray, weight: np.ndarray | None = None):
-    """Sorted distinct keys, index of one occurrence, and summed weights."""
-    order = np.argsort(key, kind="stable")
+def heads(s: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array begin."""
+    return np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, np.int64)
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the index of one occurrence each."""
+    order = np.argsort(key)
     s = key[order]
-    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, np.int64)
-    total = np.add.reduceat(weight[order].astype(np.int64), first) if weight is not None and len(s) else np.zeros(len(first), np.int64)
-    return s[first], order[first], total
+    first = heads(s)
+    return s[first], order[first]
+
+
+def counted(key: np.ndarray, train: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs in training texts."""
+    if bits < 64:                                   # the flag travels in the low bit of what is sorted
+        s = np.sort((key << np.uint64(1)) | train)
+        flag, s = (s & np.uint64(1)).astype(np.int64), s >> np.uint64(1)
+    else:
+        order = np.argsort(key)
+        s, flag = key[order], train[order].astype(np.int64)
+    first = heads(s)
+    return s[first], np.add.reduceat(flag, first) if len(first) else np.empty(0, np.int64)
 
 
 def ask(order: int, bits: int, shard_bits: int):
@@ -151,7 +191,7 @@ def ask(order: int, bits: int, shard_bits: int):
             for chunk, held, sizes, data in zip(*(b.column(c).to_pylist() for c in ("chunk", "held", "sizes", "data"))):
                 t = Tokens(held, sizes, data)
                 for k, key, at in t.keys(order, bits):
-                    uniq, _, count = distinct(key, t.train[at])
+                    uniq, count = counted(key, t.train[at], bits_of(k, bits))
                     width = bits_of(k, bits) - shard_bits
                     edge = np.searchsorted(uniq >> np.uint64(width), np.arange((1 << shard_bits) + 1).astype(np.uint64))
                     rows = []
@@ -192,103 +232,90 @@ def share_left(k: int, c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, a * np.maximum(c, 1).astype(float) ** -b, 1.0)
 
 
-class Trie:
-    """Levels in one memory-mapped scratch file. Level k: ids (Elias-Fano), prob and bow codes, child pointers."""
+def mapped(parts: dict[str, bytes]) -> dict[str, tuple]:
+    """The parts in one memory-mapped scratch file: name -> (buffer, offset, length)."""
+    file = tempfile.TemporaryFile()                # has no name: nothing stays when the task ends
+    at, where = 0, {}
+    for name, data in parts.items():
+        file.write(data + bytes(-len(data) % 8))
+        where[name] = (at, len(data))
+        at += len(data) + -len(data) % 8
+    file.write(bytes(8))
+    file.flush()
+    buf = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    file.close()
+    return {k: (buf, *v) for k, v in where.items()}
+
 
-    def __init__(self):
-        self.parts: list[bytes] = []
-        self.levels: list[dict] = []
+def codes(part: tuple) -> np.ndarray:
+    buf, at, n = part
+    return np.frombuffer(buf, "<u2", n // 2, at) if n else np.zeros(0, np.uint16)
 
-    def add(self, ids: EliasFano, prob: np.ndarray, bow: np.ndarray | None, pointers: np.ndarray | None, n_children: int = 0) -> None:
-        level = {}
-        for name, data in (("ids", ids.to_bytes()), ("prob", prob.tobytes()), ("bow", b"" if bow is None else bow.tobytes()),
-                           ("ptr", b"" if pointers is None else EliasFano.of(pointers, n_children + 1).to_bytes())):
-            level[name] = (sum(map(len, self.parts)), len(data))
-            self.parts += [data, bytes(-len(data) % 8)]
-        self.levels.append(level)
 
-    def mapped(self) -> list[dict]:
-        file = tempfile.TemporaryFile()            # has no name: nothing stays when the task ends
-        file.write(b"".join(self.parts) or b"\0")
-        file.flush()
-        buf = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        file.close()
-        out = []
-        for level in self.levels:
-            x = {k: np.frombuffer(buf, "<u2", n // 2, at) if n else np.zeros(0, np.uint16)
-                 for k, (at, n) in level.items() if k in ("prob", "bow")}
-            x |= {k: EliasFano.from_buffer(buf, level[k][0]) for k in ("ids", "ptr") if level[k][1]}
-            out.append(x)
-        return out
+class Level:
+    """A trie level: successor ids (Elias-Fano over parent * words + word), probability codes, and, once the level below is
+    known, pointers to the successors (Elias-Fano) and back-off codes."""
 
+    def __init__(self, keys: np.ndarray, universe: int, logp: np.ndarray, count: np.ndarray):
+        m = mapped({"ids": EliasFano.of(keys, universe).to_bytes(), "prob": quantised(logp).tobytes()})
+        self.ids, self.prob, self.count = EliasFano.from_buffer(*m["ids"][:2]), codes(m["prob"]), count
 
-def successors(level: dict, below: dict, parent: np.ndarray, word: np.ndarray, n_words: int) -> np.ndarray:
-    """Node of ``word`` among the successors of each parent node in the level below, or -1."""
-    first = level["ptr"].access(parent).astype(np.int64)
-    end = level["ptr"].access(parent + 1).astype(np.int64)
-    return below["ids"].find(parent.astype(np.uint64) * np.uint64(n_words) + word.astype(np.uint64), first, end)
+    def link(self, parents: np.ndarray, left: np.ndarray) -> None:
+        """``parents``: the node of this level above each node of the next one, in order."""
+        pointers = np.searchsorted(parents, np.arange(len(self.count) + 1)).astype(np.uint64)
+        m = mapped({"ptr": EliasFano.of(pointers, len(parents) + 1).to_bytes(), "bow": quantised(np.log10(left)).tobytes()})
+        self.pointers, self.bow = EliasFano.from_buffer(*m["ptr"][:2]), codes(m["bow"])
+
+    def successors(self, below: Level, parent: np.ndarray, word: np.ndarray, n_words: int) -> np.ndarray:
+        """Node of ``word`` among the successors of each parent node, or -1."""
+        p = self.pointers.decode().astype(np.int32)
+        return below.ids.find(parent.astype(np.uint64) * np.uint64(n_words) + word.astype(np.uint64), p[parent], p[parent + 1])
 
 
 def log_probabilities(t: Tokens, counts: dict, order: int, bits: int, n_train: int, once: int) -> tuple[np.ndarray, np.ndarray]:
-    """(count of each token's word, log10 probability of each token) under the model."""
-    n = len(t.h)
+    """(count of each token's word, log10 probability of each token) under the model.
+
+    The trie grows a level at a time: the nodes above a new level, and the shorter contexts' probabilities in it,
+    are looked up in the levels built so far.
+    """
     unknown = min(max(once, 1) / n_train, 0.5) if n_train else 1.0
-    trie, grams = Trie(), {k: (key, at) for k, key, at in t.keys(order, bits)}
-    uniq, _, _ = distinct(grams[1][0])
-    c1 = counts[1]
-    n_words = len(uniq)
-    p1 = np.log10(np.where(c1 > 0, (1 - unknown) * c1 / max(n_train, 1), unknown))
-    # levels are added one by one: a level's nodes are found by searching the trie built so far
-    levels: list[dict] = []
-    pending = {"ids": EliasFano.of(uniq, 1 << 64), "prob": quantised(p1), "count": c1}
-    node = None                                                     # node of each token's n-gram so far
-    logp = None
-    word = None
-    for k in range(1, order + 1):
-        if k > 1:
-            key, at = grams[k]
-            _, where, _ = distinct(key)
-            end = at[where]                                         # a token where each distinct n-gram ends
-            parent, c = node[end - 1], counts[k]
-            seen = (c > 0) & (parent >= 0)
-            end, parent, c = end[seen], parent[seen], c[seen]
-            sort = np.lexsort((word[end], parent))
-            end, parent, c = end[sort], parent[sort], c[sort]
-            left = share_left(k, above_count[parent])
-            lower = 10.0 ** logp[end]                               # P(w | shorter context) at that token
-            p = np.log10(np.minimum((1 - left) * c / above_count[parent] + left * lower, 1.0))
-            pointers = np.searchsorted(parent, np.arange(len(above_count) + 1)).astype(np.uint64)
-            bow = quantised(np.log10(share_left(k, above_count)))
-            pending["bow"], pending["pointers"], pending["n_children"] = bow, pointers, len(c)
-            trie.add(pending["ids"], pending["prob"], bow, pointers, len(c))
-            ids = EliasFano.of(parent.astype(np.uint64) * np.uint64(n_words) + word[end].astype(np.uint64),
-                               max(1, len(above_count)) * n_words + 1)
-            pending = {"ids": ids, "prob": quantised(p), "count": c}
-        if k == order:
-            trie.add(pending["ids"], pending["prob"], None, None)
-        probe = Trie()
-        probe.parts, probe.levels = list(trie.parts), list(trie.levels)
-        if k < order:
-            probe.add(pending["ids"], pending["prob"], None, None)
-        levels = probe.mapped()
+    up = word = node = logp = None                  # node, logp: of each token's n-gram so far
+    n_words = 0
+    for k, key, at in t.keys(order, bits):
         if k == 1:
-            word = node = levels[0]["ids"].find(t.h)
-            logp = -levels[0]["prob"][word].astype(float) / STEPS
-        else:
-            up, here = levels[k - 2], levels[k - 1]
-            at = grams[k][1]
-            ctx = node[at - 1]
-            at, ctx = at[ctx >= 0], ctx[ctx >= 0]
-            found = successors(up, here, ctx, word[at], n_words)
-            node = np.full(n, -1, np.int64)
-            node[at] = found
-            logp = logp.copy()
-            back = logp[at] - up["bow"][ctx].astype(float) / STEPS
-            hit = found >= 0
-            back[hit] = -here["prob"][found[hit]].astype(float) / STEPS
-            logp[at] = back
-        above_count = pending["count"]
-    return c1[word], logp
+            uniq, _ = distinct(key)
+            n_words, c = len(uniq), counts[1]
+            p1 = np.log10(np.where(c > 0, (1 - unknown) * c / max(n_train, 1), unknown))
+            up = Level(uniq, 1 << 64, p1, c)
+            word = node = up.ids.find(t.h).astype(np.int32)
+            logp = -up.prob[word].astype(np.float32) / STEPS
+            continue
+        _, where = distinct(key)
+        del key
+        end, c = at[where], counts[k]               # a token where each distinct n-gram ends
+        parent = node[end - 1]
+        seen = (c > 0) & (parent >= 0)
+        end, parent, c = end[seen], parent[seen], c[seen]
+        sort = np.lexsort((word[end], parent))
+        end, parent, c = end[sort], parent[sort], c[sort]
+        left = share_left(k, up.count)
+        lower = 10.0 ** logp[end].astype(float)     # P(w | shorter context) at that token
+        p = np.log10(np.minimum((1 - left[parent]) * c / up.count[parent] + left[parent] * lower, 1.0))
+        here = Level(parent.astype(np.uint64) * np.uint64(n_words) + word[end].astype(np.uint64),
+                     max(1, len(up.count)) * n_words + 1, p, c)
+        up.link(parent, left)
+        del where, seen, sort, end, lower, p
+        ctx = node[at - 1]
+        at, ctx = at[ctx >= 0], ctx[ctx >= 0]
+        found = up.successors(here, ctx, word[at], n_words)
+        back = logp[at] - up.bow[ctx].astype(np.float32) / STEPS
+        hit = found >= 0
+        back[hit] = -here.prob[found[hit]].astype(np.float32) / STEPS
+        logp[at] = back
+        node = np.full(len(t.h), -1, np.int32)
+        node[at] = found
+        up = here
+    return counts[1][word], logp
 
 
 def score_chunk(order: int, bits: int, n_train: int, n_words: int, once: int):
@@ -318,7 +345,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     n_bytes = packed.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x + 1)), F.lit(0))
                          .alias("b")).first()["b"]
     bits = min(64, math.ceil(math.log2(max(n_bytes / 6, 2))) + margin)
-    shard_bits = max(0, math.ceil(math.log2(max(n_bytes / chunk, 1))))
+    shard_bits = max(0, math.ceil(math.log2(max(n_bytes / (4 * chunk), 1))))
     asked = packed.select("chunk", "held", "sizes", "data").mapInArrow(ask(order, bits, shard_bits), ASKS)
     answers = written(asked.groupBy("shard", "ord").applyInArrow(answer, ANSWERS), "answers")
     total = answers.where("chunk = -1 and ord = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c)
