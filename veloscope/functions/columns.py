@@ -60,15 +60,6 @@ def safe_ratio(num, den) -> Column:
     return c(num) / (c(den) + F.lit(K.RATIO_EPS))
 
 
-def div0(num, den) -> Column:
-    """num / den, 0 when den is 0 (zero-division rule of the metrics)."""
-    return F.when(c(den) == 0, F.lit(0.0)).otherwise(c(num) / c(den))
-
-
-def rnd(col, places: int = 6) -> Column:
-    return round_to(col, places)
-
-
 def mask_id(col, salt: str = "") -> Column:
     """PII mask: hex SHA-256 of the salted value; null stays null."""
     return F.when(c(col).isNotNull(), F.sha2(F.concat(F.lit(salt), c(col).cast("string")), 256))

@@ -1,7 +1,7 @@
 """Behavioural profile features.
 
 All profile statistics are over the user's whole table (the reference's
-parity mode); ``user_profile`` returns them as a table, ``add_behavioral``
+parity mode); ``user_profile`` returns them as a table, ``behavioral_columns``
 attaches them to rows with the physical shape chosen by the caller.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veloscope.functions import columns as C
 from veloscope.operators.prefix import running_sums
-from veloscope.operators.profile import JOIN, OVER, attach, set_size
+from veloscope.operators.profile import JOIN, attach, distinct
 from veloscope.operators.skew import NULL_SALT
 from veloscope.operators.temporal import US, salted, with_micros
 
@@ -32,10 +32,10 @@ def user_aggs(df: DataFrame) -> dict[str, Column]:
         "_u_spend": F.sum("amount"),
         # Mean of daily sums over active days = spend on dated rows / active days
         "_u_dated_spend": F.sum(F.when(F.col("timestamp").isNotNull(), F.col("amount"))),
-        "_u_days": set_size(F.collect_set(F.to_date("timestamp"))),
+        "_u_days": distinct(F.to_date("timestamp")),
     }
     if "device_fingerprint" in df.columns:
-        aggs["_u_devices"] = set_size(F.collect_set("device_fingerprint"))
+        aggs["_u_devices"] = distinct(F.col("device_fingerprint"))
     return aggs
 
 
@@ -59,17 +59,6 @@ def _with_night(df: DataFrame) -> DataFrame:
     return df.withColumn("is_night", F.coalesce(C.is_night("timestamp"), F.lit(0)))
 
 
-def add_user_stats(df: DataFrame, how: str = OVER) -> DataFrame:
-    df = _with_night(df)
-    return attach(df, [USER], user_aggs(df), how)
-
-
-def add_category_counts(df: DataFrame, how: str = OVER) -> DataFrame:
-    if "merchant_category" not in df.columns:
-        return df
-    return attach(df, [USER, "merchant_category"], {"_uc_count": F.count(F.lit(1))}, how)
-
-
 def behavioral_columns(df: DataFrame) -> dict[str, Column]:
     """D3-D7, D9 from the attached aggregates."""
     out = {
@@ -111,12 +100,6 @@ def spend_percentile_columns(user: str = USER, id_col: str = "transaction_id") -
         F.col(user).isNull() | (F.count(F.lit(1)).over(wu) <= 1), F.lit(0.5)).otherwise(pct)}
 
 
-def add_behavioral(df: DataFrame, how: str = OVER) -> DataFrame:
-    df = add_category_counts(add_user_stats(df, how), how)
-    df = df.withColumns(behavioral_columns(df))
-    return spend_percentile(df)
-
-
 def intl_txn_ratio(df: DataFrame, how: str = JOIN, home: str = "US") -> DataFrame:
     """M2: share of the user's transactions outside the home country (null country counts)."""
     if "country" not in df.columns:

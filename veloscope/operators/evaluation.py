@@ -98,20 +98,6 @@ def curve_metrics(curve: DataFrame, by: Sequence[str] = (), threshold: float = K
     return out
 
 
-def calibration_metrics(df: DataFrame, label: str = "is_fraud", score: str = "score",
-                        by: Sequence[str] = (), eps: float = K.PROB_CLIP) -> DataFrame:
-    """Brier score, log loss (clipped), fraud rate, n, n_fraud."""
-    by = _grp(by)
-    y, p = F.col(label).cast("double"), F.col(score).cast("double")
-    pc = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
-    aggs = [F.avg(F.pow(p - y, 2)).alias("brier_score"),
-            (-F.avg(y * F.log(pc) + (1 - y) * F.log(1 - pc))).alias("log_loss"),
-            F.avg(y).alias("fraud_rate"), F.count(F.lit(1)).cast("double").alias("n_samples"),
-            F.sum(y).alias("n_fraud")]
-    base = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    return base.groupBy(*by).agg(*aggs) if by else base.agg(*aggs)
-
-
 def calibration_from_curve(curve: DataFrame, by: Sequence[str] = (), eps: float = K.PROB_CLIP) -> DataFrame:
     """I9-I10 from the distinct-score table: each score carries its positive and negative counts."""
     by = _grp(by)
@@ -232,13 +218,6 @@ def classification_report(metrics: DataFrame, by: Sequence[str] = ()) -> DataFra
     return metrics.select(*by, F.inline(rows))
 
 
-def report_json(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """I16: the metric row as one JSON document per group."""
-    by = _grp(by)
-    cols = [c for c in metrics.columns if c not in by]
-    return metrics.select(*by, F.to_json(F.struct(*cols)).alias("report"))
-
-
 def roc_points(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """ROC (fpr, tpr) and PR (precision, recall) points per threshold."""
     tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")

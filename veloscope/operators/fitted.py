@@ -20,6 +20,7 @@ from veloscope.operators import behavioral as B
 from veloscope.operators import transaction as X
 from veloscope.operators.features import BASE, compute_features, feature_names
 from veloscope.operators.prefix import exact_quantiles
+from veloscope.operators.profile import grouped
 from veloscope.operators.temporal import DAY_US, HOUR_US, US, salted, with_micros
 
 TABLES = ("users", "categories", "merchants", "recent")
@@ -94,9 +95,7 @@ def fit_features(history: DataFrame, windows: Sequence[int] = K.VELOCITY_WINDOWS
     h = B._with_night(with_micros(history)).where(F.col("user_id").isNotNull())
     aggs = B.user_aggs(h)
     aggs.pop("_u_median")
-    cols = [(post(e) if post else e).alias(n) for n, (e, post) in
-            {n: (e if isinstance(e, tuple) else (e, None)) for n, e in aggs.items()}.items()]
-    users = h.groupBy("user_id").agg(*cols, F.min(US).alias("_u_first"), F.max(US).alias("_u_last"))
+    users = h.groupBy("user_id").agg(*grouped(aggs), F.min(US).alias("_u_first"), F.max(US).alias("_u_last"))
     median = exact_quantiles(h, ["user_id"], "amount", [0.5], prefix="_u_median")
     users = users.join(median.select("user_id", F.col("_u_median0").alias("_u_median")), "user_id", "left")
     per = lambda key, name: h.where(F.col(key).isNotNull()).groupBy("user_id", key).agg(F.count(F.lit(1)).alias(name))

@@ -14,6 +14,8 @@ Rows with a null key get null (the key is not a group), like a left join.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +23,25 @@ OVER = "over"
 JOIN = "join"
 
 
-def set_size(agg: Column):
-    """Mark an aggregate whose result is wrapped in ``size`` (distinct counts via collect_set)."""
-    return (agg, F.size)
+@dataclass(frozen=True)
+class Distinct:
+    """The number of distinct values of a column, in the form each shape can compute."""
+    column: Column
+
+    def over(self, w) -> Column:
+        return F.size(F.collect_set(self.column).over(w))       # count(distinct) is not allowed over a window
+
+    def grouped(self) -> Column:
+        return F.count_distinct(self.column)                    # two-level aggregation: no set in one buffer
+
+
+def distinct(c: Column) -> Distinct:
+    return Distinct(c)
 
 
-def _norm(aggs: dict) -> dict:
-    return {n: (e if isinstance(e, tuple) else (e, None)) for n, e in aggs.items()}
+def grouped(aggs: dict) -> list[Column]:
+    """The aggregates for ``groupBy(...).agg``, named."""
+    return [(e.grouped() if isinstance(e, Distinct) else e).alias(n) for n, e in aggs.items()]
 
 
 def _keys_ok(keys: list[str]) -> Column:
@@ -44,21 +58,19 @@ def over_columns(keys: list[str], aggs: dict, spread: list[str] = ()) -> dict[st
     """
     ok = _keys_ok(keys)
     w = Window.partitionBy(*keys, *spread)
-    return {n: F.when(ok, post(e.over(w)) if post else e.over(w)) for n, (e, post) in _norm(aggs).items()}
+    return {n: F.when(ok, e.over(w)) for n, e in aggs.items()}
 
 
 def attach(df: DataFrame, keys: list[str], aggs: dict, how: str = OVER,
            source: DataFrame | None = None) -> DataFrame:
-    """``aggs``: name → aggregate Column, or (aggregate, post-function) pairs.
+    """``aggs``: name → aggregate Column, or ``distinct(column)``.
 
     ``source`` (JOIN shape): aggregate this table instead of ``df`` -- pass the
     narrow base rows so a long chain of feature steps does not re-plan itself.
     """
     ok = _keys_ok(keys)
-    norm = _norm(aggs)
     if how == OVER:
         return df.withColumns(over_columns(keys, aggs))
     src = df if source is None else source
-    prof = src.where(ok).groupBy(*keys).agg(*[(post(e) if post else e).alias(n)
-                                              for n, (e, post) in norm.items()])
+    prof = src.where(ok).groupBy(*keys).agg(*grouped(aggs))
     return df.join(prof, keys, "left")

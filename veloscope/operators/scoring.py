@@ -16,12 +16,6 @@ from veloscope import constants as K
 from veloscope.functions import columns as C
 
 
-def probability_of_positive(col: str = "probability") -> Column:
-    """Spark ML probability vector → P(class 1)."""
-    from pyspark.ml.functions import vector_to_array
-    return vector_to_array(F.col(col))[1]
-
-
 def score_batch(df: DataFrame, prob_col: str = "fraud_probability", model_version: str = "unversioned",
                 threshold: float = K.FRAUD_LABEL_THRESHOLD, id_col: str = "transaction_id",
                 keep: Sequence[str] = ()) -> DataFrame:
@@ -30,19 +24,13 @@ def score_batch(df: DataFrame, prob_col: str = "fraud_probability", model_versio
     return df.select(
         F.col(id_col), *[F.col(k) for k in keep if k in df.columns and k != id_col],
         p.alias("fraud_probability"),
-        (p >= threshold).cast("int").alias("fraud_label"),
+        threshold_predict(p, threshold).alias("fraud_label"),
         C.risk_tier(p).alias("risk_tier"),
         C.decision(p).alias("decision"),
         F.lit(model_version).alias("model_version"),
     )
 
 
-def score_with_model(df: DataFrame, model, model_version: str, id_col: str = "transaction_id") -> DataFrame:
-    """H1 with a fitted Spark ML model (PipelineModel or classifier model)."""
-    out = model.transform(df).withColumn("fraud_probability", probability_of_positive())
-    return score_batch(out, "fraud_probability", model_version, id_col=id_col)
-
-
 def threshold_predict(p, threshold: float = K.FRAUD_LABEL_THRESHOLD) -> Column:
     """H8."""
     return (C.c(p) >= threshold).cast("int")

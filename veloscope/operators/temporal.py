@@ -31,15 +31,6 @@ DAY_US = 24 * HOUR_US
 US = "_us"
 
 
-def add_calendar(df: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """hour_of_day, day_of_week (Mon=0), is_night, is_weekend, day_of_month.
-
-    A null timestamp gives 0 everywhere (the comparisons are false, the
-    parts are filled with 0 in the feature matrix).
-    """
-    return df.withColumns(calendar_columns(ts))
-
-
 def calendar_columns(ts: str = "timestamp") -> dict[str, Column]:
     return {
         "hour_of_day": F.coalesce(C.hour_of_day(ts), F.lit(0)),
@@ -96,11 +87,6 @@ def plain_velocity(df: DataFrame, windows: Sequence[int] = K.VELOCITY_WINDOWS_HO
     return df.withColumns(velocity_columns(_range_frame([user, NULL_SALT]), windows, user, extra_distinct)).drop(NULL_SALT)
 
 
-def plain_recency(df: DataFrame, user: str = "user_id", id_col: str = "transaction_id") -> DataFrame:
-    """C10 days_since_first_txn, C11 seconds_since_last_txn (first row / null → -1)."""
-    return salted(with_micros(df), user).withColumns(recency_columns(user, id_col)).drop(NULL_SALT)
-
-
 def recency_columns(user: str = "user_id", id_col: str = "transaction_id") -> dict[str, Column]:
     wu = Window.partitionBy(user, NULL_SALT)
     wt = wu.orderBy(F.col(US).asc_nulls_last(), F.col(id_col))

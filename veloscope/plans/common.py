@@ -34,21 +34,7 @@ def typed(name: str, kind: str, c=None):
 
 
 def project(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    cols = []
-    for name, kind in kinds.items():
-        c = F.col(name)
-        if kind == "l":
-            c = c.cast("bigint")
-        elif kind == "d":
-            c = round_to(c, PLACES)
-        elif kind == "s":
-            c = c.cast("string")
-        elif kind == "t":
-            c = F.unix_micros(c.cast("timestamp"))
-        else:
-            raise ValueError(kind)
-        cols.append(c.alias(name))
-    return df.select(*cols)
+    return df.select(*[typed(name, kind).alias(name) for name, kind in kinds.items()])
 
 
 def sql_select(kinds: dict[str, str], src: str | None = None) -> str:

@@ -89,7 +89,7 @@ q AS (SELECT 'as it is' AS variant, 1 AS passed, n AS n_rows, '' AS errors FROM
   UNION ALL SELECT 'text times', 0, n, printf('timestamp: %d unreadable', bad) FROM n)
 SELECT {sql_select(FLAGS)} FROM q"""
 
-CHECKS = {"variant": "s", "schema_ok": "l", "valid": "l", "refused": "s"}
+CHECKS = {"variant": "s", "schema_ok": "l", "types_differ": "s", "valid": "l", "refused": "s"}
 
 
 def _checks_run(spark, sf_dir):
@@ -102,17 +102,18 @@ def _checks_run(spark, sf_dir):
         except ValueError as e:
             refused = str(e)
         out.append(Q.validation_report(v, fail_fast=True).select(
-            F.lit(k).alias("variant"), F.lit(int(FI.validate_schema(v))).alias("schema_ok"), F.col("passed").alias("valid"),
+            F.lit(k).alias("variant"), F.lit(int(FI.validate_schema(v))).alias("schema_ok"),
+            F.lit(", ".join(FI.schema_mismatches(v))).alias("types_differ"), F.col("passed").alias("valid"),
             F.lit(refused).alias("refused")))
     return project(reduce(DataFrame.unionByName, out), CHECKS)
 
 
 CHECKS_SQL = f"""WITH {TXN_EVENTS_CTE}, n AS (SELECT count(*) AS n FROM txn),
-q AS (SELECT 'as it is' AS variant, 1 AS schema_ok, 1 AS valid, '' AS refused FROM n
-  UNION ALL SELECT 'no merchant', 0, 0, 'columns absent: merchant_id' FROM n
-  UNION ALL SELECT 'no label', 1, 0, 'columns absent: is_fraud' FROM n
-  UNION ALL SELECT 'no rows', 1, 0, 'the table has no rows' FROM n
-  UNION ALL SELECT 'text times', 1, 0, '' FROM n)
+q AS (SELECT 'as it is' AS variant, 1 AS schema_ok, '' AS types_differ, 1 AS valid, '' AS refused FROM n
+  UNION ALL SELECT 'no merchant', 0, '', 0, 'columns absent: merchant_id' FROM n
+  UNION ALL SELECT 'no label', 1, '', 0, 'columns absent: is_fraud' FROM n
+  UNION ALL SELECT 'no rows', 1, '', 0, 'the table has no rows' FROM n
+  UNION ALL SELECT 'text times', 1, 'timestamp', 0, '' FROM n)
 SELECT {sql_select(CHECKS)} FROM q"""
 
 SPLIT = {"transaction_id": "l", "split": "s"}
