@@ -146,7 +146,7 @@ def training_rows(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", s
     lab = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()) \
         .where(crc_mod(F.col("doc_id"), HOLD_MOD) != HOLD_REST) \
         .groupBy(F.col("doc_id").alias(id_col)).agg(F.min("quality").alias("quality"))
-    rows = stats.join(lab, id_col)
+    rows = stats.select(id_col, *NAMES).join(lab, id_col)
     # a fixed order that says nothing about the text; top-n with n bounded
     return rows.orderBy(F.xxhash64(F.col(id_col)), *NAMES).limit(sample)
 
