@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veloscope.session import checkpoint_dir
+from veloscope.session import written_once
 
 #: ASCII lower-casing (other letters stay), and the word class of the tokenisers here
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,28 +33,7 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def written(df: DataFrame, name: str, sort_free: bool = True) -> DataFrame:
-    """Write ``df`` once as Parquet into the shared checkpoint folder and read it back.
-
-    Cuts the lineage (lost executors re-read files instead of recomputing the plan), computes
-    the plan exactly once, and is removed when the driver process ends.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session may be gone; the folder is scratch
-            return
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once into the shared checkpoint folder and read back: cuts the lineage (lost executors re-read files
+    instead of recomputing the plan) and computes the plan exactly once; removed when the driver process ends."""
+    return written_once(df, f"llm/{name}")
