@@ -30,6 +30,16 @@ def test_reparameterised_and_inconsistent(spark):
     assert leaks(spark, rows, block=8).keys() == got.keys()
 
 
+def test_part_of_a_long_item(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(60)]
+    b = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = [(1, "it says " + " ".join(words[20:33]) + " and goes on"), (2, "it says " + " ".join(words[20:32]) + " and goes on"),
+            (3, " x ".join(" ".join(words[i:i + 6]) for i in range(0, 30, 6)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in D.find_leaks(d, b).collect()] == [1]
+    assert D.longest_run([(3, 13), (4, 14), (5, 15), (7, 17), (5, 2)]) == 3
+
+
 def test_slots_decide(spark):
     """The same template with unrelated fillings at every place is not the item."""
     bench = [(1, "take 1 then 1 then 1 then 1 then 1 then 1 then 1 then 1")]

@@ -11,7 +11,8 @@ at most ``BLOCK`` windows (12 MB), one pass over the documents per block, so its
 any benchmark size. Within a document, a matching window proposes what fills each slot of the item;
 windows whose fillings contradict the majority filling of a slot do not count (a question with two
 equal numbers must have equal numbers in the copy). An item leaks if at least ``share`` of its
-distinct windows are found consistently.
+distinct windows are found consistently, or ``RUN`` successive ones (13 tokens) stand in a row in the document, so that
+a long part of a long item is caught too.
 
 Defined cases: null texts are empty (no windows); items of fewer tokens than a window (too little to tell a
 leak from chance), without a literal word, or null, are never found; repeated items are found each; repeated documents are reported each; a null doc_id is reported as null; extra columns are
@@ -41,6 +42,7 @@ UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mile", "miles", "meter"
          "percent", "dollar", "dollars", "usd", "eur", "euro", "euros", "cent", "cents", "degree", "degrees", "watt", "watts",
          "volt", "volts", "byte", "bytes", "kb", "mb", "gb")
 WINDOW, SHARE = 5, 0.5
+RUN = 9                 # successive windows that are a leak whatever the item's length
 BLOCK = 1 << 20         # benchmark windows that one pass compares
 MEMO = 1 << 18
 END, NUM, UNIT, NAME = (np.uint64(x) for x in (0, 2, 4, 6))
@@ -136,6 +138,18 @@ def contains(sorted_hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
     return sorted_hashes[at] == h
 
 
+def longest_run(pairs: list[tuple]) -> int:
+    """Most successive windows (item start, document start) that are found one after another."""
+    have, best = set(pairs), 0
+    for p, d in pairs:
+        if (p - 1, d - 1) not in have:
+            n = 1
+            while (p + n, d + n) in have:
+                n += 1
+            best = max(best, n)
+    return best
+
+
 def matches(text: str | None, items: Items, w: int, share: float, memo: TokenIds) -> list[tuple]:
     """[(item_id, share found, windows found, slots filled, changed slots)] of the items a text leaks."""
     t = canonical(text, memo)
@@ -150,20 +164,21 @@ def matches(text: str | None, items: Items, w: int, share: float, memo: TokenIds
                     hits[row, form].append((p, int(at[i])))
     best: dict = {}
     for (row, form), pairs in hits.items():
-        if len({p for p, _ in pairs}) < share * items.totals[row, form]:
+        if len({p for p, _ in pairs}) < min(share * items.totals[row, form], RUN):
             continue
         item, b = items.templates[row]
         slots = (b.named if form else b.plain) <= NAME
         votes, fills = defaultdict(Counter), []
         for p, d in pairs:
             fill = {(b.words[p + i].lower(), t.words[d + i].lower()) for i in range(w) if slots[p + i]}
-            fills.append((p, fill))
+            fills.append((p, d, fill))
             for a, x in fill:
                 votes[a][x] += 1
         chosen = {a: min(c, key=lambda x: (-c[x], x != a, x)) for a, c in votes.items()}
-        good = {p for p, fill in fills if all(chosen[a] == x for a, x in fill)}
+        kept = [(p, d) for p, d, fill in fills if all(chosen[a] == x for a, x in fill)]
+        good = {p for p, _ in kept}
         found = len(good) / items.totals[row, form]
-        if found >= share:
+        if found >= share or longest_run(kept) >= RUN:
             score = (found, len(good), len(chosen), sum(a != x for a, x in chosen.items()))
             best[row] = max(best.get(row, (0.0,)), score)
     return sorted(((items.templates[r][0], *s) for r, s in best.items()), key=lambda x: (x[0] is None, x[0] or 0))
