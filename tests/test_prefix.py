@@ -63,3 +63,15 @@ def test_window_assignment_has_no_nested_loop(spark):
     t = txn_orders(spark, SF_SMALL)
     plan = executed(SP.assign_windows(t, SP.walk_forward_windows(t)))
     assert plan.count("NestedLoopJoin") <= 2                 # the one-row origin (initial and final plan)
+
+
+def test_frame_sums_equal_range_windows(spark):
+    from veloscope.operators.prefix import frame_sums
+    rng = random.Random(2)
+    rows = [(i, rng.choice("ab"), rng.randint(0, 60), rng.randint(0, 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, k string, t long, v long")
+    got = frame_sums(df, "k", "t", {"w": (-10, 0), "past": (-11, -1)}, ["v"]).collect()
+    for r in got:
+        assert r["w_v"] == sum(v for _, k, t, v in rows if k == r["k"] and r["t"] - 10 < t <= r["t"])
+        assert r["past_v"] == sum(v for _, k, t, v in rows if k == r["k"] and r["t"] - 10 <= t < r["t"])
+    assert len(got) == 300

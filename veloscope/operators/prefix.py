@@ -77,6 +77,28 @@ def preceding_rows(df: DataFrame, order: str, lookback: int, columns: dict, bloc
     return r.select(*df.columns, *columns)
 
 
+def frame_sums(df: DataFrame, key: str, time: str, frames: dict, sums: Sequence[str]) -> DataFrame:
+    """Adds ``<frame>_<s>``: the sum of ``s`` over the key's rows with time in the frame, without a window per key.
+
+    ``frames``: name -> (from, upto), offsets to the row's time: rows with time > t + from and <= t + upto count. A frame's
+    sum is the difference of the running totals at its two ends: every end becomes a query row of value zero that sorts
+    after the rows of its time, so one running sum over (key, time) answers all frames, however many rows a key has.
+    Sums are exact for whole numbers and decimals. ``time`` is a non-null long.
+    """
+    d = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    zero = [F.lit(0).cast(d.schema[s].dataType).alias(s) for s in sums]
+    data = d.select(key, F.col(time).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_q"),
+                    F.lit(None).cast("string").alias("_end"), *sums)
+    ends = F.array(*[F.struct(F.lit(f"{name}/{i}").alias("end"), (F.col(time) + off).alias("at"))
+                     for name, offs in frames.items() for i, off in enumerate(offs)])
+    ask = d.select(key, F.col("_row").alias("_q"), F.explode(ends).alias("e")).select(
+        key, F.col("e.at").alias("_at"), F.lit(1).alias("_side"), "_q", F.col("e.end").alias("_end"), *zero)
+    r = running_sums(data.unionByName(ask), [key], "_at", list(sums), tiebreak=["_side"]).where("_side = 1")
+    end = lambda name, i, s: F.max(F.when(F.col("_end") == f"{name}/{i}", F.col(f"run_{s}")))
+    got = r.groupBy(F.col("_q").alias("_row")).agg(*[(end(n, 1, s) - end(n, 0, s)).alias(f"{n}_{s}") for n in frames for s in sums])
+    return d.join(got, "_row").drop("_row")
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float],
                     prefix: str = "q") -> DataFrame:
     """Exact linear-interpolation quantiles per group without a single-task merge.

@@ -134,9 +134,18 @@ def bucketed_velocity_recency(df: DataFrame, windows: Sequence[int] = K.VELOCITY
     bucket_us = (bucket_hours * HOUR_US) if bucket_hours else wmax
     df = with_micros(df)
     nulls = df.where(F.col(US).isNull())
-    rows = with_halo(df.where(F.col(US).isNotNull()), bucket_us, wmax)
+    # counts and sums are differences of running totals (amounts as decimals: exact); only the largest amount and the
+    # distinct values need the rows of a frame together
+    from veloscope.operators.prefix import frame_sums
+    dated = df.where(F.col(US).isNotNull()).withColumns({
+        "_n1": F.lit(1).cast("long"), "_am": F.coalesce(F.col("amount"), F.lit(0.0)).cast("decimal(30,10)")})
+    dated = frame_sums(dated, user, US, {f"_w{h}": (-h * HOUR_US, 0) for h in windows}, ["_n1", "_am"])
+    summed = {f"{name}_{h}h": F.col(f"_w{h}_{s}").cast(t) for h in windows
+              for name, s, t in (("txn_count", "_n1", "long"), ("amount_sum", "_am", "double"))}
+    dated = dated.withColumns(summed).drop("_n1", "_am", *[f"_w{h}_{s}" for h in windows for s in ("_n1", "_am")])
+    rows = with_halo(dated, bucket_us, wmax)
     part = [user, BK]
-    cols = velocity_columns(_range_frame(part), windows, user, extra_distinct)
+    cols = {k: c for k, c in velocity_columns(_range_frame(part), windows, user, extra_distinct).items() if k not in summed}
     wt = Window.partitionBy(*part).orderBy(F.col(US), F.col(id_col), F.col(TGT))
     cols["_prev_us"] = F.lag(US).over(wt)
     out = rows.withColumns(cols).where(F.col(TGT) == 1)
@@ -152,7 +161,7 @@ def bucketed_velocity_recency(df: DataFrame, windows: Sequence[int] = K.VELOCITY
         "days_since_first_txn": (F.col(US) - F.col("_umin")) / float(DAY_US),
         "seconds_since_last_txn": F.coalesce((F.col(US) - prev) / 1e6, F.lit(-1.0)),
     }).drop("_prev_us", "_prev_bmax", "_umin", BK, TGT)
-    null_cols = {n: F.lit(0.0) if n.startswith("amount") else F.lit(0) for n in cols if n != "_prev_us"}
+    null_cols = {n: F.lit(0.0) if n.startswith("amount") else F.lit(0) for n in [*summed, *cols] if n != "_prev_us"}
     null_cols["days_since_first_txn"] = F.lit(0.0)
     null_cols["seconds_since_last_txn"] = F.lit(-1.0)
     return out.unionByName(nulls.withColumns(null_cols))

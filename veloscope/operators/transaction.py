@@ -116,14 +116,12 @@ def merchant_fraud_rate_30d(df: DataFrame, days: int = 30, hot_threshold: int |
 
     The frame ends one microsecond before t, so equal timestamps are not seen
     (no label leak). Merchants above ``hot_threshold`` rows (default: the
-    package threshold) are windowed per (merchant, 30-day bucket) with the
-    previous bucket copied in as context, so a merchant holding a third of all
-    transactions is spread over one task per bucket.
+    package threshold) take differences of running totals over (merchant, time) instead of a
+    window, so a merchant holding a third of all transactions is spread over all tasks.
     """
-    from veloscope.operators.skew import DEFAULT_HOT_ROWS, split_hot
-    from veloscope.operators.temporal import BK, TGT, with_halo
+    from veloscope.operators.prefix import frame_sums
+    from veloscope.operators.skew import DEFAULT_HOT_ROWS, NULL_SALT, null_salt, split_hot
     span = days * 86400 * 1_000_000
-    from veloscope.operators.skew import NULL_SALT, null_salt
     df = with_micros(df).withColumn(NULL_SALT, null_salt("merchant_id", US, "transaction_id"))
 
     def rate(part):
@@ -138,11 +136,11 @@ def merchant_fraud_rate_30d(df: DataFrame, days: int = 30, hot_threshold: int |
         return plain
     hot = split.hot.drop(NULL_SALT)
     nulls = hot.where(F.col(US).isNull()).withColumn("merchant_fraud_rate_30d", F.lit(0.0))
-    # the frame [t - span, t) reaches at most one bucket back when buckets are span + 1 wide
-    rows = with_halo(hot.where(F.col(US).isNotNull()), span + 1, span + 1)
-    b = rows.withColumn("merchant_fraud_rate_30d", rate(["merchant_id", BK])).where(F.col(TGT) == 1) \
-            .drop(BK, TGT)
-    return plain.unionByName(b).unionByName(nulls)
+    rows = hot.where(F.col(US).isNotNull()).withColumns({
+        "_y": F.coalesce(F.col("is_fraud"), F.lit(0)).cast("long"), "_l": F.col("is_fraud").isNotNull().cast("long")})
+    b = frame_sums(rows, "merchant_id", US, {"_f": (-span - 1, -1)}, ["_y", "_l"]).withColumn(
+        "merchant_fraud_rate_30d", F.when(F.col("_f__l") > 0, F.col("_f__y") / F.col("_f__l")).otherwise(F.lit(0.0)))
+    return plain.unionByName(b.drop("_y", "_l", "_f__y", "_f__l")).unionByName(nulls)
 
 
 def distance_from_home(df: DataFrame, id_col: str = "transaction_id", hot_threshold: int | None = None
