@@ -183,7 +183,7 @@ def build() -> dict[str, Query]:
                               "C6-C9 24 h with day-grain ties"))
     for src in ("events", "orders"):
         def run_d8(spark, sf_dir, src=src):
-            out = B.spend_percentile_distributed(SOURCES[src][0](spark, sf_dir), block=8, bins=16)
+            out = B.spend_percentile_distributed(SOURCES[src][0](spark, sf_dir), block=8)
             return project(out, kinds(*IDS, "spend_percentile"))
         qs.append(Query(f"spend_percentile_distributed_{src}", run_d8,
                         features_sql(src, kinds(*IDS, "spend_percentile")),
