@@ -101,3 +101,21 @@ def op9_chat(spark, sf_dir: str) -> DataFrame:
     return d.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"),
                     F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
                     F.length("formatted").cast("long").alias("formatted_chars"), "valid", "first_bad")
+
+
+#: the same digests from the turns as they are; the control strings of a text are found without look-ahead here
+SQL = r"""WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+p AS (SELECT *, coalesce(lag(role) OVER w, '') AS before, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+    length(regexp_replace(text, '(<)(~*\|)|(<)(~*/?s>)|(\[)(~*/?INST\])', '\1\3\5~\2\4\6', 'g')) AS escaped
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+v AS (SELECT *, (before || '>' || role) IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') AS ok FROM p)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>') + length(role) + 1 + escaped + length('<|im_end|>') + 1)::BIGINT AS formatted_chars,
+  bool_and(ok) AND bool_or(pos = n AND role = 'assistant') AS valid,
+  (min(pos) FILTER (WHERE NOT ok) - 1)::BIGINT AS first_bad
+FROM v GROUP BY conv_id"""

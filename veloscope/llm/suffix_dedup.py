@@ -324,3 +324,23 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     from veloscope.llm.common import documents
     return remove_repeats(documents(spark, sf_dir))
+
+
+#: every window of every text, as hexadecimal digits: the plain statement, for tables of a few MB
+SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT *, length(h) // 2 AS n_bytes FROM d),
+w AS (SELECT r, unnest(range(0, n_bytes - {DEPTH} + 1)) AS s, h FROM n WHERE n_bytes >= {DEPTH}),
+k AS (SELECT r, s, md5(substr(h, 2 * s + 1, 2 * {DEPTH})) AS k FROM w),
+m AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY k) AS c FROM k) WHERE c > 1),
+g AS (SELECT r, s, CASE WHEN s > lag(s) OVER (PARTITION BY r ORDER BY s) + {DEPTH} OR lag(s) OVER (PARTITION BY r ORDER BY s) IS NULL
+    THEN 1 ELSE 0 END AS new FROM m),
+i AS (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS span FROM g),
+spans AS (SELECT r, span, min(s) AS a, max(s) + {DEPTH} AS z FROM i GROUP BY r, span),
+gaps AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS z0, a FROM spans
+    UNION ALL SELECT r, max(z), NULL FROM spans GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, 2 * z0 + 1, 2 * (coalesce(a, n_bytes) - z0)), '' ORDER BY z0) AS h
+    FROM gaps JOIN n USING (r) GROUP BY r),
+removed AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(kept.h, n.h))) AS kept_sha256
+FROM n LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)"""
