@@ -7,7 +7,8 @@ from tests.oracle import compare, duck
 
 SQL = E.oracle_sql()
 # slow fits, and the backtest whose windows are all too small on these tables: tests/test_training.py has their values
-SLOW = {"model_comparison_orders", "training_job_orders", "feature_importance_orders", "backtest_fit_orders"}
+SLOW = {"model_comparison_orders", "training_job_orders", "feature_importance_orders", "backtest_fit_orders",
+        "settings_search_orders"}
 
 
 @pytest.fixture(scope="module")

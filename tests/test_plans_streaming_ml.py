@@ -75,7 +75,7 @@ def _toy_features(spark, n=300):
 def test_random_search_and_mlp(spark):
     from veloscope.operators import learn as L
     df = _toy_features(spark)
-    cv = L.random_search(df, n_trials=2, k=3, parallelism=2)
+    cv = L.random_search(df, n_trials=2, k=3, parallelism=2, space=L.SEARCH_SPACE | {"maxIter": (5, 8)})
     assert len(cv.avgMetrics) == 2 and max(cv.avgMetrics) > 0.5
     mlp = L.mlp_on_categories(df, ["cat_idx"], ["x"], hidden=4, max_iter=20)
     out = mlp.transform(df).withColumn("score", L.p1())

@@ -116,3 +116,19 @@ def test_windows_of_any_length_equal_the_range_join(spark):
         b = t.crossJoin(w).where("timestamp >= train_start AND timestamp < test_end").select(
             "transaction_id", "window_id", F.when(F.col("timestamp") < F.col("train_end"), "train").otherwise("test").alias("role"))
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_search_draws_and_ranks(spark):
+    from pyspark.ml.feature import VectorAssembler
+    a, b = L.sampled_settings(50, 1), L.sampled_settings(50, 1)
+    assert a == b and set(a[0]) == set(L.SEARCH_SPACE) and len({str(x) for x in a}) == 50
+    for d in a:
+        for k, v in L.SEARCH_SPACE.items():
+            assert d[k] in v if isinstance(v, list) else v[0] <= d[k] <= v[1]
+    df = spark.range(240).select(F.col("id").alias("transaction_id"), (F.col("id") % 4 == 0).cast("int").alias("is_fraud"),
+                                 F.lit(1.0).alias("weight"), (F.col("id") % 3).cast("int").alias("fold"))
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(df.withColumn("x", F.col("is_fraud") + F.rand(1)))
+    cv = L.random_search(df, n_trials=2, k=2, space=L.SEARCH_SPACE | {"maxIter": (2, 4), "maxDepth": (2, 3)})
+    rows = L.search_results(cv).collect()
+    assert sorted(r["rank"] for r in rows) == [1, 2] and max(rows, key=lambda r: r["auc_pr"])["rank"] == 1
+    assert "stepSize" in rows[0]["settings"]

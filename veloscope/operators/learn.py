@@ -20,7 +20,7 @@ from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param.shared import HasInputCols, Param, Params, TypeConverters
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -233,20 +233,52 @@ def compare_models(df: DataFrame, k: int = K.CV_FOLDS, fold_col: str = "fold",
     return summary.withColumn("rank", F.row_number().over(Window.orderBy(F.col("auc_pr_mean").desc())))
 
 
-def random_search(df: DataFrame, n_trials: int = 6, k: int = 3, seed: int = K.SPLIT_SEED, parallelism: int = 2):
-    """Random search over GBT settings scored by k-fold CV (MLlib CrossValidator with a
-    fold column); the sampled ParamMaps are a seeded subset of the full grid."""
+#: what a search draws from, by setting of the boosted trees: (low, high) or a list of choices
+SEARCH_SPACE = {"maxIter": (10, 60), "maxDepth": (3, 8), "stepSize": (0.01, 0.3), "subsamplingRate": (0.5, 1.0),
+                "featureSubsetStrategy": ["all", "sqrt", "onethird"], "minInstancesPerNode": (1, 20), "minInfoGain": (0.0, 0.05),
+                "maxBins": [32, 64, 128], "minWeightFractionPerNode": (0.0, 0.02)}
+
+
+def sampled_settings(n_trials: int, seed: int, space: dict | None = None) -> list[dict]:
+    """``n_trials`` seeded draws of all settings (step sizes on a log scale)."""
+    import math
     import random
+    rng, out = random.Random(seed), []
+    for _ in range(n_trials):
+        d = {}
+        for k, v in (space or SEARCH_SPACE).items():
+            if isinstance(v, list):
+                d[k] = rng.choice(v)
+            elif isinstance(v[0], int):
+                d[k] = rng.randint(*v)
+            else:
+                d[k] = math.exp(rng.uniform(math.log(v[0]), math.log(v[1]))) if k == "stepSize" else rng.uniform(*v)
+        out.append(d)
+    return out
+
+
+def random_search(df: DataFrame, n_trials: int = 100, k: int = 3, seed: int = K.SPLIT_SEED, parallelism: int = 2,
+                  space: dict | None = None):
+    """Random search over the boosted trees' settings, scored by k-fold CV (MLlib CrossValidator with a fold column)."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    est = gbt(max_iter=20)
-    grid = (ParamGridBuilder().addGrid(est.maxDepth, [3, 4, 5, 6]).addGrid(est.stepSize, [0.05, 0.1, 0.2])
-            .addGrid(est.minInstancesPerNode, [1, 5, 20]).build())
-    maps = random.Random(seed).sample(grid, min(n_trials, len(grid)))
+    est = gbt()
+    maps = [{est.getParam(name): v for name, v in d.items()} for d in sampled_settings(n_trials, seed, space)]
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, numFolds=k, foldCol="fold", parallelism=parallelism,
                         evaluator=BinaryClassificationEvaluator(labelCol="is_fraud", metricName="areaUnderPR"))
     return cv.fit(df.withColumn("fold", (F.col("fold") % k).cast("int")))
 
 
+def search_results(model) -> DataFrame:
+    """One row per trial: its settings as JSON, its mean score, its rank (ties: the earlier trial)."""
+    import json
+    spark = SparkSession.getActiveSession()
+    rows = [(i, json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(s))
+            for i, (m, s) in enumerate(zip(model.getEstimatorParamMaps(), model.avgMetrics))]
+    order = sorted(rows, key=lambda r: (-r[2], r[0]))
+    rank = {r[0]: n + 1 for n, r in enumerate(order)}
+    return spark.createDataFrame([(*r, rank[r[0]]) for r in rows], "trial int, settings string, auc_pr double, rank int")
+
+
 def mlp_on_categories(df: DataFrame, cat_idx: Sequence[str], numeric: Sequence[str], hidden: int = 16,
                       max_iter: int = 50) -> PipelineModel:
     """One-hot categorical codes + numeric features → multilayer perceptron (fitted)."""
