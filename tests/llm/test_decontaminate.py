@@ -49,6 +49,21 @@ def test_slots_decide(spark):
     assert [r["doc_id"] for r in D.find_leaks(d, b).collect()] == [1]
 
 
+def test_copy_between_variants(spark):
+    """Slots are decided at each place: variants of the same template do not outvote a copy, nor each other."""
+    item = "What is 12 times 7 plus 3 minus 4"
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    first, second = "What is 5 times 9 plus 2 minus 6", "What is 5 times 8 plus 1 minus 6"
+    rows = [(1, f"{first}. {item}. {second}."), (2, f"{first} {second}"), (3, f"{first} {item} {second}"), (4, item), (5, first),
+            (6, f"{first}. What, pray, is 12 times 7 plus 3 minus 4? {second}"), (7, "what is 5 times more plus 1 minus nothing"),
+            (8, " ".join([first, second] * 200 + [item]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["found_share"], r["changed_slots"]) for r in D.find_leaks(d, b).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6, 8}
+    assert got[1] == got[3] == got[4] == got[8] == (1.0, 0) and got[2][0] == got[5][0] == 1.0 and got[2][1] == 4
+    assert [r["doc_id"] for r in D.clean(d, b).collect()] == [7]
+
+
 def test_clean_keeps_columns_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, ITEM, "a", 1), (2, "fine text", "b", None)], "doc_id long, text string, lang string, item_id int")
     bench = spark.createDataFrame(BENCH, "item_id long, text string")

@@ -8,9 +8,10 @@ names as words (finds copies whose case was changed).
 
 The benchmark is the stated query set: its windows go to all tasks as sorted hash arrays, in blocks of
 at most ``BLOCK`` windows (12 MB), one pass over the documents per block, so its size is bounded at
-any benchmark size. Within a document, a matching window proposes what fills each slot of the item;
-windows whose fillings contradict the majority filling of a slot do not count (a question with two
-equal numbers must have equal numbers in the copy). An item leaks if at least ``share`` of its
+any benchmark size. At each place of a document where an item's windows line up, a matching window proposes
+what fills each slot of the item; windows whose fillings contradict the majority filling of a slot at that place do not
+count (a question with two equal numbers must have equal numbers in the copy), so variants of the same template
+elsewhere in the document do not outvote a copy; the best place is reported. An item leaks if at least ``share`` of its
 distinct windows are found consistently, or ``RUN`` successive ones (13 tokens) stand in a row in the document, so that
 a long part of a long item is caught too.
 
@@ -150,6 +151,64 @@ def longest_run(pairs: list[tuple]) -> int:
     return best
 
 
+def decide(fills: list[tuple], chosen: dict) -> None:
+    """Adds the majority filling of each slot that ``chosen`` does not have yet."""
+    votes = defaultdict(Counter)
+    for _, _, fill in fills:
+        for a, x in fill:
+            if a not in chosen:
+                votes[a][x] += 1
+    chosen.update((a, min(c, key=lambda x: (-c[x], x != a, x))) for a, c in votes.items())
+
+
+def best_alignment(fills: list[tuple], length: int, total: int, share: float) -> tuple | None:
+    """(share found, windows found, -changed slots, slots filled) of the best place of an item in a document, or None.
+
+    ``fills``: (item start, document start, fillings) per hit. A place is a diagonal (document start minus item start): its
+    own hits fill the slots first, then nearer diagonals before farther ones, up to the item's ``length`` away (words put in
+    or left out). The whole document is a place too, for an item whose parts stand far apart.
+    """
+    best = None                 # (windows found, -changed slots, slots)
+
+    def judge(some, chosen):
+        nonlocal best
+        kept = [(p, d) for p, d, fill in some if all(chosen[a] == x for a, x in fill)]
+        good = len({p for p, _ in kept})
+        if good / total >= share or longest_run(kept) >= RUN:
+            score = (good, -sum(a != x for a, x in chosen.items()), len(chosen))
+            best = score if best is None else max(best, score)
+        return len(kept)
+
+    chosen: dict = {}
+    decide(fills, chosen)
+    if judge(fills, chosen) < len(fills):               # something contradicts: place by place
+        at = defaultdict(list)
+        for p, d, fill in fills:
+            if len(dict(fill)) == len(fill):            # a window that contradicts itself counts nowhere
+                at[d - p].append((p, d, fill))
+        order = sorted(at)
+        starts = {x: {p for p, _, _ in at[x]} for x in order}
+        lo = hi = 0
+        near: Counter = Counter()                       # item start -> diagonals of the band that hold it
+        for x in order:
+            while hi < len(order) and order[hi] <= x + length:
+                near.update(starts[order[hi]])
+                hi += 1
+            while order[lo] < x - length:
+                for p in starts[order[lo]]:
+                    near[p] -= 1
+                    if not near[p]:
+                        del near[p]
+                lo += 1
+            if len(near) < min(share * total, RUN) or (best is not None and (len(near), 0) <= best[:2]):
+                continue                                # cannot be a leak, or not a better one
+            band, chosen = sorted(order[lo:hi], key=lambda y: (abs(y - x), y)), {}
+            for y in band:
+                decide(at[y], chosen)
+            judge([f for y in band for f in at[y]], chosen)
+    return None if best is None else (best[0] / total, *best)
+
+
 def matches(text: str | None, items: Items, w: int, share: float, memo: TokenIds) -> list[tuple]:
     """[(item_id, share found, windows found, slots filled, changed slots)] of the items a text leaks."""
     t = canonical(text, memo)
@@ -164,24 +223,16 @@ def matches(text: str | None, items: Items, w: int, share: float, memo: TokenIds
                     hits[row, form].append((p, int(at[i])))
     best: dict = {}
     for (row, form), pairs in hits.items():
-        if len({p for p, _ in pairs}) < min(share * items.totals[row, form], RUN):
+        total = items.totals[row, form]
+        if len({p for p, _ in pairs}) < min(share * total, RUN):
             continue
-        item, b = items.templates[row]
+        b = items.templates[row][1]
         slots = (b.named if form else b.plain) <= NAME
-        votes, fills = defaultdict(Counter), []
-        for p, d in pairs:
-            fill = {(b.words[p + i].lower(), t.words[d + i].lower()) for i in range(w) if slots[p + i]}
-            fills.append((p, d, fill))
-            for a, x in fill:
-                votes[a][x] += 1
-        chosen = {a: min(c, key=lambda x: (-c[x], x != a, x)) for a, c in votes.items()}
-        kept = [(p, d) for p, d, fill in fills if all(chosen[a] == x for a, x in fill)]
-        good = {p for p, _ in kept}
-        found = len(good) / items.totals[row, form]
-        if found >= share or longest_run(kept) >= RUN:
-            score = (found, len(good), len(chosen), sum(a != x for a, x in chosen.items()))
+        fills = [(p, d, {(b.words[p + i].lower(), t.words[d + i].lower()) for i in range(w) if slots[p + i]}) for p, d in pairs]
+        score = best_alignment(fills, len(b.words), total, share)
+        if score is not None:
             best[row] = max(best.get(row, (0.0,)), score)
-    return sorted(((items.templates[r][0], *s) for r, s in best.items()), key=lambda x: (x[0] is None, x[0] or 0))
+    return sorted(((items.templates[r][0], s[0], s[1], s[3], -s[2]) for r, s in best.items()), key=lambda x: (x[0] is None, x[0] or 0))
 
 
 def benchmark_blocks(bench: DataFrame, w: int, block: int = BLOCK):
