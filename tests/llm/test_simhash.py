@@ -159,3 +159,33 @@ def test_near_links_within_cells():
         assert by_root(root) == want
     for leaders in (1, 7, 100):
         assert by_root(dict(enumerate(S.dense_links(fp, 40, leaders, 300).tolist()))) == want
+
+
+def test_near_copies_by_exact_similarity(spark):
+    """Pairs just below the threshold stay, pairs at it are found, small sets too."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for _ in range(40):                         # Jaccard 0.75: 24 of 32; 0.8: 4 of 5 and 12 of 15
+        for shared, more in ((24, 8), (4, 1), (12, 3), (232, 58), (225, 75)):
+            w = [word() for _ in range(shared + more + 4)]
+            rows += [(len(rows), " ".join(w[:shared + 4])), (len(rows) + 1, " ".join(w))]
+    sim = [jaccard(rows[i][1], rows[i + 1][1]) for i in range(0, len(rows), 2)]
+    assert {round(x, 3) for x in sim} == {0.75, 0.8}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in S.keep_one(df).collect()}
+    assert kept == {2 * i for i in range(len(sim))} | {2 * i + 1 for i, x in enumerate(sim) if x < 0.8}
+
+
+def test_proposals_of_large_and_small_cells():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, (20, 16), dtype=np.uint64)
+    fp = np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, (20, 16), dtype=np.uint64)), base[:5]])
+    n, size = len(fp), np.full(len(fp), 100)
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if int(np.bitwise_count(fp[a] ^ fp[b]).sum()) <= 40}
+    for small in (64, 1):
+        i, j = S.proposals(np.zeros(n, int), fp, size, 40, 0.8, np.arange(n), small)
+        assert set(zip(i.tolist(), j.tolist())) == want
+        i, j = S.proposals(np.zeros(n, int), fp, size, 40, 0.8, None, small)
+        assert set(zip(i.tolist(), j.tolist())) <= want and set(j.tolist()) == {b for _, b in want}
+        assert not len(S.proposals(np.zeros(n, int), fp, size, 40, 0.8, np.zeros(n, int), small)[0])
