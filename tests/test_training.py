@@ -132,3 +132,12 @@ def test_search_draws_and_ranks(spark):
     rows = L.search_results(cv).collect()
     assert sorted(r["rank"] for r in rows) == [1, 2] and max(rows, key=lambda r: r["auc_pr"])["rank"] == 1
     assert "stepSize" in rows[0]["settings"]
+
+
+def test_registered_backtest_tests_every_day_once(spark, monkeypatch):
+    from veloscope.plans import ml_queries
+    seen = []
+    monkeypatch.setattr(ml_queries, "backtest", lambda txn, out, *days: seen.append(days))
+    monkeypatch.setattr(ml_queries, "project", lambda *a: None)
+    ml_queries.build()["backtest_fit_orders"].run(spark, SF_SMALL)
+    assert seen == [(180, 30, 30)]
