@@ -64,6 +64,21 @@ def test_copy_between_variants(spark):
     assert [r["doc_id"] for r in D.clean(d, b).collect()] == [7]
 
 
+def test_items_without_windows(spark):
+    """Short items, arithmetic and scripts without blanks."""
+    bench = [(1, "Who wrote Hamlet?"), (2, "Name three primary colors."), (3, "12 + 30 - 4 = ?"), (4, "1, 2, 3, 5, 8, 13"),
+             (5, "\u65e5\u672c\u306e\u9996\u90fd\u306f\u3069\u3053\u3067\u3059\u304b"), (6, "?!"), (7, "\u8c01\u5199\u4e86")]
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    rows = [(1, "Quiz: who wrote Hamlet? Nobody knew."), (2, "Task 1\nname three primary colors\nRed."), (3, "Q: 12 + 30 - 4 = ? A: 38"),
+            (4, "go on: 1 2 3 5 8 13"), (5, "\u95ee\u9898\u65e5\u672c\u306e\u9996\u90fd\u306f\u3069\u3053\u3067\u3059\u304b\u3002"),
+            (6, "they who wrote Hamlet plays; name three. Primary colors! 12 + 30 - 4 + 1 = 39, 1, 2, 3, 5, 8 x 13?!"),
+            (7, "a, \u8c01\u5199\u4e86\uff1f"), (8, "\u65e5\u672c\u3067\u8c01\u5199\u4e86\u672c"), (9, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (7, 7)}
+    assert {(r["doc_id"], r["item_id"]) for r in D.find_leaks(d, b).collect()} == want | ({(6, 2)})
+    assert {r["doc_id"] for r in D.clean(d, b).collect()} == {8, 9}
+
+
 def test_clean_keeps_columns_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, ITEM, "a", 1), (2, "fine text", "b", None)], "doc_id long, text string, lang string, item_id int")
     bench = spark.createDataFrame(BENCH, "item_id long, text string")

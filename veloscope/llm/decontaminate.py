@@ -15,8 +15,12 @@ elsewhere in the document do not outvote a copy; the best place is reported. An
 distinct windows are found consistently, or ``RUN`` successive ones (13 tokens) stand in a row in the document, so that
 a long part of a long item is caught too.
 
-Defined cases: null texts are empty (no windows); items of fewer tokens than a window (too little to tell a
-leak from chance), without a literal word, or null, are never found; repeated items are found each; repeated documents are reported each; a null doc_id is reported as null; extra columns are
+An item without windows (fewer tokens than a window, or no literal word) is found as a whole: its words and numbers as
+written but for case, between two borders (the text's ends, line ends, marks other than those that join words or numbers), found
+share 1 and one window; inside a running clause so few tokens are too little to tell a leak from chance. Letters of
+scripts without blanks between words are tokens of their own.
+
+Defined cases: null texts are empty (no windows); items without a token, or null, are never found; repeated items are found each; repeated documents are reported each; a null doc_id is reported as null; extra columns are
 ignored (or kept, by ``clean``); an empty documents or benchmark table gives no leaks.
 """
 
@@ -35,6 +39,13 @@ from pyspark.sql import functions as F
 from veloscope.llm.common import documents, table, text_or_empty
 
 TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+|[.!?\n]")
+#: letters of scripts written without blanks (Thai, Lao, Burmese, Khmer, kana, Han): each is a token
+ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff" \
+        "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+HAS_ALONE = re.compile(f"[{ALONE}]")
+TOKEN_ALONE = re.compile(rf"[0-9]+(?:[.,][0-9]+)*|[{ALONE}]|[^\W\d_{ALONE}]+|[.!?\n]")
+#: what between two tokens is a border of a short item: a new line, or a mark that does not join words or numbers
+BORDER = re.compile(r"\n|[^\s+\-*/\u00d7\u00f7^'\u2019_]")
 #: fixed values: unit words that become <unit> after a number
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mile", "miles", "meter", "meters", "metre", "metres", "inch", "inches",
          "foot", "feet", "mg", "g", "kg", "t", "oz", "lb", "lbs", "gram", "grams", "kilogram", "kilograms", "pound", "pounds",
@@ -77,8 +88,12 @@ class Template:
     named: np.ndarray           # the same with <name>
 
 
+def token_pattern(text: str) -> re.Pattern:
+    return TOKEN if text.isascii() or not HAS_ALONE.search(text) else TOKEN_ALONE
+
+
 def canonical(text: str | None, memo: TokenIds) -> Template:
-    found = TOKEN.findall(text or "")
+    found = token_pattern(text or "").findall(text or "")
     ids = np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
     end = ids == END
     starts = np.concatenate(([True], end[:-1]))[~end]       # first word of a sentence or line
@@ -116,6 +131,7 @@ class Items:
     hashes: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
     where: dict = field(default_factory=lambda: defaultdict(list))      # hash -> [(row, start, named)]
     totals: dict = field(default_factory=dict)                            # row -> windows per form
+    whole: dict = field(default_factory=lambda: defaultdict(list))      # tokens of an item without windows -> [row]
 
 
 def build(items: list[tuple], w: int) -> Items:
@@ -128,6 +144,8 @@ def build(items: list[tuple], w: int) -> Items:
             out.totals[row, form] = len(h)
             for x, p in zip(h.tolist(), at.tolist()):
                 out.where[x].append((row, p, form))
+        if t.words and not out.totals[row, 0] and not out.totals[row, 1]:
+            out.whole[tuple(x.lower() for x in t.words)].append(row)
     out.hashes = np.array(sorted(out.where), np.uint64)
     return out
 
@@ -139,6 +157,22 @@ def contains(sorted_hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
     return sorted_hashes[at] == h
 
 
+def whole_matches(text: str, items: Items) -> set[int]:
+    """Rows of the items without windows whose tokens stand in the text, as written but for case, between two borders."""
+    words, border, end = [], [True], 0                  # border[i]: one is before token i
+    for m in token_pattern(text).finditer(text):
+        if m[0] in ".!?\n":
+            continue
+        if words:
+            border.append(BORDER.search(text, end, m.start()) is not None)
+        words.append(m[0].lower())
+        end = m.end()
+    border = border[:len(words)] + [True]
+    lengths = sorted({len(x) for x in items.whole})
+    return {row for i in range(len(words)) if border[i] for n in lengths if i + n <= len(words) and border[i + n]
+            for row in items.whole.get(tuple(words[i:i + n]), ())}
+
+
 def longest_run(pairs: list[tuple]) -> int:
     """Most successive windows (item start, document start) that are found one after another."""
     have, best = set(pairs), 0
@@ -232,6 +266,8 @@ def matches(text: str | None, items: Items, w: int, share: float, memo: TokenIds
         score = best_alignment(fills, len(b.words), total, share)
         if score is not None:
             best[row] = max(best.get(row, (0.0,)), score)
+    if items.whole:
+        best |= {row: (1.0, 1, 0, 0) for row in whole_matches(text or "", items)}
     return sorted(((items.templates[r][0], s[0], s[1], s[3], -s[2]) for r, s in best.items()), key=lambda x: (x[0] is None, x[0] or 0))
 
 
@@ -239,7 +275,7 @@ def benchmark_blocks(bench: DataFrame, w: int, block: int = BLOCK):
     """The benchmark as blocks of at most ``block`` windows, streamed through the driver one at a time."""
     part, size = [], 0
     for r in bench.select(F.col("item_id").cast("long").alias("i"), text_or_empty().alias("t")).orderBy("i", "t").toLocalIterator():
-        n = len(TOKEN.findall(r["t"])) * 2
+        n = len(token_pattern(r["t"]).findall(r["t"])) * 2
         if part and size + n > block:
             yield build(part, w)
             part, size = [], 0
