@@ -16,6 +16,7 @@ MODULES = {
     "op8_simhash": "simhash",
     "op9_chat": "chat",
     "op10_order_minhash": "minhash_order",
+    "op11_hard_negatives": "hard_negatives",
     "op13_exact_dedup": "patricia",
 }
 
