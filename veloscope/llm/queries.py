@@ -17,6 +17,7 @@ MODULES = {
     "op9_chat": "chat",
     "op10_order_minhash": "minhash_order",
     "op11_hard_negatives": "hard_negatives",
+    "op12_prefix_trie": "prefix_trie",
     "op13_exact_dedup": "patricia",
 }
 
