@@ -2,10 +2,9 @@ from collections import Counter
 
 import corpus_pipeline as P
 from tests.conftest import SF_CHECK
-from tests.llm.brute import words
 from tests.llm.test_materialise import check as check_records
 from tests.llm.test_mixing import brute_mix
-from tests.llm.test_simhash import jaccard
+from tests.llm.test_simhash import kept_of
 from veloscope.llm import decontaminate, materialise
 from veloscope.llm.common import documents, written
 
@@ -30,23 +29,12 @@ def test_stages_against_plain_versions(spark):
     assert sum(i in ids for i in good) >= 0.97 * len(good) and sum(i in ids for i in bad) <= 0.15 * len(bad)
     assert set(after) <= set(before) and len(after) < len(before)
 
-    # near duplicates: nothing alike is left, and everything dropped is near something
+    # near duplicates: one document of each component of the SimHash operator
     kept = written(P.near_dedup_stage(spark, kept, SF_CHECK), "t")
     assert kept.columns == cols
     before, after = after, rows(kept)
-    left = {r[0] for r in after}
-    sets = {r[0]: {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for r in before for w in [words(r[1])]}
-    by = {}
-    for i, s in sets.items():
-        for x in s:
-            by.setdefault(x, []).append(i)
-    pairs = {(a, b) for v in by.values() if len(v) < 60 for a in v for b in v if a < b}
-    sim = {p: len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) for p in pairs}
-    alike = [p for p, j in sim.items() if j >= 0.8]
-    assert len(alike) > 20 and not [p for p in alike if p[0] in left and p[1] in left]
-    near = {i for p, j in sim.items() if j >= 0.55 for i in p}
-    assert {r[0] for r in before} - left <= near
-    assert jaccard("a b c d e f", "a b c d e f") == 1.0
+    assert sorted(((r[0], r[1] or "") for r in after), key=str) == kept_of([r[:2] for r in before])
+    assert len(after) < len(before)
 
     # decontamination
     kept = written(P.decontamination_stage(spark, kept, SF_CHECK), "t")

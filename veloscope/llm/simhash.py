@@ -237,266 +237,30 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return fps.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
-# --- near copies of documents, by similarity of their shingle sets ---------------------------------------------------------
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 2) -> DataFrame:
+    """``df`` (all columns) with one document of each component: the smallest id, null ids last, then by text digest.
 
-WIDE = 1024             # bits of the fingerprint that proposes pairs
-SMALL_SET = 64          # sets of fewer shingles are proposed without it: too few votes a bit for its estimate
-SLICES = 64             # tasks that the pairs of one document can be verified in
-N_KEYS = 10             # minimal shingles that name a document's cells
-_G = np.uint64(0x9E3779B97F4A7C15)
-
-
-def spread(h: np.ndarray, seed: int) -> np.ndarray:
-    """An independent 64-bit hash of each hash."""
-    x = (h ^ np.uint64(xxhash.xxh64_intdigest(f"spread {seed}", SEED))) * _G
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def sketch(text: str | None, k: int, n_words: int = WIDE // 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(``N_KEYS`` minimal shingle hashes, the wide fingerprint as 64-bit words, the hashes) of the set of k-word shingles."""
-    h = np.unique(shingle_hashes(words_of(text), k))
-    if not len(h):
-        return np.zeros(N_KEYS, np.uint64), np.zeros(n_words, np.uint64), h
-    keys = np.array([spread(h, j).min() for j in range(N_KEYS)], np.uint64)
-    return keys, np.array([majority(spread(h, 1000 + j)) for j in range(n_words)], np.uint64), h
-
-
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sorted sets of hashes have this Jaccard similarity, exactly."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both) - 1e-9
-
-
-def radius_of(similarity: float, bits: int = WIDE, slack: float = 3.0) -> int:
-    """Largest Hamming distance that sets of this Jaccard similarity have, ``slack`` standard deviations included."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + slack * np.sqrt(bits * p * (1 - p)))
-
-
-def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row of a, row of b) with distance <= radius, all of a against all of b."""
-    return np.nonzero(np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2, dtype=np.int32) <= radius)
-
-
-def dense_links(fp: np.ndarray, radius: int, leaders: int = 512, block: int = 1 << 21) -> np.ndarray:
-    """Root of each member of one cell under all links of the cell.
-
-    Some leaders are compared with all; after that only members outside the largest component are compared (with all):
-    pairs inside it are connected already. A large group of near copies costs little more than its size.
-    """
-    n, step = len(fp), lambda m: max(1, block // max(m, 1))
-
-    def against_all(some, root):
-        left, right = [np.arange(n)], [root]
-        for i in range(0, len(some), step(n)):
-            part = some[i:i + step(n)]
-            x, y = close_pairs(fp[part], fp, radius)
-            fresh = root[part[x]] != root[y]
-            left.append(part[x][fresh])
-            right.append(y[fresh])
-        return forest(n, np.concatenate(left), np.concatenate(right))
-
-    root = against_all(np.arange(min(n, leaders)), np.arange(n))
-    size = np.bincount(root, minlength=n)
-    outside = np.flatnonzero(root != size.argmax())
-    return against_all(outside[outside >= leaders], root)
-
-
-def near_links(cell: np.ndarray, fp: np.ndarray, radius: int, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (member, root) inside equal runs of ``cell`` (sorted); ``fp`` is (n, words)."""
-    n = len(fp)
-    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    size = np.diff(np.append(first, n))
-    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    at, s = np.flatnonzero(np.repeat(size, size) <= small), 1
-    at = at[at + 1 < n]
-    while len(at):                                        # small cells: all of them at once, by distance in the order
-        at = at[cell[at] == cell[at + s]]
-        a = at[np.bitwise_count(fp[at] ^ fp[at + s]).sum(1, dtype=np.int64) <= radius]
-        left.append(a)
-        right.append(a + s)
-        s += 1
-        at = at[at + s < n]
-    for i in np.flatnonzero(size > small).tolist():
-        a, z = int(first[i]), int(first[i] + size[i])
-        left.append(np.arange(a, z))
-        right.append(a + dense_links(fp[a:z], radius))
-    root = forest(n, np.concatenate(left), np.concatenate(right))
-    i = np.flatnonzero(root != np.arange(n))
-    return i, root[i]
-
-
-def proposals(cell: np.ndarray, fp: np.ndarray, size: np.ndarray, radius: int, similarity: float, label: np.ndarray | None = None,
-              small: int = 64, leaders: int = 512, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members inside equal runs of ``cell`` (sorted) that may be alike: set sizes allow it, and the fingerprints are
-    within ``radius`` or a set is small. Without ``label`` one pair per member at most, with the first such member (of the
-    leaders in a large cell); with it, all pairs of unequal labels."""
-    n = len(fp)
-
-    def may(i, j):
-        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        ok = low >= similarity * high - 1e-9
-        if label is not None:
-            ok &= label[i] != label[j]
-        i, j = np.broadcast_arrays(i, j)
-        at = np.nonzero(ok)
-        x, y = i[at], j[at]
-        near = (np.minimum(size[x], size[y]) < SMALL_SET) | (np.bitwise_count(fp[x] ^ fp[y]).sum(1, dtype=np.int64) <= radius)
-        return x[near], y[near]
-
-    run = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    length = np.diff(np.append(run, n))
-    first, left, right = np.full(n, n), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-
-    def add(x, y):                                        # x < y
-        if label is None:
-            np.minimum.at(first, y, x)
-        else:
-            left.append(x)
-            right.append(y)
-
-    at, s = np.flatnonzero(np.repeat(length, length) <= small), 1
-    at = at[at + 1 < n]
-    while len(at):                                        # small cells: all of them at once, by distance in the order
-        at = at[cell[at] == cell[at + s]]
-        add(*may(at, at + s))
-        s += 1
-        at = at[at + s < n]
-    for k in np.flatnonzero(length > small).tolist():
-        a, m = int(run[k]), int(length[k])
-        if label is None:
-            some = np.arange(a, a + min(m, leaders))
-        else:                                             # pairs inside the largest component are connected already
-            of, back, count = np.unique(label[a:a + m], return_inverse=True, return_counts=True)
-            some = a + np.flatnonzero(back != count.argmax())
-        every, step = np.arange(a, a + m), max(1, block // (16 * m))
-        for i in range(0, len(some), step):
-            x, y = may(some[i:i + step, None], every[None, :])
-            low, high = np.minimum(x, y), np.maximum(x, y)
-            add(low[low < high], high[low < high])
-    if label is None:
-        y = np.flatnonzero(first < n)
-        return first[y], y
-    return np.concatenate(left), np.concatenate(right)
-
-
-def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose shingle sets have this Jaccard similarity; ``rows`` (tk, f), ``docs`` (tk, text)."""
-    nodes = pairs.select(F.col("a").alias("f")).unionByName(pairs.select(F.col("b").alias("f"))).distinct()
-    named = rows.groupBy("f").agg(F.min("tk").alias("tk")).join(nodes, "f", "left_semi")
-    text = docs.groupBy("tk").agg(F.first("text").alias("text")).join(named, "tk").select("f", "text")
-
-    def run(batches):
-        held = (None, None)                 # the last left node and its set: pairs often come in its order
-        for b in batches:
-            keep = []
-            for a, x, y in zip(*(b.column(c).to_pylist() for c in ("a", "x", "y"))):
-                if held[0] != a:
-                    held = a, np.unique(shingle_hashes(words_of(x), k))
-                keep.append(alike(held[1], np.unique(shingle_hashes(words_of(y), k)), similarity))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    # a node with very many pairs (the first of a large group) is dealt out in slices by the other node
-    pairs = pairs.select("a", "b", *(F.pmod(F.xxhash64(other), F.lit(SLICES)).alias(s) for s, other in (("sa", "b"), ("sb", "a"))))
-    for node, s, name in (("b", "sb", "y"), ("a", "sa", "x")):
-        copies = pairs.select(node, s).distinct().join(text.select(F.col("f").alias(node), F.col("text").alias(name)), node)
-        pairs = pairs.join(copies, [node, s])
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                    similarity: float = 0.8, crowded: int = CELL) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): rows (id, tk, f) per input row, groups (node = f, root) of documents alike.
-
-    Documents whose shingle sets have this Jaccard similarity share each of ``N_KEYS`` minimal shingles with that
-    probability (0.8: one pair in 10^7 shares none). Documents of a cell are proposed as pairs by a ``WIDE`` bit
-    fingerprint, four standard deviations beyond the distance expected at the threshold, or, if a set has fewer than
-    ``SMALL_SET`` shingles, by set sizes alone; a pair is a link only if the Jaccard similarity of the sets, taken from the texts, is reached.
-    Two rounds: each member with one other (a group of copies costs its size), then all pairs not connected by then.
-    Cells of more than ``crowded`` documents (a passage in very many texts) are split by each second minimal shingle; two
-    documents alike share fewer than two with probability 5 in 10^6.
+    Rows equal in id and text are one document: one of them stays.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = df.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("tk"), text.alias("text"))
-
-    def sketches(batches):
-        for b in batches:
-            got = [sketch(t, k) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                b.column("id"), b.column("tk"),
-                pa.array([signed(xxhash.xxh64_intdigest(h.astype("<u8").tobytes())) for *_, h in got], pa.int64()),
-                pa.array([x.view(np.int64).tolist() for x, *_ in got], pa.list_(pa.int64())),
-                pa.array([x.astype("<u8").tobytes() for _, x, _ in got], pa.binary()), pa.array([len(h) for *_, h in got], pa.int64())],
-                ["id", "tk", "f", "keys", "fp", "size"])
-
-    fps = written(d.mapInArrow(sketches, "id long, tk binary, f long, keys array<long>, fp binary, size long"), "sketches")
-    nodes = fps.groupBy("f").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.first("size").alias("size"))
-    crowd = written(fps.select("f", "keys").distinct().select(F.posexplode("keys").alias("c", "key")).groupBy("c", "key")
-                    .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("c", "key"), "crowded")
-    radius = radius_of(similarity, slack=4.0)
+    named = df.select(F.struct(*df.columns).alias("_doc"), F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).cast("long").alias("id"),
+                                                                     F.md5(text.cast("binary")).alias("digest")).alias("_key"), text.alias("_text"))
 
     def run(batches):
-        """Whole cells in sorted order; the open cell is carried on."""
-        held: list = []
-
-        def emit(rows):
-            c, key, f, raw, size, label = zip(*rows)
-            cell = np.cumsum(np.concatenate(([0], (np.diff(c) != 0) | (np.diff(np.array(key, np.int64)) != 0))))
-            alone = np.bincount(cell)[cell] == 1
-            at = np.flatnonzero(~alone)
-            if not len(at):
-                return None
-            fp = np.frombuffer(b"".join([raw[i] for i in at.tolist()]), "<u8").reshape(len(at), -1)
-            known = None if label[0] is None else np.array(label, np.int64)[at]
-            i, r = proposals(cell[at], fp, np.array(size, np.int64)[at], radius, similarity, known)   # cells stay runs: rows are in order
-            f = np.array(f, np.int64)[at]
-            return pa.RecordBatch.from_arrays([pa.array(f[i]), pa.array(f[r])], ["a", "b"])
-
         for b in batches:
-            held += zip(*(b.column(x).to_pylist() for x in ("c", "key", "f", "fp", "size", "label")))
-            cut = len(held)
-            while cut and held[cut - 1][:2] == held[-1][:2]:
-                cut -= 1
-            if cut:
-                if (out := emit(held[:cut])) is not None:
-                    yield out
-                held = held[cut:]
-        if held and (out := emit(held)) is not None:
-            yield out
-
-    def links_of(nodes, name):
-        columns = ("f", "fp", "size", "label")
-        cells = nodes.select(*columns, "keys", F.posexplode("keys").alias("c", "key"))
-        finer = cells.join(crowd, ["c", "key"]).select(*columns, "c", "key", F.posexplode("keys").alias("c2", "key2")).where("c <> c2") \
-            .select(*columns, (F.col("c") * N_KEYS + F.col("c2") + N_KEYS).alias("c"), F.xxhash64("key", "key2").alias("key"))
-        cells = cells.join(crowd, ["c", "key"], "left_anti").select(*columns, "c", "key").unionByName(finer) \
-            .repartition(n, "c", "key").sortWithinPartitions("c", "key", "f")
-        pairs = written(cells.select("c", "key", *columns).mapInArrow(run, "a long, b long").distinct(), f"{name}-pairs")
-        return written(confirmed(pairs, fps.select("tk", "f"), d.select("tk", "text"), k, similarity), name)
-
-    first = links_of(nodes.withColumn("label", F.lit(None).cast("long")), "near-links")
-    groups = components(first).withColumnRenamed("node", "f")
-    more = links_of(nodes.join(groups, "f", "left").withColumn("label", F.coalesce("root", "f")), "near-rest")
-    return fps.select("id", "tk", "f"), components(first.unionByName(more))
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``df`` (all columns) with one document of each group: the smallest id, null ids last, then by text digest."""
-    rows, groups = near_duplicates(df, id_col, text_col, k, similarity)
-    member = rows.join(groups.withColumnRenamed("node", "f"), "f", "left").withColumn("g", F.coalesce("root", "f"))
-    best = member.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tk")).alias("x"))
-    same = rows.groupBy("id", "tk").agg(F.count(F.lit(1)).alias("_n"))
-    keep = best.select(F.coalesce(F.col("x.id"), F.lit(0)).alias("_k"), F.col("x.last").alias("_null"), F.col("x.tk").alias("_tk")) \
-        .join(same.select(F.coalesce("id", F.lit(0)).alias("_k"), F.col("id").isNull().alias("_null"), F.col("tk").alias("_tk"), "_n"),
-              ["_k", "_null", "_tk"])
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = df.select(F.struct(*df.columns).alias("_doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_k"),
-                  F.col(id_col).isNull().alias("_null"), F.unhex(F.md5(text.cast("binary"))).alias("_tk"))
-    d = d.join(keep, ["_k", "_null", "_tk"])
-    once = d.where("_n = 1").select("_doc.*")
-    return once.unionByName(d.where("_n > 1").dropDuplicates(["_k", "_null", "_tk"]).select("_doc.*"))
+            fp = [majority(shingle_hashes(words_of(t), k)) for t in b.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(np.array(fp, np.uint64).view(np.int64))], ["_key", "fp"])
+
+    fps = written(named.select("_key", "_text").mapInArrow(
+        run, "_key struct<last:boolean,id:long,digest:string>, fp long").groupBy("_key", "fp").agg(F.count(F.lit(1)).alias("n")), "fingerprints")
+    least = fps.groupBy("fp").agg(F.min(F.struct("_key", "n")).alias("best"))       # copies meet before anything is joined
+    best = least.join(components(links(fps, radius)).withColumnRenamed("node", "fp"), "fp", "left") \
+        .groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("best").alias("best"))
+    kept = written(best.select(F.struct(F.col("best._key.last"), F.coalesce("best._key.id", F.lit(0)).alias("id"),
+                                        F.col("best._key.digest")).alias("_key"), F.col("best.n").alias("_n")), "kept")
+    key = F.struct(F.col("_key.last"), F.coalesce("_key.id", F.lit(0)).alias("id"), F.col("_key.digest"))
+    d = named.select("_doc", key.alias("_key")).join(kept, "_key")
+    return d.where("_n = 1").select("_doc.*").unionByName(d.where("_n > 1").dropDuplicates(["_key"]).select("_doc.*"))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
