@@ -28,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies (five words, similarity 0.8)."""
+    """One document of each component of the SimHash operator (three words, two bits)."""
     return simhash.keep_one(docs)
 
 
