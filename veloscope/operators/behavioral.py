@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veloscope.functions import columns as C
 from veloscope.operators.prefix import running_sums
-from veloscope.operators.profile import JOIN, attach, distinct
+from veloscope.operators.profile import JOIN, attach, distinct, is_first
 from veloscope.operators.skew import NULL_SALT
 from veloscope.operators.temporal import US, salted, with_micros
 
@@ -59,8 +59,8 @@ def _with_night(df: DataFrame) -> DataFrame:
     return df.withColumn("is_night", F.coalesce(C.is_night("timestamp"), F.lit(0)))
 
 
-def behavioral_columns(df: DataFrame) -> dict[str, Column]:
-    """D3-D7, D9 from the attached aggregates."""
+def behavioral_columns(df: DataFrame, mode: str = "full") -> dict[str, Column]:
+    """D3-D7, D9 from the attached aggregates (of the whole table, or point in time of the earlier rows)."""
     out = {
         "amount_vs_user_avg": F.coalesce(C.safe_ratio("amount", "_u_mean"), F.lit(0.0)),
         "amount_vs_user_median": F.coalesce(C.safe_ratio("amount", "_u_median"), F.lit(0.0)),
@@ -70,7 +70,7 @@ def behavioral_columns(df: DataFrame) -> dict[str, Column]:
     }
     if "merchant_category" in df.columns:
         out["category_frequency_ratio"] = F.coalesce(C.safe_ratio("_uc_count", "_u_count"), F.lit(0.0))
-        out["is_new_category"] = F.coalesce((F.col("_uc_count") == 1).cast("int"), F.lit(0))
+        out["is_new_category"] = is_first("_uc_count", mode)
     else:
         out["category_frequency_ratio"] = F.lit(0.5)
         out["is_new_category"] = F.lit(0)

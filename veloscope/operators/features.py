@@ -20,6 +20,7 @@ from veloscope.operators import behavioral as B
 from veloscope.operators import temporal as T
 from veloscope.operators import transaction as X
 from veloscope.functions import columns as C
+from veloscope.operators.point_in_time import point_in_time_profile
 from veloscope.operators.prefix import exact_quantiles
 from veloscope.operators.profile import JOIN, OVER, attach, over_columns
 from veloscope.operators.skew import DEFAULT_HOT_ROWS, NULL_SALT, split_hot
@@ -56,14 +57,16 @@ def feature_names(windows: Sequence[int] = K.VELOCITY_WINDOWS_HOURS,
 
 
 def _derive(df: DataFrame, groups: Sequence[str], how: str, windows: Sequence[int],
-            bucket_hours: int | None) -> DataFrame:
+            bucket_hours: int | None, mode: str = "full") -> DataFrame:
     """Three projections on the normal path: inputs, every window column, derived features.
 
     (Each DataFrame transformation re-analyses the plan; keeping the window
     columns in one projection keeps plan building cheap.)
     """
     df = T.salted(df.withColumns({T.US: C.micros("timestamp"), **T.calendar_columns()}), "user_id")
-    needs_user = bool({"behavioral", "transaction", "device"} & set(groups))
+    # point in time, the profile columns are on the rows already
+    full = mode == "full"
+    needs_user = full and bool({"behavioral", "transaction", "device"} & set(groups))
     if how == OVER:
         cols = {}
         if "velocity" in groups or "recency" in groups:
@@ -72,10 +75,10 @@ def _derive(df: DataFrame, groups: Sequence[str], how: str, windows: Sequence[in
         if needs_user:
             cols.update(over_columns(["user_id"], B.user_aggs(df), [NULL_SALT]))
         if "behavioral" in groups:
-            if "merchant_category" in df.columns:
+            if full and "merchant_category" in df.columns:
                 cols.update(over_columns(["user_id", "merchant_category"], {"_uc_count": F.count(F.lit(1))}, [NULL_SALT]))
             cols.update(B.spend_percentile_columns())
-        if "transaction" in groups:
+        if full and "transaction" in groups:
             cols.update(over_columns(["user_id", "merchant_id"], {"_um_count": F.count(F.lit(1))}, [NULL_SALT]))
         df = df.withColumns(cols)
     else:
@@ -94,19 +97,19 @@ def _derive(df: DataFrame, groups: Sequence[str], how: str, windows: Sequence[in
             med = exact_quantiles(base, ["user_id"], "amount", [0.5], prefix="_u_median")
             df = df.join(med.select("user_id", F.col("_u_median0").alias("_u_median")), "user_id", "left")
         if "behavioral" in groups:
-            if "merchant_category" in df.columns:
+            if full and "merchant_category" in df.columns:
                 df = attach(df, ["user_id", "merchant_category"], {"_uc_count": F.count(F.lit(1))}, JOIN,
                             source=base)
             narrow = base.select(RID, "user_id", "transaction_id", T.US, "amount")
             pct = B.spend_percentile_distributed(narrow).select(RID, "spend_percentile")
             df = df.join(pct, RID, "left")
-        if "transaction" in groups:
+        if full and "transaction" in groups:
             df = attach(df, ["user_id", "merchant_id"], {"_um_count": F.count(F.lit(1))}, JOIN, source=base)
     derived = {}
     if "behavioral" in groups:
-        derived.update(B.behavioral_columns(df))
+        derived.update(B.behavioral_columns(df, mode))
     if "transaction" in groups:
-        derived.update(X.transaction_columns(df))
+        derived.update(X.transaction_columns(df, mode))
     if "geo" in groups:
         derived.update(X.geo_columns(df))
     if "device" in groups:
@@ -121,21 +124,26 @@ def compute_features(df: DataFrame, groups: Sequence[str] = ALL_GROUPS,
                      windows: Sequence[int] = K.VELOCITY_WINDOWS_HOURS,
                      hot_threshold: int | None = DEFAULT_HOT_ROWS,
                      bucket_hours: int | None = None,
-                     keep: Sequence[str] = (), fill_zero: bool = False, finish=None) -> DataFrame:
+                     keep: Sequence[str] = (), fill_zero: bool = False, finish=None, mode: str = "full") -> DataFrame:
     """Raw (un-encoded) feature rows: ids + label + the selected feature groups.
 
     ``hot_threshold``: users with more rows take the bucketed shape
     (``0`` routes every user there, ``None`` disables detection).
+    ``mode``: profile features over the user's whole table ("full") or over the earlier rows ("point_in_time").
     ``fill_zero`` fills numeric feature nulls with 0 and ``finish(name, column)``
     may wrap each output column (casts, rounding) -- both inside the one final
     projection, so no extra DataFrame step is planned on top of the windows.
     """
     present_ids = [c for c in ID_COLUMNS if c in df.columns]
     names = [n for n in feature_names(windows, groups) if n in BASE and n in df.columns or n not in BASE]
+    if mode not in ("full", "point_in_time"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "point_in_time" and {"behavioral", "transaction", "device"} & set(groups):
+        df = point_in_time_profile(df)
     split = split_hot(df, ["user_id"], hot_threshold)
-    parts = [_derive(split.normal, groups, OVER, windows, bucket_hours)]
+    parts = [_derive(split.normal, groups, OVER, windows, bucket_hours, mode)]
     if split.hot is not None:
-        parts.append(_derive(split.hot, groups, JOIN, windows, bucket_hours))
+        parts.append(_derive(split.hot, groups, JOIN, windows, bucket_hours, mode))
     cols = present_ids + [n for n in names if n not in present_ids] + [k for k in keep if k not in names]
 
     def out(c):

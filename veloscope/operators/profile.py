@@ -74,3 +74,8 @@ def attach(df: DataFrame, keys: list[str], aggs: dict, how: str = OVER,
     src = df if source is None else source
     prof = src.where(ok).groupBy(*keys).agg(*grouped(aggs))
     return df.join(prof, keys, "left")
+
+
+def is_first(count: str, mode: str = "full") -> Column:
+    """New to the user: the only row of the whole table, or, point in time, no earlier row."""
+    return F.coalesce((F.col(count) == (1 if mode == "full" else 0)).cast("int"), F.lit(0))

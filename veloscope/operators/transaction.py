@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veloscope import constants as K
 from veloscope.functions import columns as C
-from veloscope.operators.profile import JOIN, OVER, attach
+from veloscope.operators.profile import JOIN, OVER, attach, is_first
 from veloscope.operators.temporal import US, with_micros
 
 USER = "user_id"
@@ -17,7 +17,7 @@ def add_merchant_counts(df: DataFrame, how: str = OVER) -> DataFrame:
     return attach(df, [USER, "merchant_id"], {"_um_count": F.count(F.lit(1))}, how)
 
 
-def transaction_columns(df: DataFrame) -> dict[str, Column]:
+def transaction_columns(df: DataFrame, mode: str = "full") -> dict[str, Column]:
     """E1-E5; needs ``_u_mean``/``_u_std`` (user stats) and ``_um_count``."""
     a = F.col("amount")
     return {
@@ -26,7 +26,7 @@ def transaction_columns(df: DataFrame) -> dict[str, Column]:
             F.lit(0.0)),
         "is_round_amount": F.coalesce((F.pmod(a, F.lit(K.ROUND_AMOUNT_MODULUS)) == 0).cast("int"), F.lit(0)),
         "is_large_amount": F.coalesce((a > K.LARGE_AMOUNT).cast("int"), F.lit(0)),
-        "is_new_merchant": F.coalesce((F.col("_um_count") == 1).cast("int"), F.lit(0)),
+        "is_new_merchant": is_first("_um_count", mode),
         "merchant_risk_proxy": F.coalesce(
             F.col("merchant_category").isin(*K.HIGH_RISK_CATEGORIES).cast("int"), F.lit(0)),
     }

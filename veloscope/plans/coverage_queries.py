@@ -17,6 +17,7 @@ from veloscope.functions import columns as C
 from veloscope.operators import behavioral as B
 from veloscope.operators import drift as DR
 from veloscope.operators import evaluation as EV
+from veloscope.operators import features as FE
 from veloscope.operators import learn as L
 from veloscope.operators import quality as Q
 from veloscope.operators import registry as RG
@@ -27,6 +28,7 @@ from veloscope.operators import temporal as T
 from veloscope.operators import transaction as X
 from veloscope.plans.common import Query, project, registry, sql_select
 from veloscope.plans.eval_queries import _kinds, eval_sql
+from veloscope.plans.feature_queries import features_sql
 from veloscope.plans.model_queries import HASH_SQL, REG_CTE, registry_table
 from veloscope.plans.quality_queries import REPORT, report_sql
 from veloscope.plans.scoring_queries import TIER_SQL
@@ -164,6 +166,14 @@ q AS (SELECT t.transaction_id, count(s.transaction_id) AS txn_count_24h, coalesc
       GROUP BY t.transaction_id)
 SELECT {sql_select(VEL)} FROM q"""
 
+PIT = {"transaction_id": "l", **{n: "l" if n in ("user_txn_count", "is_new_category") else "d" for n in FE.BEHAVIORAL if n != "spend_percentile"},
+       "amount_zscore": "d", "is_new_merchant": "l"}
+
+
+def _pit_run(spark, sf_dir):
+    return project(FE.feature_matrix(dirty(spark, sf_dir), groups=("behavioral", "transaction"), mode="point_in_time", hot_threshold=None), PIT)
+
+
 PCT = {"transaction_id": "l", "spend_percentile": "d"}
 
 
@@ -365,6 +375,8 @@ def build():
         Query("stratified_split_null_labels", lambda s, d: project(SP.stratified_split(dirty(s, d)), SPLIT), SPLIT_SQL, "L1 keeps unlabelled rows"),
         Query("evaluation_string_ids", _string_eval_run, _string_eval_sql(), "I1-I15 with string ids, null labels, skewed scores"),
         Query("report_json_events", _report_json_run, eval_sql("events", []), "A5, I16: report as JSON, written and read back"),
+        Query("profiles_point_in_time_dirty", _pit_run, features_sql("events", PIT, "point_in_time", DIRTY),
+              "D1, D3-D7, D9, E1, E5 over earlier rows: null users, times, amounts; one user with a third of the rows"),
         Query("velocity_24h_dirty", _velocity_run(False), VEL_SQL, "C6-C9: null users, times, amounts; one user with a third of the rows"),
         Query("velocity_24h_dirty_bucketed", _velocity_run(True), VEL_SQL, "the same on the bucketed shape"),
         Query("spend_percentile_dirty", _pct_run(False), PCT_SQL, "D8 with null users, times, amounts"),

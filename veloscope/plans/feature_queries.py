@@ -46,9 +46,33 @@ def _present(source: str) -> set[str]:
     return {"events": set(), "orders": {"payment_method", "card_present", "device_fingerprint", "country"}}[source]
 
 
-def features_sql(source: str, cols: dict[str, str]) -> str:
+def _profiles_sql(mode: str, devs: str) -> tuple[str, str, str]:
+    """CTEs u, uc, um, their joins, and which count says "new"."""
+    stats = f"""avg(amount){{o}} AS m, stddev_samp(amount){{o}} AS s, median(amount){{o}} AS med,
+             count(transaction_id){{o}} AS n, avg(is_night){{o}} AS night, sum(amount){{o}} AS spend,
+             count(DISTINCT CAST("timestamp" AS DATE)){{o}} AS days,
+             sum(amount) FILTER (WHERE "timestamp" IS NOT NULL){{o}} AS dspend{devs}"""
+    if mode == "full":
+        return (f"""u AS (SELECT user_id, {stats.format(o="")}
+      FROM b WHERE user_id IS NOT NULL GROUP BY user_id),
+uc AS (SELECT user_id, merchant_category, count(*) AS n FROM b GROUP BY ALL),
+um AS (SELECT user_id, merchant_id, count(*) AS n FROM b GROUP BY ALL)""",
+                """LEFT JOIN u ON b.user_id = u.user_id
+         LEFT JOIN uc ON b.user_id = uc.user_id AND b.merchant_category = uc.merchant_category
+         LEFT JOIN um ON b.user_id = um.user_id AND b.merchant_id = um.merchant_id""", "1")
+    before = "ORDER BY us, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    per = lambda c: (f"(SELECT transaction_id, count(*) OVER (PARTITION BY user_id, {c} {before}) AS n FROM b "
+                     f"WHERE user_id IS NOT NULL AND {c} IS NOT NULL)")
+    return (f"""u AS (SELECT transaction_id, {stats.format(o=" OVER h")}
+      FROM b WHERE user_id IS NOT NULL WINDOW h AS (PARTITION BY user_id {before})),
+uc AS {per("merchant_category")},
+um AS {per("merchant_id")}""", """LEFT JOIN u ON b.transaction_id = u.transaction_id
+         LEFT JOIN uc ON b.transaction_id = uc.transaction_id LEFT JOIN um ON b.transaction_id = um.transaction_id""", "0")
+
+
+def features_sql(source: str, cols: dict[str, str], mode: str = "full", cte: str | None = None) -> str:
     present = _present(source)
-    cte = SOURCES[source][1]
+    cte = cte or SOURCES[source][1]
     wins = ",\n  ".join(
         f"w{h} AS (PARTITION BY b.user_id ORDER BY us RANGE BETWEEN {h * HOUR_US - 1} PRECEDING AND CURRENT ROW)"
         for h in K.VELOCITY_WINDOWS_HOURS)
@@ -68,20 +92,15 @@ def features_sql(source: str, cols: dict[str, str]) -> str:
     if "device_fingerprint" in present:
         dev = ("coalesce(u.devs, 0) AS unique_devices_per_user, "
                "CAST(device_fingerprint IS NOT NULL AS INTEGER) AS has_device_fingerprint")
-        devs = ", count(DISTINCT device_fingerprint) AS devs"
+        devs = ", count(DISTINCT device_fingerprint){o} AS devs"
     else:
         dev = "1 AS unique_devices_per_user, 0 AS has_device_fingerprint"
         devs = ""
+    profiles, joins, once = _profiles_sql(mode, devs)
     return f"""WITH {cte},
 b AS (SELECT *, epoch_us("timestamp") AS us,
-             CAST(hour("timestamp") >= 23 OR hour("timestamp") < 5 AS INTEGER) AS is_night FROM txn),
-u AS (SELECT user_id, avg(amount) AS m, stddev_samp(amount) AS s, median(amount) AS med,
-             count(transaction_id) AS n, avg(is_night) AS night, sum(amount) AS spend,
-             count(DISTINCT CAST("timestamp" AS DATE)) AS days,
-             sum(amount) FILTER (WHERE "timestamp" IS NOT NULL) AS dspend{devs}
-      FROM b WHERE user_id IS NOT NULL GROUP BY user_id),
-uc AS (SELECT user_id, merchant_category, count(*) AS n FROM b GROUP BY ALL),
-um AS (SELECT user_id, merchant_id, count(*) AS n FROM b GROUP BY ALL),
+             CAST(coalesce(hour("timestamp") >= 23 OR hour("timestamp") < 5, false) AS INTEGER) AS is_night FROM txn),
+{profiles},
 f AS (
   SELECT b.transaction_id, b.user_id, b.merchant_id, b."timestamp", b.is_fraud,
     b.amount, b.currency, b.merchant_category,
@@ -96,7 +115,7 @@ f AS (
     coalesce(u.night, 0) AS user_night_txn_ratio, coalesce(u.spend, 0) AS user_total_spend,
     coalesce(u.n, 0) AS user_txn_count,
     coalesce(uc.n / (u.n + 1e-8), 0) AS category_frequency_ratio,
-    coalesce(CAST(uc.n = 1 AS INTEGER), 0) AS is_new_category,
+    coalesce(CAST(uc.n = {once} AS INTEGER), 0) AS is_new_category,
     CASE WHEN count(*) OVER (PARTITION BY b.user_id) <= 1 THEN 0.5
          ELSE len(list_filter(list(amount) OVER (PARTITION BY b.user_id ORDER BY us, b.transaction_id
                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
@@ -107,13 +126,11 @@ f AS (
     coalesce((amount - u.m) / (coalesce(u.s, 1) + 1e-8), 0) AS amount_zscore,
     CAST(amount % 100 = 0 AS INTEGER) AS is_round_amount,
     CAST(amount > {K.LARGE_AMOUNT} AS INTEGER) AS is_large_amount,
-    coalesce(CAST(um.n = 1 AS INTEGER), 0) AS is_new_merchant,
+    coalesce(CAST(um.n = {once} AS INTEGER), 0) AS is_new_merchant,
     CAST(coalesce(b.merchant_category IN ({cats}), false) AS INTEGER) AS merchant_risk_proxy,
     {geo}, 0.0 AS latitude, 0.0 AS longitude,
     {cnp} AS card_not_present, {dev}
-  FROM b LEFT JOIN u ON b.user_id = u.user_id
-         LEFT JOIN uc ON b.user_id = uc.user_id AND b.merchant_category = uc.merchant_category
-         LEFT JOIN um ON b.user_id = um.user_id AND b.merchant_id = um.merchant_id
+  FROM b {joins}
   WINDOW {wins}
 )
 SELECT {sql_select(cols)}
@@ -125,7 +142,7 @@ FROM f"""
 # ---------------------------------------------------------------------------
 
 def _features_query(name: str, source: str, groups, cols: dict[str, str], doc: str,
-                    hot_threshold: int | None = None) -> Query:
+                    hot_threshold: int | None = None, mode: str = "full") -> Query:
     """``hot_threshold=None``: the driver's check data has no hot user; the
     default detection threshold is used (the bucketed shape has its own tests)."""
     def run(spark, sf_dir):
@@ -133,9 +150,9 @@ def _features_query(name: str, source: str, groups, cols: dict[str, str], doc: s
         kw = {} if hot_threshold is None else {"hot_threshold": hot_threshold}
         # typed output fused into the final projection of the feature plan
         out = FE.feature_matrix(txn, groups=groups, finish=lambda n, c: typed(n, cols[n], c) if n in cols else c,
-                                **kw)
+                                mode=mode, **kw)
         return out.select(*cols)
-    return Query(name, run, features_sql(source, cols), doc)
+    return Query(name, run, features_sql(source, cols, mode), doc)
 
 
 IDS = ("transaction_id", "user_id")
@@ -176,6 +193,9 @@ def build() -> dict[str, Query]:
         _features_query("features_bucketed_hot_path_orders", "orders", FE.ALL_GROUPS, all_cols,
                         "F0 over orders, bucketed hot-user shape", hot_threshold=0),
     ]
+    for src, note in (("events", ""), ("orders", " with ties, devices and countries")):
+        qs.append(_features_query(f"feature_matrix_point_in_time_{src}", src, FE.ALL_GROUPS, all_cols,
+                                  f"F0 with D1, D3-D7, D9, E1, E5, E11 over earlier rows only{note}", mode="point_in_time"))
     for h in K.VELOCITY_WINDOWS_HOURS:
         qs.append(_features_query(f"velocity_{h}h", "events", ("velocity",), kinds(*IDS, *VEL(h)),
                                   f"C6-C9 for the {h} h window"))
