@@ -38,8 +38,37 @@ def test_job_on_events(spark, tmp_path):
     assert raw > 0                                                      # the metrics are of calibrated scores
     reg = spark.read.parquet(f"{out}/registry").collect()
     assert [(r["version"], r["stage"]) for r in reg] == [(1, "Staging")] and "mlp" in reg[0]["description"]
-    for name in ("gbt", "lr", "mlp"):
-        assert spark.read.text(f"{out}/base_{name}/metadata").count() == 1
+    # the saved artefacts, read back, score the same rows alike
+    job = TJ.load_job(out)
+    stored = {r["transaction_id"]: r for r in spark.read.parquet(f"{out}/test_scores").collect()}
+    again = job.score(feature_matrix(txn_events(spark, SF_SMALL), mode="point_in_time"))
+    again = {r["transaction_id"]: r for r in again.collect() if r["transaction_id"] in stored}
+    assert len(again) == len(stored) == n
+    assert all(abs(again[i]["p_raw"] - r["p_raw"]) < 1e-9 and abs(again[i]["score"] - r["score"]) < 1e-9 for i, r in stored.items())
+    # The meta model's probability recomputed from the stored base scores
+    lr = job.meta.stages[-1]
+    w = ", ".join(f"{c!r} * p_{k}" for c, k in zip(lr.coefficients.toArray().tolist(), ("gbt", "lr", "mlp"))).replace(", ", " + ")
+    worst = con.sql(f"SELECT max(abs(p_raw - 1 / (1 + exp(-({w} + {lr.intercept!r}))))) FROM '{out}/test_scores/*.parquet'").fetchall()[0][0]
+    assert worst < 1e-9
+
+
+def test_held_out_features_are_those_of_the_whole_table(spark):
+    """Whatever part a row falls into, it has the velocity of the whole table and the profile of its user's earlier rows."""
+    t = txn_events(spark, SF_SMALL)
+    got = {r["transaction_id"]: r for r in TJ.prepare(t, 2).collect()}
+    whole = {r["transaction_id"]: r for r in feature_matrix(t).collect()}
+    rows = sorted(t.collect(), key=lambda r: (r["timestamp"], r["transaction_id"]))
+    seen, held = {}, 0
+    for r in rows:
+        g, before = got[r["transaction_id"]], seen.setdefault(r["user_id"], [])
+        held += g["split"] != "train"
+        for c in ("txn_count_168h", "unique_merchants_24h", "seconds_since_last_txn", "spend_percentile"):
+            assert g[c] == whole[r["transaction_id"]][c], (c, g["split"])
+        mean = sum(before) / len(before) if before else None
+        assert g["user_txn_count"] == len(before)
+        assert abs(g["amount_vs_user_avg"] - (0 if mean is None else r["amount"] / (mean + 1e-8))) < 1e-6
+        before.append(r["amount"])
+    assert held > 200
 
 
 def test_early_stopping_uses_the_indicator(spark):
@@ -91,6 +120,7 @@ def test_saved_model_scores_alike(spark, tmp_path):
 
 
 def test_backtest_fits_each_window(spark, tmp_path):
+    from veloscope.operators import splits as SP
     from veloscope.operators.backtest import backtest
     from veloscope.sources.transactions import txn_orders
     got = {r["window_id"]: r for r in backtest(txn_orders(spark, SF_SMALL), str(tmp_path / "bt"), 600, 200, 400,
@@ -101,11 +131,30 @@ def test_backtest_fits_each_window(spark, tmp_path):
             FROM s a JOIN s b USING (window_id) WHERE a.is_fraud = 1 AND b.is_fraud = 0 GROUP BY 1)
       SELECT window_id, count(*), any_value(auc) FROM s LEFT JOIN p USING (window_id) GROUP BY 1""").fetchall()
     assert len(got) == len(want) >= 2
+    plain = SP.walk_forward_windows(txn_orders(spark, SF_SMALL), "timestamp", 600, 200, 400)
+    stats = SP.window_stats(SP.assign_windows(txn_orders(spark, SF_SMALL), plain, "timestamp", 600, 200, 400), plain, min_train_rows=100)
+    assert set(got) == {r["window_id"] for r in stats.where("status = 'ok'").collect()}
     for w, n, auc in want:
         assert got[int(w)]["backtest_n_samples"] == n
         assert auc is None or abs(got[int(w)]["backtest_auc_roc"] - auc) < 1e-9
 
 
+def test_step_state_adds_up_to_the_windows(spark):
+    from veloscope.operators import backtest as BT
+    from veloscope.sources.transactions import txn_orders
+    t = txn_orders(spark, SF_SMALL).withColumn("is_fraud", F.when(F.col("transaction_id") % 7 > 0, F.col("is_fraud")))
+    x = BT.step_features(t, 60)
+    state, rows = BT.StepState(x), x.select("step", "is_fraud", "merchant_category", "country").collect()
+    for a, z in ((0, 3), (2, 9), (5, 500), (700, 800)):
+        mine = [r for r in rows if a <= r["step"] < z]
+        assert state.counts(a, z) == (len(mine), sum(r["is_fraud"] == 1 for r in mine), sum(r["is_fraud"] == 0 for r in mine))
+    enc = state.encoder(2, 4)
+    labels = {c: m.labels for c, m in zip(L.CATEGORICAL, enc.stages)}
+    known = [r for r in rows if 2 <= r["step"] < 4 and r["is_fraud"] is not None]
+    assert labels["merchant_category"] == sorted({r["merchant_category"] for r in known})
+    assert labels["country"] == sorted({r["country"] for r in known})
+
+
 def test_windows_of_any_length_equal_the_range_join(spark):
     from veloscope.operators import splits as SP
     from veloscope.sources.transactions import txn_orders

@@ -127,6 +127,14 @@ def window_stats(rows: DataFrame, windows: DataFrame, label: str = "is_fraud",
         "status": status})
 
 
+def skip_reason(n_train: int, n_train_fraud: int, n_test_fraud: int, min_train_fraud: int = K.BACKTEST_MIN_TRAIN_FRAUD,
+                min_test_fraud: int = K.BACKTEST_MIN_TEST_FRAUD, min_train_rows: int = K.BACKTEST_MIN_TRAIN_ROWS) -> str | None:
+    """The skip rule of ``window_stats`` for one window's counts; None: it is fitted."""
+    if n_train_fraud < min_train_fraud or n_test_fraud < min_test_fraud:
+        return "skipped: insufficient fraud"
+    return "skipped: insufficient training data" if n_train < min_train_rows else None
+
+
 def backtest_summary(per_window: DataFrame, stable_std: float = K.BACKTEST_STABLE_STD,
                      metrics: Sequence[str] = ("backtest_auc_roc", "backtest_auc_pr", "backtest_recall_optimal")
                      ) -> DataFrame:

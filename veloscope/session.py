@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,13 +79,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def written_once(df: DataFrame, name: str) -> DataFrame:
+def written_once(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, read back: computed once, with known size.
 
-    The folder is removed when the driver process ends.
+    ``partition_by``: a folder per value of these columns (which come last then). The folder is removed when the driver process ends.
     """
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
+    df = df.select(*[c for c in df.columns if c not in partition_by], *partition_by) if partition_by else df
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
