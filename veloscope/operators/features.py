@@ -56,8 +56,7 @@ def feature_names(windows: Sequence[int] = K.VELOCITY_WINDOWS_HOURS,
     return BASE + [n for g in ALL_GROUPS if g in groups for n in by_group[g]]
 
 
-def _derive(df: DataFrame, groups: Sequence[str], how: str, windows: Sequence[int],
-            bucket_hours: int | None, mode: str = "full") -> DataFrame:
+def _derive(df: DataFrame, groups: Sequence[str], how: str, windows: Sequence[int], mode: str = "full") -> DataFrame:
     """Three projections on the normal path: inputs, every window column, derived features.
 
     (Each DataFrame transformation re-analyses the plan; keeping the window
@@ -87,7 +86,7 @@ def _derive(df: DataFrame, groups: Sequence[str], how: str, windows: Sequence[in
         base = cut_lineage(df.withColumn(RID, F.monotonically_increasing_id()))
         df = base
         if "velocity" in groups or "recency" in groups:
-            vel = T.bucketed_velocity_recency(base, windows, bucket_hours=bucket_hours)
+            vel = T.bucketed_velocity_recency(base, windows)
             names = velocity_names(windows) + RECENCY
             df = df.join(vel.select(RID, *names), RID, "left")
         if needs_user:
@@ -123,7 +122,6 @@ STRING_FEATURES = {"currency", "merchant_category", "country"}
 def compute_features(df: DataFrame, groups: Sequence[str] = ALL_GROUPS,
                      windows: Sequence[int] = K.VELOCITY_WINDOWS_HOURS,
                      hot_threshold: int | None = DEFAULT_HOT_ROWS,
-                     bucket_hours: int | None = None,
                      keep: Sequence[str] = (), fill_zero: bool = False, finish=None, mode: str = "full") -> DataFrame:
     """Raw (un-encoded) feature rows: ids + label + the selected feature groups.
 
@@ -141,9 +139,9 @@ def compute_features(df: DataFrame, groups: Sequence[str] = ALL_GROUPS,
     if mode == "point_in_time" and {"behavioral", "transaction", "device"} & set(groups):
         df = point_in_time_profile(df)
     split = split_hot(df, ["user_id"], hot_threshold)
-    parts = [_derive(split.normal, groups, OVER, windows, bucket_hours, mode)]
+    parts = [_derive(split.normal, groups, OVER, windows, mode)]
     if split.hot is not None:
-        parts.append(_derive(split.hot, groups, JOIN, windows, bucket_hours, mode))
+        parts.append(_derive(split.hot, groups, JOIN, windows, mode))
     cols = present_ids + [n for n in names if n not in present_ids] + [k for k in keep if k not in names]
 
     def out(c):

@@ -8,11 +8,9 @@ is ``rangeBetween(-w_us + 1, 0)`` on epoch microseconds.
 Two physical shapes compute the same values:
 
 * ``plain``: one hash exchange on user_id; every user-level window shares it.
-* ``bucketed`` (for hot users): rows are cut into time buckets of width
-  ``B >= max window``; each row is also copied, as context, into the next
-  bucket when it is within ``max window`` of that bucket's start. Windows are
-  partitioned by (user_id, bucket), so no task holds more than one user-bucket
-  plus its halo, and every target row still sees its whole frame.
+* ``bucketed`` (for hot users): counts, sums and maxima from blocks of positions,
+  distinct values from united intervals (``operators/sliding.py``): no task
+  holds a user or a frame.
 """
 
 from __future__ import annotations
@@ -99,72 +97,67 @@ def recency_columns(user: str = "user_id", id_col: str = "transaction_id") -> di
 
 
 # ---------------------------------------------------------------------------
-# bucketed (hot-user) shape
+# bucketed (hot-user) shape, any number of rows per user
 # ---------------------------------------------------------------------------
 
 BK = "_bk"
-TGT = "_tgt"
 
 
-def with_halo(df: DataFrame, bucket_us: int, halo_us: int) -> DataFrame:
-    """Target rows in their own bucket plus context copies in the next bucket.
+def _user_times(df: DataFrame, windows: Sequence[int], user: str, distinct: Sequence[tuple[str, str]], amounts: bool = True) -> DataFrame:
+    """Every frame value of each (user, time), by the block and interval operators; non-null users and times."""
+    from veloscope.operators.sliding import sliding_aggregates, sliding_distinct
+    widths = {f"{h}h": h * HOUR_US for h in windows}
+    parts = [sliding_distinct(df, user, c, US, widths, p) for p, c in distinct]
+    if amounts:
+        parts.insert(0, sliding_aggregates(df, user, US, widths, "amount"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, [user, US])
+    return out
 
-    A context copy is made only for rows within ``halo_us`` of the next
-    bucket's start, so the copy factor is at most 1 + halo/bucket.
-    """
-    if halo_us > bucket_us:
-        raise ValueError("bucket width must cover the largest window")
-    df = with_micros(df).withColumn(BK, F.floor(F.col(US) / F.lit(bucket_us)))
-    tgt = df.withColumn(TGT, F.lit(1))
-    ctx = (df.where(F.col(US) > (F.col(BK) + 1) * F.lit(bucket_us) - F.lit(halo_us))
-             .withColumn(BK, F.col(BK) + 1).withColumn(TGT, F.lit(0)))
-    return tgt.unionByName(ctx)
-
-
-def bucketed_velocity_recency(df: DataFrame, windows: Sequence[int] = K.VELOCITY_WINDOWS_HOURS,
-                              user: str = "user_id", id_col: str = "transaction_id",
-                              bucket_hours: int | None = None,
-                              extra_distinct=(("unique_merchants", "merchant_id"),)) -> DataFrame:
-    """Velocity + recency for hot users without a per-user task.
-
-    Rows with a null timestamp have no bucket; they get the null-row values
-    (0 / -1) directly.
-    """
-    wmax = max(windows) * HOUR_US
-    bucket_us = (bucket_hours * HOUR_US) if bucket_hours else wmax
+
+def _named(windows: Sequence[int], distinct: Sequence[tuple[str, str]], amounts: bool = True) -> dict[str, Column]:
+    out = {}
+    for h in windows:
+        if amounts:
+            out |= {f"txn_count_{h}h": F.col(f"n_{h}h").cast("long"), f"amount_sum_{h}h": F.col(f"s_{h}h").cast("double"),
+                    f"amount_max_{h}h": F.coalesce(F.col(f"m_{h}h"), F.lit(0.0))}
+        out |= {f"{p}_{h}h": F.col(f"{p}_{h}h").cast("int") for p, _ in distinct}
+    return out
+
+
+def _joined(df: DataFrame, times: DataFrame, user: str) -> DataFrame:
+    t = times.withColumnsRenamed({user: "_tu", US: "_tt"})
+    return df.join(t, (F.col(user) == F.col("_tu")) & (F.col(US) == F.col("_tt")), "left").drop("_tu", "_tt")
+
+
+def distinct_velocity(df: DataFrame, windows: Sequence[int], distinct: Sequence[tuple[str, str]], user: str = "user_id") -> DataFrame:
+    """C9 / M1 for every user: ``<prefix>_<h>h`` of each (prefix, column) in ``distinct``; 0 without a user or a time."""
     df = with_micros(df)
-    nulls = df.where(F.col(US).isNull())
-    # counts and sums are differences of running totals (amounts as decimals: exact); only the largest amount and the
-    # distinct values need the rows of a frame together
-    from veloscope.operators.prefix import frame_sums
-    dated = df.where(F.col(US).isNotNull()).withColumns({
-        "_n1": F.lit(1).cast("long"), "_am": F.coalesce(F.col("amount"), F.lit(0.0)).cast("decimal(30,10)")})
-    dated = frame_sums(dated, user, US, {f"_w{h}": (-h * HOUR_US, 0) for h in windows}, ["_n1", "_am"])
-    summed = {f"{name}_{h}h": F.col(f"_w{h}_{s}").cast(t) for h in windows
-              for name, s, t in (("txn_count", "_n1", "long"), ("amount_sum", "_am", "double"))}
-    dated = dated.withColumns(summed).drop("_n1", "_am", *[f"_w{h}_{s}" for h in windows for s in ("_n1", "_am")])
-    rows = with_halo(dated, bucket_us, wmax)
-    part = [user, BK]
-    cols = {k: c for k, c in velocity_columns(_range_frame(part), windows, user, extra_distinct).items() if k not in summed}
-    wt = Window.partitionBy(*part).orderBy(F.col(US), F.col(id_col), F.col(TGT))
-    cols["_prev_us"] = F.lag(US).over(wt)
-    out = rows.withColumns(cols).where(F.col(TGT) == 1)
-
-    # previous row outside the halo: last timestamp of the previous active bucket
-    per_bucket = rows.where(F.col(TGT) == 1).groupBy(user, BK).agg(F.max(US).alias("_bmax"))
-    prev_bucket = per_bucket.select(
-        user, BK, F.lag("_bmax").over(Window.partitionBy(user).orderBy(BK)).alias("_prev_bmax"))
-    first = rows.where(F.col(TGT) == 1).groupBy(user).agg(F.min(US).alias("_umin"))
-    out = out.join(prev_bucket, [user, BK], "left").join(first, [user], "left")
-    prev = F.coalesce(F.col("_prev_us"), F.col("_prev_bmax"))
-    out = out.withColumns({
-        "days_since_first_txn": (F.col(US) - F.col("_umin")) / float(DAY_US),
-        "seconds_since_last_txn": F.coalesce((F.col(US) - prev) / 1e6, F.lit(-1.0)),
-    }).drop("_prev_us", "_prev_bmax", "_umin", BK, TGT)
-    null_cols = {n: F.lit(0.0) if n.startswith("amount") else F.lit(0) for n in [*summed, *cols] if n != "_prev_us"}
-    null_cols["days_since_first_txn"] = F.lit(0.0)
-    null_cols["seconds_since_last_txn"] = F.lit(-1.0)
-    return out.unionByName(nulls.withColumns(null_cols))
+    times = _user_times(df.where(_valid(user)), windows, user, distinct, amounts=False)
+    new = {k: F.coalesce(c, F.lit(0)) for k, c in _named(windows, distinct, amounts=False).items()}
+    return _joined(df, times, user).select(*df.columns, *[c.alias(k) for k, c in new.items()])
+
+
+def bucketed_velocity_recency(df: DataFrame, windows: Sequence[int] = K.VELOCITY_WINDOWS_HOURS, user: str = "user_id",
+                              id_col: str = "transaction_id", extra_distinct=(("unique_merchants", "merchant_id"),)) -> DataFrame:
+    """Velocity + recency for users of any size: blocks of positions and united intervals instead of a window per user.
+
+    Rows without a user or a time get the null-row values (0 / -1).
+    """
+    from veloscope.session import cut_lineage
+    d = cut_lineage(with_micros(df).withColumn("_vrow", F.monotonically_increasing_id()))
+    known = d.where(_valid(user))
+    times = _user_times(known, windows, user, extra_distinct)
+    # of the rows at one time only the first in id order looks back to another time
+    lead = known.groupBy(user, US).agg(F.min(F.struct(F.col(id_col), F.col("_vrow"))).alias("_lead"))
+    times = times.join(lead, [user, US])
+    ok = F.col("first").isNotNull()
+    cols = {k: F.coalesce(c, F.lit(0.0) if k.startswith("amount") else F.lit(0)) for k, c in _named(windows, extra_distinct).items()}
+    cols["days_since_first_txn"] = F.when(ok, (F.col(US) - F.col("first")) / float(DAY_US)).otherwise(0.0)
+    gap = F.when(F.col("_vrow") == F.col("_lead._vrow"), (F.col(US) - F.col("prev")) / 1e6).otherwise(0.0)
+    cols["seconds_since_last_txn"] = F.when(ok, F.coalesce(gap, F.lit(-1.0))).otherwise(-1.0)
+    return _joined(d, times, user).select(*[c for c in d.columns if c != "_vrow"], *[c.alias(k) for k, c in cols.items()])
 
 
 # ---------------------------------------------------------------------------

@@ -153,8 +153,7 @@ VEL = {"transaction_id": "l", **{f"{p}_24h": k for p, k in (("txn_count", "l"),
 def _velocity_run(hot):
     def run(spark, sf_dir):
         t = dirty(spark, sf_dir)
-        out = T.plain_velocity(t, (24,)) if not hot else T.bucketed_velocity_recency(t.where("user_id IS NOT NULL"), (24,)).unionByName(
-            T.plain_velocity(t.where("user_id IS NULL"), (24,)), allowMissingColumns=True)
+        out = T.plain_velocity(t, (24,)) if not hot else T.bucketed_velocity_recency(t, (24,))
         return project(out, VEL)
     return run
 

@@ -238,7 +238,7 @@ def build() -> dict[str, Query]:
                  " AS new_device FROM b "
                  "WINDOW w AS (PARTITION BY user_id, device_fingerprint)", "M7"),
         _m_query("unique_countries", "orders",
-                 lambda d: T.plain_velocity(d, (1, 24), extra_distinct=(("unique_countries", "country"),)),
+                 lambda d: T.distinct_velocity(d, (1, 24), (("unique_countries", "country"),)),
                  ["unique_countries_1h", "unique_countries_24h"],
                  "SELECT *, count(DISTINCT country) OVER w1 AS unique_countries_1h, "
                  "count(DISTINCT country) OVER w24 AS unique_countries_24h FROM b WINDOW "
