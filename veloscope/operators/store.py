@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veloscope import constants as K
@@ -56,7 +56,7 @@ def upsert(store: DataFrame, updates: DataFrame, key: str = USER, fields: Sequen
 
 def live(store: DataFrame, asof, ttl_seconds: int = K.STORE_TTL_SECONDS) -> DataFrame:
     """Entries not yet expired at ``asof``."""
-    a = F.lit(asof).cast("timestamp") if not hasattr(asof, "_jc") else asof
+    a = asof if isinstance(asof, Column) else F.lit(asof).cast("timestamp")
     return store.where(F.col("updated_at") > a - F.make_interval(secs=F.lit(ttl_seconds)))
 
 
@@ -113,16 +113,21 @@ def session_counters_distributed(df: DataFrame, windows: Sequence[int], user: st
     return r.drop(*drop)
 
 
+def _with_nobody(out: DataFrame, df: DataFrame, user: str, constants: dict) -> DataFrame:
+    """``out`` (rows with a user) and the rows without one: nobody has no history, so they need no shuffle."""
+    return out.unionByName(with_micros(df).where(F.col(user).isNull()).withColumns(constants))
+
+
 def session_counters(df: DataFrame, windows: Sequence[int] = K.VELOCITY_COUNTER_MINUTES, user: str = USER,
                      id_col: str = "transaction_id", hot_threshold: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
-    """G6 for all windows; hot users take the distributed shape."""
-    split = split_hot(with_micros(df), [user], hot_threshold)
+    """G6 for all windows; hot users take the distributed shape. An event without a user is counted by itself (1)."""
+    split = split_hot(with_micros(df).where(F.col(user).isNotNull()), [user], hot_threshold)
     plain = split.normal
     for m in windows:
         plain = session_counter(plain, m, user, id_col)
-    if split.hot is None:
-        return plain
-    return plain.unionByName(session_counters_distributed(split.hot, windows, user, id_col))
+    if split.hot is not None:
+        plain = plain.unionByName(session_counters_distributed(split.hot, windows, user, id_col))
+    return _with_nobody(plain, df, user, {f"counter_{m}m": F.lit(1) for m in windows})
 
 
 def velocity_lookup(df: DataFrame, windows: Sequence[int] = K.VELOCITY_COUNTER_MINUTES, user: str = USER,
@@ -137,11 +142,11 @@ def velocity_lookup(df: DataFrame, windows: Sequence[int] = K.VELOCITY_COUNTER_M
 def asof_profile(df: DataFrame, cols: Sequence[str] = ("amount", "timestamp"), user: str = USER,
                  id_col: str = "transaction_id", hot_threshold: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
     """What the store held for the user just before this event: the previous
-    event's fields (last non-null; null for the first event)."""
-    split = split_hot(with_micros(df), [user], hot_threshold)
+    event's fields (last non-null; null for the first event, or without a user)."""
+    split = split_hot(with_micros(df).where(F.col(user).isNotNull()), [user], hot_threshold)
     w = (Window.partitionBy(user).orderBy(F.col(US).asc_nulls_last(), F.col(id_col))
          .rowsBetween(Window.unboundedPreceding, -1))
     plain = split.normal.withColumns({f"prev_{c}": F.last(c, ignorenulls=True).over(w) for c in cols})
-    if split.hot is None:
-        return plain
-    return plain.unionByName(previous_values(split.hot, list(cols), [user], id_col))
+    if split.hot is not None:
+        plain = plain.unionByName(previous_values(split.hot, list(cols), [user], id_col))
+    return _with_nobody(plain, df, user, {f"prev_{c}": F.lit(None).cast(df.schema[c].dataType) for c in cols})

@@ -145,7 +145,7 @@ def merchant_fraud_rate_30d(df: DataFrame, days: int = 30, hot_threshold: int |
 
 def distance_from_home(df: DataFrame, id_col: str = "transaction_id", hot_threshold: int | None = None
                        ) -> DataFrame:
-    """M6: km from the user's mean location over earlier rows (first row / no location → 0).
+    """M6: km from the user's mean location over earlier rows (first row / no location / no user → 0).
 
     Hot users get the mean of earlier rows from running sums (sum and
     count up to the row, minus the row itself) instead of a per-user window.
@@ -155,11 +155,12 @@ def distance_from_home(df: DataFrame, id_col: str = "transaction_id", hot_thresh
     from veloscope.operators.prefix import running_sums
     from veloscope.operators.skew import DEFAULT_HOT_ROWS, split_hot
     df = with_micros(df)
-    split = split_hot(df, [USER], DEFAULT_HOT_ROWS if hot_threshold is None else hot_threshold)
+    nobody = df.where(F.col(USER).isNull()).withColumn("distance_from_home", F.lit(0.0))
+    split = split_hot(df.where(F.col(USER).isNotNull()), [USER], DEFAULT_HOT_ROWS if hot_threshold is None else hot_threshold)
     w = (Window.partitionBy(USER).orderBy(F.col(US).asc_nulls_last(), F.col(id_col))
          .rowsBetween(Window.unboundedPreceding, -1))
     d = C.haversine_km(F.avg("latitude").over(w), F.avg("longitude").over(w), "latitude", "longitude")
-    plain = split.normal.withColumn("distance_from_home", F.coalesce(d, F.lit(0.0)))
+    plain = split.normal.withColumn("distance_from_home", F.coalesce(d, F.lit(0.0))).unionByName(nobody)
     if split.hot is None:
         return plain
     parts = {"_la": F.coalesce(F.col("latitude"), F.lit(0.0)), "_lac": F.col("latitude").isNotNull().cast("long"),

@@ -196,7 +196,7 @@ ASOF = {"transaction_id": "l", "prev_amount": "d", "counter_60m": "l"}
 
 def _asof_run(hot):
     def run(spark, sf_dir):
-        t = dirty(spark, sf_dir).where("user_id IS NOT NULL")
+        t = dirty(spark, sf_dir)
         a = ST.asof_profile(t, ("amount",), hot_threshold=hot).select("transaction_id", "prev_amount")
         c = ST.session_counters(t, (60,), hot_threshold=hot).select("transaction_id", "counter_60m")
         return project(a.join(c, "transaction_id"), ASOF)
@@ -208,7 +208,8 @@ o AS (SELECT *, epoch_us("timestamp") AS us, row_number() OVER w AS pos, lag("ti
              last_value(amount IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_amount
       FROM txn WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY "timestamp" NULLS LAST, transaction_id)),
 n AS (SELECT *, CASE WHEN pos = 1 OR us - epoch_us(prev) >= 3600000000 THEN pos END AS start FROM o),
-q AS (SELECT transaction_id, prev_amount, pos - max(start) OVER (PARTITION BY user_id ORDER BY pos) + 1 AS counter_60m FROM n)
+q AS (SELECT transaction_id, prev_amount, pos - max(start) OVER (PARTITION BY user_id ORDER BY pos) + 1 AS counter_60m FROM n
+      UNION ALL SELECT transaction_id, NULL, 1 FROM txn WHERE user_id IS NULL)
 SELECT {sql_select(ASOF)} FROM q"""
 
 UPS = {"user_id": "l", "last_txn_amount": "d", "last_txn_country": "s", "updated_at": "t"}
@@ -380,7 +381,7 @@ def build():
         Query("velocity_24h_dirty_bucketed", _velocity_run(True), VEL_SQL, "the same on the bucketed shape"),
         Query("spend_percentile_dirty", _pct_run(False), PCT_SQL, "D8 with null users, times, amounts"),
         Query("spend_percentile_dirty_distributed", _pct_run(True), PCT_SQL, "the same on the distributed shape"),
-        Query("asof_counters_dirty", _asof_run(None), ASOF_SQL, "G6, G8: undated events come last"),
+        Query("asof_counters_dirty", _asof_run(None), ASOF_SQL, "G6, G8: undated events come last, events without a user stand alone"),
         Query("asof_counters_dirty_distributed", _asof_run(0), ASOF_SQL, "the same on the distributed shape"),
         Query("store_upsert_nulls_one_batch", _upsert_run(1), UPS_SQL, "G4: null fields keep the older value"),
         Query("store_upsert_nulls_two_batches", _upsert_run(2), UPS_SQL, "G4: the batch cut does not matter"),

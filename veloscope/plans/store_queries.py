@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from veloscope import constants as K
 from veloscope.operators import store as ST
+from veloscope.operators.asof import asof_join
 from veloscope.operators.drift import split_by_time
 from veloscope.plans.common import Query, project, registry, sql_select
+from veloscope.session import written_once
 from veloscope.sources.transactions import SOURCES
 
 STORE = {"user_id": "l", "last_txn_amount": "d", "last_txn_timestamp": "t", "last_txn_country": "s",
@@ -56,9 +58,7 @@ LIVE = {"user_id": "l", "updated_at": "t"}
 def _live_run(spark, sf_dir):
     store = _store(spark, sf_dir, "events")
     asof = store.agg(F.max("updated_at").alias("a"))
-    live = store.crossJoin(F.broadcast(asof)).where(
-        F.col("updated_at") > F.col("a") - F.make_interval(secs=F.lit(K.STORE_TTL_LONG_SECONDS)))
-    return project(live, LIVE)
+    return project(ST.live(store.crossJoin(F.broadcast(asof)), F.col("a"), K.STORE_TTL_LONG_SECONDS), LIVE)
 
 
 LIVE_SQL = f"""WITH {SOURCES['events'][1]},
@@ -104,6 +104,35 @@ q AS (SELECT *, lag(amount) OVER w AS prev_amount, lag("timestamp") OVER w AS pr
 SELECT {sql_select(ASOF)} FROM q"""
 
 
+JOIN = {"transaction_id": "l", "user_id": "l", "last_amount": "d", "last_amount_at": "t", "last_country": "s"}
+JOIN_DAYS = 90
+
+
+def _join_run(spark, sf_dir):
+    """Half of the orders as a stored history with null fields, the other half looked up in it; 30 % of the rows have no user,
+    one user has a third of the rest."""
+    i = F.col("transaction_id")
+    txn = SOURCES["orders"][0](spark, sf_dir).withColumn(
+        "user_id", F.when(i % 10 < 3, None).when(i % 3 == 0, 1).otherwise(F.col("user_id")))
+    past = txn.where(i % 4 < 2).select("user_id", "timestamp", "transaction_id", F.when(i % 17 != 4, F.col("amount")).alias("amount"),
+                                       F.when(i % 5 != 1, F.col("country")).alias("country"))
+    history = written_once(past, "history")
+    out = asof_join(txn.where(i % 4 >= 2).select("transaction_id", "user_id", "timestamp"), history, "user_id", "timestamp", "timestamp",
+                    ["amount", "country"], tolerance_seconds=JOIN_DAYS * 86_400, tiebreak=["transaction_id"])
+    return project(out, JOIN)
+
+
+JOIN_SQL = f"""WITH {SOURCES['orders'][1]},
+d AS (SELECT transaction_id, "timestamp" AS ts, CASE WHEN transaction_id % 10 < 3 THEN NULL WHEN transaction_id % 3 = 0 THEN 1 ELSE user_id END AS user_id,
+             CASE WHEN transaction_id % 17 <> 4 THEN amount END AS amount, CASE WHEN transaction_id % 5 <> 1 THEN country END AS country FROM txn),
+q AS (SELECT l.transaction_id, l.user_id, arg_max(h.amount, (h.ts, h.transaction_id)) FILTER (WHERE h.amount IS NOT NULL) AS last_amount,
+             max(h.ts) FILTER (WHERE h.amount IS NOT NULL) AS last_amount_at,
+             arg_max(h.country, (h.ts, h.transaction_id)) FILTER (WHERE h.country IS NOT NULL) AS last_country
+      FROM d l LEFT JOIN d h ON h.transaction_id % 4 < 2 AND h.user_id = l.user_id AND h.ts <= l.ts AND h.ts >= l.ts - INTERVAL {JOIN_DAYS} DAY
+      WHERE l.transaction_id % 4 >= 2 GROUP BY 1, 2)
+SELECT {sql_select(JOIN)} FROM q"""
+
+
 def build():
     return registry(
         Query("store_upsert_orders", lambda s, d: project(_store(s, d), STORE),
@@ -120,4 +149,6 @@ def build():
         Query("asof_profile_hot_path_orders",
               lambda s, d: project(ST.asof_profile(SOURCES["orders"][0](s, d), hot_threshold=0), ASOF), ASOF_SQL,
               "G8 with every user on the distributed (hot-user) shape"),
+        Query("asof_join_orders_history", _join_run, JOIN_SQL,
+              "G8 as a join of two tables: null users kept, null fields, one user with a third of the rows, 90 days of tolerance"),
     )
