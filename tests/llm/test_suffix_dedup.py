@@ -40,8 +40,30 @@ def test_random_overlaps(spark):
             for i in range(120)]
     rows += [(200, None), (201, ""), (202, "a" * 500), (203, "ab" * 300), (None, rows[5][1]), (204, pieces[0]), (204, pieces[0]),
              (205, "xyz" * 11 + "q"), (206, "漢字" * 40)]
-    for crowded in (S.CROWDED, 2):
-        assert result(S.remove_repeats(frame(spark, rows), depth=40, digit=13, crowded=crowded)) == brute(rows, 40)
+    assert result(S.remove_repeats(frame(spark, rows), depth=40, digit=13)) == brute(rows, 40)
+
+
+def test_one_passage_in_many_documents(spark):
+    """Overlaps of every length with a hot passage, and variants of it: rows of a pass stay a few per place."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    hot, rows = word(90), []
+    for i in range(260):
+        a, z = (0, 90) if i % 2 else (rng.randint(0, 50), rng.randint(51, 90))
+        p = hot[a:z]
+        if i % 5 == 0:
+            k = rng.randrange(len(p))
+            p = p[:k] + "#" + p[k + 1:]
+        rows.append((i, word(rng.randint(0, 60)) + p + word(rng.randint(0, 60))))
+    made = []
+    plain = S.written
+    S.written = lambda d, name: made.append((name, plain(d, name))) or made[-1][1]
+    try:
+        assert result(S.remove_repeats(frame(spark, rows), depth=40, digit=13)) == brute(rows, 40)
+    finally:
+        S.written = plain
+    passes = [d.count() for name, d in made if name == "digits"]
+    assert 3 <= len(passes) <= 5 and max(passes) <= 8 * passes[0]
 
 
 def test_blocks_of_long_texts():

@@ -8,13 +8,15 @@ are then split by most significant digit, as far as DEPTH bytes and no further:
 
 1. by the elected DIGIT bytes: a string elected once cannot lie in a repeated window (most drop out here);
 2. by all bytes of the run's windows: equal groups of two or more places are repeated as a whole;
-3. groups that still hold different continuations: single windows, compared byte by byte, offset by offset.
+3. groups that still hold different continuations: by ranges of window offsets, all of them first, then quarters of a range, until
+   single windows. A digit is what all windows of the range have in common: places that are alone with theirs drop
+   out; places equal in all windows of the range are repeated there, and one of them goes on to stand for them.
 
 Equal groups after the last pass are exactly the repeated windows. Exact copies of a text are seen by a 128-bit
-digest of the text and need one representative. Every pass counts with map-side aggregation; hot groups of
-pass 3 (over ``crowded`` continuations, such as one passage in a third of all documents) are dealt window by
-window instead of group by group. Texts travel once by digest, and once more only where pass 3 must
-decide. Long texts are searched in overlapping blocks.
+digest of the text and need one representative. Every pass has a row per place and range that is still open, and counts
+with map-side aggregation; groups are counted and joined back by salted keys, so one passage in a third of all documents is
+spread as well. Texts travel once by digest, and once more only where pass 3 must decide. Long texts are searched in
+overlapping blocks.
 
 Defined cases: a null text is the empty text; texts of fewer than DEPTH bytes have nothing removed (also exact
 copies of them); null ids stay null; repeated rows each get a result row and count as places of their own;
@@ -36,7 +38,7 @@ from veloscope.llm.common import text_or_empty, written
 
 DEPTH, DIGIT = 400, 128
 BLOCK_BITS = 20         # a block of texts searched at once: 1 MiB
-CROWDED = 512           # continuations of one elected string that a task compares
+SALTS = 64              # tasks that count and join one group
 _MAX = np.uint64(2**64 - 1)
 _POS = np.uint64((1 << BLOCK_BITS) - 1)
 
@@ -163,10 +165,10 @@ def outcome(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, s
 
 STEP = pa.schema([("kind", pa.int32()), ("tk", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                   ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kh", pa.int64()), ("p", pa.int64()),
-                  ("before", pa.int32()), ("after", pa.int32()), ("continuations", pa.int64()), ("asks", pa.bool_()),
+                  ("before", pa.int32()), ("after", pa.int32()), ("asks", pa.bool_()),
                   ("data", pa.binary()), ("spans", pa.list_(pa.int64()))])
 STEP_SQL = ("kind int, tk binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kh long, p long, before int, "
-            "after int, continuations long, asks boolean, data binary, spans array<long>")
+            "after int, asks boolean, data binary, spans array<long>")
 DONE, CONTEXT, PENDING = 0, 1, 2
 OUT_ROWS = 2000
 
@@ -193,12 +195,11 @@ def first_step(depth: int):
                     asks = r["asks"] and not whole
                     asked |= asks
                     if asks or r["serves"]:
-                        rows.append((CONTEXT, tk, None, None, None, None, r["kh"], r["p"], r["before"], r["after"],
-                                     r["continuations"], asks, t[a:z], None))
+                        rows.append((CONTEXT, tk, None, None, None, None, r["kh"], r["p"], r["before"], r["after"], asks, t[a:z], None))
                 if asked:
-                    rows.append((PENDING, tk) + (None,) * 10 + (t, [x for s in united(spans) for x in s]))
+                    rows.append((PENDING, tk) + (None,) * 9 + (t, [x for s in united(spans) for x in s]))
                 else:
-                    rows.append((DONE, tk, *outcome(t, spans)) + (None,) * 8)
+                    rows.append((DONE, tk, *outcome(t, spans)) + (None,) * 7)
                 if len(rows) >= OUT_ROWS:
                     yield batch(rows, STEP)
                     rows = []
@@ -208,65 +209,58 @@ def first_step(depth: int):
     return run
 
 
-FOUND = pa.schema([("tk", pa.binary()), ("a", pa.int64()), ("z", pa.int64())])
-
-
-def same_windows(group: list[tuple], depth: int) -> list[tuple]:
-    """Pass 3 inside one group of (tk, p, before, after, asks, context): repeated spans of those that ask."""
-    hit: dict[int, list[int]] = {}
-    for o in range(min(g[3] for g in group), max(g[2] for g in group) + 1):
-        seen: dict[bytes, int] = {}
-        for i, (_, _, before, after, _, data) in enumerate(group):
-            if after <= o <= before:
-                w = data[before - o:before - o + depth]
-                j = seen.setdefault(w, i)
-                if j != i:
-                    for x in (i, j):
-                        if not hit.setdefault(x, []) or hit[x][-1] != o:
-                            hit[x].append(o)
-    out = []
-    for i, os in hit.items():
-        tk, p, _, _, asks, _ = group[i]
-        if asks:
-            out += [(tk, a, z) for a, z in united([(p - o, p - o + depth) for o in os])]
-    return out
+PLACE = "kh long, tk binary, p long, before int, after int, asks boolean, data binary, lo int, hi int"
 
 
-def by_group(depth: int):
-    """Contexts in order of their elected string, group by group."""
+def digits(depth: int):
+    """Adds to each place and range of offsets lo .. hi: ``core``, what all its windows share; ``whole``, all bytes of its windows."""
 
     def run(batches):
-        kh, group = None, []
         for b in batches:
-            out = []
-            cols = [b.column(c).to_pylist() for c in ("kh", "tk", "p", "before", "after", "asks", "data")]
-            for k, *g in zip(*cols):
-                if k != kh:
-                    if len(group) > 1:
-                        out += same_windows(group, depth)
-                    kh, group = k, []
-                group.append(tuple(g))
-            if out:
-                yield batch(out, FOUND)
-        if len(group) > 1 and (out := same_windows(group, depth)):
-            yield batch(out, FOUND)
+            core, whole = [], []
+            for data, before, after, lo, hi in zip(*(b.column(c).to_pylist() for c in ("data", "before", "after", "lo", "hi"))):
+                core.append(hashlib.blake2b(data[before - lo:before + depth - hi], digest_size=16).digest())
+                a, z = max(lo, after), min(hi, before)          # the windows of the range that the place has
+                whole.append(hashlib.blake2b(b"%d %d " % (a, z) + data[before - z:before - a + depth], digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(core, pa.binary()), pa.array(whole, pa.binary())],
+                                             [*b.schema.names, "core", "whole"])
 
     return run
 
 
-def window_rows(depth: int):
-    """A row per window of a context, for groups too large for one task: (kh, o, digest) names its bytes."""
-    schema = pa.schema([("kh", pa.int64()), ("o", pa.int32()), ("w", pa.binary()), ("tk", pa.binary()), ("p", pa.int64()),
-                        ("asks", pa.bool_())])
-
-    def run(batches):
-        for b in batches:
-            for k, tk, p, before, after, asks, data in zip(*(b.column(c).to_pylist() for c in (
-                    "kh", "tk", "p", "before", "after", "asks", "data"))):
-                yield batch([(k, o, hashlib.blake2b(data[before - o:before - o + depth], digest_size=16).digest(), tk, p, asks)
-                             for o in range(after, before + 1)], schema)
-
-    return run
+def with_group(df: DataFrame, key: list[str], **aggs) -> DataFrame:
+    """``df`` with aggregates of its groups, name = (first, merge, column): counted and joined back by (key, salt)."""
+    part = df.groupBy(*key, "salt").agg(*[first(c).alias(n) for n, (first, _, c) in aggs.items()])
+    total = part.groupBy(*key).agg(*[merge(n).alias(n) for n, (_, merge, _) in aggs.items()])
+    return df.join(part.select(*key, "salt").join(total, key), [*key, "salt"])
+
+
+def repeated_windows(places: DataFrame, depth: int, digit: int) -> DataFrame:
+    """Pass 3: the spans (tk, a, z) of the ``places`` that ask and share windows with another place of their group."""
+    place, split = F.struct("tk", "p"), []
+    salted = lambda d: written(d.mapInArrow(digits(depth), f"{PLACE}, core binary, whole binary")                    # noqa: E731
+                               .withColumn("salt", F.pmod(F.xxhash64("tk", "p"), F.lit(SALTS))), "digits")
+    group = ["kh", "lo", "hi", "core"]
+    live = salted(places.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(depth - digit)))
+    while True:
+        same = with_group(live, [*group, "whole"], low=(lambda _: F.min(place), F.min, None), high=(lambda _: F.max(place), F.max, None))
+        same = written(same.withColumn("covered", F.col("low") != F.col("high")), "split")
+        split.append(same.where("covered AND asks").select(
+            "tk", (F.col("p") - F.least("hi", "before")).alias("a"), (F.col("p") - F.greatest("lo", "after") + depth).alias("z")))
+        one = same.where(place == F.col("low")).withColumn("asks", F.col("asks") & ~F.col("covered")).drop("low", "high", "covered")
+        one = with_group(one, group, n=(lambda _: F.count(F.lit(1)), F.sum, None), wanted=(F.max, F.max, "asks"))
+        width = F.ceil((F.col("hi") - F.col("lo") + 1) / 4).cast("int")
+        quarters = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(
+            (F.col("lo") + i * width).cast("int").alias("lo"), F.least(F.col("hi"), F.col("lo") + (i + 1) * width - 1).cast("int").alias("hi")))
+        mine = F.filter(quarters, lambda q: (q["lo"] <= q["hi"]) & (q["lo"] <= F.col("before")) & (q["hi"] >= F.col("after")))
+        one = one.where("n > 1 AND wanted AND hi > lo").withColumn("q", F.explode(mine))
+        live = salted(one.select("kh", "tk", "p", "before", "after", "asks", "data", "q.lo", "q.hi"))
+        if live.isEmpty():
+            break
+    out = split[0]
+    for more in split[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def last_step(batches):
@@ -280,10 +274,8 @@ def last_step(batches):
             yield batch(rows, schema)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, digit: int = DIGIT,
-                   crowded: int = CROWDED) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256), a row per input row."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = text_or_empty(text_col)
     docs = df.select(F.col(id_col).alias("_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("tk"))
     # pass 1: strings elected in two places at least
@@ -297,23 +289,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     many = cls.groupBy("kh").agg(F.count(F.lit(1)).alias("continuations"))
     member = found.dropDuplicates(["tk", "p", "before", "after"]).join(cls, ["kh", "ctx"]).join(many, "kh")
     member = member.select(
-        "tk", "p", "before", "after", "kh", "continuations", "covered",
+        "tk", "p", "before", "after", "kh", "covered",
         (~F.col("covered") & (F.col("continuations") > 1)).alias("asks"),
         ((place == F.col("low")) & (F.col("continuations") > 1)).alias("serves")).where("covered or asks or serves")
     # the runs of one text: bounded by its length
     per_text = member.groupBy("tk").agg(F.collect_list(F.struct(*[c for c in member.columns if c != "tk"])).alias("runs"))
     texts = docs.groupBy("tk").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     step = written(texts.join(per_text, "tk", "left").mapInArrow(first_step(depth), STEP_SQL), "first-step")
-    # pass 3
-    ctx = step.where(F.col("kind") == CONTEXT).select("kh", "tk", "p", "before", "after", "asks", "data", "continuations")
-    small = ctx.where(F.col("continuations") <= crowded).drop("continuations").repartition(n, "kh").sortWithinPartitions("kh") \
-        .mapInArrow(by_group(depth), "tk binary, a long, z long")
-    w = ctx.where(F.col("continuations") > crowded).drop("continuations") \
-        .mapInArrow(window_rows(depth), "kh long, o int, w binary, tk binary, p long, asks boolean")
-    same = w.groupBy("kh", "o", "w").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high")
-    large = w.where("asks").join(same, ["kh", "o", "w"]).select(
-        "tk", (F.col("p") - F.col("o")).alias("a"), (F.col("p") - F.col("o") + depth).alias("z"))
-    more = small.unionByName(large).groupBy("tk").agg(F.collect_list(F.struct("a", "z")).alias("more"))
+    places = step.where(F.col("kind") == CONTEXT).select("kh", "tk", "p", "before", "after", "asks", "data")
+    more = repeated_windows(places, depth, digit).groupBy("tk").agg(F.collect_list(F.struct("a", "z")).alias("more"))
     pending = step.where(F.col("kind") == PENDING).select("tk", "data", "spans").join(more, "tk", "left")
     names = ["tk", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     done = pending.mapInArrow(last_step, "tk binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string") \
