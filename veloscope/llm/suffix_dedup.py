@@ -8,7 +8,7 @@ are then split by most significant digit, as far as DEPTH bytes and no further:
 
 1. by the elected DIGIT bytes: a string elected once cannot lie in a repeated window (most drop out here);
 2. by all bytes of the run's windows: equal groups of two or more places are repeated as a whole;
-3. groups that still hold different continuations: by ranges of window offsets, all of them first, then quarters of a range, until
+3. groups that still hold different continuations: by ranges of window offsets, a quarter of the range before at each pass, until
    single windows. A digit is what all windows of the range have in common: places that are alone with theirs drop
    out; places equal in all windows of the range are repeated there, and one of them goes on to stand for them.
 
@@ -209,11 +209,12 @@ def first_step(depth: int):
     return run
 
 
-PLACE = "kh long, tk binary, p long, before int, after int, asks boolean, data binary, lo int, hi int"
+PLACE = ["kh", "tk", "p", "before", "after", "asks", "lo", "hi"]
+PLACE_SQL = "kh long, tk binary, p long, before int, after int, asks boolean, lo int, hi int, core binary, whole binary"
 
 
 def digits(depth: int):
-    """Adds to each place and range of offsets lo .. hi: ``core``, what all its windows share; ``whole``, all bytes of its windows."""
+    """Each place and range of offsets lo .. hi with ``core``, what all its windows share, and ``whole``, all bytes of its windows."""
 
     def run(batches):
         for b in batches:
@@ -222,12 +223,21 @@ def digits(depth: int):
                 core.append(hashlib.blake2b(data[before - lo:before + depth - hi], digest_size=16).digest())
                 a, z = max(lo, after), min(hi, before)          # the windows of the range that the place has
                 whole.append(hashlib.blake2b(b"%d %d " % (a, z) + data[before - z:before - a + depth], digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(core, pa.binary()), pa.array(whole, pa.binary())],
-                                             [*b.schema.names, "core", "whole"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in PLACE), pa.array(core, pa.binary()), pa.array(whole, pa.binary())],
+                                             [*PLACE, "core", "whole"])
 
     return run
 
 
+def quarters(df: DataFrame) -> DataFrame:
+    """``df`` with the quarters of its ranges that hold windows of the place."""
+    width = F.ceil((F.col("hi") - F.col("lo") + 1) / 4).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(
+        (F.col("lo") + i * width).cast("int").alias("lo"), F.least(F.col("hi"), F.col("lo") + (i + 1) * width - 1).cast("int").alias("hi")))
+    mine = F.filter(parts, lambda q: (q["lo"] <= q["hi"]) & (q["lo"] <= F.col("before")) & (q["hi"] >= F.col("after")))
+    return df.withColumn("q", F.explode(mine)).withColumns({"lo": F.col("q.lo"), "hi": F.col("q.hi")}).drop("q")
+
+
 def with_group(df: DataFrame, key: list[str], **aggs) -> DataFrame:
     """``df`` with aggregates of its groups, name = (first, merge, column): counted and joined back by (key, salt)."""
     part = df.groupBy(*key, "salt").agg(*[first(c).alias(n) for n, (first, _, c) in aggs.items()])
@@ -238,25 +248,23 @@ def with_group(df: DataFrame, key: list[str], **aggs) -> DataFrame:
 def repeated_windows(places: DataFrame, depth: int, digit: int) -> DataFrame:
     """Pass 3: the spans (tk, a, z) of the ``places`` that ask and share windows with another place of their group."""
     place, split = F.struct("tk", "p"), []
-    salted = lambda d: written(d.mapInArrow(digits(depth), f"{PLACE}, core binary, whole binary")                    # noqa: E731
-                               .withColumn("salt", F.pmod(F.xxhash64("tk", "p"), F.lit(SALTS))), "digits")
-    group = ["kh", "lo", "hi", "core"]
-    live = salted(places.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(depth - digit)))
+    group, name = ["kh", "lo", "hi", "core"], ["tk", "p", "before", "after"]
+    data = places.select(*name, "data")
+    # pass 2 has compared all windows at once; the bytes stay in ``places``, passes move digests only
+    go = quarters(places.withColumns({"lo": F.lit(0), "hi": F.lit(depth - digit)}))
     while True:
+        live = go.mapInArrow(digits(depth), PLACE_SQL).withColumn("salt", F.pmod(F.xxhash64("tk", "p"), F.lit(SALTS)))
+        live = written(live, "digits")
+        if split and live.isEmpty():
+            break
         same = with_group(live, [*group, "whole"], low=(lambda _: F.min(place), F.min, None), high=(lambda _: F.max(place), F.max, None))
         same = written(same.withColumn("covered", F.col("low") != F.col("high")), "split")
         split.append(same.where("covered AND asks").select(
             "tk", (F.col("p") - F.least("hi", "before")).alias("a"), (F.col("p") - F.greatest("lo", "after") + depth).alias("z")))
         one = same.where(place == F.col("low")).withColumn("asks", F.col("asks") & ~F.col("covered")).drop("low", "high", "covered")
         one = with_group(one, group, n=(lambda _: F.count(F.lit(1)), F.sum, None), wanted=(F.max, F.max, "asks"))
-        width = F.ceil((F.col("hi") - F.col("lo") + 1) / 4).cast("int")
-        quarters = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(
-            (F.col("lo") + i * width).cast("int").alias("lo"), F.least(F.col("hi"), F.col("lo") + (i + 1) * width - 1).cast("int").alias("hi")))
-        mine = F.filter(quarters, lambda q: (q["lo"] <= q["hi"]) & (q["lo"] <= F.col("before")) & (q["hi"] >= F.col("after")))
-        one = one.where("n > 1 AND wanted AND hi > lo").withColumn("q", F.explode(mine))
-        live = salted(one.select("kh", "tk", "p", "before", "after", "asks", "data", "q.lo", "q.hi"))
-        if live.isEmpty():
-            break
+        one = one.where("n > 1 AND wanted AND hi > lo")
+        go = quarters(one.select(*PLACE)).join(data, name)
     out = split[0]
     for more in split[1:]:
         out = out.unionByName(more)
@@ -296,7 +304,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     per_text = member.groupBy("tk").agg(F.collect_list(F.struct(*[c for c in member.columns if c != "tk"])).alias("runs"))
     texts = docs.groupBy("tk").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     step = written(texts.join(per_text, "tk", "left").mapInArrow(first_step(depth), STEP_SQL), "first-step")
-    places = step.where(F.col("kind") == CONTEXT).select("kh", "tk", "p", "before", "after", "asks", "data")
+    places = written(step.where(F.col("kind") == CONTEXT).select("kh", "tk", "p", "before", "after", "asks", "data"), "places")
     more = repeated_windows(places, depth, digit).groupBy("tk").agg(F.collect_list(F.struct("a", "z")).alias("more"))
     pending = step.where(F.col("kind") == PENDING).select("tk", "data", "spans").join(more, "tk", "left")
     names = ["tk", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
