@@ -76,6 +76,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
 
 
+#: shuffle files go when their execution ends, not when the driver happens to collect its garbage
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -86,7 +88,12 @@ def written_once(df: DataFrame, name: str, partition_by: Sequence[str] = ()) ->
     """
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df = df.select(*[c for c in df.columns if c not in partition_by], *partition_by) if partition_by else df
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(DROP_SHUFFLES, "false")
+    conf.set(DROP_SHUFFLES, "true")                 # the table stands for them from here on
+    try:
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    finally:
+        conf.set(DROP_SHUFFLES, before)
     _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
