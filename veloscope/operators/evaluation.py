@@ -138,14 +138,14 @@ def catch_rates(df: DataFrame, label: str = "is_fraud", score: str = "score", id
                     (F.col("_t.k") - F.col("_above")).alias("_m"), (F.col("tp") - F.col("pos")).alias("_tp_above"),
                     "tot_pos")
     bj = bnd.select(*[F.col(b).alias(f"_g_{b}") for b in by], "_p", "pct", "_m")
-    cond = [F.col(b) == F.col(f"_g_{b}") for b in by] + [F.col(score) == F.col("_p")]
+    cond = [F.col(b).eqNullSafe(F.col(f"_g_{b}")) for b in by] + [F.col(score) == F.col("_p")]
     ties = base.select(*by, score, id_col, label).join(bj, cond, "inner") \
                .select(*by, "pct", "_m", F.col(id_col).alias("_id"), F.col(label).cast("long").alias("_y"),
                        F.lit(1).alias("_one"))
     r = running_sums(ties, [*by, "pct"], "_id", ["_one"])
     in_ties = r.groupBy(*by, "pct").agg(F.sum(F.when(F.col("run__one") <= F.col("_m"), F.col("_y")).otherwise(0))
                                         .alias("_tie_pos"))
-    rates = bnd.join(in_ties, [*by, "pct"], "left").select(
+    rates = join_groups(bnd, in_ties, [*by, "pct"], "left").select(
         *by, "pct", ((F.col("_tp_above") + F.coalesce("_tie_pos", F.lit(0)))
                      / F.greatest(F.col("tot_pos"), F.lit(1))).alias("rate"))
     g = rates.groupBy(*by) if by else rates.groupBy()
@@ -153,6 +153,15 @@ def catch_rates(df: DataFrame, label: str = "is_fraud", score: str = "score", id
                    .alias(f"fraud_catch_rate_top{p}pct") for p in pcts])
 
 
+def join_groups(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``a`` with the columns of ``b`` by group; the group whose key is null is a group too."""
+    b = b.withColumnsRenamed({k: f"_j_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_j_{k}"))
+    return a.join(b, same, how).drop(*[f"_j_{k}" for k in keys])
+
+
 def evaluate(df: DataFrame, label: str = "is_fraud", score: str = "score", id_col: str = "transaction_id",
              by: Sequence[str] = (), prefix: str | None = None) -> DataFrame:
     """The full metric row (per group), optionally with ``prefix_`` names."""
@@ -163,7 +172,7 @@ def evaluate(df: DataFrame, label: str = "is_fraud", score: str = "score", id_co
     m = curve_metrics(curve, by)
     c = calibration_from_curve(curve, by)
     k = catch_rates(df, label, score, id_col, by, curve=curve)
-    out = m.join(c, by, "inner").join(k, by, "inner") if by else m.crossJoin(c).crossJoin(k)
+    out = join_groups(join_groups(m, c, by), k, by) if by else m.crossJoin(c).crossJoin(k)
     if prefix:
         out = out.select(*by, *[F.col(x).alias(f"{prefix}_{x}") for x in out.columns if x not in by])
     return out
@@ -171,8 +180,8 @@ def evaluate(df: DataFrame, label: str = "is_fraud", score: str = "score", id_co
 
 def threshold_table(df: DataFrame, label: str = "is_fraud", score: str = "score", by: Sequence[str] = (),
                     grid=K.THRESHOLD_GRID) -> DataFrame:
-    """precision/recall/f1/n_flagged/flag_rate_pct at linspace(.1, .95, 20), one pass + stack."""
-    by = _grp(by)
+    """precision/recall/f1/n_flagged/flag_rate_pct of the labelled rows at linspace(.1, .95, 20), one pass + stack."""
+    by, df = _grp(by), df.where(F.col(label).isNotNull())
     start, stop, n = grid
     ts = [start + (stop - start) * i / (n - 1) for i in range(n)]
     y, p = F.col(label) == 1, F.col(score)

@@ -55,12 +55,13 @@ def best_version(reg: DataFrame, key: str = "auc_pr") -> DataFrame:
 
 def promote(reg: DataFrame, name: str, version: int, stage: str = "Production",
             archive_existing: bool = True) -> DataFrame:
-    """Move one version to ``stage``; other holders of that stage are archived."""
+    """Move one version to ``stage``; other holders of that stage are archived. A version that does not exist changes nothing."""
     target = (F.col("name") == name) & (F.col("version") == version)
+    there = F.max(target).over(Window.partitionBy("name"))
     others = (F.col("name") == name) & (F.col("version") != version) & (F.col("stage") == stage)
     new_stage = F.when(target, F.lit(stage))
     if archive_existing:
-        new_stage = new_stage.when(others, F.lit("Archived"))
+        new_stage = new_stage.when(others & there, F.lit("Archived"))
     return reg.withColumn("stage", new_stage.otherwise(F.col("stage")))
 
 
@@ -100,7 +101,7 @@ def register(reg: DataFrame, new: DataFrame) -> DataFrame:
 
 def quality_gate(metrics: DataFrame, key: str = "test_auc_pr", register_min: float = K.REGISTER_MIN_AUC_PR,
                  fail_below: float = K.FAIL_BELOW_AUC_PR) -> DataFrame:
-    """Decision per metric row: register (>= .85), keep (>= .70) or fail (< .70)."""
-    v = F.col(key)
+    """Decision per metric row: register (>= .85), keep (>= .70) or fail (< .70, absent or not a number)."""
+    v = F.nanvl(F.col(key).cast("double"), F.lit(None).cast("double"))
     return metrics.withColumn("gate", F.when(v >= register_min, "register").when(v >= fail_below, "keep")
                               .otherwise("fail"))

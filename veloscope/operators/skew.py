@@ -6,7 +6,7 @@ would make that task the whole job. ``hot_keys`` finds such keys with a
 partially aggregated count (map-side combine, so the count itself is skew-safe)
 and ``split_hot`` routes their rows to a separate, bucketed plan. Both plans give the same values.
 
-The hot-key table has at most ``rows / threshold`` entries; it is written once, and how it is
+The hot-key table has at most ``rows / threshold`` entries; if there are any it is written once, and how it is
 joined is left to the optimizer. Null keys are never hot; the windows spread them with
 ``null_salt``, as no feature is computed over the rows of a null key.
 """
@@ -58,8 +58,9 @@ def split_hot(df: DataFrame, keys: list[str], threshold: int | None = DEFAULT_HO
     """
     if threshold is None:
         return HotSplit(df, None, 0)
-    hk = written_once(hot_keys(df, keys, threshold), "hot-keys")
+    hk = hot_keys(df, keys, threshold)
     n = hk.count()
     if n == 0:
         return HotSplit(df, None, 0)
+    hk = written_once(hk, "hot-keys")
     return HotSplit(df.join(hk, keys, "left_anti"), df.join(hk, keys, "left_semi"), n)
