@@ -67,6 +67,7 @@ DRIFT_BINS = 10
 PSI_THRESHOLD = 0.25
 PSI_MODERATE = 0.10
 KS_PVALUE_THRESHOLD = 0.05
+KS_EXACT_SAMPLES = 10_000      # larger samples get the asymptotic p-value
 DRIFT_MIN_CURRENT = 30
 DRIFT_PERCENTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
 DRIFT_CRITICAL_PSI = 0.40

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,10 +109,51 @@ def ks_pvalue(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(2.0 * series, F.lit(0.0)), F.lit(1.0)))
 
 
+def exact_pvalue(n: int, m: int, gap: int) -> float:
+    """P(max |i m - j n| >= gap) over all equally likely orders of n reference and m current values (lattice paths).
+
+    ``u[i]`` is the probability that a path to (i, k - i) has stayed inside; one step of k is a vector operation.
+    """
+    if gap <= 0:
+        return 1.0
+    i = np.arange(n + 1)
+    u = np.zeros(n + 1)
+    u[0] = 1.0
+    for k in range(1, n + m + 1):
+        j = k - i
+        step = u * (j / k)
+        step[1:] += u[:-1] * (i[1:] / k)
+        u = np.where((j >= 0) & (j <= m) & (np.abs(i * m - j * n) < gap), step, 0.0)
+    return float(min(max(1.0 - u[n], 0.0), 1.0))
+
+
+def ks_test(values: DataFrame, exact_up_to: int = K.KS_EXACT_SAMPLES) -> DataFrame:
+    """J4, J5 with scipy's ``auto`` rule: (feature, ks_statistic, n_ref, n_cur, ks_pvalue), exact where neither sample has more
+    than ``exact_up_to`` values, asymptotic beyond.
+
+    The statistic is kept as a whole number, max |run_ref * n_cur - run_cur * n_ref|, so equal differences compare equal.
+    Ties: the statistic is read at distinct values only, the distribution is that of samples without ties (p is conservative).
+    """
+    gap = F.max(F.abs(F.col("run_a") * F.col("tot_b") - F.col("run_b") * F.col("tot_a")))
+    rows = values.where("tot_a > 0 AND tot_b > 0").groupBy("feature").agg(
+        gap.alias("gap"), F.first("tot_a").alias("n_ref"), F.first("tot_b").alias("n_cur"))
+    d = F.col("gap") / (F.col("n_ref") * F.col("n_cur"))
+    rows = rows.withColumns({"ks_statistic": d, "far": ks_pvalue(d, F.col("n_ref").cast("double"), F.col("n_cur").cast("double"))})
+
+    def run(batches):
+        for b in batches:
+            p = [far if max(n, m) > exact_up_to else exact_pvalue(n, m, gap)
+                 for n, m, gap, far in zip(*(b.column(c).to_pylist() for c in ("n_ref", "n_cur", "gap", "far")))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("feature", "ks_statistic", "n_ref", "n_cur")), pa.array(p, pa.float64())],
+                                             ["feature", "ks_statistic", "n_ref", "n_cur", "ks_pvalue"])
+
+    return rows.mapInArrow(run, "feature string, ks_statistic double, n_ref long, n_cur long, ks_pvalue double")
+
+
 def drift_report(ref: DataFrame, cur: DataFrame, features: Sequence[str], n_bins: int = K.DRIFT_BINS,
                  psi_threshold: float = K.PSI_THRESHOLD, p_threshold: float = K.KS_PVALUE_THRESHOLD,
-                 min_current: int = K.DRIFT_MIN_CURRENT) -> tuple[DataFrame, DataFrame]:
-    """(per-feature rows, one summary row).
+                 min_current: int = K.DRIFT_MIN_CURRENT, p_value: str = "asymptotic") -> tuple[DataFrame, DataFrame]:
+    """(per-feature rows, one summary row). ``p_value``: "asymptotic", or "auto": exact for small samples (``ks_test``).
 
     Features with fewer than ``min_current`` non-null current values are
     skipped (no row) but counted as checked. Reported values are rounded to 4
@@ -118,12 +161,12 @@ def drift_report(ref: DataFrame, cur: DataFrame, features: Sequence[str], n_bins
     """
     both = long_format(ref, features).withColumn("side", F.lit(0)).unionByName(
         long_format(cur, features).withColumn("side", F.lit(1)))
-    return drift_of(both, features, n_bins, psi_threshold, p_threshold, min_current)
+    return drift_of(both, features, n_bins, psi_threshold, p_threshold, min_current, p_value)
 
 
 def drift_of(long: DataFrame, features: Sequence[str], n_bins: int = K.DRIFT_BINS,
              psi_threshold: float = K.PSI_THRESHOLD, p_threshold: float = K.KS_PVALUE_THRESHOLD,
-             min_current: int = K.DRIFT_MIN_CURRENT) -> tuple[DataFrame, DataFrame]:
+             min_current: int = K.DRIFT_MIN_CURRENT, p_value: str = "asymptotic") -> tuple[DataFrame, DataFrame]:
     """``drift_report`` of rows that carry their side: (feature, x, side)."""
     values = value_table(long)
     prof = profile_of(values, n_bins)
@@ -151,7 +194,11 @@ def drift_of(long: DataFrame, features: Sequence[str], n_bins: int = K.DRIFT_BIN
     ks = ks_two_sample(values)
     out = per.join(ks, "feature", "inner").where(F.col("n_cur") >= min_current)
     pval = ks_pvalue(F.col("ks_statistic"), F.col("n_ref_ks").cast("double"), F.col("n_cur").cast("double"))
-    out = out.withColumn("_p", pval)
+    if p_value == "auto":
+        exact = ks_test(values).select("feature", F.col("ks_pvalue").alias("_p"))
+        out = out.join(exact, "feature", "left")
+    else:
+        out = out.withColumn("_p", pval)
     drifted = (F.col("_psi") > psi_threshold) | (F.col("_p") < p_threshold)
     per_feature = out.select(
         "feature",

@@ -123,6 +123,39 @@ def _alert_run(spark, sf_dir):
     return project(MO.drift_alert(summary, per), ALERT)
 
 
+EXACT = {"feature": "s", "ks_statistic": "d", "n_ref": "l", "n_cur": "l", "ks_pvalue": "d"}
+
+
+def _exact_run(spark, sf_dir):
+    """J5 per user: do the amounts of the second half of the period look like those of the first? Samples of some dozen values."""
+    txn = SOURCES["events"][0](spark, sf_dir)
+    mid = txn.agg(((F.min(F.unix_micros("timestamp")) + F.max(F.unix_micros("timestamp"))) / 2).alias("mid"))
+    side = (F.unix_micros("timestamp") > F.col("mid")).cast("int")
+    long = txn.crossJoin(F.broadcast(mid)).where(F.col("amount").isNotNull() & side.isNotNull()).select(
+        F.concat(F.lit("amount of user "), F.col("user_id").cast("string")).alias("feature"), F.col("amount").alias("x"), side.alias("side"))
+    return project(D.ks_test(D.value_table(long)), EXACT)
+
+
+EXACT_SQL = f"""WITH RECURSIVE {SOURCES['events'][1]},
+s AS (SELECT 'amount of user ' || CAST(user_id AS VARCHAR) AS feature, amount AS x, CAST(epoch_us("timestamp") > (SELECT
+        (min(epoch_us("timestamp")) + max(epoch_us("timestamp"))) / 2 FROM txn) AS INTEGER) AS side FROM txn WHERE amount IS NOT NULL AND user_id IS NOT NULL),
+v AS (SELECT feature, x, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM s GROUP BY 1, 2),
+r AS (SELECT feature, sum(a) OVER w AS ra, sum(b) OVER w AS rb, sum(a) OVER (PARTITION BY feature) AS n, sum(b) OVER (PARTITION BY feature) AS m
+      FROM v WINDOW w AS (PARTITION BY feature ORDER BY x)),
+g AS (SELECT feature, CAST(any_value(n) AS BIGINT) AS n, CAST(any_value(m) AS BIGINT) AS m, CAST(max(abs(ra * m - rb * n)) AS BIGINT) AS gap
+      FROM r WHERE n > 0 AND m > 0 GROUP BY 1),
+path AS (       -- u[i + 1]: a path to (i, k - i) has stayed inside
+  SELECT feature, n, m, gap, 0 AS k, [CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END for i in range(0, n + 1)] AS u FROM g
+  UNION ALL
+  SELECT feature, n, m, gap, k + 1,
+         [CASE WHEN k + 1 - i < 0 OR k + 1 - i > m OR abs(i * m - (k + 1 - i) * n) >= gap THEN 0.0::DOUBLE
+               ELSE (i * coalesce(u[i], 0.0) + (k + 1 - i) * u[i + 1]) / (k + 1) END for i in range(0, n + 1)]
+  FROM path WHERE k < n + m),
+q AS (SELECT feature, gap / (n * m) AS ks_statistic, n AS n_ref, m AS n_cur,
+             CASE WHEN gap <= 0 THEN 1.0 ELSE least(greatest(1 - u[n + 1], 0), 1) END AS ks_pvalue FROM path WHERE k = n + m)
+SELECT {sql_select(EXACT)} FROM q"""
+
+
 def build():
     return registry(
         Query("drift_profile_events", _profile_run,
@@ -134,4 +167,5 @@ def build():
         Query("drift_summary_events", lambda s, d: project(_report(s, d)[1], SUMMARY),
               REPORT_SQL + f"\nSELECT {sql_select(SUMMARY)} FROM summ", "J8 drift summary"),
         Query("drift_alert_events", _alert_run, _alert_sql(), "K9 drift alert"),
+        Query("ks_exact_users_events", _exact_run, EXACT_SQL, "J5 exact two-sample p-values of small samples, a test per user"),
     )
