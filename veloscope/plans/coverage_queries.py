@@ -19,6 +19,7 @@ from veloscope.operators import drift as DR
 from veloscope.operators import evaluation as EV
 from veloscope.operators import features as FE
 from veloscope.operators import learn as L
+from veloscope.operators import networks as NW
 from veloscope.operators import quality as Q
 from veloscope.operators import registry as RG
 from veloscope.operators import scoring as S
@@ -325,6 +326,45 @@ r AS (SELECT ip, avg(is_fraud) AS s, CAST(count(*) % 2 = 0 AS INTEGER) AS v FROM
 q AS (SELECT transaction_id, coalesce(s, 0) AS ip_risk_score, coalesce(v, 0) AS vpn_detected, {{mask}} AS masked FROM t LEFT JOIN r USING (ip))
 SELECT {sql_select(IPR)} FROM q"""
 
+NET = {"transaction_id": "l", "ip_risk_score": "d", "vpn_detected": "l", "ip_network": "s"}
+
+
+def _net_run(spark, sf_dir):
+    """Nested networks of four lengths a family, with the fraud rate of the users behind them as score."""
+    u = F.col("user_id")
+    a, b, c = (x.cast("string") for x in (u % 200, u % 7, u % 13))
+    h = F.lower(F.hex(u % 200))
+    v6 = u % 4 == 0
+    t = SOURCES["events"][0](spark, sf_dir).withColumn("ip_address", F.when(v6, F.concat(F.lit("2001:db8:"), h, F.lit("::"), F.lower(F.hex(u % 13))))
+                                                       .otherwise(F.concat_ws(".", F.lit("10"), a, b, c)))
+    net = lambda when, six, four: F.when(when, F.when(v6, six).otherwise(four))
+    nets = F.array(net(u % 2 == 0, F.lit("2001:db8::/32"), F.lit("10.0.0.0/8")),
+                   net(u % 3 == 0, F.concat(F.lit("2001:db8:"), h, F.lit("::/48")), F.concat(F.lit("10."), a, F.lit(".0.0/16"))),
+                   net(u % 5 == 0, F.concat(F.lit("2001:db8:"), h, F.lit("::/125")), F.concat(F.lit("10."), a, F.lit("."), b, F.lit(".0/29"))),
+                   net(u % 11 == 0, F.col("ip_address"), F.concat(F.col("ip_address"), F.lit("/32"))))
+    networks = t.select(F.explode(nets).alias("network"), "is_fraud").where("network IS NOT NULL").groupBy("network") \
+        .agg(F.avg("is_fraud").alias("ip_risk_score"), (F.count(F.lit(1)) % 2 == 0).alias("vpn_detected"))
+    return project(NW.network_risk(t, networks), NET)
+
+
+NET_SQL = f"""WITH {TXN_EVENTS_CTE},
+t AS (SELECT transaction_id, is_fraud, user_id AS u, user_id % 4 = 0 AS v6, lower(to_hex(user_id % 200)) AS h,
+             CASE WHEN user_id % 4 = 0 THEN 536939960::HUGEINT * CAST('79228162514264337593543950336' AS HUGEINT)
+                  + (user_id % 200)::HUGEINT * CAST('1208925819614629174706176' AS HUGEINT) + user_id % 13
+                  ELSE 167772160 + (user_id % 200) * 65536 + (user_id % 7) * 256 + user_id % 13 END AS pos FROM txn),
+n4 AS (SELECT is_fraud, v6, unnest([
+    CASE WHEN u % 2 = 0 THEN {{{{'s': CASE WHEN v6 THEN '2001:db8::/32' ELSE '10.0.0.0/8' END, 'w': CASE WHEN v6 THEN 96 ELSE 24 END, 'pos': pos}}}} END,
+    CASE WHEN u % 3 = 0 THEN {{{{'s': CASE WHEN v6 THEN '2001:db8:' || h || '::/48' ELSE '10.' || (u % 200) || '.0.0/16' END, 'w': CASE WHEN v6 THEN 80 ELSE 16 END, 'pos': pos}}}} END,
+    CASE WHEN u % 5 = 0 THEN {{{{'s': CASE WHEN v6 THEN '2001:db8:' || h || '::/125' ELSE '10.' || (u % 200) || '.' || (u % 7) || '.0/29' END, 'w': 3,
+        'pos': pos - u % 13}}}} END,
+    CASE WHEN u % 11 = 0 THEN {{{{'s': CASE WHEN v6 THEN '2001:db8:' || h || '::' || lower(to_hex(u % 13)) ELSE '10.' || (u % 200) || '.' || (u % 7) || '.' || (u % 13) || '/32' END,
+        'w': 0, 'pos': pos}}}} END]) AS x FROM t),
+nets AS (SELECT v6, x.s AS network, x.w AS w, x.pos // (2::HUGEINT ** x.w)::HUGEINT AS top, avg(is_fraud) AS score, CAST(count(*) % 2 = 0 AS INTEGER) AS vpn
+         FROM n4 WHERE x IS NOT NULL GROUP BY ALL),
+q AS (SELECT t.transaction_id, coalesce(arg_min(score, w), 0) AS ip_risk_score, coalesce(arg_min(vpn, w), 0) AS vpn_detected, arg_min(network, w) AS ip_network
+      FROM t LEFT JOIN nets ON nets.v6 = t.v6 AND t.pos >= top * (2::HUGEINT ** w)::HUGEINT AND t.pos < (top + 1) * (2::HUGEINT ** w)::HUGEINT GROUP BY 1)
+SELECT {sql_select(NET)} FROM q""".replace("{{", "{").replace("}}", "}")
+
 TOPK = {"feature": "s", "importance": "d"}
 
 
@@ -390,6 +430,7 @@ def build():
         Query("drift_trailing_events", _trailing_run, TRAIL_SQL, "J10"),
         Query("distance_from_home_events", _home_run(None), HOME_SQL.format(haversine=HAVERSINE), "M6"),
         Query("distance_from_home_events_distributed", _home_run(0), HOME_SQL.format(haversine=HAVERSINE), "M6 on the distributed shape"),
+        Query("network_risk_events", _net_run, NET_SQL, "M11: longest-prefix match, nested networks, IPv4 and IPv6"),
         Query("ip_risk_events", _ip_run, IPR_SQL.format(mask="regexp_extract(ip, '^([0-9]+\\.[0-9]+)\\.', 1) || '.x.x'"), "M8, M11"),
         Query("top_features_events", _topk_run, TOPK_SQL, "F8"),
         _reg("registry_version_by_id", lambda r: RG.version_by_id(r, "model_1", 7), "SELECT name, version, stage FROM reg WHERE name = 'model_1' AND version = 7", "L19"),
