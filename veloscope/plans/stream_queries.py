@@ -90,6 +90,32 @@ def _parsed(spark, root):
     return SS.good_events(SS.parse_events(SS.text_stream(spark, f"{root}/in/slice_*", max_files_per_trigger=1)))
 
 
+BOUND = {"transaction_id": "l", "within_bound": "l", "one_of_many": "l"}
+MAX_FILES = 2
+
+
+def _bounded_run(spark, sf_dir):
+    """One run over everything that waits, in micro-batches of at most ``MAX_FILES`` files; a batch that is repeated overwrites itself."""
+    messages, root = as_messages(_events_feed(spark, sf_dir)), _root(spark, "bounded")
+    for i in range(SLICES):
+        stage_messages(messages, root, i)
+
+    def sink(batch: DataFrame, number: int) -> None:
+        files = batch.agg(F.count_distinct("file").alias("files"))
+        good = SS.good_events(SS.parse_events(batch)).select("transaction_id")
+        good.crossJoin(F.broadcast(files)).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    raw = SS.text_stream(spark, f"{root}/in/slice_*", max_files_per_trigger=MAX_FILES).withColumn("file", F.input_file_name())
+    raw.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    batches = out.agg(F.count_distinct("batch").alias("batches"))
+    return project(out.crossJoin(F.broadcast(batches)).select("transaction_id", (F.col("files") <= MAX_FILES).cast("int").alias("within_bound"),
+                                                              (F.col("batches") > 1).cast("int").alias("one_of_many")), BOUND)
+
+
+BOUND_SQL = f"""WITH {SOURCES['events'][1]}, q AS (SELECT transaction_id, 1 AS within_bound, 1 AS one_of_many FROM txn)
+SELECT {sql_select(BOUND)} FROM q"""
+
 VEL = {"transaction_id": "l", "user_id": "l", "counter_60m": "l"}
 
 
@@ -232,6 +258,7 @@ SELECT {sql_select(LATE)} FROM q"""
 
 def build():
     return registry(
+        Query("stream_bounded_batches_events", _bounded_run, BOUND_SQL, "A7: bounded micro-batches, every message in one of them once"),
         Query("stream_velocity_counters_events", _vel_run, _vel_stream_sql(),
               "G6 on a stream: keyed state counters across 4 micro-batches equal the batch session counts"),
         Query("stream_scoring_events", _score_run, SCORE_SQL,
