@@ -98,6 +98,11 @@ def written_once(df: DataFrame, name: str, partition_by: Sequence[str] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """A folder of the shared file system that tasks fill themselves goes when the driver process ends."""
+    _written.append((spark, path))
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _written:
