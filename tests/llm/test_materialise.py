@@ -64,7 +64,8 @@ def test_shards_resume(spark, tmp_path):
     recs = M.records(docs, 128, 10)
     want = {r["slot"]: np.frombuffer(bytes(r["tokens"]), "<u2").tolist() for r in recs.collect()}
     path = tmp_path.as_uri() + "/shards"
-    manifest = M.write_shards(recs, path, 128, 10).collect()
+    index = M.write_shards(recs, path)
+    manifest = M.manifest(index).collect()
     assert sum(r["n_sequences"] for r in manifest) == len(want)
     assert sorted(r["first_slot"] for r in manifest) == list(range(0, len(want), 10))
     for r in manifest:
@@ -73,6 +74,33 @@ def test_shards_resume(spark, tmp_path):
     for first, n in ((0, len(want)), (7, 25), (len(want) - 3, 3)):
         got = [x.tolist() for x in M.read_slots(path, first, n, 128, 10)]
         assert got == [want[s] for s in range(first, first + n)]
+    some = index.where("slot % 4 < 2")
+    back = {r["slot"]: np.frombuffer(bytes(r["tokens"]), "<u2").tolist() for r in M.read_shards(some, path, 128).collect()}
+    assert back == {s: t for s, t in want.items() if s % 4 < 2}
+
+
+def test_shards_of_nothing_and_cut_short(spark, tmp_path):
+    import pytest
+    docs = spark.createDataFrame([(i, "some words " * 40) for i in range(9)], "doc_id long, text string")
+    none = tmp_path.as_uri() + "/none"
+    assert M.read_shards(M.write_shards(M.records(docs.limit(0), 16, 4), none), none, 16).count() == 0
+    path = tmp_path.as_uri() + "/cut"
+    index = M.write_shards(M.records(docs, 16, 4), path)
+    assert M.read_shards(index, path, 16).count() == index.count() > 8
+    last = tmp_path / "cut" / "shard-00000001.bin"
+    last.write_bytes(last.read_bytes()[:-2])
+    with pytest.raises(Exception, match="ends before slot"):
+        M.read_shards(index, path, 16).collect()
+
+
+def test_wide_vocabulary_is_refused(tmp_path):
+    import base64
+
+    import pytest
+    f = tmp_path / "wide.tiktoken"
+    f.write_bytes(b"".join(base64.b64encode(i.to_bytes(3, "big")) + b" %d\n" % i for i in range(65_537)))
+    with pytest.raises(ValueError, match="16 bits"):
+        M.tokenizer(str(f))
 
 
 def test_query(spark):

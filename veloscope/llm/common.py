@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veloscope.session import written_once
+from veloscope.session import remove_at_exit, scratch_path, written_once
 
 #: ASCII lower-casing (other letters stay), and the word class of the tokenisers here
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,3 +39,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once into the shared checkpoint folder and read back: cuts the lineage (lost executors re-read files
     instead of recomputing the plan) and computes the plan exactly once; removed when the driver process ends."""
     return written_once(df, f"llm/{name}")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """URI of a fresh folder below the shared checkpoint folder, for files that tasks write themselves; removed like ``written`` tables."""
+    path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
+    remove_at_exit(spark, path)
+    if path.startswith("/"):
+        return f"file://{path}"
+    return f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path

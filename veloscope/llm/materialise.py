@@ -5,11 +5,12 @@ Documents in id order form one stream of token ids (each document ends with ``eo
 number of sequences, gives each sequence its slot: a permutation that needs no table, has an
 inverse, and is the same for every partitioning. Slots are dealt by range to shards of ``per_shard`` sequences;
 a record is ``length`` little-endian 16-bit ids (the last one filled up with ``eot``), so record i of
-a shard begins at byte i * stride and a reader can resume from any slot.
+a shard begins at byte i * stride and a reader can resume from any slot. Vocabularies of more than 65 536 ids, ``eot`` included, are refused.
 
 Steps: range partitions by id tokenise their documents in order (written once, with each document's
 start inside its partition); partition totals (a row per partition) give global starts; pieces go to the
-range partition of their shard and are joined up one sequence at a time.
+range partition of their shard and are joined up one sequence at a time. ``write_shards`` puts each shard into one file
+and gives an index of its records; ``read_shards`` reads records back by it, ``read_slots`` without Spark.
 
 Defined cases: a null text is the empty text (one ``eot``); order is by (id, text), null ids first, repeated
 rows follow each other; control strings of the vocabulary inside texts are ordinary text; an empty table gives
@@ -19,6 +20,7 @@ no sequence; extra columns are ignored. Tokenisers are read from ``vocabulary``
 from __future__ import annotations
 
 import base64
+import hashlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veloscope.llm.common import text_or_empty, written
+from veloscope.llm.common import shared_folder, text_or_empty, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: the published split pattern of this vocabulary
@@ -44,6 +46,8 @@ def tokenizer(vocabulary: str):
     import tiktoken
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    if max(len(ranks), *ranks.values()) > 0xFFFF:
+        raise ValueError(f"{vocabulary}: ids above 65535 do not fit into 16 bits")
     return tiktoken.Encoding("documents", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), len(ranks)
 
 
@@ -188,50 +192,85 @@ def records(df: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key
     return pieces.mapInArrow(join_up, RECORDS)
 
 
-MANIFEST = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("first_slot", pa.int64()), ("n_sequences", pa.int64()),
-                      ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("sha256", pa.string())])
+INDEX = pa.schema([*[RECORD.field(c) for c in RECORD.names if c != "tokens"], ("file", pa.string()), ("first_slot", pa.int64()),
+                   ("n_sequences", pa.int64()), ("n_bytes", pa.int64()), ("shard_tokens", pa.int64()), ("sha256", pa.string())])
+INDEX_DDL = RECORDS.replace(", tokens binary", "") + (", file string, first_slot long, n_sequences long, n_bytes long, "
+                                                      "shard_tokens long, sha256 string")
+READ_BYTES = 4 << 20    # of consecutive records that one read fetches
 
 
-def write_shards(recs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
-    """Write ``recs`` (as ``records`` gives them) as ``path``/shard-N.bin; returns the manifest, a row per shard.
+def write_shards(recs: DataFrame, path: str) -> DataFrame:
+    """Write ``recs`` (as ``records`` gives them) as ``path``/shard-N.bin; returns the index: ``RECORDS`` without tokens, where the
+    last record of a shard also names its file, size and digest (``manifest``).
 
     ``path``: a folder that all executors share, as a URI that pyarrow opens (file, s3, gs, hdfs). A shard is
     written under an attempt's name and then moved, so a repeated task replaces it by the same bytes.
     """
-    import hashlib
+    names = [c for c in RECORD.names if c != "tokens"]
 
     def run(batches):
         fs, base = pafs.FileSystem.from_uri(path)
         fs.create_dir(base, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        out, sink = None, None              # out: [shard, first slot, sequences, bytes, tokens, digest]
+        sink = held = None                  # held: the record before this one, out at the next
+        first = n_seq = n_bytes = n_tokens = 0
+        digest = hashlib.sha256()
 
         def close():
             sink.close()
-            name = f"{base}/shard-{out[0]:08d}.bin"
+            name = f"{base}/shard-{held[0]:08d}.bin"
             fs.move(f"{name}.{attempt}", name)
-            return (out[0], name, out[1], out[2], out[3], out[4], out[5].hexdigest())
+            return (*held, name, first, n_seq, n_bytes, n_tokens, digest.hexdigest())
 
         for b in batches:
-            done = []
-            for shard, slot, n, tokens in zip(*(b.column(c).to_pylist() for c in ("shard", "slot", "n_tokens", "tokens"))):
-                if out is None or out[0] != shard:
-                    if out is not None:
-                        done.append(close())
-                    out = [shard, slot, 0, 0, 0, hashlib.sha256()]
+            rows = []
+            for row in zip(*(b.column(c).to_pylist() for c in [*names, "tokens"])):
+                shard, tokens = row[0], row[-1]
+                if held is None or held[0] != shard:
+                    if held is not None:
+                        rows.append(close())
                     sink = fs.open_output_stream(f"{base}/shard-{shard:08d}.bin.{attempt}")
+                    first, n_seq, n_bytes, n_tokens, digest = row[1], 0, 0, 0, hashlib.sha256()
+                else:
+                    rows.append((*held, None, None, None, None, None, None))
                 sink.write(tokens)
-                out[2] += 1
-                out[3] += len(tokens)
-                out[4] += n
-                out[5].update(tokens)
-            if done:
-                yield batch(done, MANIFEST)
-        if out is not None:
-            yield batch([close()], MANIFEST)
+                digest.update(tokens)
+                held, n_seq, n_bytes, n_tokens = row[:-1], n_seq + 1, n_bytes + len(tokens), n_tokens + row[4]
+            if rows:
+                yield batch(rows, INDEX)
+        if held is not None:
+            yield batch([close()], INDEX)
+
+    return written(recs.mapInArrow(run, INDEX_DDL), "shard-index")
+
+
+def manifest(index: DataFrame) -> DataFrame:
+    """A row per shard: its file, slots, bytes, tokens and digest."""
+    return index.where("file is not null").select("shard", "file", "first_slot", "n_sequences", "n_bytes",
+                                                  F.col("shard_tokens").alias("n_tokens"), "sha256")
+
+
+def read_shards(index: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
+    """``RECORDS`` of the index rows, their tokens read from the shard files; consecutive slots in one read of bounded size."""
+    names, stride = [c for c in RECORD.names if c != "tokens"], 2 * length
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(path)
+        per_read = max(1, READ_BYTES // stride)
+        for b in batches:
+            shard, slot, at = (b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "slot", "shard_offset"))
+            jump = np.flatnonzero((np.diff(slot) != 1) | (np.diff(shard) != 0)) + 1
+            for run_from, run_to in zip([0, *jump.tolist()], [*jump.tolist(), len(slot)]):
+                for lo in range(run_from, run_to, per_read):
+                    hi = min(lo + per_read, run_to)
+                    with fs.open_input_file(f"{base}/shard-{shard[lo]:08d}.bin") as f:
+                        data = f.read_at((hi - lo) * stride, int(at[lo]))
+                    if len(data) != (hi - lo) * stride:
+                        raise EOFError(f"shard {shard[lo]} ends before slot {slot[hi - 1]}")
+                    tokens = pa.array([data[i:i + stride] for i in range(0, len(data), stride)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in names], tokens], schema=RECORD)
 
-    return written(recs.mapInArrow(run, "shard long, file string, first_slot long, n_sequences long, n_bytes long, n_tokens long, "
-                                        "sha256 string"), "manifest")
+    return index.select(*names).mapInArrow(run, RECORDS)
 
 
 def read_slots(path: str, first: int, n: int, length: int = LENGTH, per_shard: int = PER_SHARD):
@@ -250,5 +289,7 @@ def read_slots(path: str, first: int, n: int, length: int = LENGTH, per_shard: i
 
 
 def op7_training_order(spark, sf_dir: str) -> DataFrame:
+    """The records as the shard files hold them, read back in ranges of slots."""
     from veloscope.llm.common import documents
-    return records(documents(spark, sf_dir))
+    path = shared_folder(spark, "shards")
+    return read_shards(write_shards(records(documents(spark, sf_dir)), path), path)
