@@ -19,6 +19,7 @@ from veloscope.session import scratch_path
 from veloscope.sources.transactions import SOURCES
 from veloscope.streaming import jobs as J
 from veloscope.streaming import sources as SS
+from veloscope.streaming import ttl_store as TS
 
 SLICES = 4
 
@@ -218,6 +219,42 @@ q AS (SELECT user_id, arg_max(amount, ("timestamp", transaction_id)) AS last_txn
              max("timestamp") AS last_txn_timestamp, max("timestamp") AS updated_at FROM txn GROUP BY user_id)
 SELECT {sql_select(STORE)} FROM q"""
 
+TTL_STORE = {"user_id": "l", "state": "s", "last_txn_amount": "d", "last_category": "s", "n_writes": "l", "n_categories": "l", "updated_at": "t"}
+TTL = K.STORE_TTL_LONG_SECONDS
+
+
+def _ttl_store_run(spark, sf_dir):
+    """Entries expire as the watermark passes their last write by a day; every fifth event carries no amount."""
+    t = _events_feed(spark, sf_dir).withColumn("amount", F.when(F.col("transaction_id") % 5 != 0, F.col("amount")))
+    root = _root(spark, "ttl-store")
+    with TS.state_conf(spark):
+        expired = run_to_parquet(spark, as_messages(t), root, lambda ev: TS.expiring_store(ev, TTL))
+    rows = expired.drop("expired_ms").withColumn("state", F.lit("expired")).unionByName(
+        TS.lookup(spark, f"{root}/checkpoint").withColumn("state", F.lit("live")))
+    return project(rows.select("user_id", "state", F.col("amount").alias("last_txn_amount"), F.col("merchant_category").alias("last_category"),
+                               "n_writes", "n_categories", F.timestamp_micros("updated_us").alias("updated_at")), TTL_STORE)
+
+
+TTL_STORE_SQL = f"""WITH {SOURCES['events'][1]},
+mm AS (SELECT epoch_us(min("timestamp")) AS a, epoch_us(max("timestamp")) AS b FROM txn),
+e AS (SELECT t.user_id, t.transaction_id, t."timestamp", CASE WHEN t.transaction_id % 5 <> 0 THEN t.amount END AS amount,
+             CASE t.merchant_category {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in CATEGORY.items())} ELSE t.merchant_category END AS category,
+             epoch_us(t."timestamp") AS us,
+             least({SLICES - 1}, CAST(floor((epoch_us(t."timestamp") - a) * {SLICES} / greatest(b - a, 1)) AS BIGINT)) AS sl
+      FROM txn t, mm WHERE t.user_id IS NOT NULL),
+m AS (SELECT sl, max(us) AS top FROM e GROUP BY sl),
+w AS (SELECT sl, max(top) OVER (ORDER BY sl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 - 600000 AS passed FROM m),
+u AS (SELECT user_id, sl, max(us) AS last_us FROM e GROUP BY user_id, sl),
+p AS (SELECT user_id, sl, lag(last_us) OVER (PARTITION BY user_id ORDER BY sl) // 1000 + {TTL * 1000} AS deadline FROM u),
+l AS (SELECT user_id, sl, sum(CASE WHEN deadline IS NULL OR deadline <= passed THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY sl) AS life
+      FROM p JOIN w USING (sl)),
+g AS (SELECT user_id, life, arg_max(amount, ("timestamp", transaction_id)) AS last_txn_amount,
+             arg_max(category, ("timestamp", transaction_id)) AS last_category, count(*) AS n_writes,
+             count(DISTINCT category) AS n_categories, max("timestamp") AS updated_at, max(us) AS last_us
+      FROM e JOIN l USING (user_id, sl) GROUP BY user_id, life),
+q AS (SELECT *, CASE WHEN last_us // 1000 + {TTL * 1000} <= (SELECT max(us) FROM e) // 1000 - 600000 THEN 'expired' ELSE 'live' END AS state FROM g)
+SELECT {sql_select(TTL_STORE)} FROM q"""
+
 DEDUP = {"transaction_id": "l"}
 
 
@@ -270,5 +307,7 @@ def build():
         Query("stream_rolling_fraud_rate_events", _roll_run, ROLL_SQL,
               "K6 on a stream: watermark 10 min, 1 h windows sliding 5 min, closed windows only"),
         Query("stream_store_upsert_events", _store_run, STORE_SQL, "G4 on a stream: foreachBatch upserts"),
+        Query("stream_ttl_store_events", _ttl_store_run, TTL_STORE_SQL,
+              "G1, G4, G5 on a stream: entries as keyed state with a time to live, expired ones emitted, live ones read from the state"),
         Query("stream_dedupe_lineitem", _dedupe_run, DEDUP_SQL, "M9 dropDuplicatesWithinWatermark on repeated order ids"),
     )
