@@ -9,7 +9,7 @@ a shard begins at byte i * stride and a reader can resume from any slot. Vocabul
 
 Steps: range partitions by id tokenise their documents in order (written once, with each document's
 start inside its partition); partition totals (a row per partition) give global starts; pieces go to the
-range partition of their shard and are joined up one sequence at a time. ``write_shards`` puts each shard into one file
+range partition of their shard, compressed one by one, and are joined up a sequence at a time. ``write_shards`` puts each shard into one file
 and gives an index of its records; ``read_shards`` reads records back by it, ``read_slots`` without Spark.
 
 Defined cases: a null text is the empty text (one ``eot``); order is by (id, text), null ids first, repeated
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,11 +148,13 @@ def records(df: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key
             slot = order.slot(seq)                          # one walk for the whole batch
             a, z = np.maximum(at[row], seq * length), np.minimum(at[row] + n[row], (seq + 1) * length)
             ids, tokens = b.column("id").to_pylist(), b.column("tokens").to_pylist()
+            packed = zstandard.ZstdCompressor(level=1)
             cut_from, cut_to = (2 * (a - at[row])).tolist(), (2 * (z - at[row])).tolist()
             yield pa.RecordBatch.from_arrays([
                 pa.array(slot // per_shard), pa.array(slot), pa.array(seq), pa.array((a - seq * length).astype(np.int32)),
                 pa.array([ids[r] for r in row.tolist()], pa.int64()),
-                pa.array([tokens[r][x:y] for r, x, y in zip(row.tolist(), cut_from, cut_to)], pa.binary())], schema=PIECES)
+                pa.array([packed.compress(tokens[r][x:y]) for r, x, y in zip(row.tolist(), cut_from, cut_to)], pa.binary())],
+                schema=PIECES)
 
     pieces = t.join(F.broadcast(offsets.select("part", "before")), "part") \
         .select((F.col("before") + F.col("start")).alias("at"), "id", "n", "tokens") \
@@ -163,6 +166,7 @@ def records(df: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key
     fill = np.array([eot], "<u2").tobytes()
 
     def join_up(batches):
+        unpacked = zstandard.ZstdDecompressor()
         rows, open_ = [], None              # open_: (shard, slot, seq, ids, starts, pieces, n)
 
         def close(o):
@@ -171,7 +175,8 @@ def records(df: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key
                     b"".join(parts) + fill * (length - n))
 
         for b in batches:
-            for shard, slot, seq, pos, i, tokens in zip(*(c.to_pylist() for c in b.columns)):
+            for shard, slot, seq, pos, i, piece in zip(*(c.to_pylist() for c in b.columns)):
+                tokens = unpacked.decompress(piece)
                 if open_ is None or open_[1] != slot:
                     if open_ is not None:
                         rows.append(close(open_))
