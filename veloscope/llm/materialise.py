@@ -148,7 +148,7 @@ def records(df: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key
             slot = order.slot(seq)                          # one walk for the whole batch
             a, z = np.maximum(at[row], seq * length), np.minimum(at[row] + n[row], (seq + 1) * length)
             ids, tokens = b.column("id").to_pylist(), b.column("tokens").to_pylist()
-            packed = zstandard.ZstdCompressor(level=1)
+            packed = zstandard.ZstdCompressor(level=5)
             cut_from, cut_to = (2 * (a - at[row])).tolist(), (2 * (z - at[row])).tolist()
             yield pa.RecordBatch.from_arrays([
                 pa.array(slot // per_shard), pa.array(slot), pa.array(seq), pa.array((a - seq * length).astype(np.int32)),
