@@ -75,3 +75,28 @@ def test_edges(spark):
     for r in one(3) + one(4):
         assert (r["txn_count_1h"], r["amount_sum_1h"], r["days_since_first_txn"], r["seconds_since_last_txn"]) == (0, 0.0, 0.0, -1.0)
     assert T.bucketed_velocity_recency(d.limit(0), (1,)).count() == 0 and T.distinct_velocity(d.limit(0), (1,), (("c", "merchant_id"),)).count() == 0
+
+
+def test_plain_shapes_send_a_large_user_to_the_other_shape(spark, monkeypatch):
+    """A user above the threshold is in no window of its own, and every row has the values of the definition."""
+    from veloscope.operators import behavioral as B
+    from veloscope.operators.skew import DEFAULT_HOT_ROWS
+    seen = []
+    for module, name in ((T, "bucketed_velocity_recency"), (B, "spend_percentile_distributed")):
+        def spy(df, *a, f=getattr(module, name), name=name, **kw):
+            seen.append((name, {r["user_id"] for r in df.select("user_id").distinct().collect()}))
+            return f(df, *a, **kw)
+        monkeypatch.setattr(module, name, spy)
+    n = DEFAULT_HOT_ROWS + 500
+    i = F.col("id")
+    t = spark.range(n + 40).select(
+        i.alias("transaction_id"), F.when(i < n, 1).when(i < n + 20, 2).cast("long").alias("user_id"), (-i).cast("double").alias("amount"),
+        (i % 3).cast("string").alias("merchant_id"), F.timestamp_seconds(i * 600).alias("timestamp"))
+    v = T.plain_velocity(t, (24,)).collect()
+    p = B.spend_percentile(t).collect()
+    assert seen == [("bucketed_velocity_recency", {1}), ("spend_percentile_distributed", {1})]
+    at = lambda x: x if x < n else x - n
+    known = {k: min(at(k) + 1, 144) for k in range(n + 20)}
+    assert {r["transaction_id"]: r["txn_count_24h"] for r in v} == known | {k: 0 for k in range(n + 20, n + 40)}
+    assert {r["transaction_id"]: r["unique_merchants_24h"] for r in v} == {k: min(c, 3) for k, c in known.items()} | {k: 0 for k in range(n + 20, n + 40)}
+    assert all(r["spend_percentile"] == (1 / (at(r["transaction_id"]) + 1) if r["user_id"] else 0.5) for r in p) and len(p) == n + 40
