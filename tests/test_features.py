@@ -128,3 +128,19 @@ def test_one_user_with_a_third_of_all_rows(spark):
     for k, row in a.items():
         for c, x in row.items():
             assert x == pytest.approx(b[k][c], rel=1e-9, abs=1e-12) if isinstance(x, float) else x == b[k][c], (k, c)
+
+
+@pytest.mark.parametrize("mode", ["full", "point_in_time"])
+def test_tasks_of_the_windows_hold_a_bounded_number_of_rows(spark, monkeypatch, mode):
+    """The partitions of the window chain grow with the rows, whatever the session's number is; the values stay."""
+    from tests.conftest import SF_SMALL
+    from veloscope.operators import skew
+    from veloscope.sources.transactions import txn_orders
+    t = txn_orders(spark, SF_SMALL)
+    before = feature_matrix(t, mode=mode)
+    expected = sorted(map(str, before.collect()))
+    monkeypatch.setattr(skew, "TASK_ROWS", 50)
+    n = -(-t.count() // 50)
+    after = feature_matrix(t, mode=mode)
+    assert n > 8 >= before.rdd.getNumPartitions() and after.rdd.getNumPartitions() == n
+    assert sorted(map(str, after.collect())) == expected
