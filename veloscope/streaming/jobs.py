@@ -50,17 +50,23 @@ SINKS = ("predictions", "alerts", "rejects", "dead_letters")
 
 
 def write_sinks(raw: DataFrame, epoch: int, out_dir: str, scorer=rule_score, model_version: str = "rule-v1") -> None:
-    """A8-A10 sinks of one micro-batch of raw messages, each keyed by the epoch (a replay overwrites itself)."""
-    parsed = parse_events(raw)
-    scored, bad = contract_and_score(good_events(parsed), scorer, model_version, epoch)
-    at = lambda sink: f"{out_dir}/{sink}/epoch={epoch}"
-    scored.write.mode("overwrite").parquet(at("predictions"))
-    # the alerts are a part of what was written, read back: the batch is scored once
-    scored.sparkSession.read.schema(scored.schema).parquet(at("predictions")).where(
-        F.col("risk_tier").isin("HIGH", "CRITICAL")).write.mode("overwrite").parquet(at("alerts"))
-    bad.withColumn("contract_errors", F.array_join("contract_errors", "; ")).select(
-        "transaction_id", "user_id", "amount", "timestamp", "contract_errors").write.mode("overwrite").parquet(at("rejects"))
-    dead_letters(parsed).write.mode("overwrite").parquet(at("dead_letters"))
+    """A8-A10 sinks of one micro-batch of raw messages, each keyed by the epoch (a replay overwrites itself).
+
+    Three sinks and the scorer read the parsed batch: it is parsed once and kept, on disk where memory is short, until they are written.
+    """
+    parsed = parse_events(raw).persist()
+    try:
+        scored, bad = contract_and_score(good_events(parsed), scorer, model_version, epoch)
+        at = lambda sink: f"{out_dir}/{sink}/epoch={epoch}"
+        scored.write.mode("overwrite").parquet(at("predictions"))
+        # the alerts are a part of what was written, read back: the batch is scored once
+        scored.sparkSession.read.schema(scored.schema).parquet(at("predictions")).where(
+            F.col("risk_tier").isin("HIGH", "CRITICAL")).write.mode("overwrite").parquet(at("alerts"))
+        bad.withColumn("contract_errors", F.array_join("contract_errors", "; ")).select(
+            "transaction_id", "user_id", "amount", "timestamp", "contract_errors").write.mode("overwrite").parquet(at("rejects"))
+        dead_letters(parsed).write.mode("overwrite").parquet(at("dead_letters"))
+    finally:
+        parsed.unpersist()
 
 
 def scoring_stream(raw: DataFrame, out_dir: str, checkpoint: str, scorer=rule_score, model_version: str = "rule-v1",
@@ -84,38 +90,47 @@ def kafka_sink(df: DataFrame, servers: str, topic: str, checkpoint: str):
 # ---------------------------------------------------------------------------
 
 def _counter_fn(windows: Sequence[int]):
-    gaps = [m * 60 * 1_000_000 for m in windows]
-    max_gap_ms = max(gaps) // 1000
+    gaps = np.array([m * 60 * 1_000_000 for m in windows], np.int64)[:, None]
+    names = [f"counter_{m}m" for m in windows]
+    max_gap_ms = int(gaps.max()) // 1000
+
+    def in_order(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        """A user's rows in (time, id) order and their times; ids are compared at equal times only."""
+        us = pdf["_us"].to_numpy()
+        order = np.argsort(us, kind="stable")
+        us = us[order]
+        if (us[1:] == us[:-1]).any():
+            pdf = pdf.sort_values(["_us", "transaction_id"], kind="stable")
+            return pdf, pdf["_us"].to_numpy()
+        return pdf.take(order), us
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True)
+        pdfs = list(pdfs)
+        pdf = pdfs[0] if len(pdfs) == 1 else pd.concat(pdfs, ignore_index=True)
         if pdf.empty:
             return
-        pdf = pdf.sort_values(["_us", "transaction_id"], kind="stable")
-        us = pdf["_us"].to_numpy()
+        pdf, us = in_order(pdf)
         if state.exists:
             last, *counts = state.get
         else:
-            last, counts = None, [0] * len(gaps)
-        out = {"transaction_id": pdf["transaction_id"].to_numpy(), "user_id": pdf["user_id"].to_numpy()}
+            last, counts = None, [0] * len(names)
         # the time of a user never runs backwards: a late event belongs to the open session
-        prev = np.concatenate([[last if last is not None else -1], np.maximum(us[:-1], last if last is not None else us[0])])
-        has_prev = np.concatenate([[last is not None], np.ones(len(us) - 1, dtype=bool)])
-        new_counts = []
-        for g, carry in zip(gaps, counts):
-            start = ~has_prev | (us - prev >= g)
-            idx = np.arange(len(us))
-            first_idx = np.maximum.accumulate(np.where(start, idx, -1))
-            base = np.where(first_idx >= 0, idx - first_idx + 1, idx + 1 + carry)
-            out[f"counter_{g // 60_000_000}m"] = base.astype("int64")
-            new_counts.append(int(base[-1]))
+        prev = np.empty_like(us)
+        prev[0] = us[0] if last is None else last
+        np.maximum(us[:-1], prev[0], out=prev[1:])
+        start = us - prev >= gaps                   # a row per window
+        start[:, 0] |= last is None
+        idx = np.arange(len(us))
+        first = np.maximum.accumulate(np.where(start, idx, -1), axis=1)
+        count = np.where(first >= 0, idx - first + 1, idx + 1 + np.array(counts, np.int64)[:, None])
         newest = int(us[-1]) if last is None else max(int(us[-1]), last)
-        state.update((newest, *new_counts))
+        state.update((newest, *count[:, -1].tolist()))
         state.setTimeoutTimestamp(newest // 1000 + max_gap_ms)
-        yield pd.DataFrame(out)
+        yield pd.DataFrame({"transaction_id": pdf["transaction_id"].to_numpy(), "user_id": pdf["user_id"].to_numpy(),
+                            **dict(zip(names, count))}, copy=False)
 
     return fn
 
