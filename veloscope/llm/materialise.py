@@ -121,7 +121,7 @@ def token_stream(df: DataFrame, id_col: str, text_col: str, vocabulary: str) ->
             if rows:
                 yield batch(rows, TOKENS)
 
-    return written(d.mapInArrow(run, "part int, start long, id long, n long, tokens binary"), "tokens")
+    return written(d.mapInArrow(run, "part int, start long, id long, n long, tokens binary"), "tokens", level=6)
 
 
 def records(df: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, vocabulary: str = VOCABULARY,
@@ -161,7 +161,8 @@ def records(df: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key
         .mapInArrow(cut, "shard long, slot long, seq long, pos int, id long, tokens binary")
     n_shards = max(1, -(-n_seq // per_shard))
     n = min(n_shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pieces = pieces.repartitionByRange(n, "shard").sortWithinPartitions("shard", "slot", "pos")
+    # shards are equally large and their number is known: bounds need no sample, which would cut and pack all pieces once more
+    pieces = pieces.repartitionById(n, F.floor(F.col("shard") * n / n_shards).cast("int")).sortWithinPartitions("shard", "slot", "pos")
     _, eot = tokenizer(vocabulary)
     fill = np.array([eot], "<u2").tobytes()
 
