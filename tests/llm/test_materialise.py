@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from veloscope.llm import materialise as M
@@ -106,3 +107,16 @@ def test_wide_vocabulary_is_refused(tmp_path):
 def test_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()]
     check(docs, M.op7_training_order(spark, SF_SMALL).collect(), M.LENGTH, M.PER_SHARD)
+
+
+def test_pieces_are_cut_and_packed_once(spark, tmp_path):
+    """Dealing pieces to the partition of their shard needs no sample of them: each batch is cut by one task only."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string")), 9).alias("text"))
+    recs = M.records(docs, length=16, per_shard=64)
+    plan = recs._jdf.queryExecution().toString()
+    assert "rangepartitioning(shard" not in plan
+    rows = recs.select("shard", "slot", F.spark_partition_id().alias("part")).collect()
+    assert len({r["shard"] for r in rows}) == 8 and len(rows) == len({r["slot"] for r in rows})
+    ends = {p: [r["slot"] for r in rows if r["part"] == p] for p in sorted({r["part"] for r in rows})}
+    joined = [s for p in sorted(ends) for s in ends[p]]
+    assert joined == sorted(joined) and all(len({r["part"] for r in rows if r["shard"] == s}) == 1 for s in {r["shard"] for r in rows})
