@@ -94,3 +94,31 @@ def test_hot_and_plain_shape_are_equal(spark):
     t = txn_events(spark, SF_SMALL)
     rows = lambda d: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in d.collect())
     assert rows(feature_matrix(t, mode="point_in_time", hot_threshold=0)) == rows(feature_matrix(t, mode="point_in_time", hot_threshold=None))
+
+
+def test_plain_and_distributed_profiles_are_equal(spark, monkeypatch):
+    rnd, rows = random.Random(4), []
+    for i in range(400):                    # ties, repeated and missing ids, undated rows, odd amounts, rows without user, category or merchant
+        rows.append((None if i % 37 == 0 else i // 2 if i % 11 == 0 else i, rnd.choice([1, 1, 1, 2, 3, None]),
+                     rnd.choice([None, 5.0, rnd.random(), 1e21, math.inf, math.nan] if i > 200 else [None, rnd.random(), 7.0]),
+                     rnd.choice(["m", "n", "o", None]), rnd.choice(["a", "b", None]),
+                     None if i % 29 == 0 else f"2024-01-{1 + i % 9:02d}T{rnd.choice([2, 12]):02d}:00:00", 0, rnd.choice(["x", "y", None])))
+    d = txn_rows(spark, rows, ", device_fingerprint string").coalesce(1)
+    plain = P.plain_profile(P.with_micros(d).withColumns({P.RID: F.monotonically_increasing_id(), "is_night": F.coalesce(P.C.is_night("timestamp"), F.lit(0))}))
+    names = sorted(c for c in P.point_in_time_profile(d).columns if c.startswith("_u"))
+    of = lambda x: sorted(([repr(v) for v in r[:7]], list(r[7:])) for r in x.select(
+        "transaction_id", "user_id", "amount", "merchant_id", "merchant_category", F.col("timestamp").cast("string"), "device_fingerprint",
+        "_u_rows", *[c for c in names if c != "_u_rows"]).collect())
+    a, b = of(P.point_in_time_profile(d)), of(plain)
+    assert [x[0] for x in a] == [x[0] for x in b]
+    assert not [(x, y) for x, y in zip(a, b) if not all(same(p, q) for p, q in zip(x[1], y[1]))]
+
+    def only_plain(*_):
+        raise AssertionError("small users take no distributed profile")
+    with monkeypatch.context() as m:
+        m.setattr(P, "point_in_time_profile", only_plain)
+        small = feature_matrix(d, mode="point_in_time")
+        assert small.count() == 400
+    monkeypatch.setattr(P, "PLAIN_ROWS", 100)           # user 1 is above, the others are not
+    rows = lambda x: sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in x.where("amount < 1e20").collect())
+    assert rows(feature_matrix(d, mode="point_in_time")) == rows(small)
