@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from veloscope.operators import learn as L
+from veloscope.operators import splits as SP
 from veloscope.operators.features import feature_matrix, feature_names
 from veloscope.operators.fitted import FittedFeatures, fit_features
 from veloscope.plans import training_job as TJ
@@ -190,3 +191,21 @@ def test_registered_backtest_tests_every_day_once(spark, monkeypatch):
     monkeypatch.setattr(ml_queries, "project", lambda *a: None)
     ml_queries.build()["backtest_fit_orders"].run(spark, SF_SMALL)
     assert seen == [(180, 30, 30)]
+
+
+def test_rows_are_positioned_once_and_learners_read_encoded_rows(spark, monkeypatch):
+    """Split and fold come from one pass over narrow rows, the wide rows are computed once, and fits read vectors, not the encoder."""
+    t = txn_events(spark, SF_SMALL)
+    ids = lambda d, c: {r[0]: r[1] for r in d.select("transaction_id", c).collect()}
+    split, fold = ids(SP.stratified_split(t), "split"), ids(SP.stratified_folds(t, 2), "fold")
+    wide, real = [], SP.class_positions
+    monkeypatch.setattr(SP, "class_positions", lambda df, *a: wide.append(len(df.columns)) or real(df, *a))
+    data = TJ.prepare(t, 2)
+    assert wide == [len(t.columns)]
+    assert ids(data, "split") == split and ids(data, "fold") == fold
+    model = TJ.encoder().fit(data)
+    x = TJ.encoded(model, data)
+    assert x.columns == ["transaction_id", "is_fraud", "split", "fold", "weight", "stop_on", "features"]
+    plain = model.transform(data)
+    assert "UDF" not in x._jdf.queryExecution().toString() and x.schema["features"].metadata == plain.schema["features"].metadata
+    assert ids(x, "features") == ids(plain, "features")
