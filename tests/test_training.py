@@ -5,8 +5,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
+from veloscope.operators import behavioral as B
 from veloscope.operators import learn as L
 from veloscope.operators import splits as SP
+from veloscope.operators.drift import split_by_time
 from veloscope.operators.features import feature_matrix, feature_names
 from veloscope.operators.fitted import FittedFeatures, fit_features
 from veloscope.plans import training_job as TJ
@@ -209,3 +211,15 @@ def test_rows_are_positioned_once_and_learners_read_encoded_rows(spark, monkeypa
     plain = model.transform(data)
     assert "UDF" not in x._jdf.queryExecution().toString() and x.schema["features"].metadata == plain.schema["features"].metadata
     assert ids(x, "features") == ids(plain, "features")
+
+
+def test_new_events_are_shuffled_once_and_repeated_ids_stay(spark):
+    """The percentile comes with the other windows of the context: no join by id, and no list of amounts where it is not read."""
+    first, second = split_by_time(txn_events(spark, SF_SMALL))
+    f = fit_features(first)
+    alone = f.transform(second)
+    assert f.transform(second.unionByName(second)).count() == 2 * second.count()
+    assert "collect_list" not in alone.select("transaction_id", "txn_count_24h")._jdf.queryExecution().executedPlan().toString()
+    ctx = f.recent.select(second.columns[:8]).withColumn("_new", F.lit(0)).unionByName(second.select(second.columns[:8]).withColumn("_new", F.lit(1)))
+    want = {r[0]: r[1] for r in B.spend_percentile(ctx).where("_new = 1").select("transaction_id", "spend_percentile").collect()}
+    assert {r[0]: r[1] for r in alone.select("transaction_id", "spend_percentile").collect()} == want

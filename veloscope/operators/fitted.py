@@ -21,7 +21,7 @@ from veloscope.operators import transaction as X
 from veloscope.operators.features import BASE, compute_features, feature_names
 from veloscope.operators.prefix import exact_quantiles
 from veloscope.operators.profile import grouped
-from veloscope.operators.temporal import DAY_US, HOUR_US, US, salted, with_micros
+from veloscope.operators.temporal import DAY_US, HOUR_US, US, with_micros
 
 TABLES = ("users", "categories", "merchants", "recent")
 KEPT = ("transaction_id", "user_id", "amount", "currency", "merchant_id", "merchant_category", "timestamp", "is_fraud",
@@ -66,9 +66,9 @@ class FittedFeatures:
         ctx = self.recent.select(*old).withColumn("_new", F.lit(0)).unionByName(
             events.withColumn("_new", F.lit(1)), allowMissingColumns=True)
         more = [c for c in events.columns if c not in (*ids, *BASE)]
-        now = compute_features(ctx, groups=("calendar", "velocity", "recency"), windows=self.windows, keep=("_new", *more))
-        pct = B.spend_percentile(salted(with_micros(ctx), "user_id")).where("_new = 1").select("transaction_id", "spend_percentile")
-        d = now.where("_new = 1").drop("_new").join(pct, "transaction_id", "left")
+        # the percentile comes from the windows of the other features: no second shuffle of the context, and none where it is not read
+        now = compute_features(ctx, groups=("calendar", "velocity", "recency"), windows=self.windows, keep=("_new", "spend_percentile", *more))
+        d = now.where("_new = 1").drop("_new")
         d = with_micros(d).join(self.users, "user_id", "left")
         d = d.join(self.categories, ["user_id", "merchant_category"], "left") if "merchant_category" in d.columns else d
         d = d.join(self.merchants, ["user_id", "merchant_id"], "left")
