@@ -1,5 +1,6 @@
 """The expiring store on hand-made slices: merges, expiry, a second life, restarts, and the work of a batch."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.conftest import ts
@@ -75,3 +76,30 @@ def test_lookup_is_a_table(spark, tmp_path):
     asked = spark.createDataFrame([(1,), (2,)], "user_id long")
     got = asked.join(TS.lookup(spark, f"{tmp_path}/checkpoint"), "user_id", "left").orderBy("user_id").select("user_id", F.col("amount")).collect()
     assert [tuple(r) for r in got] == [(1, 1.0), (2, None)]
+
+
+def test_round_trips_to_the_store_do_not_grow_with_reads():
+    """A user's rows of a batch cost one read of the entry, one of the map, a write per category, one of the entry and the timers."""
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.data = name, {}
+
+        def __getattr__(self, what):
+            def call(*a):
+                calls.append(f"{self.name}.{what}")
+                return {"get": lambda: self.data.get(""), "exists": lambda: "" in self.data, "update": lambda v: self.data.update({"": v}),
+                        "containsKey": lambda k: k in self.data, "getValue": lambda k: self.data[k], "iterator": lambda: iter(self.data.items()),
+                        "updateValue": lambda k, v: self.data.update({k: v}), "registerTimer": lambda t: None, "deleteTimer": lambda t: None}[what](*a)
+            return call
+
+    entry, by_category, store = State("entry"), State("map"), TS.UserEntries(1000)
+    store.handle, store.entry, store.by_category = State("handle"), entry, by_category
+    rows = pd.DataFrame({"us": [1, 2, 3, 4], "seq": [1, 2, 3, 4], "amount": [1.0, None, 3.0, None], "merchant_category": ["a", "b", None, "a"]})
+    for _ in range(2):
+        list(store.handleInputRows((1,), iter([rows]), None))
+    assert by_category.data == {("a",): (4,), ("b",): (2,)}
+    assert entry.data[""] == (4, 8, 3.0, 3, 3, "a", 4, 4)
+    assert calls == ["entry.get", "map.updateValue", "map.updateValue", "handle.registerTimer", "entry.update",
+                     "entry.get", "map.iterator", "map.updateValue", "map.updateValue", "entry.update"]
