@@ -223,3 +223,20 @@ def test_new_events_are_shuffled_once_and_repeated_ids_stay(spark):
     ctx = f.recent.select(second.columns[:8]).withColumn("_new", F.lit(0)).unionByName(second.select(second.columns[:8]).withColumn("_new", F.lit(1)))
     want = {r[0]: r[1] for r in B.spend_percentile(ctx).where("_new = 1").select("transaction_id", "spend_percentile").collect()}
     assert {r[0]: r[1] for r in alone.select("transaction_id", "spend_percentile").collect()} == want
+
+
+def test_backtest_reads_one_vector_and_bounds_its_tasks(spark):
+    """The rows that every fit reads hold their numeric features as one vector, the encoder adds the codes, and tasks grow with the rows slowly."""
+    from veloscope.operators import backtest as BT
+    from veloscope.sources.transactions import txn_orders
+    t = txn_orders(spark, SF_SMALL)
+    x = BT.step_features(t, 60)
+    assert x.columns == ["transaction_id", "is_fraud", *L.CATEGORICAL, "numeric", "step"]
+    got = {r["transaction_id"]: r for r in BT.StepState(x).encoder(0, 500).transform(x).collect()}
+    codes = {c: sorted({r[c] for r in got.values()}) for c in L.CATEGORICAL}
+    rows = feature_matrix(t, mode="point_in_time").fillna(L.UNKNOWN, list(L.CATEGORICAL)).collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        want = [float(r[n]) for n in L.numeric_features()] + [float(codes[c].index(r[c])) for c in L.CATEGORICAL]
+        assert got[r["transaction_id"]]["features"].toArray().tolist() == pytest.approx(want, rel=1e-12)
+    assert [BT._tasks(n, 12) for n in (0, 1, 20_001, 600_000, 4_000_000)] == [1, 1, 2, 12, 20]

@@ -1,7 +1,7 @@
 """Walk-forward backtest with a model fitted in every window.
 
 Features are point-in-time, so one table of them serves all windows: no row sees anything after itself. It is
-written once, in folders of ``gcd(train, test, step)`` days, and every window reads its own folders only. What training needs to know
+written once, in folders of ``gcd(train, test, step)`` days, its numeric features as one vector, and every window reads its own folders only. What training needs to know
 beforehand (rows and positives for the skip rules and class weights, the labels of the encoder) is kept per folder and added up:
 a window's counts are differences of running totals. Fits start from a bounded pool of threads, and the scores of all windows
 are stored and evaluated together, grouped by window.
@@ -29,6 +29,8 @@ from veloscope.session import written_once
 
 DAY_US = 86_400_000_000
 TASK_ROWS = 20_000          # training rows of a task: an iteration's cost is its tasks where windows are small
+MOST_TASK_ROWS = 200_000    # ... and where they are large, as other windows fill the cores
+NUMERIC = "numeric"
 SCORES = "window_id int, transaction_id long, is_fraud int, score double"
 
 
@@ -61,20 +63,28 @@ class StepState:
         seen = set().union(*(self.values.get(s, set()) for s in range(first, end)))
         codes = [StringIndexerModel.from_labels(sorted(v for c, v in seen if c == name), inputCol=name, outputCol=f"{name}_idx", handleInvalid="keep")
                  for name in L.CATEGORICAL]
-        names = L.numeric_features() + [f"{c}_idx" for c in L.CATEGORICAL]
+        names = [NUMERIC] + [f"{c}_idx" for c in L.CATEGORICAL]
         return PipelineModel(stages=[*codes, VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")])
 
 
 def step_features(txn: DataFrame, days: int, ts: str = "timestamp") -> DataFrame:
-    """Point-in-time features with their step, written in a folder per step of ``days``; undated rows are in no window."""
+    """Point-in-time features (id, label, categories, ``NUMERIC``) with their step, written in a folder per step of ``days``; undated
+    rows are in no window. A row is in several windows and read twice by each fit, so its numeric features are assembled here."""
     first = txn.agg(F.min(ts).alias("_t0"))
     at = F.floor((F.unix_micros(F.col(ts)) - F.unix_micros("_t0")) / F.lit(days * DAY_US)).cast("int")
     x = feature_matrix(txn, mode="point_in_time").where(F.col(ts).isNotNull())
     x = x.crossJoin(F.broadcast(first)).withColumn("step", at).drop("_t0").fillna(L.UNKNOWN, [c for c in L.CATEGORICAL if c in x.columns])
+    x = VectorAssembler(inputCols=L.numeric_features(), outputCol=NUMERIC, handleInvalid="keep").transform(x) \
+        .select("transaction_id", "is_fraud", *L.CATEGORICAL, NUMERIC, "step")
     # few files a step, and several tasks for a step that holds most rows
     return written_once(x.hint("rebalance", F.col("step")), "step-features", partition_by=["step"])
 
 
+def _tasks(n: int, cores: int) -> int:
+    """The tasks of a pass over ``n`` training rows: small ones up to the number of cores, then large ones."""
+    return max(1, min(-(-n // TASK_ROWS), cores), -(-n // MOST_TASK_ROWS))
+
+
 def fit_windows(txn: DataFrame, out_dir: str, train_days: int, test_days: int, step_days: int, learner=logistic,
                 ts: str = "timestamp", parallel: int = 8, **limits) -> DataFrame:
     """Scores of every window's test rows: (window_id, transaction_id, is_fraud, score), stored in ``out_dir``.
@@ -97,9 +107,10 @@ def fit_windows(txn: DataFrame, out_dir: str, train_days: int, test_days: int, s
         number, a, cut = window
         n, pos, neg = state.counts(a, cut)
         enc, at = state.encoder(a, cut), F.col("step")
-        weight = F.when(F.col("is_fraud") == 1, neg / pos if pos else 1.0).otherwise(1.0)
+        # in an array the weight is data of the compiled plan, not part of its code: one compilation serves all windows
+        weight = F.get(F.array(F.lit(1.0), F.lit(neg / pos if pos else 1.0)), F.coalesce((F.col("is_fraud") == 1).cast("int"), F.lit(0)))
         rows = x.where((at >= a) & (at < cut) & F.col("is_fraud").isNotNull()).withColumn("weight", weight)
-        model = learner().fit(enc.transform(rows.coalesce(-(-n // TASK_ROWS))))
+        model = learner().fit(enc.transform(rows.coalesce(_tasks(n, spark.sparkContext.defaultParallelism))))
         out = model.transform(enc.transform(x.where((at >= cut) & (at < cut + test))))
         out.select("transaction_id", "is_fraud", L.p1().alias("score")).write.mode("overwrite").parquet(f"{out_dir}/window_id={number}")
 
