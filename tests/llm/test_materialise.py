@@ -120,3 +120,19 @@ def test_pieces_are_cut_and_packed_once(spark, tmp_path):
     ends = {p: [r["slot"] for r in rows if r["part"] == p] for p in sorted({r["part"] for r in rows})}
     joined = [s for p in sorted(ends) for s in ends[p]]
     assert joined == sorted(joined) and all(len({r["part"] for r in rows if r["shard"] == s}) == 1 for s in {r["shard"] for r in rows})
+
+
+def test_split_pattern_gives_the_pieces_of_its_plain_form(spark):
+    import random
+
+    import tiktoken
+    plain = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    assert "++" in M.PATTERN            # runs are not given back
+    fast, _ = M.tokenizer(M.VOCABULARY)
+    slow = tiktoken.Encoding("plain", pat_str=plain, mergeable_ranks=fast._mergeable_ranks, special_tokens={})
+    rnd = random.Random(3)
+    parts = [" ", "  ", "\n", "\t\r\n", "\u00a0", "\u3000", "'s", "'ll", "'x", "'", "a", "Word", "\u00e9\u6f22", "12", "\u0663", "...", "$", "\U0001f600", "\x00", "\u2028"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randrange(30))) for _ in range(20_000)]
+    texts += [r["text"] or "" for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("text").collect()]
+    for t in texts:
+        assert fast.encode(t, disallowed_special=()) == slow.encode(t, disallowed_special=()), repr(t)

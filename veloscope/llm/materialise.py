@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from veloscope.llm.common import shared_folder, text_or_empty, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: fixed value: the published split pattern of this vocabulary
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: fixed value: the published split pattern of this vocabulary, in its published form that does not backtrack (the same pieces)
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 LENGTH, PER_SHARD, KEY = 2048, 2048, 20240229
 ROUNDS = 6
 
