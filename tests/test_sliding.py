@@ -100,3 +100,19 @@ def test_plain_shapes_send_a_large_user_to_the_other_shape(spark, monkeypatch):
     assert {r["transaction_id"]: r["txn_count_24h"] for r in v} == known | {k: 0 for k in range(n + 20, n + 40)}
     assert {r["transaction_id"]: r["unique_merchants_24h"] for r in v} == {k: min(c, 3) for k, c in known.items()} | {k: 0 for k in range(n + 20, n + 40)}
     assert all(r["spend_percentile"] == (1 / (at(r["transaction_id"]) + 1) if r["user_id"] else 0.5) for r in p) and len(p) == n + 40
+
+
+def test_only_frames_across_partitions_are_asked_for(spark, monkeypatch):
+    """Rows go to range partitions once, whatever the number of widths; running counts see the keys of several partitions only."""
+    parts, counted = [], []
+    monkeypatch.setattr(S, "range_parts", lambda d, *a, f=S.range_parts: parts.append(d.count()) or f(d, *a))
+    monkeypatch.setattr(S, "running_sums", lambda d, *a, f=S.running_sums, **kw: counted.append(d.count()) or f(d, *a, **kw))
+    d = spark.range(4000).select((F.col("id") % 200).alias("k"), F.col("id").alias("t"), (F.col("id") % 3).cast("string").alias("v"), F.lit(1.0).alias("x"))
+    widths = {"short": 300, "mid": 1000, "long": 10_000}
+    got = S.sliding(d, "k", "t", widths, "x", (("d", "v"),)).collect()
+    assert parts == [4000, 4000] and sum(counted) < 2000
+    assert {(r["k"], r["t"]) for r in got} == {(i % 200, i) for i in range(4000)}
+    for r in got:
+        for w, us in widths.items():
+            frame = range(r["t"], max(-1, r["t"] - us), -200)
+            assert (r[f"n_{w}"], r[f"s_{w}"], r[f"d_{w}"]) == (len(frame), float(len(frame)), len({i % 3 for i in frame}))
