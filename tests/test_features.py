@@ -144,3 +144,25 @@ def test_tasks_of_the_windows_hold_a_bounded_number_of_rows(spark, monkeypatch,
     after = feature_matrix(t, mode=mode)
     assert n > 8 >= before.rdd.getNumPartitions() and after.rdd.getNumPartitions() == n
     assert sorted(map(str, after.collect())) == expected
+
+
+@pytest.mark.parametrize("mode", ["full", "point_in_time"])
+def test_adaptive_execution_does_not_merge_the_tasks_of_the_windows(spark, monkeypatch, mode):
+    """With more shuffle partitions than the windows need, their tasks still hold a bounded number of rows; the values stay."""
+    from tests.conftest import SF_SMALL
+    from veloscope.operators import skew
+    from veloscope.sources.transactions import txn_events
+    t = txn_events(spark, SF_SMALL)
+    expected = sorted(map(str, feature_matrix(t, mode=mode).collect()))
+    monkeypatch.setattr(skew, "TASK_ROWS", 50)
+    n = -(-t.count() // 50)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        after = feature_matrix(t, mode=mode)
+        sizes = after.rdd.glom().map(len).collect()
+        got = sorted(map(str, after.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 4 < n < 200 and len(sizes) == n
+    assert got == expected
