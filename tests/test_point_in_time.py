@@ -122,3 +122,17 @@ def test_plain_and_distributed_profiles_are_equal(spark, monkeypatch):
     monkeypatch.setattr(P, "PLAIN_ROWS", 100)           # user 1 is above, the others are not
     rows = lambda x: sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in x.where("amount < 1e20").collect())
     assert rows(feature_matrix(d, mode="point_in_time")) == rows(small)
+
+
+def test_a_large_user_takes_no_plain_profile_without_detection(spark, monkeypatch):
+    """``hot_threshold=None`` routes no user to the bucketed windows; the plain profile, quadratic in a user's rows, keeps its bound."""
+    rnd = random.Random(7)
+    rows = [(i, rnd.choice([1, 1, 1, 2, 3, None]), rnd.choice([None, rnd.random(), 7.0]), rnd.choice("mno"), rnd.choice("ab"),
+             None if i % 29 == 0 else f"2024-01-{1 + i % 9:02d}T12:00:00", 0) for i in range(300)]
+    d = txn_rows(spark, rows).coalesce(1)
+    got = lambda: sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in feature_matrix(
+        d, groups=("behavioral", "transaction"), mode="point_in_time", hot_threshold=None).collect())
+    plain, seen = got(), []
+    monkeypatch.setattr(P, "PLAIN_ROWS", 100)
+    monkeypatch.setattr(P, "plain_profile", lambda x, *a, f=P.plain_profile: seen.append({r[0] for r in x.select("user_id").distinct().collect()}) or f(x, *a))
+    assert got() == plain and seen == [{2, 3, None}]
