@@ -2,8 +2,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import txn_rows
+from tests.conftest import SF_SMALL, txn_rows
 from veloscope.operators.features import feature_matrix
+from veloscope.sources.transactions import txn_orders
 
 H = "2024-01-01T"
 
@@ -166,3 +167,44 @@ def test_adaptive_execution_does_not_merge_the_tasks_of_the_windows(spark, monke
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert 4 < n < 200 and len(sizes) == n
     assert got == expected
+
+
+def test_hot_shape_shuffles_wide_rows_once_and_keeps_only_its_results(spark):
+    """Each step's tables go with the step, and the wide rows meet the results in joins by row."""
+    import os
+    from urllib.parse import urlparse
+    from veloscope.session import checkpoint_dir
+    folder = urlparse(checkpoint_dir(spark)).path
+    before = set(os.listdir(folder))
+    t = txn_orders(spark, SF_SMALL)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = feature_matrix(t, hot_threshold=0)
+        plan = d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before) == ["hot-keys", "percentile", "profile", "rows", "velocity"]
+    deals = [line for line in plan.splitlines() if "Exchange" in line]
+    assert sum("hashpartitioning(_rid" in line for line in deals) == 4 and not any("merchant" in line for line in deals), deals
+    assert d.count() == t.count()
+
+
+def test_written_alone_removes_what_was_written_on_the_way(spark):
+    import os
+    from urllib.parse import urlparse
+    from veloscope import session as S
+    folder = urlparse(S.checkpoint_dir(spark)).path
+    before = set(os.listdir(folder))
+    kept = S.written_once(spark.range(10), "kept")
+
+    def build():
+        inner = S.written_alone(lambda: S.cut_lineage(kept.where("id > 2")).where("id < 8"), "inner")
+        return S.written_once(inner.withColumn("x", F.col("id") * 2), "passing").where("x > 6")
+
+    out = S.written_alone(build, "outer")
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before) == ["kept", "outer"]
+    assert sorted(r["x"] for r in out.collect()) == [8, 10, 12, 14] and kept.count() == 10
+    with pytest.raises(ZeroDivisionError):
+        S.written_alone(lambda: 1 / 0, "failed")
+    assert S._passing.tables is None
