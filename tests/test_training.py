@@ -240,3 +240,16 @@ def test_backtest_reads_one_vector_and_bounds_its_tasks(spark):
         want = [float(r[n]) for n in L.numeric_features()] + [float(codes[c].index(r[c])) for c in L.CATEGORICAL]
         assert got[r["transaction_id"]]["features"].toArray().tolist() == pytest.approx(want, rel=1e-12)
     assert [BT._tasks(n, 12) for n in (0, 1, 20_001, 600_000, 4_000_000)] == [1, 1, 2, 12, 20]
+
+
+def test_a_fold_is_read_without_the_others(spark):
+    """Encoded rows lie in files of one fold each, rows without a label too, and filters on the fold read no other file."""
+    t = txn_events(spark, SF_SMALL).withColumn("is_fraud", F.when(F.col("transaction_id") % 50 != 3, F.col("is_fraud")))
+    data = TJ.prepare(t, 3)
+    x = TJ.encoded(TJ.encoder().fit(data), data)
+    files = x.groupBy(F.input_file_name().alias("f")).agg(F.count_distinct(F.coalesce("fold", F.lit(-1))).alias("n")).collect()
+    assert files and all(r["n"] == 1 for r in files)
+    ids = lambda d: {r[0]: r[1] for r in d.select("transaction_id", "fold").collect()}
+    assert ids(x) == ids(data) and set(ids(x).values()) == {0, 1, 2, None} and x.schema["fold"].dataType == data.schema["fold"].dataType
+    plan = x.where("fold <> 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(fold" in plan
